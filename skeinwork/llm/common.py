@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, the separators of words: space and tab to carriage return.
 BLANKS = " \t\n\x0b\f\r"
@@ -61,6 +62,14 @@ def arrow_schema(ddl_types: dict[str, pa.DataType]) -> pa.Schema:
     return pa.schema(list(ddl_types.items()))
 
 
+def widened(df: DataFrame, **fields: str) -> T.StructType:
+    """The schema of df with more fields after it."""
+    schema = T.StructType(list(df.schema.fields))
+    for name, kind in fields.items():
+        schema.add(name, kind)
+    return schema
+
+
 def map_rows(
     df: DataFrame,
     row: Callable[[], Callable[[tuple], Iterable[tuple]]],

@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name and the module whose query() runs it.
 MODULES = {
+    "op1_line_dedup": "line_dedup",
+    "op2_simhash": "simhash",
     "op3_byte_bpe": "bpe",
     "op5_packing": "packing",
+    "op6_sharding": "sharding",
+    "op8_quality": "quality",
+    "op10_chat": "chat",
 }
 
 
