@@ -12,6 +12,7 @@ MODULES = {
     "op1_line_dedup": "line_dedup",
     "op2_simhash": "simhash",
     "op3_byte_bpe": "bpe",
+    "op4_licences": "licences",
     "op5_packing": "packing",
     "op6_sharding": "sharding",
     "op8_quality": "quality",
