@@ -14,13 +14,15 @@ from skeinwork.llm.common import as_bytes, map_rows
 from skeinwork.llm.tokens import UnitEncoder, read_ranks, token_bytes, tokenizer_of_ranks
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: Texts are encoded together up to so many bytes.
+GROUP_BYTES = 1 << 20
 
 
 @cache
 def _codec(ranks_path: str) -> tuple[UnitEncoder, list[bytes], np.ndarray]:
     tokenizer = tokenizer_of_ranks(read_ranks(ranks_path))
     table = token_bytes(tokenizer)
-    return UnitEncoder(tokenizer), table, np.array([len(t) for t in table], dtype=np.int64)
+    return UnitEncoder(tokenizer, public_tokenizers.PATTERN), table, np.array([len(t) for t in table], dtype=np.int64)
 
 
 def decode_ids(ids: np.ndarray, table: list[bytes]) -> bytes:
@@ -77,18 +79,19 @@ def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_co
     def start():
         encoder, table, _ = _codec(ranks_path)
 
-        def one(values):
-            ids = encoder.ids(values[1].decode("utf-8", "replace"))
-            listed = ids.tolist()
-            decoded = b"".join([table[i] for i in listed])
-            yield values[0], len(listed), hashlib.sha256(str(listed)[1:-1].replace(" ", "").encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        def many(rows):
+            found = encoder.ids_of([raw.decode("utf-8", "replace") for _, raw in rows])
+            for (doc, _), ids in zip(rows, found, strict=True):
+                listed = str(ids.tolist())[1:-1].replace(" ", "")
+                yield doc, len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decode_ids(ids, table)).hexdigest()
 
-        return one
+        return many
 
     return map_rows(
         docs.select(docs[id_col].cast("long"), as_bytes(docs[text_col])),
         start,
         {id_col: ("long", pa.int64()), "n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())},
+        group_bytes=GROUP_BYTES,
     )
 
 

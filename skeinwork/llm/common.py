@@ -72,22 +72,41 @@ def widened(df: DataFrame, **fields: str) -> T.StructType:
 
 def map_rows(
     df: DataFrame,
-    row: Callable[[], Callable[[tuple], Iterable[tuple]]],
+    row: Callable[[], Callable],
     fields: dict[str, tuple[str, pa.DataType]],
     flush_rows: int = 4096,
     flush_bytes: int = 8 << 20,
+    group_bytes: int = 0,
 ) -> DataFrame:
-    """mapInArrow with a helper for single rows: row() is called once a task and returns what turns a tuple into tuples."""
+    """mapInArrow with a small helper: row() is called once a task and returns what turns a row's tuple into tuples.
+
+    With group_bytes the helper gets lists of rows, each of about so many bytes of text or one row.
+    """
     ddl = ", ".join(f"`{n}` {t}" for n, (t, _) in fields.items())
     schema = arrow_schema({n: t for n, (_, t) in fields.items()})
 
+    def units(batch: pa.RecordBatch) -> Iterator:
+        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        if not group_bytes:
+            yield from rows
+            return
+        group, weight = [], 0
+        for values in rows:
+            group.append(values)
+            weight += _weight(values)
+            if weight >= group_bytes:
+                yield group
+                group, weight = [], 0
+        if group:
+            yield group
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, held, weight = row(), [], 0
         for batch in batches:
-            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for out in one(values):
+            for unit in units(batch):
+                for out in one(unit):
                     held.append(out)
-                    weight += sum(len(v) for v in out if isinstance(v, (bytes, str)))
+                    weight += _weight(out)
                     if len(held) >= flush_rows or weight >= flush_bytes:
                         yield _batch(held, schema)
                         held, weight = [], 0
@@ -97,6 +116,10 @@ def map_rows(
     return df.mapInArrow(task, ddl)
 
 
+def _weight(values: tuple) -> int:
+    return sum(len(v) for v in values if isinstance(v, (bytes, str)))
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

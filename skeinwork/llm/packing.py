@@ -23,11 +23,13 @@ from skeinwork.llm.tokens import UnitEncoder, tokenizer_of_file
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
 END_ID = 0
+#: Texts are encoded together up to so many bytes.
+GROUP_BYTES = 1 << 20
 
 
 @cache
 def _encoder(path: str) -> UnitEncoder:
-    return UnitEncoder(tokenizer_of_file(path))
+    return UnitEncoder(tokenizer_of_file(path), public_tokenizers.PATTERN)
 
 
 def binary_pieces(n: int, limit: int = LIMIT) -> list[tuple[int, int]]:
@@ -53,19 +55,20 @@ def pack_documents(docs: DataFrame, vocabulary: str, limit: int = LIMIT, end_id:
         base, made = (context.partitionId() if context else 0) << 33, 0
         end = np.array([end_id], dtype="<u4")
 
-        def one(values):
+        def many(rows):
             nonlocal made
-            ids = np.concatenate([encoder.ids(values[1].decode("utf-8", "replace")), end])
-            for at, length in binary_pieces(len(ids), limit):
-                piece = ids[at : at + length].tobytes()
-                yield values[0], at, length, zlib.crc32(piece), len(ids), base + made, 0, length.bit_length() - 1, piece if with_ids else None
-                made += 1
+            for (doc, _), own in zip(rows, encoder.ids_of([raw.decode("utf-8", "replace") for _, raw in rows]), strict=True):
+                ids = np.concatenate([own, end])
+                for at, length in binary_pieces(len(ids), limit):
+                    piece = ids[at : at + length].tobytes()
+                    yield doc, at, length, zlib.crc32(piece), len(ids), base + made, 0, length.bit_length() - 1, piece if with_ids else None
+                    made += 1
 
-        return one
+        return many
 
     long = ("long", pa.int64())
     fields = {id_col: long, "start": long, "length": long, "ids_crc32": long, "doc_tokens": long, "sequence_id": long, "offset": long, "bucket": ("int", pa.int32()), "ids": ("binary", pa.binary())}
-    return map_rows(docs.select(docs[id_col].cast("long"), as_bytes(docs[text_col])), start, fields)
+    return map_rows(docs.select(docs[id_col].cast("long"), as_bytes(docs[text_col])), start, fields, group_bytes=GROUP_BYTES)
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:

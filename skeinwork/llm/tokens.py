@@ -6,11 +6,13 @@ import base64
 import re
 
 import numpy as np
+import regex
+from tokenizers import Tokenizer, models, pre_tokenizers
 
-#: White space beside a space: there, cutting before the space may split a run of white space.
-_UNSAFE = re.compile(r"\s |\s\Z| \s|\A\s")
 #: A lone space between other characters: a match of the splitting pattern always begins there.
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Below this character the regex module and the tokenizers library class all characters alike; units beyond it go to the library whole.
+_AGREED = "\u0500"
 
 
 def byte_characters() -> list[str]:
@@ -38,8 +40,6 @@ def tokenizer_of_ranks(ranks: dict[bytes, int]):
     Every way to cut a token in two known tokens is a merge, in order of the token's rank, and a match that is a token
     itself is taken whole; so the pair whose joined token has the least rank is merged first.
     """
-    from tokenizers import Tokenizer, models, pre_tokenizers
-
     shown = byte_characters()
     name = {token: "".join(shown[b] for b in token) for token in ranks}
     merges = [
@@ -54,8 +54,6 @@ def tokenizer_of_ranks(ranks: dict[bytes, int]):
 
 
 def tokenizer_of_file(path: str):
-    from tokenizers import Tokenizer
-
     made = Tokenizer.from_file(path)
     made.encode_special_tokens = True
     return made
@@ -70,31 +68,67 @@ def token_bytes(tokenizer) -> list[bytes]:
     return table
 
 
+def _loose(unit: str) -> bool:
+    """Whether a unit is empty or has white space at an end, so that the space before or after it is not a lone one."""
+    return not unit or unit[0].isspace() or unit[-1].isspace()
+
+
 class UnitEncoder:
     """Encodes texts unit by unit, a unit being what stands between two lone spaces, with its leading space.
 
-    The splitting pattern begins a match at every lone space, so units never share a token. The ids of units are kept
-    for later texts; `most` bounds their number (all are dropped when it is reached).
+    The splitting pattern begins a match at every lone space, so units never share a token. An unknown unit is split by
+    the pattern, and unknown matches are encoded many at a time. Ids of units and matches are kept for later texts;
+    `most` bounds the number of either (all are dropped when it is reached).
     """
 
-    def __init__(self, tokenizer, most: int = 400_000):
+    def __init__(self, tokenizer, pattern: str, most: int = 1_000_000):
         self.tokenizer, self.most = tokenizer, most
-        self.known: dict[str, bytes] = {}
+        self.split = regex.compile(pattern).findall
+        self.units: dict[str, bytes] = {}
+        self.matches: dict[str, bytes] = {}
+        self.words = Tokenizer.from_str(tokenizer.to_str())  # the same merges, for text whose matches are already shown
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.lengths = np.array([len(t) for t in token_bytes(tokenizer)], dtype=np.int64)
+        self.shown = "".join(byte_characters())
 
     def ids(self, text: str) -> np.ndarray:
         """The ids of a text as unsigned 32-bit integers."""
-        if not text:
-            return np.empty(0, dtype="<u4")
-        inner = text if not _UNSAFE.search(text) else None
-        units = inner.split(" ") if inner is not None else _SAFE_CUT.split(text)
-        rest = units[1:]
-        known = self.known
-        new = [u for u in set(rest) if u not in known]
+        return self.ids_of([text])[0]
+
+    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; a call with many texts learns their new units at once."""
+        parts = [text.split(" ") for text in texts]
+        new = {u for p in parts for u in p[1:]}.difference(self.units)
+        if any(map(_loose, new)) or any(p[0] and p[0][-1].isspace() for p in parts):  # runs of white space somewhere
+            parts = [_SAFE_CUT.split(text) for text in texts]
+            new = {u for p in parts for u in p[1:]}.difference(self.units)
+        if len(self.units) + len(new) > self.most:
+            self.units.clear()
+            new = {u for p in parts for u in p[1:]}
         if new:
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = list(set(rest))
-            for unit, found in zip(new, self.tokenizer.encode_batch_fast([" " + u for u in new], add_special_tokens=False), strict=True):
-                known[unit] = np.array(found.ids, dtype="<u4").tobytes()
-        head = np.array(self.tokenizer.encode(units[0], add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return np.frombuffer(head + b"".join(map(known.__getitem__, rest)), dtype="<u4")
+            listed = list(new)
+            self.units.update(zip(listed, self._encode([" " + u for u in listed]), strict=True))
+        known = self.units.__getitem__
+        heads = self._encode([p[0] for p in parts])
+        return [np.frombuffer(head + b"".join(map(known, p[1:])), dtype="<u4") for head, p in zip(heads, parts, strict=True)]
+
+    def _encode(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit, as bytes."""
+        plain = [u.isascii() or max(u) < _AGREED for u in units]
+        split = [self.split(u) if p else None for u, p in zip(units, plain, strict=True)]
+        new = list({m for found in split if found for m in found if m not in self.matches})
+        if len(self.matches) + len(new) > self.most:
+            self.matches.clear()
+            new = list({m for found in split if found for m in found})
+        for at in range(0, len(new), 20_000):
+            self._learn_matches(new[at : at + 20_000])
+        known = self.matches.__getitem__
+        rare = iter(self.tokenizer.encode_batch_fast([u for u, p in zip(units, plain, strict=True) if not p], add_special_tokens=False))
+        return [b"".join(map(known, found)) if found is not None else np.array(next(rare).ids, dtype="<u4").tobytes() for found in split]
+
+    def _learn_matches(self, new: list[str]) -> None:
+        raw = [m.encode() for m in new]
+        ids = np.array(self.words.encode_batch_fast([[r.decode("latin-1").translate(self.shown) for r in raw]], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(r) for r in raw])) + 1
+        blob, starts = ids.tobytes(), [0, *cuts[:-1].tolist()]
+        self.matches.update((m, blob[4 * a : 4 * b]) for m, a, b in zip(new, starts, cuts.tolist(), strict=True))
