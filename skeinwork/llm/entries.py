@@ -16,6 +16,7 @@ MODULES = {
     "op5_packing": "packing",
     "op6_sharding": "sharding",
     "op8_quality": "quality",
+    "op9_embeddings": "embeddings",
     "op10_chat": "chat",
 }
 
