@@ -26,8 +26,9 @@ from skeinwork.llm.components import connected_components
 
 BITS, SEED = 64, 42
 WORDS, BUDGET = 4, 4
-#: Tables are chosen so that a bucket holds about so many fingerprints at most, were they spread evenly.
-BUCKET_MEAN = 32
+#: Tables are chosen so that a bucket holds about so many fingerprints at most, were they spread evenly: joining a
+#: fingerprint with half of 128 others in each of 5 tables costs about what sorting it into 10 more tables does.
+BUCKET_MEAN = 128
 #: Rows that are joined at once (whole buckets, so a larger bucket is taken alone).
 CHUNK = 1 << 16
 
@@ -135,7 +136,7 @@ def trie_links(fp: np.ndarray, bucket: np.ndarray, budget: int) -> np.ndarray:
     first, last = edges[wide], last[wide]
     label = np.arange(len(fp))
     if len(first):
-        dense = (last - first).max() > 4 * BUCKET_MEAN
+        dense = (last - first).max() > 2 * BUCKET_MEAN
         for step in [1, 2, budget] if dense and budget > 2 else [budget]:
             label = _descend(fp, first, last, step, label)
     return label
