@@ -15,6 +15,7 @@ MODULES = {
     "op4_licences": "licences",
     "op5_packing": "packing",
     "op6_sharding": "sharding",
+    "op7_suffix_dedup": "suffix_dedup",
     "op8_quality": "quality",
     "op9_embeddings": "embeddings",
     "op10_chat": "chat",
