@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.llm.bwt import repeated_intervals
-from skeinwork.llm.common import as_bytes, stored
+from skeinwork.llm.common import as_bytes, map_rows, stored
 
 SPAN, GRAM, BESIDE = 50, 24, 13
 WINDOW = SPAN - GRAM + 1
@@ -432,6 +432,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return done.select(id_back, "n_bytes", "n_removed", "n_spans", "kept")
 
 
+def kept_texts(removed: DataFrame) -> DataFrame:
+    """(doc_id, text) of remove_repeats, less the bytes of characters that a removal cut in parts."""
+
+    def start():
+        return lambda values: [(values[0], values[1].decode("utf-8", "ignore"))]
+
+    return map_rows(removed.select("doc_id", "kept"), start, {"doc_id": ("long", pa.int64()), "text": ("string", pa.string())})
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
     return remove_repeats(docs, digest=True).select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
