@@ -1,15 +1,73 @@
-"""The corpus pipeline: stages over documents, each calling an operator of skeinwork.llm."""
+"""The corpus pipeline: stages over documents, each calling an operator of skeinwork.llm.
+
+Documents are known by doc_id. Every stage but the last returns the columns of documents, with n_chars following the text.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skeinwork.llm import line_dedup, packing, quality, simhash, suffix_dedup
+from skeinwork.llm.common import read_table, stored
+
+#: Near copies: shingles of five words; a budget of 7 bits is a SimHash similarity of cos(7 pi / 64) = 0.94 or more.
+SHINGLE_WORDS, SHINGLE_BUDGET = 5, 7
+
+
+def _with_counts(docs: DataFrame, columns: list[str]) -> DataFrame:
+    counted = docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in columns else docs
+    return counted.select(*columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: documents that the base rules or the likelihood ratio reject go."""
+    return quality.filter_documents(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: lines found in many documents go from all of them; a document that loses all lines stays, empty."""
+    return _with_counts(line_dedup.dedup_lines(docs), docs.columns)
+
+
+def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: of the documents that fingerprints link, the one with the least doc_id stays, once."""
+    found = stored(simhash.near_duplicates(docs, SHINGLE_WORDS, SHINGLE_BUDGET), "near-duplicates")
+    kept = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    left = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    if kept.filter("rows > 1").limit(1).count():
+        left = left.groupBy("doc_id").agg(F.min_by(F.struct(*left.columns), "text").alias("x")).select("x.*")
+    return left
+
+
+def suffix_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: bytes of strings that start in a smaller document go; characters cut in parts go whole."""
+    kept = suffix_dedup.kept_texts(suffix_dedup.remove_repeats(docs))
+    others = docs.drop("text", "n_chars")
+    return _with_counts(others.join(kept, "doc_id"), docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: token sequences of power-of-two lengths, with their ids."""
+    return packing.pack_documents(docs, public_tokenizers.path(packing.VOCABULARY))
+
+
+STAGES = [
+    ("quality", quality_rules),
+    ("line_dedup", line_deduplication),
+    ("near_dedup", near_deduplication),
+    ("suffix_dedup", suffix_deduplication),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+#: Stages fit a model, link fingerprints and run a tokenizer, which SQL does not express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages over documents; what a stage returns is written and read again before the next."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
