@@ -1 +1 @@
-"""See the package README for the modules in here."""
+"""Column functions: predicates, projections and display forms."""

@@ -1 +1 @@
-"""See the package README for the modules in here."""
+"""Graph, catalog, card and freshness operators."""

@@ -1 +1 @@
-"""See the package README for the modules in here."""
+"""The queries over the star tables: graphs, catalogs and cards derived from them, and the SQL that checks each."""

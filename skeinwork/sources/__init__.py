@@ -1 +1 @@
-"""See the package README for the modules in here."""
+"""Readers: node-link JSON graphs, SQL Server catalogs, Spark schemas, cards and registries."""
