@@ -122,9 +122,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "find_paths_undirected": ent(
             f""", {BOTH},
-            w AS (SELECT 'supplier:1' AS last, ['supplier:1'] AS nodes, []::VARCHAR[] AS rels, []::BIGINT[] AS key
-                  UNION ALL SELECT other, list_append(nodes, other), list_append(rels, rel), list_append(key, ord) FROM w JOIN adj ON node = last WHERE last <> 'region:1' AND len(key) < 3 AND NOT list_contains(nodes, other)),
-            h AS (SELECT *, row_number() OVER (ORDER BY len(key), key) AS rank FROM w WHERE last = 'region:1')
+            w AS (SELECT 'order:5' AS last, ['order:5'] AS nodes, []::VARCHAR[] AS rels, []::BIGINT[] AS key
+                  UNION ALL SELECT other, list_append(nodes, other), list_append(rels, rel), list_append(key, ord) FROM w JOIN adj ON node = last WHERE last <> 'region:0' AND len(key) < 4 AND NOT list_contains(nodes, other)),
+            h AS (SELECT *, row_number() OVER (ORDER BY len(key), key) AS rank FROM w WHERE last = 'region:0')
             SELECT rank, array_to_string(nodes, '>') AS nodes, array_to_string(rels, '>') AS rels FROM h WHERE rank <= 10""",
             True,
         ),
@@ -165,8 +165,8 @@ def oracle_sql() -> dict[str, str]:
                         WHEN contains(rel, 'entry') OR contains(lower(dst), 'entry') THEN 'entry_points' ELSE 'modules_affected' END AS bucket, CASE WHEN dst = id AND contains(rel, 'call') THEN src ELSE dst END AS node
             FROM e, s WHERE (dst = id AND contains(rel, 'call')) OR src = id"""
         ),
-        "catalog_nodes": cat(" SELECT * FROM nodes"),
-        "catalog_edges": cat(" SELECT source, target, relationship, key::BIGINT AS key, ordinal, foreign_key_name, target_kind FROM edges"),
+        "catalog_nodes": cat(" SELECT * REPLACE (coalesce(column_id, 0) AS column_id) FROM nodes"),
+        "catalog_edges": cat(" SELECT source, target, relationship, key::BIGINT AS key, coalesce(ordinal, 0) AS ordinal, foreign_key_name, target_kind FROM edges"),
         "catalog_summary": cat(" SELECT 'node' AS kind, node_type AS name, count(*) AS n FROM nodes GROUP BY node_type UNION ALL SELECT 'edge', relationship, count(*) FROM edges GROUP BY relationship"),
         "table_lookup": cat(_TABLE_EDGES.format(t="dbo.orders")),
         "column_lookup": cat(" SELECT id, 'bigint' AS data_type, is_primary_key, is_foreign_key, is_referenced_key FROM nodes WHERE id = 'column:dbo.orders.o_custkey'"),
@@ -190,9 +190,9 @@ def oracle_sql() -> dict[str, str]:
         "cards_list_filtered": f"WITH {CARDS} SELECT * FROM k WHERE status = 'In Progress' AND priority = '1-URGENT'",
         "card_with_comments": f"WITH {CARDS} SELECT card_id, status, turn AS comment_id, role AS author, text AS comment FROM k LEFT JOIN conversations ON conv_id = card_id WHERE card_id = 0",
         "card_current_state": """
-            WITH x AS (SELECT user_id::VARCHAR AS card_id, event_type AS status, CASE WHEN event_type = 'click' THEN json_extract_string(props, '$.k') END AS priority, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at, ts, event_id FROM events)
+            WITH x AS (SELECT user_id::VARCHAR AS card_id, event_type AS status, CASE WHEN event_type = 'click' THEN json_extract_string(props, '$.k') END AS priority, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS stamp, ts, event_id FROM events)
             SELECT card_id, arg_max(status, (ts, event_id)) FILTER (status IS NOT NULL) AS status, arg_max(priority, (ts, event_id)) FILTER (priority IS NOT NULL) AS priority,
-                   arg_min(at, (ts, event_id)) AS created_at, CASE WHEN count(*) > 1 THEN arg_max(at, (ts, event_id)) END AS updated_at FROM x GROUP BY card_id""",
+                   arg_min(stamp, (ts, event_id)) AS created_at, CASE WHEN count(*) > 1 THEN arg_max(stamp, (ts, event_id)) END AS updated_at FROM x GROUP BY card_id""",
         "board_counts": f"""WITH {CARDS}, g AS (
             SELECT project, count(*) FILTER (bucket = 'Created') AS created, count(*) FILTER (bucket = 'In Progress') AS in_progress, count(*) FILTER (bucket = 'Complete') AS complete, count(*) FILTER (bucket = 'Other') AS other, max(nullif(updated_at, '')) AS last_activity FROM b GROUP BY project)
             SELECT *, created + in_progress + complete AS total, greatest(created, in_progress, complete, other) > 3 AS collapsed FROM g""",

@@ -47,13 +47,13 @@ def _built(c) -> PropertyGraph:
 
 def _catalog_nodes(g: PropertyGraph) -> DataFrame:
     return g.nodes.select(
-        "id", "node_type", "name", "qualified_name", F.coalesce("object_id", "table_object_id").cast("long").alias("object_id"), F.col("column_id").cast("long").alias("column_id"), "type_display",
+        "id", "node_type", "name", "qualified_name", F.coalesce("object_id", "table_object_id").cast("long").alias("object_id"), F.coalesce("column_id", F.lit(0)).cast("long").alias("column_id"), "type_display",
         F.coalesce("is_primary_key", F.lit(False)).alias("is_primary_key"), F.coalesce("is_foreign_key", F.lit(False)).alias("is_foreign_key"), F.coalesce("is_referenced_key", F.lit(False)).alias("is_referenced_key"), "definition_sha256",
     )
 
 
 def _catalog_edges(g: PropertyGraph) -> DataFrame:
-    return g.edges.select("source", "target", "relationship", F.col("key").cast("long").alias("key"), F.col("ordinal").cast("long").alias("ordinal"), "foreign_key_name", "target_kind")
+    return g.edges.select("source", "target", "relationship", F.col("key").cast("long").alias("key"), F.coalesce("ordinal", F.lit(0)).cast("long").alias("ordinal"), "foreign_key_name", "target_kind")
 
 
 def _ids(g: PropertyGraph) -> DataFrame:
@@ -98,7 +98,7 @@ def queries() -> dict[str, Query]:
         "neighbors_both": _on_graph(lambda g: graph.neighbors(g, "nation:7")),
         "neighbors_out_rel": _on_graph(lambda g: graph.neighbors(g, "order:5", "outgoing", "uses")),
         "find_paths_directed": _on_graph(lambda g: _paths(graph.find_paths(g, "order:5", "region:0"))),
-        "find_paths_undirected": _on_graph(lambda g: _paths(graph.find_paths(g, "supplier:1", "region:1", max_depth=3, directed=False))),
+        "find_paths_undirected": _on_graph(lambda g: _paths(graph.find_paths(g, "order:5", "region:0", max_depth=4, directed=False))),
         "subgraph_nodes": _on_graph(lambda g: _nodes(graph.subgraph(g, ["order:5", "unknown:1"], 2).nodes)),
         "subgraph_edges": _on_graph(lambda g: graph.subgraph(g, ["order:5", "unknown:1"], 2).edges.select("src", "dst", "rel")),
         "graph_counts": _on_graph(graph.counts),
