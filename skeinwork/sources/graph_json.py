@@ -36,5 +36,5 @@ def read_graph(spark: SparkSession, path: str) -> PropertyGraph:
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """(slug, root) of a JSON object of strings; other values are left out."""
     raw = spark.read.text(path, wholetext=True)
-    rows = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("slug", "root"), "value")
-    return rows.filter(F.get_json_object(F.col("value"), F.concat(F.lit("$['"), F.col("slug"), F.lit("']"))).isNotNull()).select("slug", "root")
+    rows = raw.select(F.explode(F.from_json("value", "map<string,variant>")).alias("slug", "root"))
+    return rows.filter(F.schema_of_variant("root") == "STRING").select("slug", F.col("root").cast("string").alias("root"))
