@@ -1,51 +1,21 @@
-"""What the operators of this subpackage share: shared storage, byte texts and Arrow batches."""
+"""What the operators of this subpackage share: byte texts and Arrow batches."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: ASCII white space, the separators of words: space and tab to carriage return.
-BLANKS = " \t\n\x0b\f\r"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jvm_dir.isDefined():
-        return jvm_dir.get().rstrip("/")
-    fresh = "file://" + tempfile.mkdtemp(prefix="skeinwork-")
-    spark.sparkContext.setCheckpointDir(fresh)
-    return fresh
-
+from skeinwork.storage import checkpointed, shared_dir, stored
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, cut from its lineage by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["BLANKS", "arrow_schema", "as_bytes", "checkpointed", "map_rows", "read_table", "shared_dir", "stored", "widened"]
 
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/skeinwork-{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str, partition_by: Iterable[str] = ()) -> DataFrame:
-    """df as a Parquet table in the shared folder; it survives lost executors and costs less disk than a checkpoint."""
-    path = scratch_path(df.sparkSession, label)
-    writer = df.write.option("compression", "zstd")
-    names = list(partition_by)
-    (writer.partitionBy(*names) if names else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: ASCII white space, the separators of words: space and tab to carriage return.
+BLANKS = " \t\n\x0b\f\r"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
