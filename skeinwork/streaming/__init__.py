@@ -1 +1 @@
-"""See the package README for the modules in here."""
+"""Streams into the engine's tables."""
