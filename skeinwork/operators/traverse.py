@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skeinwork.storage import checkpointed
+from skeinwork.storage import checkpointed, stored
 
 #: A frontier or visited set of at most so many rows is broadcast (its rows are counted each round); larger ones shuffle.
 BROADCAST_ROWS = 50_000
@@ -26,6 +26,11 @@ def links(edges: DataFrame, direction: str = "out") -> DataFrame:
     return {"out": out, "in": back, "both": out.unionByName(back)}[direction]
 
 
+def fixed(edges: DataFrame) -> DataFrame:
+    """edges as a table of their own, so that the rounds of a loop don't make them anew each time."""
+    return stored(edges.select("src", "dst", "rel", "pos"), "edges")
+
+
 def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -74,6 +79,7 @@ def simple_paths(edges: DataFrame, source: str, target: str, max_depth: int, cap
     nothing; the loop ends with the level at which the cap is reached.
     """
     spark = edges.sparkSession
+    edges = fixed(edges)
     around = links(edges, "out" if directed else "both")
     walks = spark.createDataFrame([(source, [source], [], [])], "last string, nodes array<string>, rels array<string>, key array<int>")
     if source == target or max_depth < 0:
@@ -103,7 +109,7 @@ def simple_paths(edges: DataFrame, source: str, target: str, max_depth: int, cap
 
 def dependency_rows(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(other, rel, depth, order_key): each edge within reach once, from the end that a queue takes out first."""
-    around = links(edges, "both")
+    around = links(fixed(edges), "both")
     found = levels(around, start, depth)
     inner = found.filter(F.col("level") < depth)
     touched = numbered(around.join(inner, "node"))
@@ -119,7 +125,7 @@ def caller_rows(calls: DataFrame, start: DataFrame, transitive: bool, max_depth:
     Direct rows always come whole. A node at level l of at most max_depth - 1 adds its inbound edges at depth l + 1; with
     a cap, nodes are taken in queue order while the rows before them number fewer than the cap.
     """
-    around = links(calls, "in")
+    around = links(fixed(calls) if transitive else calls, "in")
     direct = around.join(F.broadcast(start.select("node")), "node").select(F.col("other").alias("caller"), "rel", F.lit(1).alias("depth"))
     if not transitive:
         return direct
