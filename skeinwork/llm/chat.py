@@ -78,7 +78,7 @@ def leaf_paths(messages: DataFrame) -> DataFrame:
     paths = here.join(answered, ["tree", "message"], "left_anti").select("tree", F.col("message").alias("leaf"), "message", F.lit(0).cast("long").alias("up"))
     for power in reversed(range(len(jumps))):
         higher = paths.join(jumps[power], ["tree", "message"]).select("tree", "leaf", F.col("above").alias("message"), (F.col("up") + (1 << power)).alias("up"))
-        paths = paths.unionByName(higher)
+        paths = checkpointed(paths.unionByName(higher))  # read twice by the next round
     return paths
 
 
