@@ -194,3 +194,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell_most:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(os.path.join(sf_dir, "embeddings.parquet")).select("vec_id", "embedding"))
+
+
+#: Every pair by cosine; the query finds them by counting, with the recall that it is calibrated for.
+ORACLE_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CASE WHEN embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN embedding::DOUBLE[] END AS e
+  FROM embeddings
+), pairs AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.9
+), reach AS (SELECT x, y FROM pairs UNION SELECT reach.x, pairs.y FROM reach JOIN pairs ON reach.y = pairs.x),
+least AS (SELECT x, least(x, min(y)) AS c FROM reach GROUP BY x),
+degree AS (SELECT x, count(*) AS n FROM pairs GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(c, vec_id)::BIGINT AS component_id, coalesce(c, vec_id) = vec_id AS kept
+FROM v LEFT JOIN degree ON degree.x = vec_id LEFT JOIN least ON least.x = vec_id
+"""
