@@ -9,95 +9,104 @@ import numpy as np
 
 @dataclass(frozen=True)
 class ShardBwt:
-    """A shard's suffixes in order: the character before each (0: none, the suffix is a whole string) and its position.
-
-    Position counts the strings' characters one after another, each string followed by its terminator.
+    """A shard's suffixes in order: the character before each (0: none, the suffix is a whole string), the row of the suffix
+    one longer, and the position. Positions count the strings' characters one after another, each string with its terminator.
     """
 
     chars: np.ndarray
+    longer: np.ndarray
     positions: np.ndarray
-    strings: int
 
 
 def shard_bwt(text: np.ndarray, lengths: np.ndarray) -> ShardBwt:
-    """The transform of strings given as one byte array; terminators are least and ordered as their strings."""
+    """The transform of strings given as one array of characters 1 to 255; terminators are least and ordered as their strings."""
     ends = np.cumsum(lengths + 1) - 1
     n = int(lengths.sum()) + len(lengths)
-    coded = np.zeros(n, dtype=np.int64)
     inner = np.ones(n, dtype=bool)
     inner[ends] = False
-    coded[inner] = text.astype(np.int64) + len(lengths)
-    coded[ends] = np.arange(len(lengths))
-    rank, width = coded, 1
-    order = np.argsort(rank, kind="stable")
-    while True:
-        sorted_rank = rank[order]
-        changed = sorted_rank[1:] != sorted_rank[:-1]
-        if changed.all():
+    coded = np.zeros(n + 8, dtype=np.uint8)
+    coded[:n][inner] = text
+    string = np.repeat(np.arange(len(lengths)), lengths + 1)
+    left = ends[string] - np.arange(n)  # characters before the terminator
+    key = np.zeros(n, dtype=np.uint64)
+    for i in range(8):
+        key = (key << np.uint64(8)) | np.where(i < left, coded[i : i + n], 0).astype(np.uint64)
+    order = np.lexsort((np.where(left < 8, string, 0), key))
+    ended = left[order] < 8
+    fresh = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (ended[1:] & ended[:-1])])
+    rank, width = np.empty(n, dtype=np.int64), 8
+    while True:  # each round sorts what is still tied by twice as many characters
+        first = np.nonzero(fresh)[0]
+        start = first[np.cumsum(fresh) - 1]
+        rank[order] = start
+        tied = ~fresh
+        tied[:-1] |= ~fresh[1:]
+        at = np.nonzero(tied)[0]
+        if not len(at):
             break
-        dense = np.empty(n, dtype=np.int64)
-        dense[order] = np.concatenate([[0], np.cumsum(changed)])
-        ahead = np.zeros(n, dtype=np.int64)
-        ahead[: n - width] = dense[width:] + 1
-        rank = dense * (n + 1) + ahead
-        order = np.argsort(rank, kind="stable")
+        members = order[at]
+        ahead = rank[np.minimum(members + width, n - 1)]
+        by = np.argsort(rank[members] * (n + 1) + ahead, kind="stable")
+        order[at] = members[by]
+        ahead, own = ahead[by], rank[members[by]]
+        fresh[at] = np.concatenate([[True], (own[1:] != own[:-1]) | (ahead[1:] != ahead[:-1])])
         width *= 2
-    chars = np.zeros(n, dtype=np.int16)
-    before = order > 0
-    chars[before] = np.where(inner[order[before] - 1], coded[order[before] - 1] - len(lengths) + 1, 0)
-    return ShardBwt(chars, order, len(lengths))
+    row = np.empty(n, dtype=np.int64)
+    row[order] = np.arange(n)
+    before = np.maximum(order - 1, 0)
+    chars = np.where((order > 0) & inner[before], coded[before], 0).astype(np.uint8)
+    return ShardBwt(chars, row[before], order)
 
 
 def merge_blocks(shards: list[ShardBwt], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The interleave of the shards' suffixes (the shard of each, in merged order) and the block of each.
+    """The rows (counted over the shards one after another) whose suffixes share their first `depth` characters with
+    another's, in the merged order, and the block of each.
 
-    A round takes the suffixes sorted by h characters to h + 1: read in the present order, the characters before them
-    deal the suffixes one place longer, stably, so no suffix is compared again. A block is what a round leaves together:
-    after `depth` rounds, suffixes of one block have a common prefix of at least `depth` characters.
+    A round takes the interleave of suffixes sorted by h characters to h + 1: read in the present order, the characters
+    before them deal the suffixes one place longer, stably, so no suffix is compared again. What a round leaves together
+    is a block, whose suffixes have a common prefix of that length. A suffix alone in its block is settled and leaves the
+    interleave, as all longer ones that end in it are alone too.
     """
-    shard = np.repeat(np.arange(len(shards)), [len(s.chars) for s in shards])
-    strings = np.repeat(np.arange(len(shards)), [s.strings for s in shards])
     starts = np.cumsum([0, *(len(s.chars) for s in shards)])
-    rows = np.concatenate([s.chars for s in shards])
-    interleave, block = shard, np.zeros(len(shard), dtype=np.int64)
+    chars = np.concatenate([s.chars for s in shards])
+    longer = np.concatenate([s.longer + a for s, a in zip(shards, starts, strict=False)]).astype(np.int32)
+    rows, block = np.arange(len(chars), dtype=np.int32), np.zeros(len(chars), dtype=np.int32)
     for _ in range(depth):
-        place = np.empty(len(shard), dtype=np.int64)  # the row of its shard that each entry stands for
-        for j in range(len(shards)):
-            mine = np.nonzero(interleave == j)[0]
-            place[mine] = starts[j] + np.arange(len(mine))
-        char = rows[place]
-        dealt = np.argsort(char, kind="stable")
-        dealt = dealt[len(strings) :]  # what precedes a terminator is known: terminators keep the order of strings
-        key_char, key_block = char[dealt], block[dealt]
-        fresh = np.concatenate([np.ones(len(strings), dtype=bool), [True], (key_char[1:] != key_char[:-1]) | (key_block[1:] != key_block[:-1])])[: len(shard)]
-        interleave = np.concatenate([strings, interleave[dealt]])
-        block = np.cumsum(fresh) - 1
-    return interleave, block
+        before = chars[rows]
+        inside = before > 0
+        rows, block, before = rows[inside], block[inside], before[inside]
+        dealt = np.argsort(before, kind="stable")
+        before, block = before[dealt], block[dealt]
+        rows = longer[rows[dealt]]
+        if not len(rows):
+            break
+        fresh = np.concatenate([[True], (before[1:] != before[:-1]) | (block[1:] != block[:-1]), [True]])
+        shared = ~(fresh[:-1] & fresh[1:])
+        block = np.cumsum(fresh[:-1], dtype=np.int32)[shared]
+        rows = rows[shared]
+    return rows.astype(np.int64), block.astype(np.int64)
 
 
 def repeated_intervals(texts: list[bytes], depth: int, shard_bytes: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, offset, block) of every suffix that shares its first `depth` characters with another, in merged order."""
-    shards, bases, at = [], [], 0
-    while at < len(texts):
-        last, size = at, 0
-        while last < len(texts) and (last == at or size + len(texts[last]) <= shard_bytes):
-            size += len(texts[last]) + 1
-            last += 1
-        lengths = np.array([len(t) for t in texts[at:last]], dtype=np.int64)
-        shards.append(shard_bwt(np.frombuffer(b"".join(texts[at:last]), dtype=np.uint8), lengths))
-        bases.append(at)
-        at = last
-    if not shards:
-        return (np.empty(0, dtype=np.int64),) * 3
-    interleave, block = merge_blocks(shards, depth)
-    string, offset = np.empty(len(block), dtype=np.int64), np.empty(len(block), dtype=np.int64)
-    for j, (s, base) in enumerate(zip(shards, bases, strict=True)):
-        lengths = np.array([len(t) + 1 for t in texts[base : base + s.strings]], dtype=np.int64)
-        first = np.concatenate([[0], np.cumsum(lengths)])
-        own = np.searchsorted(first, s.positions, "right") - 1
-        mine = interleave == j
-        string[mine], offset[mine] = base + own, s.positions - first[own]
-    shared = np.zeros(len(block), dtype=bool)
-    shared[1:] |= block[1:] == block[:-1]
-    shared[:-1] |= block[1:] == block[:-1]
-    return string[shared], offset[shared], block[shared]
+    none = (np.empty(0, dtype=np.int64),) * 3
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    text = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    if not len(text):
+        return none
+    used = np.zeros(256, dtype=bool)
+    used[text] = True
+    if used.all():
+        raise ValueError("a collection may use 255 different bytes at most")  # UTF-8 never uses all of them
+    text = np.cumsum(used).astype(np.uint8)[text]
+    group = (np.cumsum(lengths + 1) - 1) // shard_bytes
+    cuts = [0, *(np.nonzero(group[1:] != group[:-1])[0] + 1).tolist(), len(texts)]
+    at = np.concatenate([[0], np.cumsum(lengths)])
+    shards = [shard_bwt(text[at[a] : at[b]], lengths[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    rows, block = merge_blocks(shards, depth)
+    positions = np.concatenate([s.positions for s in shards])
+    offsets = np.cumsum([0, *(len(s.positions) for s in shards)])[:-1]
+    place = (positions + np.repeat(offsets, [len(s.positions) for s in shards]))[rows]
+    first = np.concatenate([[0], np.cumsum(lengths + 1)])
+    string = np.searchsorted(first, place, "right") - 1
+    return string, place - first[string], block

@@ -36,7 +36,7 @@ CHUNK_BYTES = 1 << 20
 _POSITION_BITS = np.uint64(27)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Codes of the bytes beside an anchor: none there, or cut off and so unknown.
-_NOTHING, _UNKNOWN = 0, 255
+_NOTHING, _UNKNOWN = 0, 65535
 _TEXT, _SEGMENT, _DONE = 0, 1, 2
 
 
@@ -49,7 +49,7 @@ class Entries:
     """Segments as columns: anchor, segment hash, code left and right, document index, start, number of strings."""
 
     names = ("anchor", "segment", "left", "right", "doc", "start", "strings")
-    kinds = (np.uint64, np.uint64, np.uint8, np.uint8, np.int64, np.int64, np.uint8)
+    kinds = (np.uint64, np.uint64, np.uint16, np.uint16, np.int64, np.int64, np.uint8)
 
     def __init__(self, *columns: np.ndarray):
         self.columns = columns
@@ -104,15 +104,15 @@ def segments_of(pieces: list[tuple[int, int, bool, bool, bytes]]) -> Entries:
     piece = piece_of[start]
     lead = np.array([p[2] for p in pieces])[piece]
     trail = np.array([p[3] for p in pieces])[piece]
-    left, right = (np.zeros(len(at), dtype=np.uint8) for _ in range(2))
+    left, right = (np.zeros(len(at), dtype=np.uint16) for _ in range(2))
     h8 = hashes[8]
     fits = where - BESIDE >= first[piece]
     w = where[fits]
-    left[fits] = 1 + (_mix(h8[w - BESIDE] * _M1 + h8[w - 8]) % np.uint64(253)).astype(np.uint8)
+    left[fits] = 1 + (_mix(h8[w - BESIDE] * _M1 + h8[w - 8]) % np.uint64(_UNKNOWN - 1)).astype(np.uint16)
     left[~fits & lead] = _UNKNOWN
     fits = where + GRAM + BESIDE <= ends[piece]
     w = where[fits] + GRAM
-    right[fits] = 1 + (_mix(h8[w] * _M1 + h8[w + BESIDE - 8]) % np.uint64(253)).astype(np.uint8)
+    right[fits] = 1 + (_mix(h8[w] * _M1 + h8[w + BESIDE - 8]) % np.uint64(_UNKNOWN - 1)).astype(np.uint16)
     right[~fits & trail] = _UNKNOWN
     docs = np.array([p[0] for p in pieces], dtype=np.int64)[piece]
     offset = np.array([p[1] for p in pieces], dtype=np.int64)[piece] + start - first[piece]
@@ -150,7 +150,7 @@ def judge(e: Entries, doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return tuple(back)
 
 
-_PLANES = {"anchor": 5, "segment": 6, "left": 1, "right": 1, "start": 4, "strings": 1}
+_PLANES = {"anchor": 5, "segment": 6, "left": 2, "right": 2, "start": 4, "strings": 1}
 
 
 def _planes(column: np.ndarray, count: int) -> bytes:

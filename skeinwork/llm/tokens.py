@@ -78,11 +78,11 @@ class UnitEncoder:
 
     The splitting pattern begins a match at every lone space, so units never share a token. An unknown unit is split by
     the pattern, and unknown matches are encoded many at a time. Ids of units and matches are kept for later texts;
-    `most` bounds the number of either (all are dropped when it is reached).
+    `most_units` and `most_matches` bound their numbers (all are dropped when it is reached); workers keep them between tasks.
     """
 
-    def __init__(self, tokenizer, pattern: str, most: int = 1_000_000):
-        self.tokenizer, self.most = tokenizer, most
+    def __init__(self, tokenizer, pattern: str, most_units: int = 400_000, most_matches: int = 500_000):
+        self.tokenizer, self.most_units, self.most_matches = tokenizer, most_units, most_matches
         self.split = regex.compile(pattern).findall
         self.units: dict[str, bytes] = {}
         self.matches: dict[str, bytes] = {}
@@ -102,7 +102,7 @@ class UnitEncoder:
         if any(map(_loose, new)) or any(p[0] and p[0][-1].isspace() for p in parts):  # runs of white space somewhere
             parts = [_SAFE_CUT.split(text) for text in texts]
             new = {u for p in parts for u in p[1:]}.difference(self.units)
-        if len(self.units) + len(new) > self.most:
+        if len(self.units) + len(new) > self.most_units:
             self.units.clear()
             new = {u for p in parts for u in p[1:]}
         if new:
@@ -117,7 +117,7 @@ class UnitEncoder:
         plain = [u.isascii() or max(u) < _AGREED for u in units]
         split = [self.split(u) if p else None for u, p in zip(units, plain, strict=True)]
         new = list({m for found in split if found for m in found if m not in self.matches})
-        if len(self.matches) + len(new) > self.most:
+        if len(self.matches) + len(new) > self.most_matches:
             self.matches.clear()
             new = list({m for found in split if found for m in found})
         for at in range(0, len(new), 20_000):
