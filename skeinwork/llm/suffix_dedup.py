@@ -10,10 +10,11 @@ SPAN rounds, after which the blocks are the repeated intervals.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.llm.bwt import repeated_intervals
-from skeinwork.llm.common import as_bytes, map_rows, stored
+from skeinwork.llm.common import as_bytes, stored
 
 SPAN, GRAM, BESIDE = 50, 24, 13
 WINDOW = SPAN - GRAM + 1
@@ -323,7 +324,7 @@ def _state_table(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-def apply_verdicts(texts: DataFrame, found: DataFrame, digest: bool) -> DataFrame:
+def apply_verdicts(texts: DataFrame, found: DataFrame, give: Callable[[bytes], bytes]) -> DataFrame:
     """Texts with what covers them: done ones, ones that wait (with their ranges), and the segments that they wait for."""
 
     def group(docs: pa.Table, rows: pa.Table) -> pa.Table:
@@ -336,7 +337,7 @@ def apply_verdicts(texts: DataFrame, found: DataFrame, digest: bool) -> DataFram
             starts, strings = covered.get(key, (none, none))
             if key not in pending:
                 removed, spans, kept = _remove(raw, starts, strings + SPAN - 1)
-                out.append((_DONE, part, doc, len(raw), removed, spans, _digest(kept) if digest else kept, None, None, None))
+                out.append((_DONE, part, doc, len(raw), removed, spans, give(kept), None, None, None))
                 continue
             out.append((_TEXT, part, doc, len(raw), None, None, raw, np.stack([starts, strings + SPAN - 1]).astype("<i8").tobytes(), None, None))
             for anchor, start, count in zip(*(c.tolist() for c in pending[key]), strict=True):
@@ -347,11 +348,17 @@ def apply_verdicts(texts: DataFrame, found: DataFrame, digest: bool) -> DataFram
 
 
 def _digest(raw: bytes) -> bytes:
-    import hashlib
-
     return hashlib.sha256(raw).hexdigest().encode()
 
 
+def _whole_characters(raw: bytes) -> bytes:
+    return raw.decode("utf-8", "ignore").encode()
+
+
+#: What remove_repeats can give of the bytes that are left.
+_GIVES = {"bytes": bytes, "digest": _digest, "text": _whole_characters}
+
+
 def repeated_strings(segments: DataFrame) -> DataFrame:
     """(part, doc_id, check, start) of the strings of pending segments that also start in a smaller document."""
     counts = segments.groupBy("anchor").count().filter(F.col("count") > WIDE_ANCHOR).select("anchor", F.ceil(F.col("count") / WIDE_ANCHOR).cast("int").alias("salts"))
@@ -391,7 +398,7 @@ def repeated_strings(segments: DataFrame) -> DataFrame:
     return dealt.mapInArrow(task, "part int, doc_id long, check binary, start long")
 
 
-def finish(waiting: DataFrame, strings: DataFrame, digest: bool) -> DataFrame:
+def finish(waiting: DataFrame, strings: DataFrame, give: Callable[[bytes], bytes]) -> DataFrame:
     def group(docs: pa.Table, rows: pa.Table) -> pa.Table:
         more: dict[tuple, list[int]] = {}
         for doc, check, start in zip(*(rows.column(n).to_pylist() for n in ("doc_id", "check", "start")), strict=True):
@@ -401,14 +408,15 @@ def finish(waiting: DataFrame, strings: DataFrame, digest: bool) -> DataFrame:
             starts, lengths = np.frombuffer(ranges, dtype="<i8").reshape(2, -1)
             own = np.array(more.get((doc, struct.pack("<I", zlib.crc32(raw))), []), dtype=np.int64)
             removed, spans, kept = _remove(raw, np.concatenate([starts, own]), np.concatenate([lengths, np.full(len(own), SPAN)]))
-            out.append((_DONE, part, doc, len(raw), removed, spans, _digest(kept) if digest else kept, None, None, None))
+            out.append((_DONE, part, doc, len(raw), removed, spans, give(kept), None, None, None))
         return _state_table(out)
 
     return waiting.groupBy("part").cogroup(strings.groupBy("part")).applyInArrow(group, _STATE)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept (binary; with digest its SHA-256 in hexadecimal digits).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", give: str = "bytes") -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept (binary): by `give` the bytes that are left, the hexadecimal
+    digits of their SHA-256 ("digest"), or the bytes less those of characters that a removal cut in parts ("text").
 
     Null and empty texts have no bytes. Rows that share a doc_id never cover each other; those that share the text as
     well have the same result. A null doc_id counts as the least of all. Texts shorter than SPAN bytes stay whole. An
@@ -425,22 +433,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(_doc_parts(batch.column(0).to_numpy(), parts)), *batch.columns], names=["part", "doc_id", "raw"])
 
     placed = texts.mapInArrow(place, "part int, doc_id long, raw binary")
-    state = stored(apply_verdicts(placed, found, digest), "repeat-state", ["kind"])
+    state = stored(apply_verdicts(placed, found, _GIVES[give]), "repeat-state", ["kind"])
     strings = repeated_strings(state.filter(F.col("kind") == _SEGMENT))
-    done = state.filter(F.col("kind") == _DONE).unionByName(finish(state.filter(F.col("kind") == _TEXT).drop("kind"), strings, digest))
+    done = state.filter(F.col("kind") == _DONE).unionByName(finish(state.filter(F.col("kind") == _TEXT).drop("kind"), strings, _GIVES[give]))
     id_back = F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")).alias("doc_id")
     return done.select(id_back, "n_bytes", "n_removed", "n_spans", "kept")
 
 
-def kept_texts(removed: DataFrame) -> DataFrame:
-    """(doc_id, text) of remove_repeats, less the bytes of characters that a removal cut in parts."""
-
-    def start():
-        return lambda values: [(values[0], values[1].decode("utf-8", "ignore"))]
-
-    return map_rows(removed.select("doc_id", "kept"), start, {"doc_id": ("long", pa.int64()), "text": ("string", pa.string())})
+def kept_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of docs less their repeats and the bytes of characters that a removal cut in parts."""
+    return remove_repeats(docs, give="text").select("doc_id", F.col("kept").cast("string").alias("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
-    return remove_repeats(docs, digest=True).select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
+    return remove_repeats(docs, give="digest").select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))

@@ -60,7 +60,7 @@ def sample(seed, n):
 
 def run(spark, rows):
     df = spark.createDataFrame([(d, t.decode(), 1) for d, t in rows], "doc_id long, text string, part int").repartition(3)
-    return sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]).decode()) for r in suffix_dedup.remove_repeats(df, digest=True).collect())
+    return sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]).decode()) for r in suffix_dedup.remove_repeats(df, give="digest").collect())
 
 
 def test_brute_force(spark):
@@ -91,6 +91,6 @@ def test_nulls_and_characters(spark):
     got = {r["doc_id"]: r for r in out.collect()}
     assert got[1]["n_removed"] == 120 and bytes(got[None]["kept"]).decode() == text  # a null id is the least
     assert got[3]["n_bytes"] == got[4]["n_bytes"] == 0
-    kept = {r["doc_id"]: r["text"] for r in suffix_dedup.kept_texts(out).collect()}
+    kept = {r["doc_id"]: r["text"] for r in suffix_dedup.kept_texts(df).collect()}
     assert kept[2] == "x"
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
