@@ -43,7 +43,7 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def suffix_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: bytes of strings that start in a smaller document go; characters cut in parts go whole."""
-    kept = suffix_dedup.kept_texts(suffix_dedup.remove_repeats(docs))
+    kept = suffix_dedup.kept_texts(docs)
     others = docs.drop("text", "n_chars")
     return _with_counts(others.join(kept, "doc_id"), docs.columns)
 
