@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from skeinwork.storage import checkpointed, shared_dir, stored
 
-__all__ = ["BLANKS", "arrow_schema", "as_bytes", "checkpointed", "map_rows", "read_table", "shared_dir", "stored", "widened"]
+__all__ = ["BLANKS", "arrow_schema", "as_bytes", "checkpointed", "give_back", "map_rows", "read_table", "released", "shared_dir", "stored", "widened"]
 
 #: ASCII white space, the separators of words: space and tab to carriage return.
 BLANKS = " \t\n\x0b\f\r"
@@ -40,6 +41,25 @@ def widened(df: DataFrame, **fields: str) -> T.StructType:
     return schema
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system: Python workers live on between tasks, and the allocator would keep it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc; elsewhere there is none
+        trim(0)
+
+
+def released(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task for mapInArrow that gives freed memory back when it ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def map_rows(
     df: DataFrame,
     row: Callable[[], Callable],
@@ -83,7 +103,7 @@ def map_rows(
         if held:
             yield _batch(held, schema)
 
-    return df.mapInArrow(task, ddl)
+    return df.mapInArrow(released(task), ddl)
 
 
 def _weight(values: tuple) -> int:

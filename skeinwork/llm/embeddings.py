@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import stored
+from skeinwork.llm.common import released, stored
 from skeinwork.llm.components import connected_components
 from skeinwork.llm.simhash import _labels
 
@@ -149,7 +149,7 @@ def links_of_classes(classes: DataFrame, threshold: float, cell_most: int = CELL
                 names=["a", "b", "n"],
             )
 
-    return parted.mapInArrow(task, "a long, b long, n long")
+    return parted.mapInArrow(released(task), "a long, b long, n long")
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:

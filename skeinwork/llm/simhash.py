@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import as_bytes, map_rows, stored
+from skeinwork.llm.common import as_bytes, map_rows, released, stored
 from skeinwork.llm.components import connected_components
 
 BITS, SEED = 64, 42
@@ -170,7 +170,7 @@ def link_fingerprints(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
         if len(held[0]):
             yield join(*held)
 
-    return parted.mapInArrow(task, "a long, b long")
+    return parted.mapInArrow(released(task), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, budget: int = BUDGET) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.llm.bwt import repeated_intervals
-from skeinwork.llm.common import as_bytes, stored
+from skeinwork.llm.common import as_bytes, give_back, released, stored
 
 SPAN, GRAM, BESIDE = 50, 24, 13
 WINDOW = SPAN - GRAM + 1
@@ -247,11 +247,12 @@ def candidates(texts: DataFrame, parts: int, doc_parts: int) -> DataFrame:
                 if weight >= FLUSH_BYTES:
                     if rows := flush(docs):
                         yield _row_batch(rows)
-                    docs, weight = [], 0
+                    docs, weight, rows = [], 0, None
+                    give_back()
         if docs and (rows := flush(docs)):
             yield _row_batch(rows)
 
-    return texts.mapInArrow(task, "part int, kind int, blob binary")
+    return texts.mapInArrow(released(task), "part int, kind int, blob binary")
 
 
 def verdicts(found: DataFrame, parts: int, doc_parts: int) -> DataFrame:
@@ -287,7 +288,7 @@ def verdicts(found: DataFrame, parts: int, doc_parts: int) -> DataFrame:
         if blobs and (rows := decide(blobs)):
             yield _row_batch(rows)
 
-    return dealt.mapInArrow(task, "part int, kind int, blob binary")
+    return dealt.mapInArrow(released(task), "part int, kind int, blob binary")
 
 
 def _ranges(blobs: list[bytes], names: tuple[str, ...]) -> dict[tuple[int, int], list[tuple]]:
@@ -395,7 +396,7 @@ def repeated_strings(segments: DataFrame) -> DataFrame:
         if held[0]:
             yield merge(held)
 
-    return dealt.mapInArrow(task, "part int, doc_id long, check binary, start long")
+    return dealt.mapInArrow(released(task), "part int, doc_id long, check binary, start long")
 
 
 def finish(waiting: DataFrame, strings: DataFrame, give: Callable[[bytes], bytes]) -> DataFrame:
