@@ -9,11 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm import line_dedup, packing, quality, simhash, suffix_dedup
+from skeinwork.llm import line_dedup, packing, quality, shingles, suffix_dedup
 from skeinwork.llm.common import read_table, stored
 
-#: Near copies: shingles of five words; a budget of 7 bits is a SimHash similarity of cos(7 pi / 64) = 0.94 or more.
-SHINGLE_WORDS, SHINGLE_BUDGET = 5, 7
+#: Near copies: a Jaccard similarity of 4 / 5 of shingles of five words. The budget of bits only names the first candidates.
+SHINGLE_WORDS, SHINGLE_BUDGET, SIMILARITY = 5, 7, (4, 5)
 
 
 def _with_counts(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -32,13 +32,13 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: of the documents that fingerprints link, the one with the least doc_id stays, once."""
-    found = stored(simhash.near_duplicates(docs, SHINGLE_WORDS, SHINGLE_BUDGET), "near-duplicates")
-    kept = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    left = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if kept.filter("rows > 1").limit(1).count():
-        left = left.groupBy("doc_id").agg(F.min_by(F.struct(*left.columns), "text").alias("x")).select("x.*")
-    return left
+    """Operator 2 with exact similarities: of the rows that links reach from one another, the one with the least doc_id
+    stays (rows with a null one come last, ties go by text). Rows that are not linked stay, whatever their doc_id."""
+    rows, parts = shingles.near_copies(docs, SHINGLE_WORDS, SHINGLE_BUDGET, SIMILARITY)
+    named = rows.select("row", "cls", "doc_id", F.xxhash64("text").alias("of_text")).join(parts, "cls", "left")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "of_text", "row")).alias("best")
+    kept = named.groupBy(F.coalesce("component", "cls").alias("component")).agg(best).select(F.col("best.row").alias("row"))
+    return rows.select("row", *docs.columns).join(kept, "row", "left_semi").select(*docs.columns)
 
 
 def suffix_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,23 +33,31 @@ BUCKET_MEAN = 128
 CHUNK = 1 << 16
 
 
-def fingerprint(raw: bytes, words: int = WORDS) -> int:
-    """The 64-bit fingerprint of a text's bytes as an unsigned number; 0 without words."""
+def shingle_hashes(raw: bytes, words: int = WORDS) -> np.ndarray:
+    """The hashes of a text's shingles in their order, repeats too; a text of fewer words is one shingle."""
     found = raw.lower().split()
     if not found:
-        return 0
+        return np.empty(0, dtype="<u8")
     joined = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1]).tolist()
     width = min(words, len(found))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=False)], dtype="<u8")
+    return np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=False)], dtype="<u8")
+
+
+def fingerprint_of(h: np.ndarray) -> int:
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(h), 4096):
         ones += np.unpackbits(h[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(raw: bytes, words: int = WORDS) -> int:
+    """The 64-bit fingerprint of a text's bytes as an unsigned number; 0 without words."""
+    return fingerprint_of(shingle_hashes(raw, words))
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long; null and empty texts have fingerprint 0."""
 
