@@ -61,11 +61,16 @@ def chain(conversations: DataFrame) -> DataFrame:
     return rows.select("tree", number.alias("message"), F.when(number > 1, number - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def _keyed(messages: DataFrame) -> DataFrame:
+    """messages with their tree as a key that joins hold equal for null trees as well."""
+    return messages.withColumn("tree", F.struct(F.col("tree").isNull().alias("none"), F.coalesce("tree", F.lit(0)).alias("id")))
+
+
 def leaf_paths(messages: DataFrame) -> DataFrame:
     """(tree, leaf, message, up): every message on the path from each leaf up to its root, `up` steps above the leaf.
 
     The jumps double each round, so a path of n messages takes about log2(n) self-joins, and the rows made are the
-    messages of the paths, no more. A parent that is missing ends the path.
+    messages of the paths, no more. A parent that is missing ends the path. No tree may be null (see _keyed).
     """
     here = messages.select("tree", "message", "parent")
     known = here.select("tree", F.col("message").alias("parent"))
@@ -87,9 +92,10 @@ def format_trees(messages: DataFrame, best: int | None = 1) -> DataFrame:
 
     messages holds (tree, message, parent, role, text, score). A branch's score is the sum over its path; the `best`
     paths of a tree are kept (None: all), ties going to the least leaf. A learned message that several chosen paths share
-    is in the loss of the best of them only, so it is learned once. Empty input gives no rows. One formatted conversation
+    is in the loss of the best of them only, so it is learned once. Messages of a null tree are one tree. Empty input gives no rows. One formatted conversation
     must fit in memory; trees of any size are spread by (tree, leaf).
     """
+    messages = _keyed(messages)
     paths = leaf_paths(messages).join(messages.drop("parent"), ["tree", "message"])
     ranked = paths.groupBy("tree", "leaf").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("branch_score"))
     ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.col("branch_score").desc(), "leaf")))
@@ -100,6 +106,7 @@ def format_trees(messages: DataFrame, best: int | None = 1) -> DataFrame:
     else:
         chosen = chosen.withColumn("learned", F.col("role") == LEARNED)
     turns = chosen.groupBy("tree", "leaf", "rank", "branch_score").agg(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text", "learned"))).alias("turns"))
+    turns = turns.withColumn("tree", F.when(~F.col("tree.none"), F.col("tree.id")))
 
     def start():
         def one(values):

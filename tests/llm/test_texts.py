@@ -112,6 +112,19 @@ def test_chain(spark):
     assert out[2]["n_turns"] == 3 and out[3]["loss_chars"] == 8
 
 
+def test_null_conversation(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(None, 1, "assistant", "b"), (None, 0, "user", "a"), (None, 2, None, None), (0, 0, "user", "zero"), (0, 1, "assistant", "z")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.read_back(chat.format_trees(chat.chain(frame)))
+    db = duckdb.connect()
+    db.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    db.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    want = db.execute(f"SELECT * FROM ({chat.ORACLE_SQL}) WHERE conv_id IS DISTINCT FROM -7")
+    names = [c[0] for c in want.description]
+    assert {tuple(r) for r in got.select(*names).collect()} == set(want.fetchall()) and got.count() == 2
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
 def test_pipeline(spark):
     import corpus_pipeline
