@@ -1,6 +1,6 @@
 """The corpus pipeline: stages over documents, each calling an operator of skeinwork.llm.
 
-Documents are known by doc_id. Every stage but the last returns the columns of documents, with n_chars following the text.
+Rows are documents; doc_ids may be null or repeat. Every stage but the last returns the columns of documents, with n_chars following the text.
 """
 
 from __future__ import annotations
@@ -43,9 +43,7 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def suffix_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: bytes of strings that start in a smaller document go; characters cut in parts go whole."""
-    kept = suffix_dedup.kept_texts(docs)
-    others = docs.drop("text", "n_chars")
-    return _with_counts(others.join(kept, "doc_id"), docs.columns)
+    return _with_counts(suffix_dedup.with_kept_texts(docs), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

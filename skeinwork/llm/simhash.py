@@ -185,14 +185,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, budget: int = BUDGET) -
     """Per row of docs: doc_id, fp (signed long), component_id, the least doc_id that links of fingerprints reach.
 
     Fingerprints link when they differ in at most `budget` bits; equal ones always do, and texts without words (null and
-    empty ones too) share fingerprint 0, linked like any other. Repeated rows come out once each. An empty table gives
-    no rows. Only doc_id and text are read. Copies collapse to their fingerprint before anything is compared.
+    empty ones too) share fingerprint 0, linked like any other. Repeated rows come out once each. A null doc_id is linked
+    like any other, but names a component only if it holds no other (component_id is null then). An empty table gives
+    no rows. Only doc_id and text are read. Copies collapse to their fingerprint before anything is compared, and
+    fingerprints are linked under themselves, so neither null nor repeated doc_ids join or part anything.
     """
     found = stored(fingerprints(docs, words), "fingerprints")
-    distinct = found.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    parts = connected_components(link_fingerprints(distinct, budget))
-    named = distinct.join(parts, distinct["id"] == parts["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return found.join(named, "fp").select("doc_id", "fp", "component_id")
+    distinct = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    parts = connected_components(link_fingerprints(distinct.select(F.col("fp").alias("id"), "fp"), budget))
+    named = distinct.join(parts, distinct["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    labels = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return found.join(named.join(labels, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

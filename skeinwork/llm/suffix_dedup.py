@@ -325,7 +325,7 @@ def _state_table(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-def apply_verdicts(texts: DataFrame, found: DataFrame, give: Callable[[bytes], bytes]) -> DataFrame:
+def apply_verdicts(texts: DataFrame, found: DataFrame, give: Callable[[bytes, bytes], bytes]) -> DataFrame:
     """Texts with what covers them: done ones, ones that wait (with their ranges), and the segments that they wait for."""
 
     def group(docs: pa.Table, rows: pa.Table) -> pa.Table:
@@ -338,7 +338,7 @@ def apply_verdicts(texts: DataFrame, found: DataFrame, give: Callable[[bytes], b
             starts, strings = covered.get(key, (none, none))
             if key not in pending:
                 removed, spans, kept = _remove(raw, starts, strings + SPAN - 1)
-                out.append((_DONE, part, doc, len(raw), removed, spans, give(kept), None, None, None))
+                out.append((_DONE, part, doc, len(raw), removed, spans, give(raw, kept), None, None, None))
                 continue
             out.append((_TEXT, part, doc, len(raw), None, None, raw, np.stack([starts, strings + SPAN - 1]).astype("<i8").tobytes(), None, None))
             for anchor, start, count in zip(*(c.tolist() for c in pending[key]), strict=True):
@@ -357,7 +357,12 @@ def _whole_characters(raw: bytes) -> bytes:
 
 
 #: What remove_repeats can give of the bytes that are left.
-_GIVES = {"bytes": bytes, "digest": _digest, "text": _whole_characters}
+_GIVES = {
+    "bytes": lambda raw, kept: bytes(kept),
+    "digest": lambda raw, kept: _digest(kept),
+    "text": lambda raw, kept: _whole_characters(kept),
+    "keyed": lambda raw, kept: hashlib.md5(raw).digest() + _whole_characters(kept),
+}
 
 
 def repeated_strings(segments: DataFrame) -> DataFrame:
@@ -399,7 +404,7 @@ def repeated_strings(segments: DataFrame) -> DataFrame:
     return dealt.mapInArrow(released(task), "part int, doc_id long, check binary, start long")
 
 
-def finish(waiting: DataFrame, strings: DataFrame, give: Callable[[bytes], bytes]) -> DataFrame:
+def finish(waiting: DataFrame, strings: DataFrame, give: Callable[[bytes, bytes], bytes]) -> DataFrame:
     def group(docs: pa.Table, rows: pa.Table) -> pa.Table:
         more: dict[tuple, list[int]] = {}
         for doc, check, start in zip(*(rows.column(n).to_pylist() for n in ("doc_id", "check", "start")), strict=True):
@@ -409,7 +414,7 @@ def finish(waiting: DataFrame, strings: DataFrame, give: Callable[[bytes], bytes
             starts, lengths = np.frombuffer(ranges, dtype="<i8").reshape(2, -1)
             own = np.array(more.get((doc, struct.pack("<I", zlib.crc32(raw))), []), dtype=np.int64)
             removed, spans, kept = _remove(raw, np.concatenate([starts, own]), np.concatenate([lengths, np.full(len(own), SPAN)]))
-            out.append((_DONE, part, doc, len(raw), removed, spans, give(kept), None, None, None))
+            out.append((_DONE, part, doc, len(raw), removed, spans, give(raw, kept), None, None, None))
         return _state_table(out)
 
     return waiting.groupBy("part").cogroup(strings.groupBy("part")).applyInArrow(group, _STATE)
@@ -417,7 +422,8 @@ def finish(waiting: DataFrame, strings: DataFrame, give: Callable[[bytes], bytes
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", give: str = "bytes") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept (binary): by `give` the bytes that are left, the hexadecimal
-    digits of their SHA-256 ("digest"), or the bytes less those of characters that a removal cut in parts ("text").
+    digits of their SHA-256 ("digest"), or the bytes less those of characters that a removal cut in parts ("text"), after
+    the 16 bytes of the MD5 of the row's text ("keyed").
 
     Null and empty texts have no bytes. Rows that share a doc_id never cover each other; those that share the text as
     well have the same result. A null doc_id counts as the least of all. Texts shorter than SPAN bytes stay whole. An
@@ -446,6 +452,16 @@ def kept_texts(docs: DataFrame) -> DataFrame:
     return remove_repeats(docs, give="text").select("doc_id", F.col("kept").cast("string").alias("text"))
 
 
+def with_kept_texts(docs: DataFrame) -> DataFrame:
+    """The rows of docs with the text that kept_texts gives them. Rows with null or repeated doc_ids stay, each with its
+    own: they are told apart by their text, and those that share both have the same result."""
+    id_of = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id of text")
+    given = remove_repeats(docs, give="keyed").select(id_of, F.substring("kept", 1, 16).alias("md5 of text"), F.expr("substring(kept, 17)").cast("string").alias("text"))
+    once = given.groupBy("id of text", "md5 of text").agg(F.first("text").alias("text"))
+    others = docs.select(id_of, F.unhex(F.md5(as_bytes(docs["text"]))).alias("md5 of text"), *(c for c in docs.columns if c != "text"))
+    return others.join(once, ["id of text", "md5 of text"]).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
     return remove_repeats(docs, give="digest").select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))

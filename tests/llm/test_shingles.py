@@ -49,3 +49,16 @@ def test_near_copies_whole(spark):
     rows, parts = shingles.near_copies(docs, 5, 7, (4, 5))
     assert rows.count() == len(texts)
     assert corpus_pipeline.near_deduplication(spark, docs.limit(0), "").count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(5)
+    a, b, c, d = (" ".join(f"w{rng.randrange(9000)}" for _ in range(60)) for _ in range(4))
+    rows = [(None, a), (None, b), (7, b), (5, c), (5, d), (None, d.upper())]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = simhash.near_duplicates(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in found) == [(0, 0), (0, 5), (0, 7), (5, 5), (5, 5), (7, 7)]
+    near = corpus_pipeline.near_deduplication(spark, docs, "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in near) == sorted([(0, a), (7, b), (5, c), (5, d)])
+    after = corpus_pipeline.suffix_deduplication(spark, spark.createDataFrame([*near, near[0]], docs.schema), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"], r["n_chars"]) for r in after) == sorted((r["doc_id"] or 0, r["text"], r["n_chars"]) for r in [*near, near[0]])
