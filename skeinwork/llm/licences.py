@@ -45,7 +45,7 @@ OTHER_NOTICES = [
 LICENCE_WORDS = {"license", "licensed", "licence", "licenced", "copyright", "copying", "reserved", "redistribution", "redistribute"}
 #: Bounds of the training sample: documents of least hash, paragraphs of them, and variants of each notice.
 SAMPLE_DOCS, SAMPLE_PARAGRAPHS, VARIANTS = 400, 4000, 24
-#: A word that more than this share of sampled paragraphs hold is no feature.
+#: A word that more than this share of the corpus's paragraphs hold, licence notices not counted, is no feature.
 COMMON = 0.01
 #: The least share of a template's words that a paragraph must hold to be confirmed; nor may another family's template be more alike.
 RESEMBLANCE = 0.6
@@ -75,6 +75,23 @@ def features_of(words: list[str], markers: set[str]) -> set[str]:
     return {w for w in words if w in markers} | {f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if a in markers or b in markers}
 
 
+def named_words() -> list[str]:
+    """The words of notices that may be features."""
+    listed = [*(n for found in TEMPLATES.values() for n in found), *OTHER_NOTICES]
+    return sorted({w for n in listed for w in word_list(n) if len(w) > 1 and not w[0].isdigit()})
+
+
+def silent_templates() -> list[list[str]]:
+    """The words, numbers left out, of each template that has no licence word."""
+    named = set(named_words())
+    return [sorted(set(word_list(n)) & named) for listed in TEMPLATES.values() for n in listed if not LICENCE_WORDS & set(word_list(n))]
+
+
+def is_notice(words: set[str]) -> bool:
+    """Whether a paragraph of these words is no ordinary one: it has a licence word or resembles a template without."""
+    return bool(LICENCE_WORDS & words) or any(len(words & set(t)) >= RESEMBLANCE * len(t) for t in silent_templates())
+
+
 @dataclass(frozen=True)
 class LicenceModel:
     classes: list[str]
@@ -92,6 +109,20 @@ def sample_paragraphs(docs: DataFrame) -> list[str]:
     return [r[0] for r in lines.orderBy(F.xxhash64("line"), "line").limit(SAMPLE_PARAGRAPHS).collect()]
 
 
+def word_shares(docs: DataFrame) -> dict[str, float]:
+    """Of the words of notices, the share of all ordinary paragraphs of docs that hold them; a few hundred rows at most."""
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).filter("trim(line) <> ''")
+    held = F.array_intersect(words_of(F.col("line")), F.array(*map(F.lit, named_words())))
+    hits = lines.select(held.alias("held"))
+    notice = F.arrays_overlap("held", F.array(*map(F.lit, sorted(LICENCE_WORDS))))
+    for t in silent_templates():
+        notice = notice | (F.size(F.array_intersect("held", F.array(*map(F.lit, t)))) >= RESEMBLANCE * len(t))
+    marked = hits.filter(~notice).select(F.explode(F.concat("held", F.array(F.lit("")))).alias("word"))  # "" counts all
+    found = {r["word"]: r["count"] for r in marked.groupBy("word").count().collect()}
+    total = found.pop("", 0)
+    return {w: n / total for w, n in found.items()}
+
+
 def _variants(notice: str, noise: list[str], rng: random.Random) -> list[list[str]]:
     words, made = word_list(notice), []
     for i in range(VARIANTS):
@@ -102,19 +133,20 @@ def _variants(notice: str, noise: list[str], rng: random.Random) -> list[list[st
     return made
 
 
-def train(paragraphs: list[str], seed: int = 7, steps: int = 250, rate: float = 0.3, decay: float = 1e-4) -> LicenceModel:
-    """The classifier for a corpus of which `paragraphs` are a sample (it may be empty); the same sample gives the same model."""
+def train(paragraphs: list[str], shares: dict[str, float] | None = None, seed: int = 7, steps: int = 250, rate: float = 0.3, decay: float = 1e-4) -> LicenceModel:
+    """The classifier for a corpus of which `paragraphs` are a sample (it may be empty); the same sample gives the same model.
+
+    shares are the word_shares of the corpus; without them those of the sample's ordinary paragraphs count.
+    """
     rng = random.Random(seed)
     sampled = [word_list(p) for p in paragraphs]
     notices = [(family, n) for family, listed in TEMPLATES.items() for n in listed] + [(UNKNOWN, n) for n in OTHER_NOTICES]
     of_notices = {w for _, n in notices for w in word_list(n)}
-    holding: dict[str, int] = {}
-    for words in sampled:
-        for w in set(words) & of_notices:
-            holding[w] = holding.get(w, 0) + 1
-    named = {w for _, n in notices for w in word_list(n) if len(w) > 1 and not w[0].isdigit()}
-    markers = {w for w in named if holding.get(w, 0) <= COMMON * len(sampled)} | LICENCE_WORDS
-    negative = [w for w in sampled if not LICENCE_WORDS & set(w)]
+    negative = [w for w in sampled if not is_notice(set(w))]
+    named = set(named_words())
+    if shares is None:
+        shares = {w: sum(w in words for words in map(set, negative)) / len(negative) for w in named} if negative else {}
+    markers = {w for w in named if shares.get(w, 0) <= COMMON} | LICENCE_WORDS
     noise = [w for words in negative for w in words]
     rows = [(family, v, i % 4 == 3) for family, n in notices for i, v in enumerate(_variants(n, noise, rng))]
     rows += [(NONE, w, i % 4 == 3) for i, w in enumerate(negative)]
@@ -194,4 +226,4 @@ def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
-    return scan(docs, train(sample_paragraphs(docs)))
+    return scan(docs, train(sample_paragraphs(docs), word_shares(docs)))

@@ -65,6 +65,16 @@ def test_held_out_notices(spark, model):
     assert licences.scan(df.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("footer, family", [("Licensed under CC BY-NC 4.0.", "cc-by-nc"), ("This work is licensed under the GNU General Public License, version 3.", "gpl"), ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "mit")])
+def test_frequent_footer(spark, footer, family):
+    rows = [(i, "\n".join([t[k : k + 60] for k in range(0, 480, 60)] + ([footer] if i % 3 == 0 else []))) for i, t in corpus(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shares = licences.word_shares(docs)
+    assert not set(licences.word_list(footer)) & set(shares) - {"the"}
+    found = {r["doc_id"]: r["licences"] for r in licences.scan(docs, licences.train(licences.sample_paragraphs(docs), shares)).collect()}
+    assert found == {i: family if i % 3 == 0 else "" for i, _ in rows}
+
+
 def test_held_out_accuracy(model):
     rng = random.Random(99)
     right = total = 0
