@@ -71,7 +71,7 @@ def prefixes(rows: DataFrame, p: int, q: int) -> DataFrame:
                 if raw and cls not in seen:
                     seen.add(cls)
                     s = np.frombuffer(raw, dtype="<u8")
-                    rare = ~np.isin(s, last)
+                    rare = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] != s if len(last) else np.ones(len(s), dtype=bool)
                     first = np.concatenate([s[rare], s[~rare]])[: len(s) - -(-p * len(s) // q) + 1]
                     parts.append((first.view(np.int64), np.full(len(first), cls), np.arange(len(first)), np.full(len(first), len(s))))
             if parts:
@@ -137,12 +137,34 @@ def bucket_pairs(entries: DataFrame, pairs, p: int, q: int) -> DataFrame:
     return parted.mapInArrow(released(task), "a long, b long").distinct()
 
 
+def plausible(sets: DataFrame, pairs: DataFrame, p: int, q: int) -> DataFrame:
+    """The pairs whose sets may reach p / q: counts of shingles by their last byte differ no more than the sets do."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(s, dtype="<u8") for s in batch.column(1).to_pylist()]
+            signs = [np.minimum(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes() for s in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(signs, pa.binary())], names=["cls", "n", "sign"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, 256).astype(np.int16) for i in (4, 5))
+            both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            keep = (p + q) * np.abs(a - b).sum(axis=1, dtype=np.int64) <= (q - p) * both
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    signs = stored(sets.mapInArrow(released(count), "cls long, n long, sign binary"), "shingle-signs")
+    one, two = (signs.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("sign").alias(f"s{x}")) for x in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(released(task), "a long, b long")
+
+
 def verified(rows: DataFrame, pairs: DataFrame, p: int, q: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets have a Jaccard similarity of at least p / q."""
     pairs = stored(pairs, "shingle-pairs")
     nodes = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     few = pairs.limit(BROADCAST_CLASSES // 2 + 1).count() <= BROADCAST_CLASSES // 2
     sets = rows.select("cls", "shingles").join(F.broadcast(nodes) if few else nodes, "cls", "left_semi").dropDuplicates(["cls"])
+    pairs = stored(plausible(sets, pairs, p, q), "shingle-pairs")
     held = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
