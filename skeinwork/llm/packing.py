@@ -2,7 +2,7 @@
 
 Each document's ids are cut into pieces whose lengths are powers of two (as many of the greatest length as fit, then the
 binary digits of the rest, long pieces first). A piece is a sequence of its own, so no sequence crosses documents, none
-needs padding, and sequences of equal length share a bucket from which batches are drawn.
+needs padding, and sequences of equal length share a bucket, in which they are gathered to batches of equal numbers of ids.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from skeinwork.llm.tokens import UnitEncoder, tokenizer_of_file
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
 END_ID = 0
+#: Ids of a full batch, all of one bucket.
+BATCH_IDS = 1 << 16
 #: Texts are encoded together up to so many bytes.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 8 << 20
 
 
 @cache
@@ -43,36 +45,44 @@ def binary_pieces(n: int, limit: int = LIMIT) -> list[tuple[int, int]]:
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, limit: int = LIMIT, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket (log2 of the length), ids.
-
-    Null and empty texts are the end id alone. Repeated rows are packed once each. sequence_id numbers the sequences of
-    a task after the task's own number, so it is unique, and the same again when a lost task is run again. Memory is
-    bounded by one Arrow batch and the longest document; nothing is shuffled. Other columns are not read.
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket (log2 of the length),
+    batch_id, ids.
+
+    The ids are those of the untouched tokenizer, its added tokens included. Null and empty texts are the end id alone,
+    and an empty table gives no rows. Repeated rows are packed once each; null ids stay null. sequence_id numbers the
+    sequences of a task after the task's own number, so it is unique, and the same again when a lost task is run again;
+    so is batch_id, by which a task gathers BATCH_IDS ids of one bucket (its last batch of each bucket may be shorter).
+    Memory is bounded by one Arrow batch and the longest document; nothing is shuffled. Other columns are not read.
     """
 
     def start():
         encoder, context = _encoder(vocabulary), TaskContext.get()
         base, made = (context.partitionId() if context else 0) << 33, 0
         end = np.array([end_id], dtype="<u4")
+        open_batch, batches = {}, 0  # length: its batch that is not full, and the sequences there
 
         def many(rows):
-            nonlocal made
+            nonlocal made, batches
             for (doc, _), own in zip(rows, encoder.ids_of([raw.decode("utf-8", "replace") for _, raw in rows]), strict=True):
                 ids = np.concatenate([own, end])
                 for at, length in binary_pieces(len(ids), limit):
                     piece = ids[at : at + length].tobytes()
-                    yield doc, at, length, zlib.crc32(piece), len(ids), base + made, 0, length.bit_length() - 1, piece if with_ids else None
+                    batch, held = open_batch.get(length, (None, 0))
+                    if held * length % BATCH_IDS == 0:
+                        batch, held, batches = batches, 0, batches + 1
+                    open_batch[length] = batch, held + 1
+                    yield doc, at, length, zlib.crc32(piece), len(ids), base + made, 0, length.bit_length() - 1, base + batch, piece if with_ids else None
                     made += 1
 
         return many
 
     long = ("long", pa.int64())
-    fields = {id_col: long, "start": long, "length": long, "ids_crc32": long, "doc_tokens": long, "sequence_id": long, "offset": long, "bucket": ("int", pa.int32()), "ids": ("binary", pa.binary())}
+    fields = {id_col: long, "start": long, "length": long, "ids_crc32": long, "doc_tokens": long, "sequence_id": long, "offset": long, "bucket": ("int", pa.int32()), "batch_id": long, "ids": ("binary", pa.binary())}
     return map_rows(docs.select(docs[id_col].cast("long"), as_bytes(docs[text_col])), start, fields, group_bytes=GROUP_BYTES)
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:
-    """Writes the sequences with their ids, a folder for each length."""
+    """Writes the sequences with their ids, a folder for each length, whose files hold one batch after another."""
     packed.write.partitionBy("bucket").parquet(path)
 
 

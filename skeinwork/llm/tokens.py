@@ -4,13 +4,22 @@ from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-#: A lone space between other characters: a match of the splitting pattern always begins there.
-_SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: The first of some white space: a match of the splitting pattern always begins there.
+_CUT = re.compile(r"(?<=\S)(?=[ \n\r\t])").split
+#: White space that is not alone between other characters (for Arrow's expressions), so that not every space begins a match.
+_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_RUNS = rf"{_BLANK}{{2}}|\A{_BLANK}|{_BLANK}\z"
+#: Units that the pattern need not split: letters that both libraries class alike, and marks after them.
+_PLAIN_UNIT = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+)([!#$%&)*,./:;<=>?@\]|}~-]*)").fullmatch
 #: Below this character the regex module and the tokenizers library class all characters alike; units beyond it go to the library whole.
 _AGREED = "\u0500"
 
@@ -53,9 +62,10 @@ def tokenizer_of_ranks(ranks: dict[bytes, int]):
     return made
 
 
-def tokenizer_of_file(path: str):
+def tokenizer_of_file(path: str, special_as_text: bool = False):
+    """The tokenizer of a file; with special_as_text the strings of special tokens in a text are ordinary text."""
     made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
+    made.encode_special_tokens = special_as_text
     return made
 
 
@@ -68,67 +78,124 @@ def token_bytes(tokenizer) -> list[bytes]:
     return table
 
 
-def _loose(unit: str) -> bool:
-    """Whether a unit is empty or has white space at an end, so that the space before or after it is not a lone one."""
-    return not unit or unit[0].isspace() or unit[-1].isspace()
+class Recent:
+    """A bounded table of what was computed last: an older and a younger half; what is asked for again moves to the younger."""
+
+    def __init__(self, compute: Callable[[list[str]], list[bytes]], most: int):
+        self.compute, self.half = compute, max(1, most // 2)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def of(self, keys: list[str]) -> list[bytes]:
+        """The value of each of different keys; unknown ones are computed all at once."""
+        found = list(map(self.young.get, keys))
+        missed = [i for i, v in enumerate(found) if v is None]
+        unknown = []
+        for i in missed:
+            found[i] = self.old.get(keys[i])
+            if found[i] is None:
+                unknown.append(i)
+        if unknown:
+            for i, value in zip(unknown, self.compute([keys[i] for i in unknown]), strict=True):
+                found[i] = value
+        for at in range(0, len(missed), self.half):
+            part = missed[at : at + self.half]
+            if len(self.young) + len(part) > self.half:
+                self.old, self.young = self.young, {}
+            self.young.update((keys[i], found[i]) for i in part)
+        return found
 
 
 class UnitEncoder:
-    """Encodes texts unit by unit, a unit being what stands between two lone spaces, with its leading space.
+    """Encodes texts unit by unit, a unit being a word in the sense of white space, with the white space before it.
 
-    The splitting pattern begins a match at every lone space, so units never share a token. An unknown unit is split by
-    the pattern, and unknown matches are encoded many at a time. Ids of units and matches are kept for later texts;
-    `most_units` and `most_matches` bound their numbers (all are dropped when it is reached); workers keep them between tasks.
+    The splitting pattern begins a match at every such place, so units never share a token. The different units of a call
+    are looked up once; unknown ones are split by the pattern, and unknown matches are encoded many at a time. The ids of
+    the most recent units and matches stay in bounded tables, which workers keep between tasks. Added tokens are cut out
+    of texts first, as the library does, unless the tokenizer's encode_special_tokens makes them ordinary text.
     """
 
-    def __init__(self, tokenizer, pattern: str, most_units: int = 400_000, most_matches: int = 500_000):
-        self.tokenizer, self.most_units, self.most_matches = tokenizer, most_units, most_matches
+    def __init__(self, tokenizer, pattern: str, most_units: int = 800_000, most_matches: int = 500_000):
+        self.tokenizer = tokenizer
         self.split = regex.compile(pattern).findall
-        self.units: dict[str, bytes] = {}
-        self.matches: dict[str, bytes] = {}
+        self.units, self.matches = Recent(self._encode, most_units), Recent(self._encode_matches, most_matches)
         self.words = Tokenizer.from_str(tokenizer.to_str())  # the same merges, for text whose matches are already shown
         self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.words.encode_special_tokens = True
         self.lengths = np.array([len(t) for t in token_bytes(tokenizer)], dtype=np.int64)
         self.shown = "".join(byte_characters())
+        self.added = {} if tokenizer.encode_special_tokens else {t.content: (i, t) for i, t in tokenizer.get_added_tokens_decoder().items()}
+        self.cut_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.plain_added = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for _, t in self.added.values())
 
     def ids(self, text: str) -> np.ndarray:
         """The ids of a text as unsigned 32-bit integers."""
         return self.ids_of([text])[0]
 
     def ids_of(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text; a call with many texts learns their new units at once."""
-        parts = [text.split(" ") for text in texts]
-        new = {u for p in parts for u in p[1:]}.difference(self.units)
-        if any(map(_loose, new)) or any(p[0] and p[0][-1].isspace() for p in parts):  # runs of white space somewhere
-            parts = [_SAFE_CUT.split(text) for text in texts]
-            new = {u for p in parts for u in p[1:]}.difference(self.units)
-        if len(self.units) + len(new) > self.most_units:
-            self.units.clear()
-            new = {u for p in parts for u in p[1:]}
-        if new:
-            listed = list(new)
-            self.units.update(zip(listed, self._encode([" " + u for u in listed]), strict=True))
-        known = self.units.__getitem__
-        heads = self._encode([p[0] for p in parts])
-        return [np.frombuffer(head + b"".join(map(known, p[1:])), dtype="<u4") for head, p in zip(heads, parts, strict=True)]
+        """The ids of each text; a call with many texts costs less."""
+        if self.cut_added is None or not any(map(self.cut_added.search, texts)):
+            return self._ordinary(texts)
+        if not self.plain_added:
+            return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        parts = [self.cut_added.split(text) for text in texts]  # ordinary text and added tokens by turns
+        found = iter(self._ordinary([x for p in parts for x in p[::2]]))
+        return [np.concatenate([next(found) if i % 2 == 0 else np.array([self.added[x][0]], dtype="<u4") for i, x in enumerate(p)]) for p in parts]
+
+    def _ordinary(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts without added tokens."""
+        given = pa.array(texts, pa.large_string())
+        runs = pc.match_substring_regex(given, _RUNS)
+        pieces = [_CUT(t) for t in given.filter(runs).to_pylist()]
+        split = pc.split_pattern(pc.replace_substring(given.filter(pc.invert(runs)), "\n", " \n"), " ")
+        coded = split.flatten().dictionary_encode()
+        bare, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        listed = pc.if_else(pc.starts_with(bare, "\n"), bare, pc.binary_join_element_wise(pa.scalar("", bare.type), bare, pa.scalar(" ", bare.type))).to_numpy(zero_copy_only=False)
+        counts = pc.list_value_length(split).to_numpy().astype(np.int64)
+        heads = np.cumsum(counts) - counts
+        # units without the space that the split took: those at a text's start, and the pieces of untidy texts
+        whole: dict[str, int] = {}
+        codes[heads] = [len(listed) + whole.setdefault(u, len(whole)) for u in bare.take(pa.array(codes[heads])).to_pylist()]
+        cut = np.array([len(listed) + whole.setdefault(u, len(whole)) for u in chain.from_iterable(pieces)], dtype=np.int64)
+        values = self.units.of([*listed, *whole])
+        sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
+        ids, starts = np.frombuffer(b"".join(values), dtype="<u4"), np.cumsum(sizes) - sizes
+
+        def joined(codes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+            n = sizes[codes]
+            ends = np.cumsum(n)
+            found = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[codes] - ends + n, n)]
+            return np.split(found, ends[np.cumsum(counts) - 1][:-1]) if len(counts) else []
+
+        of_tidy, of_cut = iter(joined(codes, counts)), iter(joined(cut, np.array([len(p) for p in pieces], dtype=np.int64)))
+        return [next(of_cut if run else of_tidy) for run in runs.to_pylist()]
 
     def _encode(self, units: list[str]) -> list[bytes]:
         """The ids of each unit, as bytes."""
-        plain = [u.isascii() or max(u) < _AGREED for u in units]
-        split = [self.split(u) if p else None for u, p in zip(units, plain, strict=True)]
-        new = list({m for found in split if found for m in found if m not in self.matches})
-        if len(self.matches) + len(new) > self.most_matches:
-            self.matches.clear()
-            new = list({m for found in split if found for m in found})
-        for at in range(0, len(new), 20_000):
-            self._learn_matches(new[at : at + 20_000])
-        known = self.matches.__getitem__
-        rare = iter(self.tokenizer.encode_batch_fast([u for u, p in zip(units, plain, strict=True) if not p], add_special_tokens=False))
-        return [b"".join(map(known, found)) if found is not None else np.array(next(rare).ids, dtype="<u4").tobytes() for found in split]
-
-    def _learn_matches(self, new: list[str]) -> None:
-        raw = [m.encode() for m in new]
-        ids = np.array(self.words.encode_batch_fast([[r.decode("latin-1").translate(self.shown) for r in raw]], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype="<u4")
-        cuts = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(r) for r in raw])) + 1
-        blob, starts = ids.tobytes(), [0, *cuts[:-1].tolist()]
-        self.matches.update((m, blob[4 * a : 4 * b]) for m, a, b in zip(new, starts, cuts.tolist(), strict=True))
+        matches: list[list[str] | None] = []
+        for unit in units:
+            bare = unit[unit[:1] in (" ", "\n") :]
+            if plain := _PLAIN_UNIT(bare):
+                before = [unit[0]] if unit[0] == "\n" else []
+                letters, marks = plain.groups()
+                matches.append([*before, unit[len(before) : len(unit) - len(marks)], marks] if marks else [*before, unit[len(before) :]])
+            elif unit.isascii() or max(unit) < _AGREED:
+                matches.append(self.split(unit))
+            else:
+                matches.append(None)
+        listed = list({m for found in matches if found for m in found})
+        known = dict(zip(listed, self.matches.of(listed), strict=True)).__getitem__
+        rare = iter(self.tokenizer.encode_batch_fast([u for u, found in zip(units, matches, strict=True) if found is None], add_special_tokens=False))
+        return [b"".join(map(known, found)) if found is not None else np.array(next(rare).ids, dtype="<u4").tobytes() for found in matches]
+
+    def _encode_matches(self, matches: list[str]) -> list[bytes]:
+        """The ids of each match of the pattern, as bytes."""
+        found: list[bytes] = []
+        for at in range(0, len(matches), 20_000):
+            raw = [m.encode() for m in matches[at : at + 20_000]]
+            shown = [r.decode("latin-1").translate(self.shown) for r in raw]
+            ids = np.array(self.words.encode_batch_fast([shown], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(r) for r in raw])) + 1
+            blob, starts = ids.tobytes(), [0, *cuts[:-1].tolist()]
+            found += [blob[4 * a : 4 * b] for a, b in zip(starts, cuts.tolist(), strict=True)]
+        return found

@@ -9,8 +9,10 @@ import zlib
 import numpy as np
 import public_tokenizers
 import tiktoken
+from tokenizers import Tokenizer
 
 from skeinwork.llm import bpe, packing, sharding
+from skeinwork.llm.tokens import UnitEncoder, tokenizer_of_file
 
 PATH = public_tokenizers.path(bpe.RANKS)
 PARTS = ["a", "aa", " ", "  ", "=", "-", "!", "\n", "\t", "é", "ß", "in", "er", "0", "000", "'s", "’", "中", "　", "\x85", "\xa0", "\x1c", "😀", "ж", "՘", "\r\n", "<|endoftext|>"]
@@ -47,10 +49,22 @@ def test_small_cache():
     encoder, _, _ = bpe._codec(PATH)
     sample = texts(300, 9)
     want = [encoder.ids(t).tolist() for t in sample]
-    before = encoder.most_units, encoder.most_matches
-    encoder.most_units = encoder.most_matches = 5
+    small = UnitEncoder(encoder.tokenizer, public_tokenizers.PATTERN, 10, 10)
+    assert [x.tolist() for x in small.ids_of(sample)] == want
+    assert [small.ids(t).tolist() for t in sample] == want
+    assert max(len(x) for table in (small.units, small.matches) for x in (table.young, table.old)) <= 10
+
+
+def test_encoder_is_the_untouched_library(spark):
+    path = public_tokenizers.path(packing.VOCABULARY)
+    fresh = Tokenizer.from_file(path)
+    sample = [r[0] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    sample += [*texts(3000, 5), "", " ", "\n", "a\nb", "a \nb", "a\n\nb", "x<|endoftext|>y", " <|endoftext|> ", "don't we'll 'tis", "a.'s b", "co\u0301te", "²½ word² é.", "a\u2028 b", "one\x1c two"]
+    encoder = packing._encoder(path)
+    want = [e.ids for e in fresh.encode_batch(sample, add_special_tokens=False)]
     assert [x.tolist() for x in encoder.ids_of(sample)] == want
-    encoder.most_units, encoder.most_matches = before
+    as_text = UnitEncoder(tokenizer_of_file(path, special_as_text=True), public_tokenizers.PATTERN)
+    assert as_text.ids("<|endoftext|>").tolist() == [27, 91, 437, 1659, 5239, 91, 29] and encoder.ids("<|endoftext|>").tolist() == [50256]
 
 
 def test_binary_pieces():
@@ -62,18 +76,34 @@ def test_binary_pieces():
 
 def test_packing(spark):
     path = public_tokenizers.path(packing.VOCABULARY)
-    encoder = packing._encoder(path)
+    fresh = Tokenizer.from_file(path)
     rows = [(i, t, "x") for i, t in enumerate(texts(60))] + [(100, None, "x"), (101, "many words " * 2000, "x"), (101, "same id", "x")]
     out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, bucket string").repartition(3), path).collect()
     assert len({r["sequence_id"] for r in out}) == len(out) and {r["offset"] for r in out} == {0}
     for doc, text, _ in rows[:62]:
         if doc == 101:
             continue
-        ids = [*encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        ids = [*fresh.encode(text or "", add_special_tokens=False).ids, 0]
         pieces = sorted((r for r in out if r["doc_id"] == doc), key=lambda r: r["start"])
         assert [i for r in pieces for i in np.frombuffer(r["ids"], dtype="<u4")] == ids
         assert all(r["ids_crc32"] == zlib.crc32(struct.pack(f"<{r['length']}I", *ids[r["start"] : r["start"] + r["length"]])) and r["doc_tokens"] == len(ids) and r["length"] == 1 << r["bucket"] for r in pieces)
-    assert packing.bucket_report(packing.pack_documents(spark.createDataFrame(rows[:5], "doc_id long, text string, x string"), path)).count() > 0
+    assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
+
+
+def test_buckets(spark, tmp_path):
+    path = public_tokenizers.path(packing.VOCABULARY)
+    docs = spark.createDataFrame([(i, "some words of it " * (i % 90)) for i in range(1500)] + [(None, "no id"), (None, None)], "doc_id long, text string").coalesce(2)
+    packing.write_buckets(packing.pack_documents(docs, path), str(tmp_path / "sequences"))
+    back = spark.read.parquet(str(tmp_path / "sequences"))
+    by_batch = {}
+    for r in back.collect():
+        assert r["length"] == 1 << r["bucket"] == len(r["ids"]) // 4
+        by_batch.setdefault(r["batch_id"], []).append(r["length"])
+    assert all(len(set(x)) == 1 and sum(x) <= packing.BATCH_IDS for x in by_batch.values())
+    partial = [x for x in by_batch.values() if sum(x) < packing.BATCH_IDS]
+    assert len(partial) <= 2 * 11 and any(sum(x) == packing.BATCH_IDS for x in by_batch.values())
+    report = {r["bucket"]: r["tokens"] for r in packing.bucket_report(back).collect()}
+    assert sum(report.values()) == sum(map(sum, by_batch.values()))
 
 
 def test_sharding(spark):
