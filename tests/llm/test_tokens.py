@@ -92,7 +92,7 @@ def test_packing(spark):
 
 def test_buckets(spark, tmp_path):
     path = public_tokenizers.path(packing.VOCABULARY)
-    docs = spark.createDataFrame([(i, "some words of it " * (i % 90)) for i in range(1500)] + [(None, "no id"), (None, None)], "doc_id long, text string").coalesce(2)
+    docs = spark.createDataFrame([(i, "some words of it " * (i % 90)) for i in range(1500)] + [(None, "no id"), (None, None)], "doc_id long, text string").coalesce(1)
     packing.write_buckets(packing.pack_documents(docs, path), str(tmp_path / "sequences"))
     back = spark.read.parquet(str(tmp_path / "sequences"))
     by_batch = {}
