@@ -34,11 +34,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2 with exact similarities: of the rows that links reach from one another, the one with the least doc_id
     stays (rows with a null one come last, ties go by text). Rows that are not linked stay, whatever their doc_id."""
-    rows, parts = shingles.near_copies(docs, SHINGLE_WORDS, SHINGLE_BUDGET, SIMILARITY)
-    named = rows.select("row", "cls", "doc_id", F.xxhash64("text").alias("of_text")).join(parts, "cls", "left")
-    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "of_text", "row")).alias("best")
-    kept = named.groupBy(F.coalesce("component", "cls").alias("component")).agg(best).select(F.col("best.row").alias("row"))
-    return rows.select("row", *docs.columns).join(kept, "row", "left_semi").select(*docs.columns)
+    return shingles.drop_near_copies(docs, SHINGLE_WORDS, SHINGLE_BUDGET, SIMILARITY)
 
 
 def suffix_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,14 +16,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import checkpointed, released, stored, widened
+from skeinwork.llm.common import checkpointed, released, stored
 from skeinwork.llm.components import connected_components
 from skeinwork.llm.simhash import fingerprint_of, link_fingerprints, shingle_hashes
 
-#: The order of shingles only decides the cost: those that several of so many classes hold come last, up to COMMON_MOST.
+#: The order of shingles only decides the cost: those that several of about so many rows hold come last, up to COMMON_MOST.
 ORDER_SAMPLE, COMMON_MOST = 2000, 200_000
-#: Up to so many candidate classes are broadcast; more are joined.
-BROADCAST_CLASSES = 500_000
+#: A bucket that the sample expects to hold more classes than this is dealt in chunks.
+BUCKET_CLASSES = 4096
+#: Up to so many keys are broadcast; more are joined.
+BROADCAST_KEYS = 500_000
 
 
 def alike(common: int, a: int, b: int, p: int, q: int) -> bool:
@@ -31,54 +33,85 @@ def alike(common: int, a: int, b: int, p: int, q: int) -> bool:
     return (p + q) * common >= p * (a + b)
 
 
-def classed(docs: DataFrame, words: int) -> DataFrame:
-    """docs and, per row, its row number, class (a hash of the set of shingles), fingerprint and sorted shingles."""
-    at = docs.columns.index("text")
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with "key of row", two hashes of doc_id and text: rows of one key are alike in both."""
+    parts = [F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("text").isNull(), F.coalesce("text", F.lit(""))]
+    return docs.withColumn("key of row", F.struct(F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(1), *parts).alias("h2")))
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_hashes(raw or b"", words) for raw in batch.column(at).cast(pa.binary()).to_pylist()]
-            sets = [np.unique(h).tobytes() for h in found]
-            cls = pa.array(np.array([xxhash.xxh64_intdigest(s) for s in sets], dtype=np.uint64).view(np.int64))
-            fp = pa.array(np.array([fingerprint_of(h) for h in found], dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, cls, fp, pa.array(sets, pa.binary())], names=[*batch.schema.names, "cls", "fp", "shingles"])
 
-    return docs.mapInArrow(released(task), widened(docs, cls="long", fp="long", shingles="binary")).withColumn("row", F.monotonically_increasing_id())
+def matched(rows: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
+    """A semi- or anti-join whose keys are broadcast if they are few enough."""
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(keys) if few else keys, on, how)
 
 
-def common_shingles(rows: DataFrame) -> np.ndarray:
-    """Sorted shingles that at least two of a bounded sample of classes hold."""
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, sorted, that at least two rows of a sample hold, and the part of the table that holds each, in chunks."""
+    count = docs.count()
+    sample = docs.filter(F.pmod(F.xxhash64(F.lit("order"), "doc_id", "text"), F.lit(max(1, count // ORDER_SAMPLE))) == 0)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {c: np.frombuffer(s, dtype="<u8") for b in batches for c, s in zip(*(x.to_pylist() for x in b.columns), strict=True)}
-        found, counts = np.unique(np.concatenate([*held.values(), np.empty(0, dtype="<u8")]), return_counts=True)
-        top = np.argsort(-counts, kind="stable")[: min(COMMON_MOST, int((counts > 1).sum()))]
-        yield pa.RecordBatch.from_arrays([pa.array(found[top].view(np.int64))], names=["k"])
+        for batch in batches:
+            held = [np.unique(shingle_hashes(raw or b"", words)) for raw in batch.column(0).to_pylist()]
+            k, n = np.unique(np.concatenate([*held, np.empty(0, dtype="<u8")]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["k", "n"])
 
-    sample = rows.select("cls", "shingles").orderBy("cls").limit(ORDER_SAMPLE)
-    return np.sort(np.array([r[0] for r in sample.coalesce(1).mapInArrow(released(task), "k long").collect()], dtype=np.int64).view(np.uint64))
+    counts = sample.select(F.col("text").cast("binary")).mapInArrow(released(task), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    found = counts.filter("n > 1").orderBy(F.desc("n"), "k").limit(COMMON_MOST).collect()
+    k, n = (np.array([r[i] for r in found], dtype=np.int64) for i in (0, 1))
+    order = np.argsort(k.view(np.uint64))
+    chunks = -(-n[order] * max(1, count // ORDER_SAMPLE) // BUCKET_CLASSES)
+    return k.view(np.uint64)[order], chunks
 
 
-def prefixes(rows: DataFrame, p: int, q: int) -> DataFrame:
-    """(k, cls, at, n): the first shingles k of each class of n shingles, and their places; a task gives a class once."""
-    shared = rows.sparkSession.sparkContext.broadcast(common_shingles(rows))
+def classed(docs: DataFrame, words: int, p: int, q: int, common: np.ndarray) -> DataFrame:
+    """Per row of keyed docs: its key, doc_id, class (a hash of the set of shingles), fingerprint, number of different
+    shingles n, and its prefix: the shingles of which any set of that similarity holds one, the common ones last."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen = shared.value, set()
+        last = shared.value
         for batch in batches:
-            parts = []
-            for cls, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if raw and cls not in seen:
-                    seen.add(cls)
-                    s = np.frombuffer(raw, dtype="<u8")
-                    rare = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] != s if len(last) else np.ones(len(s), dtype=bool)
-                    first = np.concatenate([s[rare], s[~rare]])[: len(s) - -(-p * len(s) // q) + 1]
-                    parts.append((first.view(np.int64), np.full(len(first), cls), np.arange(len(first)), np.full(len(first), len(s))))
-            if parts:
-                k, cls, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(cls, pa.int64()), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names=["k", "cls", "at", "n"])
+            cls, fp, n, first = [], [], [], []
+            for raw in batch.column(2).to_pylist():
+                h = shingle_hashes(raw or b"", words)
+                s = np.unique(h)
+                rare = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] != s if len(last) else np.ones(len(s), dtype=bool)
+                first.append(np.concatenate([s[rare], s[~rare]])[: len(s) - -(-p * len(s) // q) + 1 if len(s) else 0].tobytes())
+                cls.append(xxhash.xxh64_intdigest(s.tobytes()))
+                fp.append(fingerprint_of(h))
+                n.append(len(s))
+            unsigned = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (cls, fp)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *unsigned, pa.array(n, pa.int32()), pa.array(first, pa.binary())], names=["key of row", "doc_id", "cls", "fp", "n", "prefix"])
+
+    return docs.select("key of row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(
+        released(task), "`key of row` struct<h1: long, h2: long>, doc_id long, cls long, fp long, n int, prefix binary"
+    )
+
+
+def prefix_entries(rows: DataFrame, common: np.ndarray, chunks: np.ndarray) -> DataFrame:
+    """(k, chunk, cls, at, n): the prefix shingles k of each class and their places; a task gives a class once. The
+    classes of a shingle that very many hold are dealt in chunks."""
+    shared = rows.sparkSession.sparkContext.broadcast((common[chunks > 1], chunks[chunks > 1]))
 
-    return rows.select("cls", "shingles").mapInArrow(released(task), "k long, cls long, at int, n int")
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (hot, parts), seen = shared.value, set()
+        for batch in batches:
+            fresh = [i for i, (c, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)) if n and not (c in seen or seen.add(c))]
+            if not fresh:
+                continue
+            found = [np.frombuffer(batch.column(2)[i].as_buffer(), dtype="<u8") for i in fresh]
+            sizes = np.array([len(x) for x in found])
+            k = np.concatenate(found)
+            cls, n = (np.repeat(batch.column(c).to_numpy()[fresh], sizes) for c in (0, 1))
+            at = np.arange(len(k)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            chunk = np.zeros(len(k), dtype=np.int64)
+            if len(hot):
+                place = np.minimum(np.searchsorted(hot, k), len(hot) - 1)
+                chunk = np.where(hot[place] == k, cls.view(np.uint64) % parts[place].astype(np.uint64), 0).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(chunk.astype(np.int32)), pa.array(cls), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names=["k", "chunk", "cls", "at", "n"])
+
+    return rows.select("cls", "n", "prefix").mapInArrow(released(task), "k long, chunk int, cls long, at int, n int")
 
 
 def _fits(at: np.ndarray, n: np.ndarray, i, j, p: int, q: int) -> np.ndarray:
@@ -87,56 +120,83 @@ def _fits(at: np.ndarray, n: np.ndarray, i, j, p: int, q: int) -> np.ndarray:
     return (q * np.minimum(n[i], n[j]) >= p * np.maximum(n[i], n[j])) & ((p + q) * most >= p * (n[i] + n[j]))
 
 
-def neighbour_pairs(cls: np.ndarray, at: np.ndarray, n: np.ndarray, group: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of a bucket in order of size, the pairs of neighbours that fit."""
-    i = np.arange(len(cls) - 1)
-    i = i[_fits(at, n, i, i + 1, p, q)]
-    return cls[i], cls[i + 1]
-
+def by_bucket(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """Whole buckets (by k and chunk) of rows that come sorted by them, as columns, many at a time."""
+    held = [np.empty(0, dtype=np.int64)] * len(names)
+    for batch in batches:
+        held = [np.concatenate([h, batch.column(n).to_numpy().astype(np.int64)]) for h, n in zip(held, names, strict=True)]
+        if len(held[0]):
+            last = np.nonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))[0]
+            if len(last):
+                cut = last[-1] + 1
+                yield [h[:cut] for h in held]
+                held = [h[cut:] for h in held]
+    if len(held[0]):
+        yield held
 
-def parted_pairs(cls: np.ndarray, at: np.ndarray, n: np.ndarray, group: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of a bucket, all pairs of different groups that fit; the largest group is never paired with itself."""
-    found, counts = np.unique(group, return_counts=True)
-    main = found[counts.argmax()]
-    every, left, right = np.arange(len(cls)), [], []
-    for i in np.nonzero(group != main)[0] if len(found) > 1 else ():
-        j = every[(group != group[i]) & ((group == main) | (every > i))]
-        j = j[_fits(at, n, i, j, p, q)]
-        left.append(np.full(len(j), cls[i]))
-        right.append(cls[j])
-    none = np.empty(0, dtype=np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
 
+def wide_buckets(entries: DataFrame, hot: np.ndarray, p: int, q: int) -> DataFrame:
+    """The entries of buckets of at least two classes, each class once, and `near`: the one before in order of n, if it fits."""
+    shared = entries.sparkSession.sparkContext.broadcast(hot.view(np.int64))
+    parted = entries.repartition("k", "chunk").sortWithinPartitions("k", "chunk", "n", "cls")
 
-def bucket_pairs(entries: DataFrame, pairs, p: int, q: int) -> DataFrame:
-    """(a, b), a < b, once each: what `pairs` gives of the classes of every bucket; entries holds (k, cls, at, n, grp)."""
-    parted = entries.select("k", "cls", "at", "n", "grp").repartition("k").sortWithinPartitions("k", "n", "cls")
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in by_bucket(batches, ("k", "chunk", "cls", "at", "n")):
+            k, chunk, cls, at, n = held
+            other = np.concatenate([[True], (k[1:] != k[:-1]) | (chunk[1:] != chunk[:-1])])
+            new = other | np.concatenate([[True], cls[1:] != cls[:-1]])  # tasks may have given a class twice
+            k, chunk, cls, at, n = (x[new] for x in held)
+            other = other[new]
+            single = other & np.concatenate([other[1:], [True]]) & ~np.isin(k, shared.value)
+            i = np.arange(1, len(k))
+            near = np.concatenate([[False], ~other[1:] & _fits(at, n, i - 1, i, p, q)])
+            before = pa.array(np.concatenate([[0], cls[:-1]]), mask=~near)
+            found = [pa.array(x) for x in (k, chunk.astype(np.int32), cls, at.astype(np.int32), n.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*found, before], names=["k", "chunk", "cls", "at", "n", "near"]).filter(pa.array(~single))
+
+    return parted.mapInArrow(released(task), "k long, chunk int, cls long, at int, n int, near long")
+
+
+def parted_pairs(entries: DataFrame, p: int, q: int) -> DataFrame:
+    """(a, b), a < b, once each: the pairs of classes of one bucket but of different groups (grp) that fit.
+
+    A bucket's largest group is never paired with itself. Its classes stay in their chunk; the others visit all chunks.
+    """
+    sizes = entries.groupBy("k", "grp").agg(F.count(F.lit(1)).alias("size"), F.max("chunk").alias("last"))
+    mains = sizes.groupBy("k").agg(F.max(F.struct("size", "grp")).alias("main"), F.max("last").alias("last"), F.count(F.lit(1)).alias("groups"))
+    mains = mains.filter("groups > 1").select("k", F.col("main.grp").alias("main"), "last")
+    dealt = entries.join(mains, "k").withColumn("visits", F.col("grp") != F.col("main"))
+    to = F.explode(F.when(F.col("visits"), F.sequence(F.lit(0), F.col("last"))).otherwise(F.array("chunk")))
+    parted = dealt.select("k", to.alias("chunk"), "cls", "at", "n", "grp", F.col("visits").cast("int").alias("visits")).repartition("k", "chunk").sortWithinPartitions("k", "chunk", "n", "cls")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def give(held: list[np.ndarray]) -> pa.RecordBatch:
-            k, cls, at, n, group = held
-            new = np.concatenate([[True], (k[1:] != k[:-1]) | (cls[1:] != cls[:-1])])  # tasks may have given a class twice
-            k, cls, at, n, group = (x[new] for x in (k, cls, at, n, group))
-            edges = np.concatenate([np.nonzero(np.concatenate([[True], k[1:] != k[:-1]]))[0], [len(k)]])
-            wide = np.nonzero(np.diff(edges) > 1)[0]
-            found = [pairs(*(x[lo:hi] for x in (cls, at, n, group)), p, q) for lo, hi in zip(edges[wide], edges[wide + 1], strict=True)]
-            a, b = (np.concatenate([np.empty(0, dtype=np.int64), *x]) for x in zip(*found, strict=True)) if found else (np.empty(0, dtype=np.int64),) * 2
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
-
-        held = [np.empty(0, dtype=np.int64)] * 5
-        for batch in batches:
-            held = [np.concatenate([h, c.to_numpy().astype(np.int64)]) for h, c in zip(held, batch.columns, strict=True)]
-            cut = int(np.searchsorted(held[0], held[0][-1], "left")) if len(held[0]) else 0
-            if cut:
-                yield give([h[:cut] for h in held])
-                held = [h[cut:] for h in held]
-        if len(held[0]):
-            yield give(held)
+        for k, chunk, cls, at, n, group, visits in by_bucket(batches, ("k", "chunk", "cls", "at", "n", "grp", "visits")):
+            other = np.nonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (chunk[1:] != chunk[:-1])]))[0]
+            ends = np.concatenate([other[1:], [len(k)]])
+            bucket = np.repeat(np.arange(len(other)), ends - other)
+            found, weight = [], 0
+            for i in np.nonzero(visits)[0].tolist():
+                lo, hi = other[bucket[i]], ends[bucket[i]]
+                most = np.searchsorted(n[lo:hi], q * n[i] // p, "right") + lo  # in order of n: larger ones do not fit
+                j = np.arange(np.searchsorted(n[lo:hi], -(-p * n[i] // q), "left") + lo, most)
+                j = j[(group[j] != group[i]) & ((visits[j] == 0) | (j > i))]
+                j = j[_fits(at, n, i, j, p, q)]
+                found.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])]))
+                weight += len(j)
+                if weight > 100_000:
+                    yield _pairs(found)
+                    found, weight = [], 0
+            if found:
+                yield _pairs(found)
 
     return parted.mapInArrow(released(task), "a long, b long").distinct()
 
 
+def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
 def plausible(sets: DataFrame, pairs: DataFrame, p: int, q: int) -> DataFrame:
     """The pairs whose sets may reach p / q: counts of shingles by their last byte differ no more than the sets do."""
 
@@ -158,12 +218,23 @@ def plausible(sets: DataFrame, pairs: DataFrame, p: int, q: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(released(task), "a long, b long")
 
 
-def verified(rows: DataFrame, pairs: DataFrame, p: int, q: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets have a Jaccard similarity of at least p / q."""
+def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, words: int, p: int, q: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets have a Jaccard similarity of at least p / q; the sets are made again from the
+    text of one row of each class."""
     pairs = stored(pairs, "shingle-pairs")
     nodes = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    few = pairs.limit(BROADCAST_CLASSES // 2 + 1).count() <= BROADCAST_CLASSES // 2
-    sets = rows.select("cls", "shingles").join(F.broadcast(nodes) if few else nodes, "cls", "left_semi").dropDuplicates(["cls"])
+    chosen = matched(rows.select("cls", "key of row"), nodes, "cls", "left_semi").groupBy("cls").agg(F.min("key of row").alias("key of row"))
+    chosen = stored(chosen, "shingle-nodes")
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(raw or b"", words)).tobytes() for raw in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["cls", "shingles"])
+
+    few = chosen.count() <= BROADCAST_KEYS
+    texts = docs.select("key of row", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen) if few else chosen, "key of row")
+    sets = texts.select("cls", "text").mapInArrow(released(shingle), "cls long, shingles binary").dropDuplicates(["cls"])
+    sets = stored(sets, "shingle-sets")
     pairs = stored(plausible(sets, pairs, p, q), "shingle-pairs")
     held = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
 
@@ -178,14 +249,37 @@ def verified(rows: DataFrame, pairs: DataFrame, p: int, q: int) -> DataFrame:
 
 def near_copies(docs: DataFrame, words: int, budget: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """The rows of `classed`, stored, and (cls, component) of the classes that have links: all pairs of classes with a
-    similarity of at least p / q are linked, and no others. Texts without words are one class."""
+    similarity of at least p / q are linked, and no others. Texts without words are one class. docs are keyed."""
     p, q = similarity
-    rows = stored(classed(docs, words), "shingle-rows")
-    entries = stored(prefixes(rows, p, q).withColumn("grp", F.lit(0).cast("long")), "shingle-prefixes")
+    common, chunks = common_shingles(docs, words)
+    rows = stored(classed(docs, words, p, q, common), "shingle-rows")
+    buckets = stored(wide_buckets(prefix_entries(rows, common, chunks), common[chunks > 1], p, q), "shingle-buckets")
     near = link_fingerprints(rows.groupBy("fp").agg(F.min("cls").alias("id")), budget)
-    first = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(bucket_pairs(entries, neighbour_pairs, p, q)).distinct()
-    links = checkpointed(verified(rows, first, p, q))
+    beside = buckets.filter("near IS NOT NULL").select(F.col("cls").alias("a"), F.col("near").alias("b"))
+    first = near.unionByName(beside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = checkpointed(verified(docs, rows, first, words, p, q))
     parts = connected_components(links).withColumnsRenamed({"node": "cls", "component": "part"})
-    grouped = entries.drop("grp").join(parts, "cls", "left").withColumn("grp", F.coalesce("part", "cls"))
-    links = links.unionByName(verified(rows, bucket_pairs(grouped, parted_pairs, p, q), p, q))
+    grouped = buckets.drop("near").join(parts, "cls", "left").withColumn("grp", F.coalesce("part", "cls"))
+    links = links.unionByName(verified(docs, rows, parted_pairs(grouped, p, q), words, p, q))
     return rows, connected_components(links).withColumnRenamed("node", "cls")
+
+
+def drop_near_copies(docs: DataFrame, words: int, budget: int, similarity: tuple[int, int]) -> DataFrame:
+    """docs with one row of each component: the one with the least doc_id; rows with a null one come last, ties go by text.
+
+    Rows that are not linked stay, whatever their doc_id. Of rows alike in doc_id and text one stays. Null and empty texts
+    are alike. An empty table stays empty; other columns may have any name.
+    """
+    docs = keyed(docs)
+    columns = [c for c in docs.columns if c != "key of row"]
+    rows, parts = near_copies(docs, words, budget, similarity)
+    named = rows.select("key of row", "cls", "doc_id").join(parts, "cls", "left")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key of row")).alias("best")
+    kept = named.groupBy(F.coalesce("component", "cls").alias("component")).agg(best).select(F.col("best.key of row").alias("key of row"))
+    counted = rows.groupBy("key of row").agg(F.count(F.lit(1)).alias("n")).join(kept.withColumn("kept", F.lit(True)), "key of row", "left")
+    other = stored(counted.filter("kept IS NULL OR n > 1"), "near-copies")
+    again = other.filter("kept").select("key of row")
+    out = matched(docs, other.select("key of row"), "key of row", "left_anti")
+    if not again.isEmpty():
+        out = out.unionByName(matched(docs, again, "key of row", "left_semi").dropDuplicates(["key of row"]))
+    return out.select(*columns)

@@ -37,6 +37,18 @@ def brute_force(texts):
     return part, sets, links
 
 
+def test_near_copies_in_chunks(spark, monkeypatch):
+    texts = planted()
+    part, *_ = brute_force(texts)
+    monkeypatch.setattr(shingles, "BUCKET_CLASSES", 8)
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, cls int, n string").repartition(3)
+    common, chunks = shingles.common_shingles(docs, 5)
+    assert chunks.max() > 3 and (common[1:] > common[:-1]).all()
+    out = shingles.drop_near_copies(docs, 5, 7, (4, 5))
+    assert out.columns == docs.columns
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(set(part))
+
+
 def test_near_copies_whole(spark):
     texts = planted()
     part, _, links = brute_force(texts)
@@ -46,7 +58,7 @@ def test_near_copies_whole(spark):
     out = corpus_pipeline.near_deduplication(spark, docs, "")
     assert out.columns == docs.columns
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(set(part))
-    rows, parts = shingles.near_copies(docs, 5, 7, (4, 5))
+    rows, parts = shingles.near_copies(shingles.keyed(docs), 5, 7, (4, 5))
     assert rows.count() == len(texts)
     assert corpus_pipeline.near_deduplication(spark, docs.limit(0), "").count() == 0
 
