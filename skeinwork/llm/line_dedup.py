@@ -1,29 +1,32 @@
 """Operator 1: line dedup over levelled sorted runs of line hashes.
 
-Documents come in batches. A batch's line keys, counted by document, are anti-joined with the run of settled keys (those
-already found often enough) and added as a sorted run of level 0; when a level holds `fanout` runs they are merged into
-one run of the next level, and keys that reach the threshold move to the settled run.
+Documents come in batches (of a table: ranges of its ids). A batch's line keys, counted by document, are merge-anti-joined
+with the run of settled keys (those already found often enough) and added as a sorted run of level 0; when a level holds
+`fanout` runs they are merged into one run of the next level, and keys that reach the threshold move to the settled run.
+All runs are tables bucketed and sorted by key, so neither the anti-joins nor the merges shuffle a run again.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import BLANKS, released, stored, widened
+from skeinwork.llm.common import BLANKS, released, shared_dir, stored, widened
 
 #: Settled keys up to this number are broadcast (16 bytes each); more are joined.
 BROADCAST_KEYS = 500_000
 MIN_DOCS = 10
 SALTS = 16
+#: Batches of a table, runs of a level that are merged, and line keys of a bucket of a run.
+BATCHES, FANOUT, BUCKET_KEYS = 6, 2, 1_000_000
 _BLANK_BYTES = BLANKS.encode()
 
 
@@ -37,83 +40,106 @@ def _digests(keys) -> np.ndarray:
     return np.frombuffer(b"".join([xxhash.xxh3_128_digest(k) for k in keys]), dtype="<i8").reshape(-1, 2)
 
 
-def count_lines(docs: DataFrame, batches: int, text_col: str = "text") -> DataFrame:
-    """(batch, h1, h2, n): each key that is not empty with its number of documents, summed within each Arrow batch."""
+def in_batches(docs: DataFrame, batches: int, text_col: str = "text") -> DataFrame:
+    """(batch, again, text): rows by ranges of doc_id (null ids in the first); again is the doc_id where several rows have it."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    cuts = sorted(set(ids.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01)))
+    batch = sum((F.coalesce(F.col("id") > cut, F.lit(False)).cast("int") for cut in cuts), F.lit(0))
+    repeated = stored(ids.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").select("id", F.col("id").alias("again")), "line-ids")
+    if repeated.isEmpty():
+        return ids.select(batch.alias("batch"), F.lit(None).cast("long").alias("again"), "text")
+    return ids.join(repeated, "id", "left").select(batch.alias("batch"), "again", "text")
+
+
+def count_lines(batched: DataFrame) -> DataFrame:
+    """(batch, h1, h2, again, n): each key that is not empty with its number of documents, summed within each Arrow batch;
+    documents of several rows come by themselves."""
 
     def task(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        batch_no = (context.partitionId() if context else 0) % batches
-        for batch in arrow:
+        for rows in arrow:
             seen: Counter = Counter()
-            for raw in batch.column(0).to_pylist():
-                seen.update({k for k in map(line_key, (raw or b"").split(b"\n")) if k})
+            for batch, again, raw in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                seen.update({(batch, again, k) for k in map(line_key, (raw or b"").split(b"\n")) if k})
             if seen:
-                h = _digests(seen)
+                batch, again, keys = zip(*seen, strict=True)
+                h = _digests(keys)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(h), batch_no, dtype=np.int32)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(np.fromiter(seen.values(), dtype=np.int64, count=len(h)))],
-                    names=["batch", "h1", "h2", "n"],
+                    [pa.array(batch, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(again, pa.int64()), pa.array(seen.values(), pa.int64())],
+                    names=["batch", "h1", "h2", "again", "n"],
                 )
 
-    counted = docs.select(docs[text_col].cast("binary")).mapInArrow(released(task), "batch int, h1 long, h2 long, n long")
-    return counted.groupBy("batch", "h1", "h2").agg(F.sum("n").alias("n"))
+    return batched.mapInArrow(released(task), "batch int, h1 long, h2 long, again long, n long")
 
 
 class LineRuns:
-    """The runs: level -> runs of (h1, h2, n) below the threshold, and runs of settled keys (h1, h2)."""
+    """The runs: level -> runs of (h1, h2, n) below the threshold, and the run of settled keys (h1, h2).
+
+    Every run is a table of its own in the shared folder, in `buckets` buckets by key and sorted within them.
+    """
 
-    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 4):
-        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = FANOUT, buckets: int = 8):
+        self.spark, self.min_docs, self.fanout, self.buckets = spark, min_docs, fanout, buckets
         self.levels: dict[int, list[DataFrame]] = defaultdict(list)
-        self.settled: list[DataFrame] = []
+        self.settled: DataFrame | None = None
 
-    def _keep(self, run: DataFrame) -> DataFrame:
-        return stored(run.sortWithinPartitions("h1", "h2"), "line-run")
+    def _run(self, keys: DataFrame) -> DataFrame:
+        name = f"skeinwork_lines_{uuid.uuid4().hex}"
+        keys.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
+        return self.spark.table(name)
 
-    def settled_keys(self) -> DataFrame:
-        keys = self.spark.createDataFrame([], "h1 long, h2 long")
-        for run in self.settled:
-            keys = keys.unionByName(run)
-        return keys
+    def fresh(self, batch: DataFrame) -> DataFrame:
+        """The keys of a batch of (h1, h2, again, n) with their documents, less those that are settled; one shuffle, of the batch."""
+        dealt = batch.repartition(self.buckets, "h1", "h2")
+        by_document = dealt.groupBy("h1", "h2", "again").agg(F.when(F.col("again").isNull(), F.sum("n")).otherwise(1).alias("n"))
+        counted = by_document.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+        return counted if self.settled is None else counted.join(self.settled.hint("merge"), ["h1", "h2"], "left_anti")
 
     def add(self, batch: DataFrame) -> None:
-        """Adds a batch of (h1, h2, n), each key once."""
-        new = batch.join(self.settled_keys(), ["h1", "h2"], "left_anti") if self.settled else batch
-        self.levels[0].append(self._keep(new))
+        """Adds a batch as a run of level 0; a level of `fanout` runs becomes a run of the next one."""
+        self.levels[0].append(self._run(self.fresh(batch)))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             self._compact([level], level + 1)
             level += 1
 
-    def _compact(self, levels: list[int], into: int) -> None:
-        runs = [run for level in levels for run in self.levels.pop(level, [])]
-        merged = runs[0]
+    def merged(self, runs: list[DataFrame]) -> DataFrame:
+        """The keys of runs with the sums of their counts."""
+        every = runs[0]
         for run in runs[1:]:
-            merged = merged.unionByName(run)
-        summed = merged.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-        kept = stored(summed.withColumn("settled", F.col("n") >= self.min_docs).sortWithinPartitions("h1", "h2"), "line-run", ["settled"])
-        self.settled.append(kept.filter("settled").select("h1", "h2"))
-        self.levels[into].append(kept.filter("not settled").select("h1", "h2", "n"))
+            every = every.unionByName(run)
+        return every.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+
+    def _compact(self, levels: list[int], into: int) -> None:
+        # merged twice, as two tables are written; a key may settle in several levels before it is anti-joined everywhere
+        keys = self.merged([run for level in levels for run in self.levels.pop(level, [])])
+        enough = keys.filter(F.col("n") >= self.min_docs).select("h1", "h2")
+        settled = self._run(enough if self.settled is None else enough.unionByName(self.settled).dropDuplicates(["h1", "h2"]))
+        self.levels[into].append(self._run(keys.join(settled.hint("merge"), ["h1", "h2"], "left_anti")))
+        self.settled = settled
 
     def finish(self) -> DataFrame:
         """The keys that at least min_docs documents hold."""
-        if left := [level for level, runs in sorted(self.levels.items()) if runs]:
-            self._compact(left, max(left) + 1)
-        return self.settled_keys().distinct()
-
-
-def frequent_lines(docs: DataFrame, min_docs: int, batches: int = 4, fanout: int = 4, text_col: str = "text") -> DataFrame:
-    """(h1, h2) of the line keys found in at least min_docs rows, through the levelled runs."""
-    counted = stored(count_lines(docs, batches, text_col), "line-counts", ["batch"])
-    runs = LineRuns(docs.sparkSession, min_docs, fanout)
+        left = [run for _, runs in sorted(self.levels.items()) for run in runs]
+        if len(left) > 1:
+            self._compact(sorted(self.levels), max(self.levels) + 1)
+        elif self.settled is None:  # one run, never merged
+            return left[0].filter(F.col("n") >= self.min_docs).select("h1", "h2") if left else self.spark.createDataFrame([], "h1 long, h2 long")
+        return self.settled
+
+
+def frequent_lines(docs: DataFrame, min_docs: int, batches: int = BATCHES, fanout: int = FANOUT, text_col: str = "text") -> DataFrame:
+    """(h1, h2) of the line keys found in at least min_docs documents, through the levelled runs."""
+    counted = stored(count_lines(in_batches(docs, batches, text_col)), "line-counts", ["batch"])
+    runs = LineRuns(docs.sparkSession, min_docs, fanout, max(8, counted.count() // BUCKET_KEYS))
     for batch in range(batches):
-        runs.add(counted.filter(F.col("batch") == batch).select("h1", "h2", "n"))
+        runs.add(counted.filter(F.col("batch") == batch).drop("batch"))
     return runs.finish()
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = 4, text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """docs with their text less the frequent lines, and n_lines and n_dropped (input columns so named are replaced).
 
-    Each row counts as one document, repeated rows and ids too. A null or empty text is one empty line, and its text
+    Rows of one doc_id are one document where keys are counted; rows without doc_id are one each. Every row comes out. A null or empty text is one empty line, and its text
     comes out empty. Empty keys are never dropped. An empty table gives an empty result. Up to `broadcast_keys` frequent
     keys are broadcast; beyond it lines are exploded and joined with salted keys, so a frequent line has no single task.
     """

@@ -1,6 +1,6 @@
 import hashlib
 import os
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -10,7 +10,10 @@ from skeinwork.llm import line_dedup
 def brute(rows, least):
     lines = [(t or "").split("\n") for _, t in rows]
     key = lambda x: x.encode().strip(b" \t\n\x0b\f\r").lower()
-    held = Counter(k for doc in lines for k in {key(x) for x in doc})
+    documents = defaultdict(set)  # rows of one doc_id are one document, rows without are one each
+    for i, ((doc, _), parts) in enumerate(zip(rows, lines, strict=True)):
+        documents[("row", i) if doc is None else doc].update(map(key, parts))
+    held = Counter(k for keys in documents.values() for k in keys)
     out = []
     for (doc, _), parts in zip(rows, lines, strict=True):
         kept = [x for x in parts if not key(x) or held[key(x)] < least]
@@ -19,6 +22,7 @@ def brute(rows, least):
 
 
 ROWS = [(i, f"own {i}\n Common LINE\t\n\nhalf {i % 2}\nÉtage") for i in range(9)] + [(20, None), (21, ""), (3, "common line\ncommon line"), (None, "étage\nCOMMON line"), (22, "\n\n"), (23, "x" * 200_000 + "\ncommon line")]
+ROWS += [(30, "in one document of many rows")] * 7 + [(None, "without id")] * 5
 
 
 @pytest.mark.parametrize("bound", [10, 0])
@@ -31,11 +35,41 @@ def test_brute_force(spark, bound):
 
 
 def test_runs_compact(spark):
+    batch = spark.createDataFrame([(1, 1, None, 1), (2, 2, None, 2), (3, 3, None, 0), (4, 4, 9, 1), (4, 4, 9, 1)], "h1 long, h2 long, again long, n long")
     runs = line_dedup.LineRuns(spark, min_docs=4, fanout=2)
     for _ in range(5):
-        runs.add(spark.createDataFrame([(1, 1, 1), (2, 2, 2), (3, 3, 0)], "h1 long, h2 long, n long"))
-    assert max(runs.levels) >= 1 and runs.settled
-    assert {r["h1"] for r in runs.finish().collect()} == {1, 2}
+        runs.add(batch)
+    assert max(runs.levels) >= 1 and runs.settled is not None
+    assert {r["h1"] for r in runs.finish().collect()} == {1, 2, 4}
+    assert line_dedup.LineRuns(spark, 1).finish().count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batches_are_merge_anti_joined(spark, monkeypatch):
+    """With the defaults of the query most batches meet settled keys, and no run is shuffled again."""
+    plans, fresh, merged = [], line_dedup.LineRuns.fresh, line_dedup.LineRuns.merged
+
+    def watch(how, kind):
+        def call(self, given):
+            found = how(self, given)
+            plans.append((kind, self.settled is not None and self.settled.count(), plan_of(found)))
+            return found
+
+        return call
+
+    monkeypatch.setattr(line_dedup.LineRuns, "fresh", watch(fresh, "fresh"))
+    monkeypatch.setattr(line_dedup.LineRuns, "merged", watch(merged, "merged"))
+    docs = spark.createDataFrame([(i, f"common\nown {i}\npart {i % 7}") for i in range(120)], "doc_id long, text string")
+    found = line_dedup.frequent_lines(docs, line_dedup.MIN_DOCS)
+    assert found.count() == 8
+    batches = [p for p in plans if p[0] == "fresh"]
+    assert len(batches) == line_dedup.BATCHES and sum(bool(settled) for _, settled, _ in batches) >= line_dedup.BATCHES - line_dedup.FANOUT
+    assert all("SortMergeJoin" in plan and "LeftAnti" in plan and plan.count("Exchange") == 1 for _, settled, plan in batches if settled)
+    merges = [plan for kind, _, plan in plans if kind == "merged"]
+    assert len(merges) >= 3 and not any("Exchange" in plan for plan in merges)
 
 
 def test_empty_table(spark):
