@@ -18,8 +18,11 @@ class ShardBwt:
     positions: np.ndarray
 
 
-def shard_bwt(text: np.ndarray, lengths: np.ndarray) -> ShardBwt:
-    """The transform of strings given as one array of characters 1 to 255; terminators are least and ordered as their strings."""
+def shard_bwt(text: np.ndarray, lengths: np.ndarray, depth: int = 1 << 62) -> ShardBwt:
+    """The transform of strings given as one array of characters 1 to 255; terminators are least and ordered as their strings.
+
+    Suffixes that agree in their first `depth` characters may come in any order.
+    """
     ends = np.cumsum(lengths + 1) - 1
     n = int(lengths.sum()) + len(lengths)
     inner = np.ones(n, dtype=bool)
@@ -31,11 +34,11 @@ def shard_bwt(text: np.ndarray, lengths: np.ndarray) -> ShardBwt:
     key = np.zeros(n, dtype=np.uint64)
     for i in range(8):
         key = (key << np.uint64(8)) | np.where(i < left, coded[i : i + n], 0).astype(np.uint64)
-    order = np.lexsort((np.where(left < 8, string, 0), key))
+    order = np.argsort(key, kind="stable")  # of equal ones that end, the one of the earlier string comes first
     ended = left[order] < 8
     fresh = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (ended[1:] & ended[:-1])])
     rank, width = np.empty(n, dtype=np.int64), 8
-    while True:  # each round sorts what is still tied by twice as many characters
+    while width < depth:  # each round sorts what is still tied by twice as many characters
         first = np.nonzero(fresh)[0]
         start = first[np.cumsum(fresh) - 1]
         rank[order] = start
@@ -62,28 +65,32 @@ def merge_blocks(shards: list[ShardBwt], depth: int) -> tuple[np.ndarray, np.nda
     """The rows (counted over the shards one after another) whose suffixes share their first `depth` characters with
     another's, in the merged order, and the block of each.
 
-    A round takes the interleave of suffixes sorted by h characters to h + 1: read in the present order, the characters
-    before them deal the suffixes one place longer, stably, so no suffix is compared again. What a round leaves together
+    A round takes the interleave of suffixes sorted by h characters to h + 2: read in the present order, the two characters
+    before them deal the suffixes two places longer, stably, so no suffix is compared again. What a round leaves together
     is a block, whose suffixes have a common prefix of that length. A suffix alone in its block is settled and leaves the
-    interleave, as all longer ones that end in it are alone too.
+    interleave, as all longer ones that end in it are alone too. An odd depth begins with a round of one character.
     """
     starts = np.cumsum([0, *(len(s.chars) for s in shards)])
     chars = np.concatenate([s.chars for s in shards])
     longer = np.concatenate([s.longer + a for s, a in zip(shards, starts, strict=False)]).astype(np.int32)
+    second = chars[longer]
+    pairs = np.where((chars > 0) & (second > 0), second.astype(np.uint16) << 8 | chars, 0).astype(np.uint16)
+    far = longer[longer]
     rows, block = np.arange(len(chars), dtype=np.int32), np.zeros(len(chars), dtype=np.int32)
-    for _ in range(depth):
-        before = chars[rows]
-        inside = before > 0
-        rows, block, before = rows[inside], block[inside], before[inside]
+    for code, onward in [(chars, longer)] * (depth % 2) + [(pairs, far)] * (depth // 2):
+        before = code[rows]
         dealt = np.argsort(before, kind="stable")
-        before, block = before[dealt], block[dealt]
-        rows = longer[rows[dealt]]
-        if not len(rows):
+        before = before[dealt]
+        inside = int(np.searchsorted(before, 1))  # the others are whole strings
+        dealt, before = dealt[inside:], before[inside:]
+        if not len(dealt):
+            rows, block = rows[:0], block[:0]
             break
+        block = block[dealt]
         fresh = np.concatenate([[True], (before[1:] != before[:-1]) | (block[1:] != block[:-1]), [True]])
         shared = ~(fresh[:-1] & fresh[1:])
         block = np.cumsum(fresh[:-1], dtype=np.int32)[shared]
-        rows = rows[shared]
+        rows = onward[rows[dealt[shared]]]
     return rows.astype(np.int64), block.astype(np.int64)
 
 
@@ -102,7 +109,7 @@ def repeated_intervals(texts: list[bytes], depth: int, shard_bytes: int = 1 << 1
     group = (np.cumsum(lengths + 1) - 1) // shard_bytes
     cuts = [0, *(np.nonzero(group[1:] != group[:-1])[0] + 1).tolist(), len(texts)]
     at = np.concatenate([[0], np.cumsum(lengths)])
-    shards = [shard_bwt(text[at[a] : at[b]], lengths[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    shards = [shard_bwt(text[at[a] : at[b]], lengths[a:b], depth) for a, b in zip(cuts, cuts[1:], strict=False)]
     rows, block = merge_blocks(shards, depth)
     positions = np.concatenate([s.positions for s in shards])
     offsets = np.cumsum([0, *(len(s.positions) for s in shards)])[:-1]

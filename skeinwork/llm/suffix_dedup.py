@@ -1,11 +1,12 @@
 """Operator 7: suffix-array dedup by merging shard Burrows-Wheeler transforms.
 
 A document's bytes go when they lie in a string of SPAN bytes that also starts in a document with a smaller doc_id. Few
-strings can be such, so candidates are found first, without loss: every string of SPAN bytes holds a least-hashed 24-byte
+strings can be such, so candidates are found first, without loss: every string of SPAN bytes holds a least-hashed 16-byte
 gram, its anchor, and the strings of one anchor in a row are a segment. Equal segments are known by their hash. Only
 segments that share an anchor and the bytes beside it with a different segment need their bytes compared: they are dealt
-by anchor, each task builds Burrows-Wheeler transforms of shards of them and merges these by refining an interleave for
-SPAN rounds, after which the blocks are the repeated intervals.
+by anchor, each task builds Burrows-Wheeler transforms of shards of them and merges these by refining an interleave up to
+SPAN characters, after which the blocks are the repeated intervals. An anchor of very many segments is merged in shares
+first; of what repeats within a share only the least document's occurrence goes on to the merge of all shares.
 """
 
 from __future__ import annotations
@@ -25,15 +26,18 @@ from pyspark.sql import functions as F
 from skeinwork.llm.bwt import repeated_intervals
 from skeinwork.llm.common import as_bytes, give_back, released, stored
 
-SPAN, GRAM, BESIDE = 50, 24, 13
+SPAN, GRAM, BESIDE = 50, 16, 17
 WINDOW = SPAN - GRAM + 1
 #: Bytes of text hashed together, bytes whose entries are sorted and sent together, and bytes of text for each part.
-GROUP_BYTES, FLUSH_BYTES, PART_BYTES, MOST_PARTS = 1 << 20, 8 << 20, 8 << 20, 1 << 16
+GROUP_BYTES, FLUSH_BYTES, PART_BYTES = 1 << 20, 8 << 20, 8 << 20
+#: Entries are dealt to their part in steps of so many ways, so that a step's rows stay large whatever the number of parts.
+FAN, REGROUP_BYTES = 4096, 64 << 20
 #: Longer texts are cut in slices that overlap, so that a window lies in one of them.
 SLICE_BYTES = 16 << 20
-#: An anchor with more segments than this in one flush is sent on as hot; one with more in all is dealt by its strings.
-HOT_SEGMENTS, WIDE_ANCHOR = 64, 4000
-CHUNK_BYTES = 1 << 20
+#: An anchor with more segments than this in one flush is sent on as hot; one with more in all is merged in shares.
+HOT_SEGMENTS, WIDE_ANCHOR = 64, 2000
+#: Bytes whose transforms are merged at once (more where one anchor has more), and bytes of a transform.
+CHUNK_BYTES, SHARD_BYTES = 1 << 18, 1 << 16
 _POSITION_BITS = np.uint64(27)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Codes of the bytes beside an anchor: none there, or cut off and so unknown.
@@ -83,7 +87,7 @@ def segments_of(pieces: list[tuple[int, int, bool, bool, bytes]]) -> Entries:
         h = h[:-width] * _M1 + h[width:]
         hashes[2 * width] = (h ^ (h >> np.uint64(29))) * _M2
         width *= 2
-    grams = _mix(hashes[16][: len(buffer) - GRAM + 1] * _M1 + hashes[8][16 : 16 + len(buffer) - GRAM + 1])
+    grams = _mix(hashes[16])
     key = (grams & ~((np.uint64(1) << _POSITION_BITS) - np.uint64(1))) | np.arange(len(grams), dtype=np.uint64)  # of equal grams the leftmost
     least, span = key, 1
     while 2 * span <= WINDOW:
@@ -106,14 +110,14 @@ def segments_of(pieces: list[tuple[int, int, bool, bool, bytes]]) -> Entries:
     lead = np.array([p[2] for p in pieces])[piece]
     trail = np.array([p[3] for p in pieces])[piece]
     left, right = (np.zeros(len(at), dtype=np.uint16) for _ in range(2))
-    h8 = hashes[8]
+    h16 = hashes[16]
     fits = where - BESIDE >= first[piece]
     w = where[fits]
-    left[fits] = 1 + (_mix(h8[w - BESIDE] * _M1 + h8[w - 8]) % np.uint64(_UNKNOWN - 1)).astype(np.uint16)
+    left[fits] = 1 + (_mix(h16[w - BESIDE] * _M1 + h16[w - 16]) % np.uint64(_UNKNOWN - 1)).astype(np.uint16)
     left[~fits & lead] = _UNKNOWN
     fits = where + GRAM + BESIDE <= ends[piece]
     w = where[fits] + GRAM
-    right[fits] = 1 + (_mix(h8[w] * _M1 + h8[w + BESIDE - 8]) % np.uint64(_UNKNOWN - 1)).astype(np.uint16)
+    right[fits] = 1 + (_mix(h16[w] * _M1 + h16[w + BESIDE - 16]) % np.uint64(_UNKNOWN - 1)).astype(np.uint16)
     right[~fits & trail] = _UNKNOWN
     docs = np.array([p[0] for p in pieces], dtype=np.int64)[piece]
     offset = np.array([p[1] for p in pieces], dtype=np.int64)[piece] + start - first[piece]
@@ -123,6 +127,18 @@ def segments_of(pieces: list[tuple[int, int, bool, bool, bytes]]) -> Entries:
 def judge(e: Entries, doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of entries, e.doc indexing doc_ids: which lie in a smaller document as a whole, which need their bytes compared, and the
     number of segments of each one's anchor. Entries of segment hash 0 say that their anchor is hot elsewhere."""
+    repeated, pending, different = (np.zeros(len(e), dtype=bool), np.zeros(len(e), dtype=bool), np.ones(len(e), dtype=np.int64))
+    order = np.argsort(e.anchor)
+    anchor = e.anchor[order]
+    alike = anchor[1:] == anchor[:-1]
+    at = order[np.concatenate([alike, [False]]) | np.concatenate([[False], alike])] if len(order) else order
+    if len(at):  # most anchors are held once
+        repeated[at], pending[at], different[at] = _judge_shared(e.take(at), doc_ids)
+    return repeated, pending, different
+
+
+def _judge_shared(e: Entries, doc_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What judge says of entries whose anchors are held at least twice."""
     ids = doc_ids[e.doc]
     order = np.lexsort((ids, e.segment, e.anchor))
     anchor, segment, ids = e.anchor[order], e.segment[order], ids[order]
@@ -190,10 +206,16 @@ _ALL = ("anchor", "segment", "left", "right", "start", "strings")
 _COVERED, _PENDING = ("start", "strings"), ("anchor", "start", "strings")
 _ROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 _CANDIDATES, _IS_COVERED, _IS_PENDING = 0, 1, 2
+_NAMES = {_CANDIDATES: _ALL, _IS_COVERED: _COVERED, _IS_PENDING: _PENDING}
 
 
-def _doc_parts(ids: np.ndarray, parts: int) -> np.ndarray:
-    return (_mix(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+def _doc_parts(ids: np.ndarray, checks: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each text, by its id and checksum, so that rows without an id are spread."""
+    return (_mix(ids.astype(np.uint64) + _mix(checks.astype(np.uint64) * _M1)) % np.uint64(parts)).astype(np.int32)
+
+
+def _anchor_parts(anchor: np.ndarray, parts: int) -> np.ndarray:
+    return (_mix(anchor) % np.uint64(parts)).astype(np.int32)
 
 
 def _rows(kind: int, e: Entries, chosen: np.ndarray, part_of: np.ndarray, ids: np.ndarray, checks: np.ndarray, names: tuple[str, ...]) -> list[tuple]:
@@ -213,8 +235,9 @@ def _pieces(index: int, raw: bytes) -> Iterator[tuple]:
         yield index, at, at > 0, at + SLICE_BYTES < len(raw), raw[at : at + SLICE_BYTES + SPAN - 1]
 
 
-def candidates(texts: DataFrame, parts: int, doc_parts: int) -> DataFrame:
-    """(part, kind, blob): entries by anchor, and what a flush of texts decides by itself by document."""
+def candidates(texts: DataFrame, parts: int, ways: int) -> DataFrame:
+    """(part, kind, blob): entries by anchor, and what a flush of texts decides by itself by document; a part is still its
+    number's remainder by `ways`."""
 
     def flush(docs: list[tuple[int, bytes]]) -> list[tuple]:
         ids, checks = np.array([d for d, _ in docs], dtype=np.int64), np.array([zlib.crc32(t) for _, t in docs], dtype=np.uint32)
@@ -230,7 +253,7 @@ def candidates(texts: DataFrame, parts: int, doc_parts: int) -> DataFrame:
             return []
         repeated, _, different = judge(e, ids)
         hot = ~repeated & (different > HOT_SEGMENTS)
-        by_doc, by_anchor = _doc_parts(ids, doc_parts)[e.doc], (_mix(e.anchor) % np.uint64(parts)).astype(np.int32)
+        by_doc, by_anchor = _doc_parts(ids, checks, parts)[e.doc] % ways, _anchor_parts(e.anchor, parts) % ways
         out = _rows(_IS_COVERED, e, repeated, by_doc, ids, checks, _COVERED) + _rows(_IS_PENDING, e, hot, by_doc, ids, checks, _PENDING)
         sign = np.zeros(len(e), dtype=bool)
         if hot.any():
@@ -255,10 +278,46 @@ def candidates(texts: DataFrame, parts: int, doc_parts: int) -> DataFrame:
     return texts.mapInArrow(released(task), "part int, kind int, blob binary")
 
 
-def verdicts(found: DataFrame, parts: int, doc_parts: int) -> DataFrame:
-    """(part, kind, blob) by document: what is covered and what is pending, from candidates dealt by anchor."""
+def regrouped(found: DataFrame, parts: int, ways: int, fan: int) -> DataFrame:
+    """Rows whose part is a remainder by `ways` as rows whose part is the remainder by ways * fan."""
+    dealt = found.repartition("kind", "part").sortWithinPartitions("kind", "part").select("part", "kind", "blob")
+
+    def regroup(kind: int, blobs: list[bytes]) -> list[tuple]:
+        loaded = [unpack(b, _NAMES[kind]) for b in blobs]
+        base = np.cumsum([0, *(len(ids) for _, ids, _ in loaded)])
+        e = Entries.joined([Entries(*x.columns[:4], x.doc + b, *x.columns[5:]) for (x, _, _), b in zip(loaded, base, strict=False)])
+        ids, checks = np.concatenate([i for _, i, _ in loaded]), np.concatenate([c for *_, c in loaded])
+        to = _anchor_parts(e.anchor, parts) if kind == _CANDIDATES else _doc_parts(ids, checks, parts)[e.doc]
+        return _rows(kind, e, np.ones(len(e), dtype=bool), to % (ways * fan), ids, checks, _NAMES[kind])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, blobs, weight = None, [], 0
+        for batch in batches:
+            for part, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if blobs and (group != (part, kind) or weight > REGROUP_BYTES):
+                    yield _row_batch(regroup(group[1], blobs))
+                    blobs, weight = [], 0
+                group = part, kind
+                blobs.append(blob)
+                weight += len(blob)
+        if blobs:
+            yield _row_batch(regroup(group[1], blobs))
+
+    return dealt.mapInArrow(released(task), "part int, kind int, blob binary")
+
+
+def to_parts(found: DataFrame, parts: int, fan: int) -> DataFrame:
+    """Rows dealt by the first step as rows of their final parts."""
+    ways = fan
+    while ways < parts:
+        found, ways = regrouped(found, parts, ways, fan), ways * fan
+    return found
+
+
+def verdicts(found: DataFrame, parts: int, ways: int) -> DataFrame:
+    """(part, kind, blob) by document, of the first step again: what is covered and what is pending."""
     spread = F.when(F.col("kind") == _CANDIDATES, F.xxhash64("part")).otherwise(F.xxhash64(F.lit(1), "part", F.xxhash64("blob")))
-    dealt = found.withColumn("deal", spread).repartition(parts, "deal").sortWithinPartitions("kind", "part").select("part", "kind", "blob")
+    dealt = found.withColumn("deal", spread).repartition("deal").sortWithinPartitions("kind", "part").select("part", "kind", "blob")
 
     def decide(blobs: list[bytes]) -> list[tuple]:
         loaded = [unpack(b, _ALL) for b in blobs]
@@ -266,7 +325,7 @@ def verdicts(found: DataFrame, parts: int, doc_parts: int) -> DataFrame:
         e = Entries.joined([Entries(*x.columns[:4], x.doc + b, *x.columns[5:]) for (x, _, _), b in zip(loaded, base, strict=False)])
         ids, checks = np.concatenate([i for _, i, _ in loaded]), np.concatenate([c for *_, c in loaded])
         repeated, pending, _ = judge(e, ids)
-        by_doc = _doc_parts(ids, doc_parts)[e.doc]
+        by_doc = _doc_parts(ids, checks, parts)[e.doc] % ways
         return _rows(_IS_COVERED, e, repeated, by_doc, ids, checks, _COVERED) + _rows(_IS_PENDING, e, pending, by_doc, ids, checks, _PENDING)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,28 +424,39 @@ _GIVES = {
 }
 
 
-def repeated_strings(segments: DataFrame) -> DataFrame:
-    """(part, doc_id, check, start) of the strings of pending segments that also start in a smaller document."""
-    counts = segments.groupBy("anchor").count().filter(F.col("count") > WIDE_ANCHOR).select("anchor", F.ceil(F.col("count") / WIDE_ANCHOR).cast("int").alias("salts"))
-    rows = segments.join(counts, "anchor", "left").select("anchor", F.coalesce("salts", F.lit(1)).alias("salts"), "part", "doc_id", "start", F.col("kept").alias("bytes"), F.col("ranges").alias("check"))
-    # of a wide anchor each string goes by itself, dealt by its bytes, so equal strings still meet
-    strings = F.transform(F.sequence(F.lit(0), F.octet_length("bytes") - SPAN), lambda i: F.struct(i.cast("long").alias("at"), F.substring(F.col("bytes"), i + 1, F.lit(SPAN)).alias("bytes")))
-    parts = F.explode(F.when(F.col("salts") > 1, strings).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("at"), F.col("bytes").alias("bytes")))))
-    rows = rows.select("anchor", "salts", "part", "doc_id", "check", "start", parts.alias("x"))
-    salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("x.bytes"), F.col("salts"))).otherwise(F.lit(0))
-    dealt = rows.select(F.xxhash64("anchor", salt).alias("deal"), "part", "doc_id", "check", (F.col("start") + F.col("x.at")).alias("start"), F.col("x.bytes").alias("bytes"))
-    dealt = dealt.repartition("deal").sortWithinPartitions("deal")
+_RUNS = "part int, doc_id long, check binary, start long, strings long, bytes binary"
+
+
+def merged_runs(dealt: DataFrame, rest: bool) -> DataFrame:
+    """Runs of strings of the segments (deal, part, doc_id, check, start, bytes), compared within each `deal`, that also
+    start in a smaller document; with `rest` also the runs of the others, which come with their bytes."""
+    parted = dealt.repartition("deal").sortWithinPartitions("deal")
 
     def merge(held: list[list]) -> pa.RecordBatch:
         _, part, doc, check, start, texts = held
-        string, offset, block = repeated_intervals(texts, SPAN)
-        docs, starts = np.array(doc, dtype=np.int64)[string], np.array(start, dtype=np.int64)[string] + offset
-        _, block = np.unique(block, return_inverse=True)
+        string, offset, block = repeated_intervals(texts, SPAN, SHARD_BYTES)
+        docs = np.array(doc, dtype=np.int64)
         least = np.full(int(block.max()) + 1 if len(block) else 0, np.iinfo(np.int64).max)
-        np.minimum.at(least, block, docs)
-        again = np.nonzero(docs > least[block])[0]
-        at = string[again].tolist()
-        return pa.RecordBatch.from_arrays([pa.array([part[i] for i in at], pa.int32()), pa.array(docs[again]), pa.array([check[i] for i in at], pa.binary()), pa.array(starts[again])], names=["part", "doc_id", "check", "start"])
+        np.minimum.at(least, block, docs[string])
+        again = docs[string] > least[block]
+        # every string of every segment in order, and whether it is repeated
+        sizes = np.array([len(t) - SPAN + 1 for t in texts])
+        first = np.cumsum(sizes) - sizes
+        gone = np.zeros(int(sizes.sum()), dtype=bool)
+        gone[first[string[again]] + offset[again]] = True
+        edge = np.zeros(len(gone) + 1, dtype=bool)
+        edge[first], edge[-1] = True, True
+        edge[1:-1] |= gone[1:] != gone[:-1]
+        cuts = np.nonzero(edge)[0]
+        begin, count = cuts[:-1], np.diff(cuts)
+        chosen = np.ones(len(begin), dtype=bool) if rest else gone[begin]
+        begin, count = begin[chosen], count[chosen]
+        of = np.searchsorted(first, begin, "right") - 1
+        at, away = begin - first[of], gone[begin]
+        left = [None if a else texts[i][o : o + n + SPAN - 1] for i, o, n, a in zip(of.tolist(), at.tolist(), count.tolist(), away.tolist(), strict=True)]
+        columns = [pa.array([part[i] for i in of.tolist()], pa.int32()), pa.array(docs[of]), pa.array([check[i] for i in of.tolist()], pa.binary())]
+        columns += [pa.array(np.array(start, dtype=np.int64)[of] + at), pa.array(count), pa.array(left, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "check", "start", "strings", "bytes"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, weight = [[] for _ in range(6)], 0
@@ -401,26 +471,45 @@ def repeated_strings(segments: DataFrame) -> DataFrame:
         if held[0]:
             yield merge(held)
 
-    return dealt.mapInArrow(released(task), "part int, doc_id long, check binary, start long")
+    return parted.select("deal", "part", "doc_id", "check", "start", "bytes").mapInArrow(released(task), _RUNS)
+
+
+def repeated_strings(segments: DataFrame) -> DataFrame:
+    """(part, doc_id, check, start, strings): runs of strings of pending segments that also start in a smaller document.
+
+    Segments meet by anchor. Those of wide anchors meet in shares first. What a share leaves, each different string of it
+    once or in one document, is dealt by the bytes of its strings, so that a string met many times goes to no single task.
+    """
+    counts = segments.groupBy("anchor").count().filter(F.col("count") > WIDE_ANCHOR).select("anchor", F.ceil(F.col("count") / WIDE_ANCHOR).cast("int").alias("shares"))
+    rows = segments.join(stored(counts, "wide-anchors"), "anchor", "left")
+    share = F.when(F.col("shares").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id", "ranges", "start"), F.col("shares")))
+    rows = rows.select(F.xxhash64("anchor", share).alias("deal"), F.col("shares").isNotNull().alias("wide"), "part", "doc_id", F.col("ranges").alias("check"), "start", F.col("kept").alias("bytes"))
+    narrow = merged_runs(rows.filter("not wide"), rest=False)
+    shared = stored(merged_runs(rows.filter("wide"), rest=True), "repeat-shares")
+    strings = F.transform(F.sequence(F.lit(0).cast("long"), F.col("strings") - 1), lambda i: F.struct(i.alias("at"), F.substring(F.col("bytes"), i.cast("int") + 1, F.lit(SPAN)).alias("bytes")))
+    left = shared.filter("bytes IS NOT NULL").select("part", "doc_id", "check", "start", F.explode(strings).alias("x"))
+    left = left.select(F.xxhash64("x.bytes").alias("deal"), "part", "doc_id", "check", (F.col("start") + F.col("x.at")).alias("start"), F.col("x.bytes").alias("bytes"))
+    found = narrow.unionByName(shared.filter("bytes IS NULL")).unionByName(merged_runs(left, rest=False))
+    return found.drop("bytes")
 
 
 def finish(waiting: DataFrame, strings: DataFrame, give: Callable[[bytes, bytes], bytes]) -> DataFrame:
     def group(docs: pa.Table, rows: pa.Table) -> pa.Table:
-        more: dict[tuple, list[int]] = {}
-        for doc, check, start in zip(*(rows.column(n).to_pylist() for n in ("doc_id", "check", "start")), strict=True):
-            more.setdefault((doc, check), []).append(start)
+        more: dict[tuple, list[tuple[int, int]]] = {}
+        for doc, check, *run in zip(*(rows.column(n).to_pylist() for n in ("doc_id", "check", "start", "strings")), strict=True):
+            more.setdefault((doc, check), []).append(run)
         out = []
         for part, doc, raw, ranges in zip(*(docs.column(n).to_pylist() for n in ("part", "doc_id", "kept", "ranges")), strict=True):
             starts, lengths = np.frombuffer(ranges, dtype="<i8").reshape(2, -1)
-            own = np.array(more.get((doc, struct.pack("<I", zlib.crc32(raw))), []), dtype=np.int64)
-            removed, spans, kept = _remove(raw, np.concatenate([starts, own]), np.concatenate([lengths, np.full(len(own), SPAN)]))
+            own = np.array(more.get((doc, struct.pack("<I", zlib.crc32(raw))), []), dtype=np.int64).reshape(-1, 2)
+            removed, spans, kept = _remove(raw, np.concatenate([starts, own[:, 0]]), np.concatenate([lengths, own[:, 1] + SPAN - 1]))
             out.append((_DONE, part, doc, len(raw), removed, spans, give(raw, kept), None, None, None))
         return _state_table(out)
 
     return waiting.groupBy("part").cogroup(strings.groupBy("part")).applyInArrow(group, _STATE)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", give: str = "bytes") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", give: str = "bytes", fan: int = FAN, part_bytes: int = PART_BYTES) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept (binary): by `give` the bytes that are left, the hexadecimal
     digits of their SHA-256 ("digest"), or the bytes less those of characters that a removal cut in parts ("text"), after
     the 16 bytes of the MD5 of the row's text ("keyed").
@@ -432,12 +521,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     raw = as_bytes(docs[text_col])
     texts = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63))).alias("doc_id"), raw.alias("raw"))
     total = texts.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
-    parts = min(MOST_PARTS, max(16, total // PART_BYTES))
-    found = stored(verdicts(candidates(texts, parts, parts), parts, parts), "repeat-verdicts")
+    parts = max(16, total // part_bytes)
+    found = to_parts(stored(verdicts(to_parts(candidates(texts, parts, fan), parts, fan), parts, fan), "repeat-verdicts"), parts, fan)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_doc_parts(batch.column(0).to_numpy(), parts)), *batch.columns], names=["part", "doc_id", "raw"])
+            checks = np.array([zlib.crc32(x) for x in batch.column(1).to_pylist()], dtype=np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array(_doc_parts(batch.column(0).to_numpy(), checks, parts)), *batch.columns], names=["part", "doc_id", "raw"])
 
     placed = texts.mapInArrow(place, "part int, doc_id long, raw binary")
     state = stored(apply_verdicts(placed, found, _GIVES[give]), "repeat-state", ["kind"])

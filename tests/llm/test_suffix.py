@@ -58,9 +58,9 @@ def sample(seed, n):
     return rows
 
 
-def run(spark, rows):
+def run(spark, rows, **limits):
     df = spark.createDataFrame([(d, t.decode(), 1) for d, t in rows], "doc_id long, text string, part int").repartition(3)
-    return sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]).decode()) for r in suffix_dedup.remove_repeats(df, give="digest").collect())
+    return sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]).decode()) for r in suffix_dedup.remove_repeats(df, give="digest", **limits).collect())
 
 
 def test_brute_force(spark):
@@ -69,9 +69,19 @@ def test_brute_force(spark):
 
 
 def test_small_limits(spark, monkeypatch):
-    for name, value in (("HOT_SEGMENTS", 2), ("WIDE_ANCHOR", 5), ("FLUSH_BYTES", 6000), ("CHUNK_BYTES", 3000), ("GROUP_BYTES", 2000)):
+    for name, value in (("HOT_SEGMENTS", 2), ("WIDE_ANCHOR", 5), ("FLUSH_BYTES", 6000), ("CHUNK_BYTES", 3000), ("SHARD_BYTES", 700), ("GROUP_BYTES", 2000), ("REGROUP_BYTES", 900)):
         monkeypatch.setattr(suffix_dedup, name, value)
     rows = sample(6, 120)
+    assert run(spark, rows, fan=3, part_bytes=900) == brute(rows)
+
+
+def test_one_string_in_all_documents_and_one_id_on_many_rows(spark, monkeypatch):
+    for name, value in (("HOT_SEGMENTS", 4), ("WIDE_ANCHOR", 6)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rng = random.Random(8)
+    common = bytes(rng.choice(b"abcdefgh ") for _ in range(70))
+    rows = [(i, b"%d " % rng.randrange(10**6) + common + b" %d" % rng.randrange(10**6)) for i in range(90)]
+    rows += [(500, common + b" of one id %d" % i) for i in range(40)] + [(500, b"a text of one id that repeats under it and in no other document %d" % (i // 2)) for i in range(40)]
     assert run(spark, rows) == brute(rows)
 
 
