@@ -1,9 +1,10 @@
 """Near copies by shingle sets: links of all texts whose sets of word shingles have a Jaccard similarity of p / q.
 
 Texts with one set are one class. Candidates are the links of the fingerprints' trie join and, so that no pair is lost, the
-classes that share a shingle of their prefixes: with all shingles in one order, sets of that similarity share one of the
-first n - ceil(n p / q) + 1. Only candidates whose exact similarity reaches p / q become links. Neighbours of a bucket are
-compared first; then only classes that are not linked yet, so a dense group never becomes all of its pairs.
+classes that share SHARED shingles of their prefixes: with all shingles in one order, sets of that similarity share the
+first SHARED of their common ones within the first n - ceil(n p / q) + SHARED. Only candidates whose exact similarity
+reaches p / q become links. Neighbours of a bucket are compared first; then only classes that are not linked yet, so a
+dense group never becomes all of its pairs.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from skeinwork.llm.simhash import fingerprint_of, link_fingerprints, shingle_has
 
 #: The order of shingles only decides the cost: those that several of about so many rows hold come last, up to COMMON_MOST.
 ORDER_SAMPLE, COMMON_MOST = 2000, 200_000
+#: Prefix shingles that a pair must share (or all it needs in common, if fewer).
+SHARED = 3
 #: A bucket that the sample expects to hold more classes than this is dealt in chunks.
 BUCKET_CLASSES = 4096
 #: Up to so many keys are broadcast; more are joined.
@@ -66,7 +69,7 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
 
 def classed(docs: DataFrame, words: int, p: int, q: int, common: np.ndarray) -> DataFrame:
     """Per row of keyed docs: its key, doc_id, class (a hash of the set of shingles), fingerprint, number of different
-    shingles n, and its prefix: the shingles of which any set of that similarity holds one, the common ones last."""
+    shingles n, and its prefix: the first of its shingles, common ones last, of which any set of that similarity holds SHARED."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +80,7 @@ def classed(docs: DataFrame, words: int, p: int, q: int, common: np.ndarray) ->
                 h = shingle_hashes(raw or b"", words)
                 s = np.unique(h)
                 rare = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] != s if len(last) else np.ones(len(s), dtype=bool)
-                first.append(np.concatenate([s[rare], s[~rare]])[: len(s) - -(-p * len(s) // q) + 1 if len(s) else 0].tobytes())
+                first.append(np.concatenate([s[rare], s[~rare]])[: len(s) - -(-p * len(s) // q) + SHARED if len(s) else 0].tobytes())
                 cls.append(xxhash.xxh64_intdigest(s.tobytes()))
                 fp.append(fingerprint_of(h))
                 n.append(len(s))
@@ -115,9 +118,11 @@ def prefix_entries(rows: DataFrame, common: np.ndarray, chunks: np.ndarray) -> D
 
 
 def _fits(at: np.ndarray, n: np.ndarray, i, j, p: int, q: int) -> np.ndarray:
-    """Whether a shared shingle at these places of both sets leaves room for the similarity."""
-    most = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
-    return (q * np.minimum(n[i], n[j]) >= p * np.maximum(n[i], n[j])) & ((p + q) * most >= p * (n[i] + n[j]))
+    """How much a shared shingle at these places of both sets counts towards SHARED: 0 if it can't be one of the first
+    SHARED of the common ones, more than 1 if the sets need fewer in common than that."""
+    need = -(-p * (n[i] + n[j]) // (p + q))
+    may = (at[i] <= n[i] - need + SHARED - 1) & (at[j] <= n[j] - need + SHARED - 1) & (q * np.minimum(n[i], n[j]) >= p * np.maximum(n[i], n[j]))
+    return np.where(may, -(-SHARED // np.clip(need, 1, SHARED)), 0)
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
@@ -136,7 +141,8 @@ def by_bucket(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iter
 
 
 def wide_buckets(entries: DataFrame, hot: np.ndarray, p: int, q: int) -> DataFrame:
-    """The entries of buckets of at least two classes, each class once, and `near`: the one before in order of n, if it fits."""
+    """The entries of buckets of at least two classes, each class once, and `near`: the one before in order of n, if it
+    fits, and how much it counts (weight)."""
     shared = entries.sparkSession.sparkContext.broadcast(hot.view(np.int64))
     parted = entries.repartition("k", "chunk").sortWithinPartitions("k", "chunk", "n", "cls")
 
@@ -149,16 +155,16 @@ def wide_buckets(entries: DataFrame, hot: np.ndarray, p: int, q: int) -> DataFra
             other = other[new]
             single = other & np.concatenate([other[1:], [True]]) & ~np.isin(k, shared.value)
             i = np.arange(1, len(k))
-            near = np.concatenate([[False], ~other[1:] & _fits(at, n, i - 1, i, p, q)])
-            before = pa.array(np.concatenate([[0], cls[:-1]]), mask=~near)
+            weight = np.concatenate([[0], np.where(other[1:], 0, _fits(at, n, i - 1, i, p, q))])
+            before = pa.array(np.concatenate([[0], cls[:-1]]), mask=weight == 0)
             found = [pa.array(x) for x in (k, chunk.astype(np.int32), cls, at.astype(np.int32), n.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*found, before], names=["k", "chunk", "cls", "at", "n", "near"]).filter(pa.array(~single))
+            yield pa.RecordBatch.from_arrays([*found, before, pa.array(weight.astype(np.int32))], names=["k", "chunk", "cls", "at", "n", "near", "weight"]).filter(pa.array(~single))
 
-    return parted.mapInArrow(released(task), "k long, chunk int, cls long, at int, n int, near long")
+    return parted.mapInArrow(released(task), "k long, chunk int, cls long, at int, n int, near long, weight int")
 
 
 def parted_pairs(entries: DataFrame, p: int, q: int) -> DataFrame:
-    """(a, b), a < b, once each: the pairs of classes of one bucket but of different groups (grp) that fit.
+    """(a, b), a < b, once each: the pairs of classes of different groups (grp) that share enough buckets.
 
     A bucket's largest group is never paired with itself. Its classes stay in their chunk; the others visit all chunks.
     """
@@ -167,7 +173,7 @@ def parted_pairs(entries: DataFrame, p: int, q: int) -> DataFrame:
     mains = mains.filter("groups > 1").select("k", F.col("main.grp").alias("main"), "last")
     dealt = entries.join(mains, "k").withColumn("visits", F.col("grp") != F.col("main"))
     to = F.explode(F.when(F.col("visits"), F.sequence(F.lit(0), F.col("last"))).otherwise(F.array("chunk")))
-    parted = dealt.select("k", to.alias("chunk"), "cls", "at", "n", "grp", F.col("visits").cast("int").alias("visits")).repartition("k", "chunk").sortWithinPartitions("k", "chunk", "n", "cls")
+    parted = dealt.select("k", "chunk", to.alias("to"), "cls", "at", "n", "grp", "visits").select("k", F.col("to").alias("chunk"), "cls", "at", "n", "grp", F.when(F.col("visits"), F.when(F.col("chunk") == F.col("to"), 2).otherwise(1)).otherwise(0).alias("visits")).repartition("k", "chunk").sortWithinPartitions("k", "chunk", "n", "cls")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, chunk, cls, at, n, group, visits in by_bucket(batches, ("k", "chunk", "cls", "at", "n", "grp", "visits")):
@@ -179,9 +185,10 @@ def parted_pairs(entries: DataFrame, p: int, q: int) -> DataFrame:
                 lo, hi = other[bucket[i]], ends[bucket[i]]
                 most = np.searchsorted(n[lo:hi], q * n[i] // p, "right") + lo  # in order of n: larger ones do not fit
                 j = np.arange(np.searchsorted(n[lo:hi], -(-p * n[i] // q), "left") + lo, most)
-                j = j[(group[j] != group[i]) & ((visits[j] == 0) | (j > i))]
-                j = j[_fits(at, n, i, j, p, q)]
-                found.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])]))
+                j = j[(group[j] != group[i]) & ((visits[j] == 0) | ((j > i) & (visits[i] == 2)))]  # two visitors meet where one is at home
+                weight_of = _fits(at, n, i, j, p, q)
+                j, weight_of = j[weight_of > 0], weight_of[weight_of > 0]
+                found.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), weight_of]))
                 weight += len(j)
                 if weight > 100_000:
                     yield _pairs(found)
@@ -189,33 +196,17 @@ def parted_pairs(entries: DataFrame, p: int, q: int) -> DataFrame:
             if found:
                 yield _pairs(found)
 
-    return parted.mapInArrow(released(task), "a long, b long").distinct()
+    return enough(parted.mapInArrow(released(task), "a long, b long, weight int"))
 
 
 def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
-    a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    a, b, weight = np.concatenate(found, axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(weight.astype(np.int32))], names=["a", "b", "weight"])
 
 
-def plausible(sets: DataFrame, pairs: DataFrame, p: int, q: int) -> DataFrame:
-    """The pairs whose sets may reach p / q: counts of shingles by their last byte differ no more than the sets do."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.frombuffer(s, dtype="<u8") for s in batch.column(1).to_pylist()]
-            signs = [np.minimum(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes() for s in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(signs, pa.binary())], names=["cls", "n", "sign"])
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, 256).astype(np.int16) for i in (4, 5))
-            both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            keep = (p + q) * np.abs(a - b).sum(axis=1, dtype=np.int64) <= (q - p) * both
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    signs = stored(sets.mapInArrow(released(count), "cls long, n long, sign binary"), "shingle-signs")
-    one, two = (signs.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("sign").alias(f"s{x}")) for x in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(released(task), "a long, b long")
+def enough(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b), once each, that share at least SHARED shingles by their weights."""
+    return pairs.groupBy("a", "b").agg(F.sum("weight").alias("weight")).filter(F.col("weight") >= SHARED).select("a", "b")
 
 
 def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, words: int, p: int, q: int) -> DataFrame:
@@ -235,7 +226,6 @@ def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, words: int, p:
     texts = docs.select("key of row", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen) if few else chosen, "key of row")
     sets = texts.select("cls", "text").mapInArrow(released(shingle), "cls long, shingles binary").dropDuplicates(["cls"])
     sets = stored(sets, "shingle-sets")
-    pairs = stored(plausible(sets, pairs, p, q), "shingle-pairs")
     held = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,11 +245,11 @@ def near_copies(docs: DataFrame, words: int, budget: int, similarity: tuple[int,
     rows = stored(classed(docs, words, p, q, common), "shingle-rows")
     buckets = stored(wide_buckets(prefix_entries(rows, common, chunks), common[chunks > 1], p, q), "shingle-buckets")
     near = link_fingerprints(rows.groupBy("fp").agg(F.min("cls").alias("id")), budget)
-    beside = buckets.filter("near IS NOT NULL").select(F.col("cls").alias("a"), F.col("near").alias("b"))
-    first = near.unionByName(beside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    beside = enough(buckets.filter("weight > 0").select(F.least("cls", "near").alias("a"), F.greatest("cls", "near").alias("b"), "weight"))
+    first = beside.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     links = checkpointed(verified(docs, rows, first, words, p, q))
     parts = connected_components(links).withColumnsRenamed({"node": "cls", "component": "part"})
-    grouped = buckets.drop("near").join(parts, "cls", "left").withColumn("grp", F.coalesce("part", "cls"))
+    grouped = buckets.drop("near", "weight").join(parts, "cls", "left").withColumn("grp", F.coalesce("part", "cls"))
     links = links.unionByName(verified(docs, rows, parted_pairs(grouped, p, q), words, p, q))
     return rows, connected_components(links).withColumnRenamed("node", "cls")
 
