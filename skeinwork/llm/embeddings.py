@@ -62,15 +62,24 @@ class Projections:
         return (unit @ np.random.default_rng(SEED + 1).standard_normal((unit.shape[1], LINES))).T.astype(np.float32)
 
 
-def collision_candidates(queries: np.ndarray, others: np.ndarray, half_width: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, other) that share a window on at least `least` lines; both are given by line."""
-    counts = np.zeros((queries.shape[1], others.shape[1]), dtype=np.int8)
-    for mine, theirs in zip(queries, others, strict=True):
-        order = np.argsort(theirs, kind="stable")
-        line = theirs[order]
-        first, last = np.searchsorted(line, mine - half_width, "left"), np.searchsorted(line, mine + half_width, "right")
-        for q, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
-            counts[q, order[a:b]] += 1
+def sorted_lines(others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each line of projections in order, and the rank of each vector on it."""
+    order = np.argsort(others, axis=1, kind="stable")
+    rank = np.empty(others.shape, dtype=np.uint16 if others.shape[1] < 1 << 16 else np.uint32)
+    np.put_along_axis(rank, order, np.arange(others.shape[1], dtype=rank.dtype)[None, :], axis=1)
+    return np.take_along_axis(others, order, axis=1), rank
+
+
+def collision_candidates(queries: np.ndarray, lines: tuple[np.ndarray, np.ndarray], half_width: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, other) that share a window on at least `least` lines; queries are given by line.
+
+    A query's window is a range of ranks on each sorted line, and all vectors are counted for it at once.
+    """
+    counts = np.zeros((queries.shape[1], lines[0].shape[1]), dtype=np.int8)
+    for mine, line, rank in zip(queries, *lines, strict=True):
+        first = np.searchsorted(line, mine - half_width, "left").astype(rank.dtype)
+        width = np.searchsorted(line, mine + half_width, "right").astype(rank.dtype) - first
+        counts += rank[None, :] - first[:, None] < width[:, None]  # ranks before the window wrap round
     return np.nonzero(counts >= least)
 
 
@@ -79,10 +88,10 @@ def cell_links(unit: np.ndarray, codes: np.ndarray, table: int, chunk: np.ndarra
     lines = plan.lines(unit)
     left = np.nonzero(chunk == pair[0])[0]
     right = left if pair[0] == pair[1] else np.nonzero(chunk == pair[1])[0]
-    found_a, found_b = [], []
+    found_a, found_b, ordered = [], [], sorted_lines(lines[:, right])
     for at in range(0, len(left), 256):
         block = left[at : at + 256]
-        q, o = collision_candidates(lines[:, block], lines[:, right], plan.half_width, plan.least)
+        q, o = collision_candidates(lines[:, block], ordered, plan.half_width, plan.least)
         a, b = block[q], right[o]
         ahead = a < b if pair[0] == pair[1] else np.ones(len(a), dtype=bool)
         a, b = a[ahead], b[ahead]
@@ -109,8 +118,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def links_of_classes(classes: DataFrame, threshold: float, cell_most: int = CELL_MOST) -> DataFrame:
     """(a, b, n): n copies linked with class a in some cell (b null), and links (a, b) that connect a cell's classes (n 0).
 
-    classes holds (id, n, dim, embedding), each vector once and of the same length within dim.
+    classes holds (id, n, dim, embedding), each vector once and of the same length within dim. Vectors travel as they are
+    stored, and become doubles in the task that compares them.
     """
+    kind = classes.schema["embedding"].dataType.simpleString()
     plan = Projections.calibrated(classes.count(), threshold)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +133,7 @@ def links_of_classes(classes: DataFrame, threshold: float, cell_most: int = CELL
                 for t in range(plan.tables):
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(codes), t, dtype=np.int32)), pa.array(codes[:, t])], names=["id", "n", "dim", "embedding", "t", "code"])
 
-    dealt = classes.select("id", "n", "dim", "embedding").mapInArrow(deal, "id long, n long, dim int, embedding array<double>, t int, code long")
+    dealt = classes.select("id", "n", "dim", "embedding").mapInArrow(deal, f"id long, n long, dim int, embedding {kind}, t int, code long")
     wide = dealt.groupBy("dim", "t", "code").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell_most)).cast("int").alias("chunks")).filter("chunks > 1")
     chunk = F.pmod(F.xxhash64("id"), F.coalesce("chunks", F.lit(1))).cast("int")
     rows = dealt.join(stored(wide, "wide-cells"), ["dim", "t", "code"], "left").withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
@@ -172,24 +183,27 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell_most:
     """Per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept.
 
     Vectors of cosine >= threshold link; none below it do. Null and zero vectors and those with null or non-finite parts
-    link with nothing, and neither do vectors of different lengths. Every row is a vector, so a repeated row links with
-    its copies. Equal vectors are compared once, as a class. An empty table gives no rows; other columns are not read.
+    link with nothing, and neither do vectors of different lengths. Every row is a vector, so repeated rows and rows of one
+    vec_id link with each other like any others. A null vec_id is linked like any other, but names a component only if it
+    holds no other (component_id is null then, and kept true). Equal vectors are compared once, as a class. An empty table
+    gives no rows; other columns are not read.
     """
     parts = F.col("embedding")
     finite = F.forall(parts, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = F.coalesce(parts.isNotNull() & finite & F.exists(parts, lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding")).withColumn("valid", valid)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", valid.alias("valid"))
     rows = rows.select("vec_id", "valid", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
-    classes = rows.filter("valid").groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding"))
-    classes = stored(classes.withColumn("dim", F.size("embedding")), "vector-classes")
+    classes = rows.filter("valid").groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "least", "n", "embedding", F.size("embedding").alias("dim")), "vector-classes")
     found = stored(links_of_classes(classes, threshold, cell_most), "vector-links")
     degrees = found.filter("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("linked"))
     joined = connected_components(found.filter("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "id")
-    known = classes.select("h1", "h2", "id", "n").join(degrees, "id", "left").join(joined, "id", "left")
-    known = known.select("h1", "h2", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"), F.lit(True).alias("valid"))
+    known = classes.select("h1", "h2", "id", "least", "n").join(degrees, "id", "left").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    names = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = known.join(names, "component").select("h1", "h2", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id", F.lit(True).alias("valid"))
     out = rows.drop("embedding").join(known, ["h1", "h2", "valid"], "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    component = F.when(F.col("valid"), F.col("component_id")).otherwise(F.col("vec_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

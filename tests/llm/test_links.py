@@ -106,3 +106,22 @@ def test_embeddings(spark, most):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (200, 201, 202, 203, 204))
     assert got[205]["n_links"] == got[206]["n_links"] == 1 and got[206]["component_id"] == 205 and not got[206]["kept"]
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_windows_by_rank():
+    rng = np.random.default_rng(4)
+    for n in (1, 50, 700):
+        lines = rng.standard_normal((8, n)).astype(np.float32)
+        counts = (np.abs(lines[:, :20, None] - lines[:, None, :]) <= 0.4).sum(axis=0)
+        q, o = embeddings.collision_candidates(lines[:, :20], embeddings.sorted_lines(lines), 0.4, 4)
+        assert sorted(zip(q.tolist(), o.tolist(), strict=True)) == sorted(zip(*(x.tolist() for x in np.nonzero(counts >= 4)), strict=True))
+
+
+def test_embeddings_null_and_repeated_ids(spark):
+    a, b, c = [1.0, 0.1, 0.0], [1.0, 0.11, 0.0], [0.0, 0.0, 1.0]
+    rows = [(None, a, 1, "x"), (7, b, 2, "x"), (None, c, 3, "x"), (None, None, 4, None), (4, b, 5, "y"), (4, c, 6, "y"), (4, c, 6, "y")]
+    out = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, id int, label string"))
+    got = sorted(((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in out.collect()))
+    assert got == sorted([(0, 2, 4, False), (7, 2, 4, False), (4, 2, 4, True), (0, 2, 4, False), (4, 2, 4, True), (4, 2, 4, True), (0, 0, 0, True)])
+    alone = embeddings.near_duplicates(spark.createDataFrame([(None, a), (None, b)], "vec_id long, embedding array<float>"))
+    assert [tuple(r) for r in alone.collect()] == [(None, 1, None, True)] * 2
