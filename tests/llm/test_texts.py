@@ -1,6 +1,7 @@
 """Quality rules, licences, chats and the pipeline."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -61,7 +62,7 @@ def test_held_out_notices(spark, model):
     df = spark.createDataFrame([(i, t, "x") for i, (t, _) in told.items()], "doc_id long, text string, family string")
     got = {r["doc_id"]: r for r in licences.scan(df, model).collect()}
     assert {i: r["licences"] for i, r in got.items()} == {i: want for i, (_, want) in told.items()}
-    assert got[5]["n_unknown"] == 1 and got[6]["n_notices"] == 0 and got[1]["n_paragraphs"] == 3
+    assert got[5]["n_unknown"] == 1 and got[6]["n_notices"] == 0 and got[1]["n_lines"] == 3
     assert licences.scan(df.limit(0), model).count() == 0
 
 
@@ -75,23 +76,106 @@ def test_frequent_footer(spark, footer, family):
     assert found == {i: family if i % 3 == 0 else "" for i, _ in rows}
 
 
+#: Headers as they stand in files; none of them is a training or calibration text.
+HEADERS = {
+    "gpl": "/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "apache": "# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at",
+    "agpl": "// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU Affero General Public License as\n// published by the Free Software Foundation, version 3 of the License.",
+    "lgpl": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "": "This program and the accompanying materials are made available under\nthe terms of the Eclipse Public License v1.0 which accompanies this distribution",
+}
+
+
+def test_headers(spark, model):
+    texts = [(i, f"some words before\n\n{text}\n\nand words after", family) for i, (family, text) in enumerate(HEADERS.items())]
+    texts.append((50, "Released under the MIT License.\nLicensed under CC BY 4.0.\nLicensed under CC BY-SA 4.0.", "cc-by,cc-by-sa,mit"))
+    got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string"), model).collect()}
+    assert {i: got[i]["licences"] for i, _, _ in texts[:-1]} == {i: family for i, _, family in texts[:-1]}
+    assert "mit" in got[50]["licences"] and "cc-by-sa" in got[50]["licences"]
+    assert all(got[i]["n_notices"] == 1 and got[i]["n_unknown"] == (family == "") for i, _, family in texts[:-1])
+
+
+def plain_scan(text, model):
+    """The scan of one text in plain Python: (families of each paragraph that is a notice)."""
+    markers, lines = set(model.markers), (text or "").split("\n")
+    marks = [bool(markers & set(licences.word_list(x))) for x in lines]
+    inside = [m or (0 < i < len(lines) - 1 and marks[i - 1] and marks[i + 1] and lines[i].strip(" ") != "") for i, m in enumerate(marks)]
+    runs, out = [], []
+    for i, member in enumerate(inside):
+        if member and i and inside[i - 1]:
+            runs[-1].append(lines[i])
+        elif member:
+            runs.append([lines[i]])
+    for run in runs:
+        per_line = [licences.word_list(x) for x in run]
+        told, speaks = set(), False
+        for words in [[w for x in per_line for w in x], *(per_line if len(run) > 1 else [])]:
+            features = [f for f in {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))} if f in model.weights]
+            if not features:
+                continue
+            z = [(b + sum(model.weights[f][i] for f in features)) / model.temperature for i, b in enumerate(model.bias)]
+            e = [math.exp(x) for x in z]
+            if e[0] / sum(e) >= 0.5:
+                continue
+            speaks |= bool(licences.LICENCE_WORDS & set(words))
+            p, family = max((x / sum(e), c) for x, c in list(zip(e, model.classes, strict=True))[2:])
+            like = {f: max(min(len(set(words) & set(part)) / len(part) for part in licences.template_words(n)) for n in listed) for f, listed in licences.TEMPLATES.items()}
+            if p >= model.level and like[family] >= licences.RESEMBLANCE and like[family] >= max(like.values()):
+                told.add(family)
+        told -= {f for f, wider in licences.WITHIN.items() if told & set(wider)}
+        if told or speaks:
+            out.append(sorted(told) or [licences.UNKNOWN])
+    return out
+
+
+def test_scan_against_plain_python(spark, model):
+    rng = random.Random(12)
+    listed = [n for found in [*licences.TEMPLATES.values(), *licences.CALIBRATION.values(), licences.OTHER_NOTICES] for n in found] + list(HEADERS.values())
+    texts = []
+    for _ in range(150):
+        lines = []
+        for _ in range(rng.randint(0, 6)):
+            words = rng.choice(listed).split(" ") if rng.random() < 0.6 else [rng.choice(["an", "the", "ou", "re.", "License"]) for _ in range(8)]
+            cut = rng.randint(0, len(words))
+            lines += [" ".join(words[:cut]), " ".join(words[cut:]), *rng.choice([[], [""], [" "], ["plain line"]])]
+        texts.append("\n".join(lines))
+    texts += [None, "", "word " * 60_000 + "licensed under the mit license " + "x " * 60_000, texts[0], texts[1]]
+    df = spark.createDataFrame([(i, t, i, "x") for i, t in enumerate(texts)], "doc_id long, text string, row int, families string")
+    found = {}
+    for r in licences.flagged_paragraphs(df, model).orderBy("doc_id", "line_no").collect():
+        found.setdefault(r["doc_id"], []).append(list(r["families"]))
+    assert found == {i: want for i, t in enumerate(texts) if (want := plain_scan(t, model))}
+    got = {r["doc_id"]: r for r in licences.scan(df, model).collect()}
+    assert {i: r["n_notices"] for i, r in got.items()} == {i: len(found.get(i, [])) for i in range(len(texts))}
+
+
 def test_held_out_accuracy(model):
-    rng = random.Random(99)
+    """Of the calibration notices, on which no weight was fitted."""
     right = total = 0
-    for family, notices in licences.TEMPLATES.items():
+    for family, notices in licences.CALIBRATION.items():
         for notice in notices:
-            for words in licences._variants(notice, ["lorem", "ipsum"], rng):
-                found = licences.features_of(words, set(model.markers))
-                score = [b + sum(model.weights[f][i] for f in found if f in model.weights) for i, b in enumerate(model.bias)]
-                right += model.classes[score.index(max(score))] == family
-                total += 1
-    assert right / total > 0.9
+            found = licences.features_of(licences.word_list(notice), set(model.markers))
+            score = [b + sum(model.weights[f][i] for f in found if f in model.weights) for i, b in enumerate(model.bias)]
+            right += model.classes[score.index(max(score))] == family
+            total += 1
+    assert right / total > 0.8, right / total
 
 
 def test_word_lists_agree(spark):
     df = spark.createDataFrame([("Version 2.0. CC-BY, é the...",), ("",), (" . ",)], "line string")
     got = [r[0] for r in df.select(licences.words_of(df["line"])).collect()]
     assert got == [licences.word_list(t) for t in ("Version 2.0. CC-BY, é the...", "", " . ")]
+    rng = random.Random(6)
+    words = ["by", "bys", "cc", "v", "the", "a.b"]
+    texts = ["".join(rng.choice(["by", "bys", "cc", "v", "the", ".", " ", "-", "a.b", "É", "B"]) for _ in range(rng.randint(0, 9))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "line string")
+    for t, found, any_of in df.select("line", licences.named(df["line"], words), licences.holds_any(df["line"], words)).collect():
+        assert found == [w for w in licences.word_list(t) if w in words]
+        assert any_of == bool(found)
 
 
 def test_template_is_reversible():
