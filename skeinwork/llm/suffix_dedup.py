@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -424,12 +425,37 @@ _GIVES = {
 }
 
 
-_RUNS = "part int, doc_id long, check binary, start long, strings long, bytes binary"
+_RUNS = "deal long, part int, doc_id long, check binary, start long, strings long, bytes binary"
+
+
+def sided(runs: list[bytes]) -> list[tuple[int, int, int]]:
+    """(run, strings before its half, hash) of the halves of runs of strings that share their anchor: the strings with at
+    least BESIDE bytes before the anchor go by these, the others by those after it. Equal strings have equal hashes."""
+    buffer = np.frombuffer(b"".join(runs) + bytes(GRAM), dtype=np.uint8)
+    h, width = buffer.astype(np.uint64) + np.uint64(1), 1
+    while width < GRAM:
+        h = h[:-width] * _M1 + h[width:]
+        h, width = (h ^ (h >> np.uint64(29))) * _M2, 2 * width
+    below = (np.uint64(1) << _POSITION_BITS) - np.uint64(1)
+    sizes = np.array([len(r) for r in runs])
+    first = np.cumsum(sizes) - sizes
+    key = (_mix(h) & ~below) | np.arange(len(h), dtype=np.uint64)
+    least = np.minimum.reduceat(key, np.stack([first, first + sizes - GRAM + 1]).T.ravel())[::2]
+    anchors = (least & below).astype(np.int64) - first
+    out = []
+    for i, (run, at) in enumerate(zip(runs, anchors.tolist(), strict=True)):
+        count = len(run) - SPAN + 1
+        cut = min(max(at - BESIDE + 1, 0), count)
+        if cut:
+            out.append((i, 0, xxhash.xxh3_64_intdigest(run[at - BESIDE : at + GRAM])))
+        if cut < count:
+            out.append((i, cut, xxhash.xxh3_64_intdigest(run[at : at + GRAM + BESIDE], 1)))
+    return out
 
 
 def merged_runs(dealt: DataFrame, rest: bool) -> DataFrame:
     """Runs of strings of the segments (deal, part, doc_id, check, start, bytes), compared within each `deal`, that also
-    start in a smaller document; with `rest` also the runs of the others, which come with their bytes."""
+    start in a smaller document; with `rest` also the runs of the others, in halves, with their bytes and where to deal them."""
     parted = dealt.repartition("deal").sortWithinPartitions("deal")
 
     def merge(held: list[list]) -> pa.RecordBatch:
@@ -452,11 +478,21 @@ def merged_runs(dealt: DataFrame, rest: bool) -> DataFrame:
         chosen = np.ones(len(begin), dtype=bool) if rest else gone[begin]
         begin, count = begin[chosen], count[chosen]
         of = np.searchsorted(first, begin, "right") - 1
-        at, away = begin - first[of], gone[begin]
-        left = [None if a else texts[i][o : o + n + SPAN - 1] for i, o, n, a in zip(of.tolist(), at.tolist(), count.tolist(), away.tolist(), strict=True)]
-        columns = [pa.array([part[i] for i in of.tolist()], pa.int32()), pa.array(docs[of]), pa.array([check[i] for i in of.tolist()], pa.binary())]
+        at, deal = begin - first[of], np.zeros(len(begin), dtype=np.int64)
+        left: list[bytes | None] = [None] * len(begin)
+        if rest and (stays := np.nonzero(~gone[begin])[0]).size:
+            kept = [texts[i][o : o + n + SPAN - 1] for i, o, n in zip(of[stays].tolist(), at[stays].tolist(), count[stays].tolist(), strict=True)]
+            halves = sided(kept)
+            run = np.array([r for r, *_ in halves])
+            cut = np.array([c for _, c, _ in halves], dtype=np.int64)
+            ends = np.where(np.concatenate([run[1:] == run[:-1], [False]]), np.concatenate([cut[1:], [0]]), count[stays][run])
+            left = [None] * (len(begin) - len(stays)) + [kept[r][c : e + SPAN - 1] for r, c, e in zip(run.tolist(), cut.tolist(), ends.tolist(), strict=True)]
+            away = np.nonzero(gone[begin])[0]
+            deal = np.concatenate([deal[away], np.array([h for *_, h in halves], dtype=np.uint64).view(np.int64)])
+            of, at, count = (np.concatenate([x[away], y]) for x, y in ((of, of[stays][run]), (at, at[stays][run] + cut), (count, ends - cut)))
+        columns = [pa.array(deal), pa.array([part[i] for i in of.tolist()], pa.int32()), pa.array(docs[of]), pa.array([check[i] for i in of.tolist()], pa.binary())]
         columns += [pa.array(np.array(start, dtype=np.int64)[of] + at), pa.array(count), pa.array(left, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "check", "start", "strings", "bytes"])
+        return pa.RecordBatch.from_arrays(columns, names=["deal", "part", "doc_id", "check", "start", "strings", "bytes"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, weight = [[] for _ in range(6)], 0
@@ -478,7 +514,7 @@ def repeated_strings(segments: DataFrame) -> DataFrame:
     """(part, doc_id, check, start, strings): runs of strings of pending segments that also start in a smaller document.
 
     Segments meet by anchor. Those of wide anchors meet in shares first. What a share leaves, each different string of it
-    once or in one document, is dealt by the bytes of its strings, so that a string met many times goes to no single task.
+    once or in one document, meets by the anchor and the bytes beside it, or, where these are as frequent, string by string.
     """
     counts = segments.groupBy("anchor").count().filter(F.col("count") > WIDE_ANCHOR).select("anchor", F.ceil(F.col("count") / WIDE_ANCHOR).cast("int").alias("shares"))
     rows = segments.join(stored(counts, "wide-anchors"), "anchor", "left")
@@ -486,11 +522,15 @@ def repeated_strings(segments: DataFrame) -> DataFrame:
     rows = rows.select(F.xxhash64("anchor", share).alias("deal"), F.col("shares").isNotNull().alias("wide"), "part", "doc_id", F.col("ranges").alias("check"), "start", F.col("kept").alias("bytes"))
     narrow = merged_runs(rows.filter("not wide"), rest=False)
     shared = stored(merged_runs(rows.filter("wide"), rest=True), "repeat-shares")
+    left = shared.filter("bytes IS NOT NULL")
+    frequent = left.groupBy("deal").count().filter(F.col("count") > WIDE_ANCHOR).select("deal", F.lit(True).alias("frequent"))
+    left = left.join(stored(frequent, "wide-sides"), "deal", "left")
     strings = F.transform(F.sequence(F.lit(0).cast("long"), F.col("strings") - 1), lambda i: F.struct(i.alias("at"), F.substring(F.col("bytes"), i.cast("int") + 1, F.lit(SPAN)).alias("bytes")))
-    left = shared.filter("bytes IS NOT NULL").select("part", "doc_id", "check", "start", F.explode(strings).alias("x"))
-    left = left.select(F.xxhash64("x.bytes").alias("deal"), "part", "doc_id", "check", (F.col("start") + F.col("x.at")).alias("start"), F.col("x.bytes").alias("bytes"))
-    found = narrow.unionByName(shared.filter("bytes IS NULL")).unionByName(merged_runs(left, rest=False))
-    return found.drop("bytes")
+    single = left.filter("frequent").select("part", "doc_id", "check", "start", F.explode(strings).alias("x"))
+    single = single.select(F.xxhash64("x.bytes").alias("deal"), "part", "doc_id", "check", (F.col("start") + F.col("x.at")).alias("start"), F.col("x.bytes").alias("bytes"))
+    again = left.filter("frequent IS NULL").select("deal", "part", "doc_id", "check", "start", "bytes").unionByName(single)
+    found = narrow.unionByName(shared.filter("bytes IS NULL")).unionByName(merged_runs(again, rest=False))
+    return found.drop("bytes", "deal")
 
 
 def finish(waiting: DataFrame, strings: DataFrame, give: Callable[[bytes, bytes], bytes]) -> DataFrame:

@@ -104,3 +104,18 @@ def test_nulls_and_characters(spark):
     kept = {r["doc_id"]: r["text"] for r in suffix_dedup.kept_texts(df).collect()}
     assert kept[2] == "x"
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_halves_of_runs():
+    rng = random.Random(11)
+    text = bytes(rng.choice(b"abcd") for _ in range(4000))
+    e = suffix_dedup.segments_of([(0, 0, False, False, text)])
+    runs = [text[s : s + n + 49] for s, n in zip(e.start.tolist(), e.strings.tolist(), strict=True)]
+    halves = suffix_dedup.sided(runs)
+    of_string = {}
+    for i, (run, cut, h) in enumerate(halves):
+        end = halves[i + 1][1] if i + 1 < len(halves) and halves[i + 1][0] == run else len(runs[run]) - 49
+        assert cut < end
+        for o in range(cut, end):
+            assert of_string.setdefault(runs[run][o : o + 50], h) == h
+    assert len(of_string) == len({text[i : i + 50] for i in range(len(text) - 49)})
