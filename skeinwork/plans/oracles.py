@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from skeinwork.functions.predicates import IGNORED_PARTS, SOURCE_SUFFIXES
-from skeinwork.plans.workload import DEPENDENCIES, FOREIGN_KEYS, ROUTINES, SCHEMA, TABLES
+from skeinwork.plans.workload import DEPENDENCIES, EXTRACT_IDS, FOREIGN_KEYS, ROUTINES, SCHEMA, TABLES
 
 ENT = """
 e AS (
@@ -98,11 +100,53 @@ SELECT CASE WHEN regexp_replace(source, '^[^:]*:', '') = '{t}' THEN 'outgoing' E
        CASE WHEN regexp_replace(source, '^[^:]*:', '') = '{t}' THEN regexp_replace(target, '^[^:]*:', '') ELSE regexp_replace(source, '^[^:]*:', '') END AS node, relationship
 FROM edges WHERE regexp_replace(source, '^[^:]*:', '') = '{t}' OR regexp_replace(target, '^[^:]*:', '') = '{t}'"""
 
+_SYSTEM = """
+WITH schemas AS (SELECT n_nationkey AS schema_id, n_name AS name FROM nation),
+tables AS (SELECT c_custkey AS object_id, c_name AS name, n_name AS schema_name, c_mktsegment AS temporal_type_desc FROM customer JOIN nation ON n_nationkey = c_nationkey),
+own AS (SELECT * FROM tables WHERE object_id % 10 <> 0),
+columns AS (SELECT o_custkey AS object_id, o_orderkey AS column_id, 'c' || o_orderkey AS name, CAST(substr(o_orderpriority, 1, 1) AS INT) AS type_id, o_orderkey % 40 - 1 AS size, o_orderkey % 2 AS nulls, o_orderstatus AS status FROM orders),
+codes AS (SELECT p_partkey, p_name, p_type, p_brand, n_name AS schema_name, ['P ', 'PC', 'FN', 'IF', 'TF', 'FS', 'FT', 'V ', 'U '][p_size % 9 + 1] AS code FROM part JOIN nation ON n_nationkey = p_partkey % 25),
+routines AS (SELECT * FROM codes WHERE p_partkey % 7 <> 0 AND code NOT IN ('V ', 'U '))
+"""
+_EXTRACTED = {
+    "tables": """SELECT schema_name, name AS table_name, object_id, temporal_type_desc FROM own WHERE {ids:object_id}""",
+    "columns": """
+SELECT t.schema_name, t.name AS table_name, c.object_id AS table_object_id, c.column_id, c.name AS column_name, ['int', 'nvarchar', 'nchar', 'decimal', 'varchar'][type_id] AS data_type,
+       CAST(CASE WHEN type_id IN (2, 3) AND size > 0 THEN size // 2 ELSE size END AS BIGINT) AS max_length, CAST(nulls AS BIGINT) AS is_nullable,
+       CASE WHEN status = 'F' THEN 'default ' || column_id END AS default_definition, CASE WHEN status = 'P' THEN 'computed ' || column_id END AS computed_definition
+FROM own t JOIN columns c USING (object_id) WHERE {ids:c.object_id}""",
+    "primary_keys": """
+SELECT t.schema_name, t.name AS table_name, c.name AS column_name, 'key ' || t.object_id AS constraint_name, CAST(c.column_id % 4 AS BIGINT) AS key_ordinal
+FROM own t JOIN columns c USING (object_id) WHERE t.object_id % 3 > 0 AND c.column_id % 3 = 0 AND {ids:t.object_id}""",
+    "foreign_keys": """
+SELECT 'fk ' || a.column_id AS foreign_key_name, p.schema_name AS parent_schema, p.name AS parent_table, a.name AS parent_column, r.schema_name AS referenced_schema, r.name AS referenced_table, b.name AS referenced_column,
+       p.object_id AS parent_object_id, r.object_id AS referenced_object_id, 'CASCADE' AS update_referential_action_desc
+FROM columns a JOIN columns b ON b.column_id = a.column_id - 1 JOIN own p ON p.object_id = a.object_id JOIN own r ON r.object_id = b.object_id WHERE {ids:p.object_id} OR {ids:r.object_id}""",
+    "routines": """
+SELECT schema_name, p_name AS object_name, p_partkey + 1000000 AS object_id, code AS object_type_code, p_type AS type_desc, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS definition
+FROM routines WHERE {ids:p_partkey + 1000000}""",
+    "dependencies": """
+SELECT DISTINCT p_partkey + 1000000 AS referencing_object_id, r.schema_name AS referencing_schema, p_name AS referencing_name, code AS referencing_type_code, t.object_id AS referenced_id,
+       CASE WHEN l_linenumber % 2 = 0 THEN l_orderkey ELSE 0 END AS referenced_minor_id, CASE WHEN l_linenumber = 2 THEN 'named' ELSE t.schema_name END AS referenced_schema,
+       CASE WHEN l_linenumber = 2 THEN 'entity ' || o_custkey ELSE t.name END AS referenced_table, c.name AS referenced_column
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN routines r ON p_partkey = l_partkey JOIN tables t ON t.object_id = o_custkey
+LEFT JOIN columns c ON c.object_id = t.object_id AND c.column_id = CASE WHEN l_linenumber % 2 = 0 THEN l_orderkey ELSE 0 END
+WHERE l_linenumber <> 3 AND ({ids:p_partkey + 1000000} OR {ids:t.object_id})""",
+}
+
+
+def _extracted() -> dict[str, str]:
+    """SQL of the catalog row sets, whole and for the listed objects."""
+    chosen = ", ".join(map(str, EXTRACT_IDS))
+    fill = lambda sql, listed: _SYSTEM + re.sub(r"\{ids:([^}]*)\}", rf"(\1) IN ({chosen})" if listed else "TRUE", sql)
+    whole = {f"catalog_extract_{name}": fill(sql, False) for name, sql in _EXTRACTED.items()}
+    return whole | {f"catalog_extract_{name}_of_ids": fill(sql, True) for name, sql in _EXTRACTED.items()}
+
 
 def oracle_sql() -> dict[str, str]:
     ignored = ", ".join(f"'{x}'" for x in IGNORED_PARTS)
     suffixes = ", ".join(f"'{x}'" for x in SOURCE_SUFFIXES)
-    return {
+    return _extracted() | {
         "search_nodes_exact": ent(" SELECT * FROM n WHERE id = 'nation:7' OR label = 'nation:7' ORDER BY id LIMIT 50"),
         "search_nodes_fuzzy": ent(" SELECT * FROM n WHERE contains(lower(id), 'supplier:1') OR contains(lower(label), 'supplier:1')"),
         "search_nodes_typed_limit": ent(" SELECT * FROM n WHERE (contains(lower(id), '1') OR contains(lower(label), '1')) AND contains(type, 'customer') ORDER BY id LIMIT 50"),

@@ -13,6 +13,7 @@ from skeinwork.model import PropertyGraph
 from skeinwork.operators import board, catalog_build, code, freshness, graph, schema
 from skeinwork.operators import cards as card_ops
 from skeinwork.plans import workload
+from skeinwork.sources.system_tables import SystemTables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,9 +89,29 @@ def _project_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return board.project_order(workload.cards(spark, sf_dir), named).withColumn("place", F.col("place").cast("long"))
 
 
+#: Columns of the extracted row sets that are not the same in every row.
+EXTRACTED = {
+    "tables": "schema_name table_name object_id temporal_type_desc",
+    "columns": "schema_name table_name table_object_id column_id column_name data_type max_length is_nullable default_definition computed_definition",
+    "primary_keys": "schema_name table_name column_name constraint_name key_ordinal",
+    "foreign_keys": "foreign_key_name parent_schema parent_table parent_column referenced_schema referenced_table referenced_column parent_object_id referenced_object_id update_referential_action_desc",
+    "routines": "schema_name object_name object_id object_type_code type_desc definition",
+    "dependencies": "referencing_object_id referencing_schema referencing_name referencing_type_code referenced_id referenced_minor_id referenced_schema referenced_table referenced_column",
+}
+
+
+def _extract(name: str, ids: tuple[int, ...] | None = None) -> Query:
+    def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = getattr(SystemTables(workload.system_tables(spark, sf_dir), ids), name)()
+        return found.select(*((F.col(c).cast("long").alias(c) if t == "int" else c) for c, t in found.dtypes if c in EXTRACTED[name].split()))
+
+    return plan
+
+
 def queries() -> dict[str, Query]:
     c = _on_catalog
-    return {
+    extracts = {f"catalog_extract_{name}": _extract(name) for name in EXTRACTED} | {f"catalog_extract_{name}_of_ids": _extract(name, workload.EXTRACT_IDS) for name in EXTRACTED}
+    return extracts | {
         "search_nodes_exact": _on_graph(lambda g: _nodes(graph.search_nodes(g, "nation:7"))),
         "search_nodes_fuzzy": _on_graph(lambda g: _nodes(graph.search_nodes(g, "SUPPLIER:1", fuzzy=True, limit=1_000_000))),
         "search_nodes_typed_limit": _on_graph(lambda g: _nodes(graph.search_nodes(g, "1", node_type="customer", fuzzy=True, limit=50))),

@@ -111,3 +111,42 @@ def card_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").cast("string").alias("card_id"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("description"), F.col("event_type").alias("status"),
         F.when(F.col("event_type") == "click", k).alias("priority"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("at"), F.struct("ts", "event_id").alias("seq"),
     )
+
+
+#: Type codes given to parts as objects, and data types given to orders as columns.
+OBJECT_TYPES = ("P ", "PC", "FN", "IF", "TF", "FS", "FT", "V ", "U ")
+DATA_TYPES = ("int", "nvarchar", "nchar", "decimal", "varchar")
+#: Objects around which the catalog is extracted: tables, a shipped one, and routines.
+EXTRACT_IDS = (3, 4, 10, 77, 1_000_005, 1_000_012)
+
+
+def system_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """System tables as large as the star: customers are tables, their orders columns, parts routines and other objects."""
+    t = lambda name: table(spark, sf_dir, name)
+    none = F.lit(None).cast("timestamp")
+    order = t("orders")
+    kind = F.element_at(F.array(*map(F.lit, OBJECT_TYPES)), (F.col("p_size") % len(OBJECT_TYPES) + 1).cast("int"))
+    other = order.select(F.col("o_orderkey").alias("x"), F.col("o_custkey").alias("y"))
+    linked = order.join(other, F.col("x") == F.col("o_orderkey") - 1)
+    text = lambda prefix, column: F.concat(F.lit(prefix), F.col(column).cast("string"))
+    return {
+        "schemas": t("nation").select(F.col("n_nationkey").alias("schema_id"), F.col("n_name").alias("name")),
+        "tables": t("customer").select(F.col("c_custkey").alias("object_id"), F.col("c_nationkey").alias("schema_id"), F.col("c_name").alias("name"), none.alias("create_date"), none.alias("modify_date"), F.lit(0).alias("is_memory_optimized"), F.col("c_mktsegment").alias("temporal_type_desc"), (F.col("c_custkey") % 10 == 0).alias("is_ms_shipped")),
+        "columns": order.select(
+            F.col("o_custkey").alias("object_id"), F.col("o_orderkey").alias("column_id"), text("c", "o_orderkey").alias("name"), F.substring("o_orderpriority", 1, 1).cast("int").alias("user_type_id"), (F.col("o_orderkey") % 40 - 1).cast("int").alias("max_length"), F.lit(10).alias("precision"),
+            F.lit(0).alias("scale"), (F.col("o_orderkey") % 2).cast("int").alias("is_nullable"), F.lit(0).alias("is_identity"), F.lit(0).alias("is_computed"), F.lit(None).cast("string").alias("collation_name"),
+        ),
+        "types": spark.createDataFrame(list(enumerate(DATA_TYPES, 1)), "user_type_id int, name string"),
+        "default_constraints": order.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("parent_object_id"), F.col("o_orderkey").alias("parent_column_id"), text("default ", "o_orderkey").alias("definition")),
+        "computed_columns": order.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("object_id"), F.col("o_orderkey").alias("column_id"), text("computed ", "o_orderkey").alias("definition")),
+        "key_constraints": t("customer").select(F.col("c_custkey").alias("parent_object_id"), F.lit(1).alias("unique_index_id"), text("key ", "c_custkey").alias("name"), F.when(F.col("c_custkey") % 3 > 0, "PK").otherwise("UQ").alias("type")),
+        "index_columns": order.select(F.col("o_custkey").alias("object_id"), F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(2).alias("index_id"), F.col("o_orderkey").alias("column_id"), (F.col("o_orderkey") % 4).cast("int").alias("key_ordinal")),
+        "foreign_keys": order.select(F.col("o_orderkey").alias("object_id"), text("fk ", "o_orderkey").alias("name"), F.lit("NO_ACTION").alias("delete_referential_action_desc"), F.lit("CASCADE").alias("update_referential_action_desc"), F.lit(0).alias("is_disabled"), F.lit(1).alias("is_not_trusted")),
+        "foreign_key_columns": linked.select(F.col("o_orderkey").alias("constraint_object_id"), F.lit(1).alias("constraint_column_id"), F.col("o_custkey").alias("parent_object_id"), F.col("o_orderkey").alias("parent_column_id"), F.col("y").alias("referenced_object_id"), F.col("x").alias("referenced_column_id")),
+        "objects": t("part").select((F.col("p_partkey") + 1_000_000).alias("object_id"), (F.col("p_partkey") % 25).cast("int").alias("schema_id"), F.col("p_name").alias("name"), kind.alias("type"), F.col("p_type").alias("type_desc"), none.alias("create_date"), none.alias("modify_date"), (F.col("p_partkey") % 7 == 0).alias("is_ms_shipped")),
+        "sql_modules": t("part").filter("p_partkey % 3 <> 0").select((F.col("p_partkey") + 1_000_000).alias("object_id"), F.col("p_brand").alias("definition"), F.lit(0).alias("is_schema_bound"), F.lit(1).alias("uses_ansi_nulls"), F.lit(1).alias("uses_quoted_identifier")),
+        "sql_expression_dependencies": t("lineitem").join(order, F.col("l_orderkey") == F.col("o_orderkey")).select(
+            (F.col("l_partkey") + 1_000_000).alias("referencing_id"), F.when(F.col("l_linenumber") != 3, F.col("o_custkey")).alias("referenced_id"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_orderkey")).otherwise(0).alias("referenced_minor_id"),
+            F.when(F.col("l_linenumber") == 2, F.lit("named")).alias("referenced_schema_name"), F.when(F.col("l_linenumber") == 2, text("entity ", "o_custkey")).alias("referenced_entity_name"), F.lit(0).alias("is_schema_bound_reference"), F.lit(0).alias("is_ambiguous"),
+        ),
+    }

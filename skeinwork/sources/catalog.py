@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from skeinwork import model
 from skeinwork.model import Catalog
+from skeinwork.sources.system_tables import SystemTables, jdbc_tables
 
 #: SQL type, length, precision and scale of each Spark type.
 SQL_TYPES = {
@@ -38,14 +39,11 @@ def column_rows(schema_name: str, tables: dict[str, tuple[int, DataFrame]]) -> l
     return rows
 
 
-def from_jdbc(spark: SparkSession, url: str, statements: dict[str, str], object_ids: list[int] | None = None, **options: str) -> Catalog:
-    """A catalog read by one statement for each row set; needs the driver's jar, which this repository doesn't bring.
+def from_jdbc(spark: SparkSession, url: str, object_ids: list[int] | None = None, **options: str) -> Catalog:
+    """A catalog read from a server's system tables; needs the driver's jar, which this repository doesn't bring.
 
-    statements maps tables, columns, primary_keys, foreign_keys, routines and dependencies to SQL. With object_ids each
-    statement's {ids} becomes their list, so the server prunes; an empty list reads nothing.
+    With object_ids the server prunes by them; an empty list reads nothing.
     """
     if object_ids is not None and not object_ids:
         return from_rows(spark)
-    ids = ", ".join(str(int(i)) for i in object_ids or [])
-    load = lambda sql: spark.read.format("jdbc").options(url=url, query=sql.replace("{ids}", ids), **options).load()
-    return Catalog(**{name: load(sql) for name, sql in statements.items()})
+    return SystemTables(jdbc_tables(spark, url, **options), object_ids).catalog()
