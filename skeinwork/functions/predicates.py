@@ -11,8 +11,6 @@ SOURCE_SUFFIXES = (
     ".py", ".pyi", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".java", ".kt", ".kts", ".go", ".rs", ".c", ".h", ".cpp", ".hpp", ".cs", ".rb", ".php", ".swift", ".scala",
     ".sh", ".bash", ".zsh", ".sql", ".md", ".mdx", ".rst", ".html", ".css", ".scss", ".vue", ".svelte", ".toml", ".yaml", ".yml", ".json",
 )
-#: Where generated files lie; callers give the prefixes of their own project.
-GENERATED_PREFIXES = ("graph-out/", ".graphs/db/")
 
 
 def text(name: str) -> Column:
@@ -52,14 +50,19 @@ def without_prefix(name: str) -> Column:
     return F.regexp_replace(text(name), "^[^:]*:", "")
 
 
-def is_generated(path: Column, prefixes: tuple[str, ...] = GENERATED_PREFIXES) -> Column:
+def is_generated(path: Column, prefixes: tuple[str, ...]) -> Column:
+    """Whether a path is one of the folders that tools write, or lies in one; a null path is none."""
+    path = F.coalesce(path, F.lit(""))
     return _any((path == p.rstrip("/")) | path.startswith(p) for p in prefixes)
 
 
-def is_relevant_source(path: Column, prefixes: tuple[str, ...] = GENERATED_PREFIXES) -> Column:
-    """Not generated, in no ignored folder, and of a known suffix (in lower case)."""
+def is_relevant_source(path: Column, generated: tuple[str, ...] = ()) -> Column:
+    """Not generated, in no ignored folder (nor in one named like the first part of a generated one), and of a known suffix
+    (in lower case). A null path is none."""
+    path = F.coalesce(path, F.lit(""))
+    ignored = [*IGNORED_PARTS, *sorted({p.split("/")[0] for p in generated})]
     suffix = F.lower(F.regexp_extract(path, r"[^/.][^/]*?(\.[^./]*)$", 1))
-    return ~is_generated(path, prefixes) & ~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, IGNORED_PARTS))) & suffix.isin(*SOURCE_SUFFIXES)
+    return ~is_generated(path, generated) & ~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, ignored))) & suffix.isin(*SOURCE_SUFFIXES)
 
 
 def type_display() -> Column:

@@ -1,4 +1,4 @@
-"""Freshness: a cache with a time to live and its last good value, fingerprints, dirty marks, locks and registries."""
+"""Freshness: a cache with a time to live and its last good graph, fingerprints, dirty marks, locks and registries."""
 
 from __future__ import annotations
 
@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skeinwork.functions.predicates import is_relevant_source
+from skeinwork.model import PropertyGraph
+from skeinwork.storage import stored
+
 DEFAULT_TTL = 30.0
 STALE_AFTER = 30.0
 
@@ -25,8 +29,16 @@ def parse_ttl(given: str | None) -> float:
         return DEFAULT_TTL
 
 
+def materialised(graph: PropertyGraph) -> PropertyGraph:
+    """The graph as tables of its own, which neither its sources' changes nor their loss touch."""
+    return PropertyGraph(stored(graph.nodes, "graph-nodes"), stored(graph.edges, "graph-edges"))
+
+
 class GraphCache:
-    """Keeps a built graph for ttl seconds. A build that fails gives the last good graph and a warning, or the error."""
+    """Keeps a built graph for ttl seconds. A build that fails gives the last good graph and a warning, or the error.
+
+    The build must do its work (see materialised): a plan alone would read its sources again at every use.
+    """
 
     def __init__(self, build: Callable[[], Any], ttl: float = DEFAULT_TTL, clock: Callable[[], float] = time.time):
         self.build, self.ttl, self.clock = build, ttl, clock
@@ -66,6 +78,27 @@ def changed_fingerprints(states: DataFrame, key: str, order: str, *values: str)
     return states.withColumn("fingerprint", print_of).withColumn("changed", F.coalesce(seen != F.col("fingerprint"), F.lit(False)))
 
 
+class DirtyMark:
+    """A file that says that a graph is out of date. It is set for changes of relevant sources and cleared by a refresh."""
+
+    def __init__(self, path: str, generated: tuple[str, ...] = ()):
+        self.path, self.generated = Path(path), generated
+
+    def set_for(self, changed: DataFrame) -> bool:
+        """Sets the mark if one of the changed paths (path) is a relevant source; whether it did."""
+        if changed.filter(is_relevant_source(F.col("path"), self.generated)).isEmpty():
+            return False
+        self.path.parent.mkdir(parents=True, exist_ok=True)
+        self.path.touch()
+        return True
+
+    def is_set(self) -> bool:
+        return self.path.exists()
+
+    def clear(self) -> None:
+        self.path.unlink(missing_ok=True)
+
+
 class RefreshLock:
     """An exclusive file. A fresh one of another run means there is nothing to do; a stale one is removed."""
 

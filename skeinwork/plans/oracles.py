@@ -95,6 +95,10 @@ walk AS (
 ),
 best AS (SELECT node, min(struct_pack(level := level, key := key)) AS spot FROM walk GROUP BY node)"""
 
+_GRAPH_FACTS = """
+SELECT 'node' AS kind, id AS name, node_type AS type, qualified_name, NULL::BIGINT AS key FROM nodes
+UNION ALL SELECT 'edge', source || ' ' || target, relationship, NULL, key FROM edges"""
+
 _TABLE_EDGES = """
 SELECT CASE WHEN regexp_replace(source, '^[^:]*:', '') = '{t}' THEN 'outgoing' ELSE 'incoming' END AS direction,
        CASE WHEN regexp_replace(source, '^[^:]*:', '') = '{t}' THEN regexp_replace(target, '^[^:]*:', '') ELSE regexp_replace(source, '^[^:]*:', '') END AS node, relationship
@@ -230,6 +234,20 @@ def oracle_sql() -> dict[str, str]:
         "targeted_depth1": cat("," + NEAR.format(seed=_OIDS["nation"], depth=1)),
         "targeted_depth2": cat("," + NEAR.format(seed=100, depth=2)),
         "type_display": cat(" SELECT table_name, column_name, type_display FROM c"),
+        "graph_json_lines": cat(_GRAPH_FACTS),
+        "graph_graphml_lines": cat(_GRAPH_FACTS),
+        "graph_styles": cat(
+            """ SELECT id, CASE node_type WHEN 'Table' THEN '#2f6db5' WHEN 'Column' THEN '#8fb7a6' WHEN 'Procedure' THEN '#c2703d' ELSE '#8c5fb0' END AS color, CASE node_type WHEN 'Table' THEN 28 WHEN 'Column' THEN 12 ELSE 20 END::BIGINT AS size,
+            CASE node_type WHEN 'Table' THEN 'box' WHEN 'Column' THEN 'dot' WHEN 'Procedure' THEN 'diamond' ELSE 'triangle' END AS shape, concat_ws(chr(10), node_type, qualified_name, type_display) AS tooltip FROM nodes"""
+        ),
+        "graph_markdown_tables": cat(
+            f""", cells AS (SELECT table_name, column_id, '| `' || column_name || '` | `' || type_display || '` | Yes | ' || concat_ws(', ', CASE WHEN is_pk THEN 'PK' END,
+                CASE WHEN EXISTS (SELECT 1 FROM fk WHERE pt = table_name AND pc = column_name) THEN 'FK' END, CASE WHEN EXISTS (SELECT 1 FROM fk WHERE rt = table_name AND rc = column_name) THEN 'Referenced key' END) || ' |' AS line FROM c)
+            SELECT '{SCHEMA}.' || table_name AS qualified_name, '| Column | Type | Nullable | Key information |' || chr(10) || '|---|---|---:|---|' || chr(10) || string_agg(line, chr(10) ORDER BY column_id) AS body FROM cells GROUP BY table_name"""
+        ),
+        "graph_markdown_links": cat(f" SELECT '- `{SCHEMA}.' || pt || '` via `' || pc || '` → `{SCHEMA}.' || rt || '` via `' || rc || '` (`FK_' || pt || '_' || pc || '`)' AS line FROM fk"),
+        "card_page": f"WITH {CARDS} SELECT left(card_id::VARCHAR, 8) AS card_id, project, title, status, priority, left(created_at, 19) AS created_at, left(updated_at, 16) AS updated_at FROM k WHERE status = 'In Progress'",
+        "node_attributes": "SELECT 'customer:' || c_custkey AS id, length(c_name)::BIGINT AS size FROM customer WHERE contains('customer:' || c_custkey, '1') OR contains(c_name, '1')",
         "cards_list": f"WITH {CARDS} SELECT * FROM k",
         "cards_list_filtered": f"WITH {CARDS} SELECT * FROM k WHERE status = 'In Progress' AND priority = '1-URGENT'",
         "card_with_comments": f"WITH {CARDS} SELECT card_id, status, turn AS comment_id, role AS author, text AS comment FROM k LEFT JOIN conversations ON conv_id = card_id WHERE card_id = 0",
@@ -249,6 +267,6 @@ def oracle_sql() -> dict[str, str]:
             SELECT event_id, user_id, fingerprint, coalesce(lag(fingerprint) OVER (PARTITION BY user_id ORDER BY event_id) <> fingerprint, false) AS changed FROM x""",
         "relevant_sources": f"""
             WITH x AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages)
-            SELECT page_id, path FROM x WHERE NOT list_has_any(string_split(path, '/'), [{ignored}]) AND lower(regexp_extract(path, '[^/.][^/]*?(\\.[^./]*)$', 1)) IN ({suffixes})
+            SELECT page_id, path FROM x WHERE NOT list_has_any(string_split(path, '/'), [{ignored}, 'graph-out', '.graphs']) AND lower(regexp_extract(path, '[^/.][^/]*?(\\.[^./]*)$', 1)) IN ({suffixes})
             AND NOT (starts_with(path, 'graph-out/') OR path = 'graph-out' OR starts_with(path, '.graphs/db/') OR path = '.graphs/db')""",
     }

@@ -15,6 +15,8 @@ from skeinwork.operators import cards as card_ops
 from skeinwork.plans import workload
 from skeinwork.sources.system_tables import SystemTables
 
+#: Folders that the workload calls generated.
+GENERATED = ("graph-out/", ".graphs/db/")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -81,7 +83,7 @@ def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.regexp_replace("url", "^[a-z]+://", "")
-    return workload.table(spark, sf_dir, "pages").select("page_id", path.alias("path")).filter(P.is_relevant_source(F.col("path"))).select("page_id", "path")
+    return workload.table(spark, sf_dir, "pages").select("page_id", path.alias("path")).filter(P.is_relevant_source(F.col("path"), GENERATED)).select("page_id", "path")
 
 
 def _project_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +91,31 @@ def _project_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return board.project_order(workload.cards(spark, sf_dir), named).withColumn("place", F.col("place").cast("long"))
 
 
+def _json_facts(x) -> DataFrame:
+    """What the JSON lines of a built catalog tell, read back from them."""
+    lines, get = sinks.json_lines(_built(x)), lambda key: F.get_json_object("line", f"$.{key}")
+    return lines.select("kind", F.coalesce(get("id"), F.concat_ws(" ", get("source"), get("target"))).alias("name"), F.coalesce(get("node_type"), get("relationship")).alias("type"), get("qualified_name").alias("qualified_name"), get("key").cast("long").alias("key"))
+
+
+def _xml_facts(x) -> DataFrame:
+    """What the GraphML lines of a built catalog tell, read back from them."""
+    find = lambda path: F.nullif(F.xpath_string("line", F.lit(path)), F.lit(""))
+    name = F.coalesce(find("node/@id"), F.concat_ws(" ", find("edge/@source"), find("edge/@target")))
+    kind = F.coalesce(find("node/data[@key='n_node_type']"), find("edge/data[@key='e_relationship']"))
+    return sinks.graphml_lines(_built(x)).select("kind", name.alias("name"), kind.alias("type"), find("node/data[@key='n_qualified_name']").alias("qualified_name"), find("edge/data[@key='e_key']").cast("long").alias("key"))
+
+
+def _card_page(x: DataFrame) -> DataFrame:
+    return _card_columns(board.card_page(card_ops.list_cards(x, "In Progress")))
+
+
+def _attributes(g: PropertyGraph) -> DataFrame:
+    """Nodes by an attribute outside the fixed columns."""
+    with_attrs = PropertyGraph(g.nodes.withColumn("attrs", F.to_json(F.struct("id", "label", F.length("label").alias("size")))), g.edges)
+    size = F.get_json_object("attrs", "$.size").cast("long")
+    return graph.search_nodes(with_attrs, "1", "customer", fuzzy=True, limit=1_000_000).select("id", size.alias("size"))
+
+
 #: Columns of the extracted row sets that are not the same in every row.
 EXTRACTED = {
     "tables": "schema_name table_name object_id temporal_type_desc",
@@ -153,10 +180,13 @@ def queries() -> dict[str, Query]:
         "board_project_order": _project_order,
         "changed_fingerprint": _fingerprints,
         "relevant_sources": _sources,
-        "graph_json_lines": c(lambda x: sinks.json_lines(_built(x))),
-        "graph_graphml_lines": c(lambda x: sinks.graphml_lines(_built(x))),
+        "graph_json_lines": c(_json_facts),
+        "graph_graphml_lines": c(_xml_facts),
         "graph_markdown_tables": c(lambda x: sinks.markdown_tables(_built(x))),
-        "graph_styles": c(lambda x: sinks.styled(_built(x)).nodes.select("id", "color", "size", "shape", "tooltip")),
+        "graph_markdown_links": c(lambda x: sinks.markdown_links(_built(x))),
+        "graph_styles": c(lambda x: sinks.styled(_built(x)).nodes.select("id", "color", F.col("size").cast("long").alias("size"), "shape", "tooltip")),
+        "card_page": _on_cards(_card_page),
+        "node_attributes": _on_graph(_attributes),
     }
 
 

@@ -5,8 +5,12 @@ Lines are made on the executors; write_lines stores them as text files. Only sum
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
+from collections.abc import Mapping
+from typing import Any
+from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,11 +18,24 @@ from pyspark.sql import functions as F
 from skeinwork.model import PropertyGraph
 
 
+def _elements(frame: DataFrame, kind: str) -> DataFrame:
+    """Each row as a JSON object without its nulls; a graph that was read gives its elements as they came."""
+    body = F.col("attrs") if "attrs" in frame.columns else F.to_json(F.struct(*(c for c in frame.columns if c != "pos")))
+    place = F.col("pos") if "pos" in frame.columns else F.monotonically_increasing_id()
+    return frame.select(F.lit(kind).alias("kind"), body.alias("line"), place.alias("pos"))
+
+
 def json_lines(graph: PropertyGraph) -> DataFrame:
     """(kind, line): each node and edge as a JSON object without its nulls."""
-    nodes = graph.nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct(*graph.nodes.columns)).alias("line"))
-    edges = graph.edges.select(F.lit("edge").alias("kind"), F.to_json(F.struct(*(c for c in graph.edges.columns if c != "pos"))).alias("line"))
-    return nodes.unionByName(edges)
+    return _elements(graph.nodes, "node").drop("pos").unionByName(_elements(graph.edges, "edge").drop("pos"))
+
+
+def json_document(graph: PropertyGraph, metadata: Mapping[str, Any] | None = None) -> str:
+    """A whole node-link document, for graphs that people read (read_graph reads it back); larger ones are written as lines."""
+    listed = lambda frame, kind: [r[0] for r in _elements(frame, kind).orderBy("pos").select("line").collect()]
+    head = json.dumps({k: v for k, v in (metadata or {}).items() if v is not None}, ensure_ascii=False)
+    body = lambda frame, kind: "[\n" + ",\n".join(listed(frame, kind)) + "\n]"
+    return f'{{"metadata": {head},\n"directed": true,\n"multigraph": true,\n"nodes": {body(graph.nodes, "node")},\n"edges": {body(graph.edges, "edge")}}}\n'
 
 
 def _xml(column):
@@ -28,19 +45,43 @@ def _xml(column):
     return text
 
 
+#: GraphML's names of Spark's types; others are written as text.
+XML_TYPES = {"boolean": "boolean", "int": "int", "bigint": "long", "double": "double"}
+
+
+def _attributes(frame: DataFrame, ends: tuple[str, ...]) -> list[tuple[str, str]]:
+    return [(c, XML_TYPES.get(t, "string")) for c, t in frame.dtypes if c not in ("pos", *ends)]
+
+
 def graphml_lines(graph: PropertyGraph) -> DataFrame:
-    """(kind, line): each node and edge as a GraphML element; null attributes are empty, and an edge keeps its key.
+    """(kind, line): each node and edge as a GraphML element without its nulls; an edge keeps its key.
 
     An edge's id is made of its ends and key, which are unique, so no global numbering is needed.
     """
-    data = lambda c: F.concat(F.lit(f'<data key="{c}">'), _xml(F.col(c)), F.lit("</data>"))
-    nodes = graph.nodes.select(F.lit("node").alias("kind"), F.concat(F.lit('<node id="'), _xml(F.col("id")), F.lit('">'), *(data(c) for c in graph.nodes.columns if c != "id"), F.lit("</node>")).alias("line"))
+    data = lambda prefix, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f'<data key="{prefix}_{c}">'), _xml(F.col(c)), F.lit("</data>"))).otherwise("")
+    nodes = graph.nodes.select(F.lit("node").alias("kind"), F.concat(F.lit('<node id="'), _xml(F.col("id")), F.lit('">'), *(data("n", c) for c, _ in _attributes(graph.nodes, ("id",))), F.lit("</node>")).alias("line"))
     name = F.concat_ws("|", "source", "target", F.col("key").cast("string"))
-    rest = [data(c) for c in graph.edges.columns if c not in ("source", "target", "pos")]
+    rest = [data("e", c) for c, _ in _attributes(graph.edges, ("source", "target"))]
     edges = graph.edges.select(F.lit("edge").alias("kind"), F.concat(F.lit('<edge id="edge-'), _xml(name), F.lit('" source="'), _xml(F.col("source")), F.lit('" target="'), _xml(F.col("target")), F.lit('">'), *rest, F.lit("</edge>")).alias("line"))
     return nodes.unionByName(edges)
 
 
+def graphml_frame(graph: PropertyGraph, metadata: Mapping[str, Any] | None = None) -> tuple[str, str]:
+    """What stands before and after the lines of a GraphML document: its declarations, of every attribute, and its end."""
+    facts = {k: str(v) for k, v in (metadata or {}).items() if v is not None}
+    keys = [("n", "node", c, t) for c, t in _attributes(graph.nodes, ("id",))] + [("e", "edge", c, t) for c, t in _attributes(graph.edges, ("source", "target"))] + [("g", "graph", c, "string") for c in facts]
+    declared = "".join(f'<key id={quoteattr(f"{p}_{c}")} for="{whole}" attr.name={quoteattr(c)} attr.type="{t}"/>\n' for p, whole, c, t in keys)
+    told = "".join(f"<data key={quoteattr(f'g_{c}')}>{escape(v)}</data>\n" for c, v in facts.items())
+    head = f'<?xml version="1.0" encoding="utf-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n{declared}<graph edgedefault="directed">\n{told}'
+    return head, "</graph>\n</graphml>\n"
+
+
+def graphml_document(graph: PropertyGraph, metadata: Mapping[str, Any] | None = None) -> str:
+    """A whole GraphML document, for graphs that people read; larger ones are written as lines, nodes first, in the same frame."""
+    head, tail = graphml_frame(graph, metadata)
+    return head + "".join(r["line"] + "\n" for r in graphml_lines(graph).orderBy(F.desc("kind"), "line").collect()) + tail
+
+
 def markdown_tables(graph: PropertyGraph) -> DataFrame:
     """(qualified_name, body): the column table of each table, columns by number."""
     keys = F.concat_ws(", ", *(F.when(F.col(flag), F.lit(name)) for flag, name in (("is_primary_key", "PK"), ("is_foreign_key", "FK"), ("is_referenced_key", "Referenced key"), ("identity", "Identity"), ("computed", "Computed"))))
@@ -108,6 +149,13 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.partitionBy("kind").text(path)
 
 
+def write_documents(graph: PropertyGraph, folder: str, metadata: Mapping[str, Any] | None = None) -> None:
+    """graph.json, graph.graphml and graph.md of a built graph, each whole or not at all."""
+    os.makedirs(folder, exist_ok=True)
+    for name, text in (("graph.json", json_document(graph, metadata)), ("graph.graphml", graphml_document(graph, metadata)), ("graph.md", markdown(graph, str((metadata or {}).get("generated_at", ""))))):
+        replace_file(os.path.join(folder, name), text)
+
+
 def replace_file(path: str, text: str) -> None:
     """Writes a file whole or not at all."""
     handle, name = tempfile.mkstemp(dir=os.path.dirname(path) or ".")

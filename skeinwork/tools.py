@@ -18,7 +18,7 @@ from skeinwork.model import Catalog, PropertyGraph, QueryResult
 from skeinwork.operators import catalog_build, code, schema
 from skeinwork.operators import graph as graphs
 from skeinwork.operators.cards import CardStore, card_with_comments, list_cards
-from skeinwork.operators.freshness import DEFAULT_TTL, GraphCache
+from skeinwork.operators.freshness import DEFAULT_TTL, GraphCache, materialised
 
 
 def _rows(df: DataFrame) -> list[dict]:
@@ -58,7 +58,7 @@ class Tools:
 
     def __init__(self, load_code: Callable[[], PropertyGraph], load_catalog: Callable[[], Catalog], cards: CardStore, ttl: float = DEFAULT_TTL, code_path: str | None = None):
         self.load_code, self.load_catalog, self.store, self.code_path = load_code, load_catalog, cards, code_path
-        self.database = GraphCache(lambda: catalog_build.build_graph(load_catalog()), ttl)
+        self.database = GraphCache(lambda: materialised(catalog_build.build_graph(load_catalog())), ttl)
 
     def _graph(self, name: str) -> tuple[PropertyGraph, list[str]]:
         if name == "code":
@@ -179,7 +179,7 @@ class Tools:
     @_answer("cards")
     def list_cards(self, status: str | None = None, priority: str | None = None):
         rows = _rows(list_cards(self.store.cards(), status, priority))
-        return {"cards": rows, "total": len(rows)}, []
+        return {"cards": rows, "total": len(rows)}, []  # of the rows that were asked for, all of which are here
 
     @_answer("cards")
     def get_card(self, card_id: str):

@@ -31,7 +31,57 @@ def test_card_store(spark, tmp_path):
     said = cards.card_with_comments(store.cards(), store.comments(), card).collect()
     assert [r["comment"] for r in said] == ["one", "two", "Completion: done"]
     assert cards.list_cards(store.cards(), "", None).count() == 1 and cards.list_cards(store.cards(), "Created").count() == 0
-    assert cards.last_comment(store.comments(), card).first()[0] == 3
+    assert cards.last_comment(store.comments(), card).first()[0] == said[-1]["comment_id"]
+
+
+def test_two_writers(spark, tmp_path):
+    one, two = cards.CardStore(spark, str(tmp_path)), cards.CardStore(spark, str(tmp_path))
+    card = one.create_card("title")
+    for i in range(3):
+        one.update_card(card, title=f"one {i}")
+        two.update_card(card, title=f"two {i}")
+    ids = [store.add_comment(card, "me", "x") for store in (one, two, one, two)]
+    assert len(set(ids)) == 4 and ids == sorted(ids)
+    assert one.cards().first()["title"] == "two 2"
+    numbers = [r[0] for r in spark.read.parquet(one.events_path).select("seq").collect()]
+    assert len(set(numbers)) == 7
+
+
+def test_cached_graph_outlives_its_source(spark, tmp_path):
+    now, path = [0.0], tmp_path / "graph.json"
+    write = lambda n: path.write_text(json.dumps({"nodes": [{"id": f"n{i}"} for i in range(n)], "edges": []}))
+
+    def build():
+        graph = read_graph(spark, str(path))
+        if graph.nodes.isEmpty():
+            raise FileNotFoundError(str(path))
+        return freshness.materialised(graph)
+
+    write(2)
+    cache = freshness.GraphCache(build, 30, lambda: now[0])
+    assert cache.get()[0].nodes.count() == 2
+    write(5)
+    assert cache.get()[0].nodes.count() == 2  # within its time, whatever the source says
+    path.unlink()
+    assert cache.get()[0].nodes.count() == 2
+    now[0] = 40.0
+    with pytest.warns(UserWarning):
+        last, told = cache.get()
+    assert last.nodes.count() == 2 and "40 s old" in told[0]
+    write(5)
+    assert cache.get()[0].nodes.count() == 5
+
+
+def test_missing_graph_and_dirty_mark(spark, tmp_path):
+    with pytest.warns(UserWarning, match="no graph"):
+        graph = read_graph(spark, str(tmp_path / "none.json"))
+    assert graph.nodes.count() == graph.edges.count() == 0
+    mark = freshness.DirtyMark(str(tmp_path / "state" / "dirty"), ("made/",))
+    paths = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    assert not mark.set_for(paths("made/a.py", "notes.txt", None)) and not mark.is_set()
+    assert mark.set_for(paths("notes.txt", "src/a.py")) and mark.is_set()
+    mark.clear()
+    assert not mark.is_set() and freshness.should_refresh(mark.is_set(), report_exists=False)
 
 
 def test_board(spark):
@@ -91,7 +141,7 @@ def test_cache_and_lock(tmp_path):
 
 def test_predicates(spark):
     df = spark.createDataFrame([("src/a.py",), ("build/a.py",), ("a.PY",), ("graph-out/x.py",), ("graph-out",), ("a.txt",), (".py",)], "path string")
-    assert {r["path"] for r in df.filter(P.is_relevant_source(F.col("path"))).collect()} == {"src/a.py", "a.PY"}
+    assert {r["path"] for r in df.filter(P.is_relevant_source(F.col("path"), ("graph-out/",))).collect()} == {"src/a.py", "a.PY"}
     kinds = spark.createDataFrame([("nvarchar", -1, 0, 0), ("char", 5, 0, 0), ("decimal", 9, 10, 2), ("time", 5, 0, 3), ("int", 4, 10, 0), ("varchar", None, 0, 0)], "data_type string, max_length int, precision int, scale int")
     assert [r[0] for r in kinds.select(P.type_display()).collect()] == ["nvarchar(max)", "char(5)", "decimal(10,2)", "time(3)", "int", "varchar"]
     roots = spark.createDataFrame([("/a/x",), ("/b/x/",), ("/c/y",)], "root string")

@@ -1,12 +1,14 @@
 """The catalog builder and the schema operators on a chain of tables with a routine."""
 
 import json
+from xml.etree import ElementTree
 
 import pytest
 
 from skeinwork import sinks
 from skeinwork.operators import catalog_build, graph, schema
 from skeinwork.sources.catalog import from_rows
+from skeinwork.sources.graph_json import read_graph, read_lines
 
 
 def rows(**common):
@@ -73,7 +75,7 @@ def test_schema_operators(catalog, monkeypatch):
         assert schema.depth_of("routine") == depth
 
 
-def test_sinks(catalog, tmp_path):
+def test_sinks(spark, catalog, tmp_path):
     g = catalog_build.build_graph(catalog)
     lines = [json.loads(r["line"]) for r in sinks.json_lines(g).collect()]
     assert len(lines) == 17 and all(v is not None for x in lines for v in x.values())
@@ -82,5 +84,25 @@ def test_sinks(catalog, tmp_path):
     assert all(r["line"].startswith(("<node", "<edge")) for r in sinks.graphml_lines(g).collect())
     styled = sinks.styled(g)
     assert styled.nodes.filter("color IS NULL").count() == 0 and styled.edges.filter("width IS NULL").count() == 0
+    sinks.write_documents(g, str(tmp_path / "out"), {"database": "db <1>", "generated_at": "now", "server": None})
+    back = read_graph(spark, str(tmp_path / "out" / "graph.json"))
+    plain = lambda found: sorted(json.dumps(json.loads(x), sort_keys=True) for x in found)
+    assert plain(r["attrs"] for r in back.nodes.unionByName(back.edges, allowMissingColumns=True).collect()) == plain(r["line"] for r in sinks.json_lines(g).collect())
+    whole = json.loads((tmp_path / "out" / "graph.json").read_text())
+    assert whole["metadata"] == {"database": "db <1>", "generated_at": "now"} and whole["directed"] and whole["multigraph"]
+    sinks.replace_file(str(tmp_path / "again.json"), sinks.json_document(back))  # a graph that was read is written as it came
+    again = json.loads((tmp_path / "again.json").read_text())
+    assert (again["nodes"], again["edges"]) == (whole["nodes"], whole["edges"])
+    sinks.write_lines(sinks.json_lines(g), str(tmp_path / "lines"))
+    lined = read_lines(spark, str(tmp_path / "lines"))
+    assert lined.nodes.count() == back.nodes.count() and {r["src"] for r in lined.edges.collect()} == {r["src"] for r in back.edges.collect()}
+    space = "{http://graphml.graphdrawing.org/xmlns}"
+    root = ElementTree.parse(tmp_path / "out" / "graph.graphml").getroot()
+    declared = {k.get("id"): k for k in root.iter(f"{space}key")}
+    used = {d.get("key") for d in root.iter(f"{space}data")}
+    assert used <= set(declared) and {declared[k].get("attr.type") for k in declared} <= {"string", "boolean", "int", "long", "double"}
+    assert {n.get("id") for n in root.iter(f"{space}node")} == {r["id"] for r in g.nodes.collect()}
+    assert len({e.get("id") for e in root.iter(f"{space}edge")}) == g.edges.count() and root.find(f"{space}graph").get("edgedefault") == "directed"
+    assert next(d.text for d in root.iter(f"{space}data") if d.get("key") == "g_database") == "db <1>"
     sinks.replace_file(str(tmp_path / "x.md"), text)
     assert (tmp_path / "x.md").read_text() == text

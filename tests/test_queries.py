@@ -10,7 +10,8 @@ from skeinwork.plans import oracles
 from skeinwork.plans import queries as plans
 
 SF_DIR = "/root/testdata/sf0.001"
-NAMES = ("search_nodes_typed_limit", "neighbors_both", "graph_counts", "get_symbol_edges", "impact_analysis", "callers_direct", "catalog_nodes", "catalog_edges", "table_fk_pairs", "type_display", "cards_list_filtered", "card_current_state", "board_counts", "board_top3", "board_project_order", "changed_fingerprint", "relevant_sources")
+NAMES = ("search_nodes_typed_limit", "neighbors_both", "graph_counts", "get_symbol_edges", "impact_analysis", "callers_direct", "catalog_nodes", "catalog_edges", "table_fk_pairs", "type_display", "cards_list_filtered", "card_current_state", "board_counts", "board_top3", "board_project_order", "changed_fingerprint", "relevant_sources", "graph_json_lines", "graph_graphml_lines", "graph_styles", "graph_markdown_tables", "graph_markdown_links", "card_page", "node_attributes")
+NAMES += tuple(f"catalog_extract_{name}{ids}" for name in plans.EXTRACTED for ids in ("", "_of_ids"))
 
 
 def plain(df):
