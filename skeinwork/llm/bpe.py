@@ -15,7 +15,7 @@ from skeinwork.llm.tokens import UnitEncoder, read_ranks, token_bytes, tokenizer
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Texts are encoded together up to so many bytes.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 
 
 @cache

@@ -26,7 +26,7 @@ END_ID = 0
 #: Ids of a full batch, all of one bucket.
 BATCH_IDS = 1 << 16
 #: Texts are encoded together up to so many bytes.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 
 
 @cache

@@ -115,7 +115,7 @@ class UnitEncoder:
     of texts first, as the library does, unless the tokenizer's encode_special_tokens makes them ordinary text.
     """
 
-    def __init__(self, tokenizer, pattern: str, most_units: int = 800_000, most_matches: int = 500_000):
+    def __init__(self, tokenizer, pattern: str, most_units: int = 300_000, most_matches: int = 300_000):
         self.tokenizer = tokenizer
         self.split = regex.compile(pattern).findall
         self.units, self.matches = Recent(self._encode, most_units), Recent(self._encode_matches, most_matches)

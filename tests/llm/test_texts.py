@@ -236,3 +236,127 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(rows, docs.schema)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, d)
     assert packed.select("doc_id").distinct().count() == seen
+
+
+def test_ratio_against_plain_python(spark):
+    rows = [*corpus(90), (3, corpus(90)[3][1]), (901, None), (902, "long word " * 40_000), (903, ""), (None, corpus(90)[4][1])]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_words int").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 6 != 0), 0) for i in range(0, 90, 2)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    chosen = quality.trusted_ids(labels)
+    fitting, held = {d for d, fits in chosen if fits}, {d for d, fits in chosen if not fits}
+    assert fitting and held and not any(d % 6 == 0 for d in fitting | held)
+    raw, target = [0] * quality.BUCKETS, [0] * quality.BUCKETS
+    for doc, text in rows:
+        for b in quality.trigram_buckets((text or "").encode()).tolist():
+            raw[b] += 1
+            target[b] += doc in fitting
+    whole, trusted = sum(raw), sum(target)
+    ratio = [math.log((t + 1) / (trusted + quality.BUCKETS)) - math.log((r + 1) / (whole + quality.BUCKETS)) for r, t in zip(raw, target, strict=True)]
+
+    def score(text):
+        buckets = quality.trigram_buckets((text or "").encode()).tolist()
+        return sum(ratio[b] for b in buckets) / len(buckets) if buckets else 0.0
+
+    ordered = sorted(score(t) for d, t in rows if d in held)
+    place = quality.TRUSTED_LOSS * (len(ordered) - 1)
+    low = int(place)
+    level = ordered[low] + (place - low) * (ordered[min(low + 1, len(ordered) - 1)] - ordered[low])
+    assert model.threshold == pytest.approx(level - quality.MARGIN)
+    want = sorted((d or -1, score(t) >= level - quality.MARGIN and not (n < 50 or 100 * rep > 50 * n)) for d, t in rows for n, *_, rep in [quality.base_features((t or "").encode())])
+    got = quality.score_documents(docs, model).collect()
+    assert sorted((r["doc_id"] or -1, r["kept"]) for r in got) == want
+    assert all(r["score"] == pytest.approx(score(dict(rows)[r["doc_id"]])) for r in got if r["doc_id"] != 3)
+
+
+def test_random_reply_trees(spark):
+    rng = random.Random(21)
+    rows = []
+    for tree in [*range(6), None]:
+        size = rng.randint(1, 25)
+        for m in range(size):
+            rows.append((tree, m, rng.choice([None, *range(m)]) if m else rng.choice([None, 99]), rng.choice(["user", "assistant"]), f"t{tree} {m} <|", rng.choice([0.0, 1.0, 2.0, None])))
+    rows += [(50, m, m - 1 if m else None, "assistant" if m % 2 else "user", f"long {m}", 1.0) for m in range(300)]
+    got = {}
+    for r in chat.format_trees(spark.createDataFrame([(*r, "x", 1) for r in rows], "tree long, message long, parent long, role string, text string, score double, leaf string, rank int"), None).collect():
+        spans = list(zip(r["loss_spans"][::2], r["loss_spans"][1::2], strict=True))
+        got[r["conv_id"], r["leaf"]] = (r["rank"], r["branch_score"], chat.read_turns(r["formatted"]), [chat.unescape(r["formatted"][a:b]) for a, b in spans])
+    want = {}
+    for tree in {r[0] for r in rows}:
+        own = {r[1]: r for r in rows if r[0] == tree}
+        paths = []
+        for leaf in set(own) - {r[2] for r in own.values()}:
+            path, at = [], leaf
+            while at in own:
+                path.append(own[at])
+                at = own[at][2]
+            paths.append((-sum(m[5] or 0.0 for m in path), leaf, path[::-1]))
+        learned = set()
+        for rank, (score, leaf, path) in enumerate(sorted(paths, key=lambda p: p[:2]), 1):
+            mine = [m for m in path if m[3] == "assistant" and m[1] not in learned]
+            learned |= {m[1] for m in mine}
+            want[tree, leaf] = (rank, -score, [(m[3], m[4]) for m in path], [m[4] for m in mine])
+    assert got == want
+
+
+def planted_documents():
+    rng = random.Random(31)
+    words = ["".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randint(2, 8))) for _ in range(900)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage = text(60)
+    rows = [(i, "\n".join([text(30), text(30), *(["one common line of many documents"] if i % 2 else [])])) for i in range(40)]
+    rows += [(100 + i, rows[i][1]) for i in range(4)]  # exact copies
+    rows += [(110 + i, rows[i + 5][1].replace(rows[i + 5][1].split(" ")[25], "changed", 1)) for i in range(4)]  # near copies
+    rows += [(120 + i, f"{text(40)} {passage} {text(40)}") for i in range(3)]  # a shared passage
+    rows += [(130, None), (131, ""), (None, text(70)), (None, text(70)), (7, text(70)), (140, "the same words again " * 40), (141, text(30_000))]
+    return rows
+
+
+def test_pipeline_against_plain_python(spark):
+    import corpus_pipeline
+    from skeinwork.llm import shingles, simhash
+
+    rows = planted_documents()
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), 1, "x") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, n int, cls string").repartition(3)
+    plain = lambda df: sorted(((-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "") for r in df.collect()))
+    # quality rules without a trusted document are the base rules
+    model = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    first = quality.filter_documents(docs, model)
+    good = [(d, t) for d, t in rows for n, *_, rep in [quality.base_features((t or "").encode())] if n >= 50 and 100 * rep <= 50 * n]
+    assert plain(first) == sorted((-1 if d is None else d, t) for d, t in good) and first.columns == docs.columns
+    # lines
+    second = corpus_pipeline.line_deduplication(spark, first, "")
+    lined = [(d, "\n".join(x for x in t.split("\n") if x != "one common line of many documents")) for d, t in good]
+    assert plain(second) == sorted((-1 if d is None else d, t) for d, t in lined) and second.columns == docs.columns
+    # near copies: of a component the least doc_id stays
+    third = corpus_pipeline.near_deduplication(spark, second, "")
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t in lined]
+    part = list(range(len(lined)))
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if shingles.alike(len(sets[i] & sets[j]), len(sets[i]), len(sets[j]), 4, 5)]
+    for i, j in links * 3:
+        low, high = sorted((part[i], part[j]))
+        part = [low if x == high else x for x in part]
+    best = {}
+    for p, (d, t) in zip(part, lined, strict=True):
+        best[p] = min(best.get(p, (True, math.inf, "")), (d is None, d or 0, t))
+    kept = sorted((-1 if none else d, t) for none, d, t in best.values())
+    assert len(links) >= 6 and plain(third) == kept and third.columns == docs.columns
+    # repeated strings of 50 bytes
+    fourth = corpus_pipeline.suffix_deduplication(spark, third, "")
+    started, out = {}, []
+    for d, t in kept:
+        raw = t.encode()
+        for i in range(len(raw) - 49):
+            started[raw[i : i + 50]] = min(started.get(raw[i : i + 50], d), d)
+    for d, t in kept:
+        raw, gone = t.encode(), set()
+        for i in range(len(raw) - 49):
+            if started[raw[i : i + 50]] < d:
+                gone.update(range(i, i + 50))
+        out.append((d, bytes(b for i, b in enumerate(raw) if i not in gone).decode("utf-8", "ignore")))
+    assert plain(fourth) == sorted(out) and out != kept
+    # packing: every id once
+    packed = corpus_pipeline.pack_sequences(spark, fourth, "").collect()
+    assert sum(r["length"] for r in packed) == sum(r["doc_tokens"] for r in packed if r["start"] == 0)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs.limit(0), "").count() == 0
