@@ -40,7 +40,10 @@ def newest(cards: DataFrame, top: int | None = 3) -> DataFrame:
 
 
 def project_order(cards: DataFrame, projects: DataFrame | None = None) -> DataFrame:
-    """(place, project, last_activity): latest activity first, inactive projects last, then by name; a row per project."""
+    """(place, project, last_activity): latest activity first, inactive projects last, then by name; a row per project.
+
+    Places need one order of all projects, so one task ranks them; they are the rows of an aggregate, one each.
+    """
     per = column_counts(cards, projects).select("project", "last_activity")
     return per.select(F.row_number().over(W.orderBy(F.desc_nulls_last("last_activity"), "project")).alias("place"), "project", "last_activity")
 

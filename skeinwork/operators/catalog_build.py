@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import fields
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -143,7 +141,3 @@ def build_targeted(catalog: Catalog, entry: str, entry_type: str, depth: int = 1
         Catalog(tables, of(catalog.columns, "table_object_id"), keyed, of(catalog.foreign_keys, "parent_object_id", "referenced_object_id"), of(catalog.routines, "object_id"), of(catalog.dependencies, "referencing_object_id", "referenced_object_id")),
         include_definitions,
     )
-
-
-def row_set_names() -> list[str]:
-    return [f.name for f in fields(Catalog)]

@@ -10,21 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in local mode only, a fresh one where it is unset."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     fresh = "file://" + tempfile.mkdtemp(prefix="skeinwork-")
     spark.sparkContext.setCheckpointDir(fresh)
     return fresh
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, cut from its lineage by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df, cut from its lineage by a table in the shared folder, which is computed once (a checkpoint computes it twice)."""
+    return stored(df, "step")
 
 
 def stored(df: DataFrame, label: str, partition_by: Iterable[str] = ()) -> DataFrame:
