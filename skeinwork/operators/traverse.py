@@ -79,7 +79,7 @@ def simple_paths(edges: DataFrame, source: str, target: str, max_depth: int, cap
     nothing; the loop ends with the level at which the cap is reached.
     """
     spark = edges.sparkSession
-    edges = fixed(edges)
+    edges = fixed(edges) if max_depth > 1 else edges
     around = links(edges, "out" if directed else "both")
     walks = spark.createDataFrame([(source, [source], [], [])], "last string, nodes array<string>, rels array<string>, key array<int>")
     if source == target or max_depth < 0:
@@ -109,7 +109,7 @@ def simple_paths(edges: DataFrame, source: str, target: str, max_depth: int, cap
 
 def dependency_rows(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """(other, rel, depth, order_key): each edge within reach once, from the end that a queue takes out first."""
-    around = links(fixed(edges), "both")
+    around = links(fixed(edges) if depth > 1 else edges, "both")
     found = levels(around, start, depth)
     inner = found.filter(F.col("level") < depth)
     touched = numbered(around.join(inner, "node"))
@@ -125,7 +125,7 @@ def caller_rows(calls: DataFrame, start: DataFrame, transitive: bool, max_depth:
     Direct rows always come whole. A node at level l of at most max_depth - 1 adds its inbound edges at depth l + 1; with
     a cap, nodes are taken in queue order while the rows before them number fewer than the cap.
     """
-    around = links(fixed(calls) if transitive else calls, "in")
+    around = links(fixed(calls) if transitive and max_depth > 1 else calls, "in")
     direct = around.join(F.broadcast(start.select("node")), "node").select(F.col("other").alias("caller"), "rel", F.lit(1).alias("depth"))
     if not transitive:
         return direct
