@@ -84,7 +84,8 @@ class LineRuns:
 
     def _run(self, keys: DataFrame) -> DataFrame:
         name = f"skeinwork_lines_{uuid.uuid4().hex}"
-        keys.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
+        # one task for each bucket already, unless a configuration has dealt the keys to more
+        keys.coalesce(self.buckets).write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
         return self.spark.table(name)
 
     def fresh(self, batch: DataFrame) -> DataFrame:
