@@ -92,10 +92,11 @@ def format_trees(messages: DataFrame, best: int | None = 1) -> DataFrame:
 
     messages holds (tree, message, parent, role, text, score). A branch's score is the sum over its path; the `best`
     paths of a tree are kept (None: all), ties going to the least leaf. A learned message that several chosen paths share
-    is in the loss of the best of them only, so it is learned once. Messages of a null tree are one tree. Empty input gives no rows. One formatted conversation
-    must fit in memory; trees of any size are spread by (tree, leaf).
+    is in the loss of the best of them only, so it is learned once. Messages of a null tree are one tree. Empty input
+    gives no rows. Other columns may have any name. One formatted conversation must fit in memory; trees of any size are
+    spread by (tree, leaf).
     """
-    messages = _keyed(messages)
+    messages = _keyed(messages.select("tree", "message", "parent", "role", "text", "score"))
     paths = leaf_paths(messages).join(messages.drop("parent"), ["tree", "message"])
     ranked = paths.groupBy("tree", "leaf").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("branch_score"))
     ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.col("branch_score").desc(), "leaf")))
