@@ -96,8 +96,8 @@ walk AS (
 best AS (SELECT node, min(struct_pack(level := level, key := key)) AS spot FROM walk GROUP BY node)"""
 
 _GRAPH_FACTS = """
-SELECT 'node' AS kind, id AS name, node_type AS type, qualified_name, NULL::BIGINT AS key FROM nodes
-UNION ALL SELECT 'edge', source || ' ' || target, relationship, NULL, key FROM edges"""
+SELECT 'node' AS kind, id AS name, node_type AS type, qualified_name, -1::BIGINT AS key FROM nodes
+UNION ALL SELECT 'edge', source || ' ' || target, relationship, NULL, key::BIGINT FROM edges"""
 
 _TABLE_EDGES = """
 SELECT CASE WHEN regexp_replace(source, '^[^:]*:', '') = '{t}' THEN 'outgoing' ELSE 'incoming' END AS direction,

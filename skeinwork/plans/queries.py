@@ -94,7 +94,7 @@ def _project_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _json_facts(x) -> DataFrame:
     """What the JSON lines of a built catalog tell, read back from them."""
     lines, get = sinks.json_lines(_built(x)), lambda key: F.get_json_object("line", f"$.{key}")
-    return lines.select("kind", F.coalesce(get("id"), F.concat_ws(" ", get("source"), get("target"))).alias("name"), F.coalesce(get("node_type"), get("relationship")).alias("type"), get("qualified_name").alias("qualified_name"), get("key").cast("long").alias("key"))
+    return lines.select("kind", F.coalesce(get("id"), F.concat_ws(" ", get("source"), get("target"))).alias("name"), F.coalesce(get("node_type"), get("relationship")).alias("type"), get("qualified_name").alias("qualified_name"), F.coalesce(get("key").cast("long"), F.lit(-1)).alias("key"))
 
 
 def _xml_facts(x) -> DataFrame:
@@ -102,7 +102,7 @@ def _xml_facts(x) -> DataFrame:
     find = lambda path: F.nullif(F.xpath_string("line", F.lit(path)), F.lit(""))
     name = F.coalesce(find("node/@id"), F.concat_ws(" ", find("edge/@source"), find("edge/@target")))
     kind = F.coalesce(find("node/data[@key='n_node_type']"), find("edge/data[@key='e_relationship']"))
-    return sinks.graphml_lines(_built(x)).select("kind", name.alias("name"), kind.alias("type"), find("node/data[@key='n_qualified_name']").alias("qualified_name"), find("edge/data[@key='e_key']").cast("long").alias("key"))
+    return sinks.graphml_lines(_built(x)).select("kind", name.alias("name"), kind.alias("type"), find("node/data[@key='n_qualified_name']").alias("qualified_name"), F.coalesce(find("edge/data[@key='e_key']").cast("long"), F.lit(-1)).alias("key"))
 
 
 def _card_page(x: DataFrame) -> DataFrame:
