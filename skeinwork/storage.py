@@ -35,3 +35,9 @@ def stored(df: DataFrame, label: str, partition_by: Iterable[str] = ()) -> DataF
     names = list(partition_by)
     (writer.partitionBy(*names) if names else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared storage, whatever file system holds it; none is no error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
