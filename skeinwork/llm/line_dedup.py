@@ -1,9 +1,9 @@
 """Operator 1: line dedup over levelled sorted runs of line hashes.
 
 Documents come in batches (of a table: ranges of its ids). A batch's line keys, counted by document, are merge-anti-joined
-with the run of settled keys (those already found often enough) and added as a sorted run of level 0; when a level holds
-`fanout` runs they are merged into one run of the next level, and keys that reach the threshold move to the settled run.
-All runs are tables bucketed and sorted by key, so neither the anti-joins nor the merges shuffle a run again.
+with the settled keys of every live run (those it has already counted often enough) and added as a sorted run of level 0;
+when a level holds `fanout` runs they are merged into one run of the next level, their counts added by full sort-merge
+joins. All runs are tables bucketed and sorted by key, so neither the anti-joins nor the merges shuffle a run again.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import BLANKS, released, shared_dir, stored, widened
+from skeinwork.llm.common import BLANKS, discard, released, shared_dir, stored, widened
 
 #: Settled keys up to this number are broadcast (16 bytes each); more are joined.
 BROADCAST_KEYS = 500_000
@@ -72,69 +72,85 @@ def count_lines(batched: DataFrame) -> DataFrame:
 
 
 class LineRuns:
-    """The runs: level -> runs of (h1, h2, n) below the threshold, and the run of settled keys (h1, h2).
+    """The runs: level -> runs of (h1, h2, n), n being the documents of a key that the run has counted.
 
-    Every run is a table of its own in the shared folder, in `buckets` buckets by key and sorted within them.
+    Every run is a table of its own in the shared folder, in `buckets` buckets by key and sorted within them. Keys that have
+    reached the threshold in a run are settled: later batches leave them out, and merges carry them on.
     """
 
     def __init__(self, spark: SparkSession, min_docs: int, fanout: int = FANOUT, buckets: int = 8):
         self.spark, self.min_docs, self.fanout, self.buckets = spark, min_docs, fanout, buckets
         self.levels: dict[int, list[DataFrame]] = defaultdict(list)
-        self.settled: DataFrame | None = None
+        self.tables: list[str] = []
 
     def _run(self, keys: DataFrame) -> DataFrame:
         name = f"skeinwork_lines_{uuid.uuid4().hex}"
+        self.tables.append(name)
         # one task for each bucket already, unless a configuration has dealt the keys to more
         keys.coalesce(self.buckets).write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
         return self.spark.table(name)
 
+    def live(self) -> list[DataFrame]:
+        """The runs that no merge has taken yet, by level."""
+        return [run for _, runs in sorted(self.levels.items()) for run in runs]
+
+    def settled(self, run: DataFrame) -> DataFrame:
+        return run.filter(F.col("n") >= self.min_docs).select("h1", "h2")
+
     def fresh(self, batch: DataFrame) -> DataFrame:
-        """The keys of a batch of (h1, h2, again, n) with their documents, less those that are settled; one shuffle, of the batch."""
+        """The keys of a batch of (h1, h2, again, n) with their documents, less those that a run has settled; one shuffle, of the batch."""
         dealt = batch.repartition(self.buckets, "h1", "h2")
         by_document = dealt.groupBy("h1", "h2", "again").agg(F.when(F.col("again").isNull(), F.sum("n")).otherwise(1).alias("n"))
         counted = by_document.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-        return counted if self.settled is None else counted.join(self.settled.hint("merge"), ["h1", "h2"], "left_anti")
+        for run in self.live():
+            counted = counted.join(self.settled(run).hint("merge"), ["h1", "h2"], "left_anti")
+        return counted
 
     def add(self, batch: DataFrame) -> None:
         """Adds a batch as a run of level 0; a level of `fanout` runs becomes a run of the next one."""
         self.levels[0].append(self._run(self.fresh(batch)))
         level = 0
         while len(self.levels[level]) >= self.fanout:
-            self._compact([level], level + 1)
+            self.levels[level + 1].append(self._run(self.merged(self.levels.pop(level))))
             level += 1
 
     def merged(self, runs: list[DataFrame]) -> DataFrame:
-        """The keys of runs with the sums of their counts."""
+        """The keys of runs with the sums of their counts: sort-merge joins of two runs at a time, which shuffle neither.
+
+        (A union of bucketed tables must not be grouped instead: Spark takes it for bucketed, though its scans are only strung together.)
+        """
         every = runs[0]
-        for run in runs[1:]:
-            every = every.unionByName(run)
-        return every.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-
-    def _compact(self, levels: list[int], into: int) -> None:
-        # merged twice, as two tables are written; a key may settle in several levels before it is anti-joined everywhere
-        keys = self.merged([run for level in levels for run in self.levels.pop(level, [])])
-        enough = keys.filter(F.col("n") >= self.min_docs).select("h1", "h2")
-        settled = self._run(enough if self.settled is None else enough.unionByName(self.settled).dropDuplicates(["h1", "h2"]))
-        self.levels[into].append(self._run(keys.join(settled.hint("merge"), ["h1", "h2"], "left_anti")))
-        self.settled = settled
+        for i, run in enumerate(runs[1:]):
+            if i:  # a full join has no known partitioning, so more than two runs go by a table between
+                every = self._run(every)
+            a, b = every.withColumnRenamed("n", "n_a"), run.withColumnRenamed("n", "n_b").hint("merge")
+            zero = F.lit(0).cast("long")
+            every = a.join(b, ["h1", "h2"], "full_outer").select("h1", "h2", (F.coalesce("n_a", zero) + F.coalesce("n_b", zero)).alias("n"))
+        return every
 
     def finish(self) -> DataFrame:
-        """The keys that at least min_docs documents hold."""
-        left = [run for _, runs in sorted(self.levels.items()) for run in runs]
-        if len(left) > 1:
-            self._compact(sorted(self.levels), max(self.levels) + 1)
-        elif self.settled is None:  # one run, never merged
-            return left[0].filter(F.col("n") >= self.min_docs).select("h1", "h2") if left else self.spark.createDataFrame([], "h1 long, h2 long")
-        return self.settled
+        """The keys that at least min_docs documents hold, each once."""
+        left = self.live()
+        return self.settled(self.merged(left)) if left else self.spark.createDataFrame([], "h1 long, h2 long")
+
+    def drop(self) -> None:
+        """Drops the tables of all runs, files included; what finish() gave can't be read any more."""
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            discard(self.spark, f"{shared_dir(self.spark)}/{name}")
+        self.tables, self.levels = [], defaultdict(list)
 
 
 def frequent_lines(docs: DataFrame, min_docs: int, batches: int = BATCHES, fanout: int = FANOUT, text_col: str = "text") -> DataFrame:
-    """(h1, h2) of the line keys found in at least min_docs documents, through the levelled runs."""
+    """(h1, h2) of the line keys found in at least min_docs documents, each once, through the levelled runs."""
     counted = stored(count_lines(in_batches(docs, batches, text_col)), "line-counts", ["batch"])
     runs = LineRuns(docs.sparkSession, min_docs, fanout, max(8, counted.count() // BUCKET_KEYS))
-    for batch in range(batches):
-        runs.add(counted.filter(F.col("batch") == batch).drop("batch"))
-    return runs.finish()
+    try:
+        for batch in range(batches):
+            runs.add(counted.filter(F.col("batch") == batch).drop("batch"))
+        return stored(runs.finish(), "line-keys")
+    finally:
+        runs.drop()
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
