@@ -19,6 +19,9 @@ MODULES = {
     "op8_quality": "quality",
     "op9_embeddings": "embeddings",
     "op10_chat": "chat",
+    "op11_divergence": "divergence",
+    "op12_clustering": "clustering",
+    "op13_decontamination": "decontamination",
 }
 
 
