@@ -21,7 +21,7 @@ WINDOW, GRAM = 10, 5
 BROADCAST_ROWS, SALTS = 200_000, 16
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_KEY = "key of text"
+_KEY, _SALT = "key of text", "salt of text"
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -93,9 +93,9 @@ def _joined(left: DataFrame, right: DataFrame, rows: int, on: list[str], how: st
     """left joined with right, which is broadcast where its rows are few; else a key that many rows of left share is salted."""
     if rows <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), on, how)
-    salted = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = right.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     by_row = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
-    return left.withColumn("salt", by_row).join(salted, [*on, "salt"], how).drop("salt")
+    return left.withColumn(_SALT, by_row).join(salted, [*on, _SALT], how).drop(_SALT)
 
 
 def judged_texts(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
