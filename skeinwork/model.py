@@ -15,11 +15,19 @@ class PropertyGraph:
     """nodes (id, label, type, pos, attrs) and edges (src, dst, rel, confidence, pos, attrs).
 
     pos orders rows as the source file does; it may be of any type that orders. attrs is the rest of the element as JSON.
-    Edge ends need not be nodes, and parallel edges stay.
+    Edge ends need not be nodes, and parallel edges stay. adjacency is a prepared store of the edges (AdjacencyStore), for
+    graphs that are traversed more than once; without one every traversal prepares its own. substrings is an index of the
+    nodes' ids and labels (SubstringIndex), with which searches by substring read few nodes instead of all.
     """
 
     nodes: DataFrame
     edges: DataFrame
+    adjacency: Any = None
+    substrings: Any = None
+
+    def nodes_like(self, needle: str) -> DataFrame:
+        """The nodes among which all are whose id or label holds the needle without regard to case."""
+        return self.nodes if self.substrings is None else self.substrings.candidates(needle)
 
 
 @dataclass(frozen=True)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.functions.predicates import equal_if_given
 from skeinwork.model import COMMENTS, EVENTS, STATUSES
+from skeinwork.operators.keyed_log import BUCKETS, GRACE, MOST_FILES, KeyedLog
 
 FIELDS = ("title", "description", "status", "priority")
 
@@ -43,42 +44,58 @@ def last_comment(comments: DataFrame, card_id) -> DataFrame:
     return comments.filter(F.col("card_id") == card_id).agg(F.max("comment_id").alias("comment_id"))
 
 
+def lifted_events(events: DataFrame) -> DataFrame:
+    """Events as rows that folded_events merges: each field with its number, the first and the last time, and a count."""
+    at = F.struct("seq", "at")
+    fields = [F.when(F.col(f).isNotNull(), F.struct("seq", F.col(f).alias("value"))).alias(f) for f in FIELDS]
+    return events.select("card_id", *fields, at.alias("first"), at.alias("last"), F.lit(1).cast("long").alias("n"))
+
+
+def folded_events(rows: DataFrame) -> DataFrame:
+    """One row for each card, of however many, in any order."""
+    return rows.groupBy("card_id").agg(*(F.max(f).alias(f) for f in FIELDS), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+
+
+def folded_state(folded: DataFrame) -> DataFrame:
+    """The rows of current_state from folded events."""
+    return folded.select("card_id", *(F.col(f"{f}.value").alias(f) for f in FIELDS), F.col("first.at").alias("created_at"), F.when(F.col("n") > 1, F.col("last.at")).alias("updated_at"))
+
+
 class CardStore:
-    """Events and comments as Parquet folders that only grow.
+    """Events and comments as logs by card, which fold their tails of small files when they grow.
 
     Nothing is read to number them: a number is the microsecond and twelve random bits, greater than the writer's last one,
     so that several writers neither wait for nor overwrite each other and all readers see one order.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, most_files: int = MOST_FILES, grace: float = GRACE):
         self.spark, self.events_path, self.comments_path = spark, f"{path}/events", f"{path}/comments"
+        log = lambda name, tail, schema, lift, merge: KeyedLog(spark, f"{path}/{name}", tail, schema, "card_id", lift, merge, buckets, most_files, grace)
+        self.event_log = log("states", self.events_path, EVENTS, lifted_events, folded_events)
+        self.comment_log = log("said", self.comments_path, COMMENTS, lambda rows: rows, lambda rows: rows)
         self.last = 0
 
     def _number(self) -> int:
         self.last = max(self.last + 1, (time.time_ns() // 1000) << 12 | secrets.randbits(12))
         return self.last
 
-    def _read(self, path: str, schema) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(path)
-        except Exception as error:  # a store that nothing was written to yet is empty
-            if "PATH_NOT_FOUND" in str(error):
-                return self.spark.createDataFrame([], schema)
-            raise
-
     def cards(self) -> DataFrame:
-        return current_state(self._read(self.events_path, EVENTS))
+        return folded_state(self.event_log.read())
 
     def comments(self) -> DataFrame:
-        return self._read(self.comments_path, COMMENTS)
+        return self.comment_log.read()
 
     def _append(self, card_id: str, **patch: str | None) -> None:
-        now = datetime.now(UTC)
-        row = (card_id, patch.get("title"), patch.get("description"), patch.get("status"), patch.get("priority"), now.isoformat(), self._number())
-        self.spark.createDataFrame([row], EVENTS).coalesce(1).write.mode("append").parquet(self.events_path)
+        self.append_events([(card_id, patch)])
+
+    def append_events(self, patches: list[tuple[str, dict[str, str | None]]]) -> None:
+        """Several patches, of any cards, as one file; later ones count as later."""
+        now = datetime.now(UTC).isoformat()
+        rows = [(card_id, *(patch.get(f) for f in FIELDS), now, self._number()) for card_id, patch in patches]
+        self.event_log.append(self.spark.createDataFrame(rows, EVENTS))
 
     def _exists(self, card_id: str) -> bool:
-        return not self._read(self.events_path, EVENTS).filter(F.col("card_id") == card_id).isEmpty()
+        return not self.event_log.read(card_id).isEmpty()
 
     def create_card(self, title: str, description: str | None = None, priority: str = "medium") -> str:
         card_id = str(uuid.uuid4())[:8]
@@ -101,7 +118,7 @@ class CardStore:
         if not self._exists(card_id):
             raise KeyError(f"card {card_id} not found")
         comment_id = self._number()
-        self.spark.createDataFrame([(comment_id, card_id, author, comment, datetime.now(UTC).isoformat())], COMMENTS).coalesce(1).write.mode("append").parquet(self.comments_path)
+        self.comment_log.append(self.spark.createDataFrame([(comment_id, card_id, author, comment, datetime.now(UTC).isoformat())], COMMENTS))
         return comment_id
 
     def complete_card(self, card_id: str, summary: str) -> None:

@@ -17,7 +17,7 @@ def resolve(graph: PropertyGraph, match: Column) -> DataFrame:
 
 def search_symbols(graph: PropertyGraph, query: str, symbol_type: str | None = None) -> DataFrame:
     """Nodes whose id or label holds the query, of exactly the type if one is given."""
-    return graph.nodes.filter(P.holds(query, "id", "label") & P.equal_if_given("type", symbol_type))
+    return graph.nodes_like(query).filter(P.holds(query, "id", "label") & P.equal_if_given("type", symbol_type))
 
 
 def symbol_edges(graph: PropertyGraph, symbol: str) -> DataFrame:
@@ -35,13 +35,13 @@ INCOMING = ("depends-on", "imports", "uses")
 
 def dependencies(graph: PropertyGraph, symbol: str, depth: int = 2) -> DataFrame:
     """(bucket, node, rel, depth, order_key): the edges around a symbol, each once; buckets follow the relationship."""
-    rows = traverse.dependency_rows(graph.edges, resolve(graph, P.symbol_in_id(symbol)), depth)
+    rows = traverse.dependency_rows(traverse.store_of(graph), resolve(graph, P.symbol_in_id(symbol)), depth)
     return rows.select(F.when(F.col("rel").isin(*INCOMING), "incoming").otherwise("outgoing").alias("bucket"), F.col("other").alias("node"), P.text("rel").alias("rel"), "depth", "order_key")
 
 
 def find_callers(graph: PropertyGraph, symbol: str, transitive: bool = False, max_depth: int = 5, cap: int | None = 100) -> DataFrame:
     """(caller, rel, depth): the edges that call a symbol and, transitive, its callers."""
-    calls = graph.edges.filter(P.text("rel").contains("call"))
+    calls = traverse.Around(traverse.store_of(graph), "in", P.text("rel").contains("call"))
     return traverse.caller_rows(calls, resolve(graph, P.symbol_in_id(symbol)), transitive, max_depth, cap)
 
 

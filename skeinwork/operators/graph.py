@@ -19,7 +19,8 @@ def search_nodes(graph: PropertyGraph, query: str, node_type: str | None = None,
     match = P.holds(query, "id", "label") if fuzzy else P.exact(query, "id", "label")
     if node_type:
         match = match & P.type_holds(node_type)
-    return graph.nodes.filter(match).orderBy("pos").limit(max(0, limit))
+    nodes = graph.nodes_like(query) if fuzzy else graph.nodes
+    return nodes.filter(match).orderBy("pos").limit(max(0, limit))
 
 
 def get_node(graph: PropertyGraph, node_id: str) -> DataFrame:
@@ -39,13 +40,13 @@ def neighbors(graph: PropertyGraph, node_id: str, direction: str = "both", relat
 
 def find_paths(graph: PropertyGraph, source: str, target: str, max_depth: int = 5, directed: bool = True, cap: int = 10) -> DataFrame:
     """(rank, nodes, rels): the first simple paths in breadth-first order."""
-    return traverse.simple_paths(graph.edges, source, target, max_depth, cap, directed)
+    return traverse.simple_paths(traverse.store_of(graph), source, target, max_depth, cap, directed)
 
 
 def subgraph(graph: PropertyGraph, seeds: list[str], depth: int = 1) -> PropertyGraph:
     """The known nodes within `depth` undirected steps of the seeds, and the edges between visited ids, in file order of pos."""
     start = graph.nodes.sparkSession.createDataFrame([(s,) for s in seeds], "node string")
-    visited = traverse.distances(traverse.links(traverse.fixed(graph.edges) if depth > 1 else graph.edges, "both"), start, depth).select("node")
+    visited = traverse.distances(traverse.Around(traverse.store_of(graph), "both"), start, depth).select("node")
     nodes = graph.nodes.join(visited, graph.nodes["id"] == visited["node"], "left_semi")
     edges = graph.edges.join(visited.withColumnRenamed("node", "src"), "src", "left_semi").join(visited.withColumnRenamed("node", "dst"), "dst", "left_semi")
     return PropertyGraph(nodes, edges.select(*graph.edges.columns))

@@ -69,10 +69,9 @@ def table_fk_pairs(catalog: Catalog, table: str) -> DataFrame:
 
 def relationship_paths(graph: PropertyGraph, first: str, second: str, relationships: list[str] | None = None, cap: int = 5) -> DataFrame:
     """(rank, nodes, rels): the first paths of at most ten nodes between two tables, over edges of any kind either way."""
-    edges = generic(graph).edges
-    if relationships:
-        edges = edges.filter(F.col("rel").isin(*relationships))
-    found = traverse.simple_paths(edges, f"table:{_bare(first)}", f"table:{_bare(second)}", 9, cap, directed=False)
+    wanted = F.col("rel").isin(*relationships) if relationships else None
+    store = graph.adjacency or traverse.store_of(generic(graph))
+    found = traverse.simple_paths(store, f"table:{_bare(first)}", f"table:{_bare(second)}", 9, cap, False, wanted)
     return found.withColumn("nodes", F.transform("nodes", lambda x: F.regexp_replace(x, "^[^:]*:", "")))
 
 

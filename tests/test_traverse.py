@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinwork.model import PropertyGraph
-from skeinwork.operators import code, graph, traverse
+from skeinwork.operators import adjacency, code, graph, traverse
 
 RELS = ["calls", "imports", "uses", "contains", "depends-on", "called_by"]
 
@@ -76,30 +76,32 @@ def model_callers(edges, start, depth, cap):
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_random_graphs(spark, seed):
+@pytest.mark.parametrize(("seed", "few"), [(0, 5000), (1, 5000), (2, 5), (3, -1)])
+def test_random_graphs(spark, monkeypatch, seed, few):
+    """Walked at hand, by tables from the first step on, and in between."""
+    monkeypatch.setattr(traverse, "FEW_EDGES", few)
     nodes, edges = random_graph(seed)
     rng = random.Random(100 + seed)
     g = as_frames(spark, nodes, edges)
     depth, directed, cap = rng.randint(1, 4), bool(seed % 2), rng.choice([3, 7, 100])
     source, target = rng.choice(nodes), rng.choice(nodes)
-    got = [(r["nodes"], r["rels"]) for r in traverse.simple_paths(g.edges, source, target, depth, cap, directed).orderBy("rank").collect()]
+    got = [(r["nodes"], r["rels"]) for r in traverse.simple_paths(traverse.store_of(g), source, target, depth, cap, directed).orderBy("rank").collect()]
     assert got == model_paths(edges, source, target, depth, directed, cap)
     start = spark.createDataFrame([(source,)], "node string")
-    rows = traverse.dependency_rows(g.edges, start, depth).orderBy("depth", "order_key").collect()
+    rows = traverse.dependency_rows(traverse.store_of(g), start, depth).orderBy("depth", "order_key").collect()
     assert [(r["other"], r["rel"], r["depth"]) for r in rows] == model_dependencies(edges, source, depth)
-    calls = g.edges.filter(F.col("rel").contains("call"))
+    calls = traverse.Around(traverse.store_of(g), "in", F.col("rel").contains("call"))
     got = sorted(tuple(r) for r in traverse.caller_rows(calls, start, True, depth, cap).collect())
     assert got == sorted(model_callers(edges, source, depth, cap))
 
 
 def test_path_edges(spark):
     g = as_frames(spark, ["a", "b"], [("a", "b", "calls"), ("a", "b", "uses"), ("b", "b", "calls")])
-    one = traverse.simple_paths(g.edges, "ghost", "ghost", 3, 10).collect()
+    one = traverse.simple_paths(traverse.store_of(g), "ghost", "ghost", 3, 10).collect()
     assert [(r["nodes"], r["rels"]) for r in one] == [(["ghost"], [])]
-    assert traverse.simple_paths(g.edges, "a", "a", -1, 10).count() == 0
-    assert [r["rels"] for r in traverse.simple_paths(g.edges, "a", "b", 5, 10).orderBy("rank").collect()] == [["calls"], ["uses"]]
-    assert traverse.simple_paths(g.edges, "a", "nowhere", 5, 10).count() == 0
+    assert traverse.simple_paths(traverse.store_of(g), "a", "a", -1, 10).count() == 0
+    assert [r["rels"] for r in traverse.simple_paths(traverse.store_of(g), "a", "b", 5, 10).orderBy("rank").collect()] == [["calls"], ["uses"]]
+    assert traverse.simple_paths(traverse.store_of(g), "a", "nowhere", 5, 10).count() == 0
 
 
 def test_generic_and_code_operators(spark):
@@ -122,3 +124,118 @@ def test_generic_and_code_operators(spark):
     assert {(r["bucket"], r["node"]) for r in code.impact(g, "lib.utils").collect()} == {("modules_affected", "lib.utils.helper"), ("tests", "tests.test_utils")}
     assert graph.find_paths(g, "lib.utils.helper", "app.main").count() == 0
     assert graph.find_paths(g, "lib.utils.helper", "app.main.run", directed=False).count() == 1
+
+
+# ---- the prepared store
+
+
+def ordinals(store, direction, nodes):
+    frontier = store.spark.createDataFrame([(n,) for n in nodes], "node string")
+    return sorted((r["node"], r["ord"], r["other"], r["rel"]) for r in store.touched(frontier, len(nodes), direction).collect())
+
+
+def plain_ordinals(edges, direction):
+    """What ordinals are: places among a node's edges, in their order; of a loop, the side along it first."""
+    seen = defaultdict(list)
+    for a, b, r in edges:
+        if direction != "in":
+            seen[a].append((b, r))
+        if direction != "out":
+            seen[b].append((a, r))
+    return sorted((n, i, x, r) for n, found in seen.items() for i, (x, r) in enumerate(found, 1))
+
+
+@pytest.mark.parametrize("limit", [50_000, 0])
+@pytest.mark.parametrize("direction", ["out", "in", "both"])
+def test_ordinals_of_two_levels(spark, monkeypatch, direction, limit):
+    """Blocks of three edges over five parts: places in all earlier blocks of a node add up, by either kind of join."""
+    monkeypatch.setattr(adjacency, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(adjacency, "PUSHED_ROWS", limit)
+    rng = random.Random(3)
+    nodes = [f"n{i}" for i in range(6)]
+    edges = [(rng.choice(nodes[:2]) if i % 3 else rng.choice(nodes), rng.choice(nodes), rng.choice(RELS)) for i in range(90)]
+    store = adjacency.AdjacencyStore(as_frames(spark, nodes, edges).edges, block=3, parts=5)
+    assert ordinals(store, direction, [*nodes, "ghost"]) == plain_ordinals(edges, direction)
+    blocks, hubs, _ = store.direction(direction)
+    assert blocks.agg(F.max("count")).first()[0] <= 3 and hubs.count() >= 2
+    got = {r["node"]: r["count"] for r in store.degrees(spark.createDataFrame([(n,) for n in nodes], "node string"), 6, direction).collect()}
+    assert got == {n: max(o for m, o, *_ in plain_ordinals(edges, direction) if m == n) for n in {m for m, *_ in plain_ordinals(edges, direction)}}
+
+
+@pytest.mark.parametrize("limit", [50_000, 0])
+def test_hub_of_a_third_of_all_edges(spark, monkeypatch, limit):
+    """No task reads more of a hub than a few blocks, and the others' scan reads none of its row groups."""
+    monkeypatch.setattr(adjacency, "BROADCAST_ROWS", limit)
+    n = 30_000
+    edges = spark.range(n).select(F.when(F.col("id") % 3 == 0, "hub").otherwise(F.concat(F.lit("x"), F.col("id") % 700)).alias("src"), F.concat(F.lit("y"), F.col("id")).alias("dst"), F.lit("calls").alias("rel"), F.col("id").alias("pos"))
+    store = adjacency.AdjacencyStore(edges, block=256, parts=12)
+    hub = spark.createDataFrame([("hub",)], "node string")
+    kept = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        found = store.touched(hub, 1 if limit else 10**9, "out").withColumn("task", F.spark_partition_id())
+        by_task = [r["count"] for r in found.groupBy("task").count().collect()]
+        assert sum(by_task) == n // 3 and len(by_task) >= 4 and max(by_task) <= 12 * 256
+        assert found.agg(F.max("ord"), F.min("ord"), F.count_distinct("ord")).first() == (n // 3, 1, n // 3)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", kept[0])
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept[1])
+    pushed = store.touched(spark.createDataFrame([("x7",)], "node string"), 1, "out")._jdf.queryExecution().executedPlan().toString()
+    assert "x7" in pushed[pushed.index("PushedFilters") :] or not limit
+
+
+def test_store_is_found_again(spark, tmp_path, monkeypatch):
+    """Queries over the same files write their edges once; changed files make a new store."""
+    written, prepare = [], adjacency.AdjacencyStore._prepare
+    monkeypatch.setattr(adjacency.AdjacencyStore, "_prepare", lambda self, direction: written.append(direction) or prepare(self, direction))
+    path = str(tmp_path / "edges")
+    as_frames(spark, ["a", "b"], [("a", "b", "calls"), ("b", "a", "uses")]).edges.write.parquet(path)
+
+    def ask():
+        return adjacency.AdjacencyStore.of_files(spark.read.parquet(path), [path], "test")
+
+    for _ in range(3):
+        assert ordinals(ask(), "out", ["a"]) == [("a", 1, "b", "calls")]
+    assert written == ["out"]
+    as_frames(spark, ["a", "b"], [("b", "b", "calls")]).edges.write.mode("overwrite").parquet(path)
+    assert ordinals(ask(), "out", ["a", "b"]) == [("b", 1, "b", "calls")] and written == ["out", "out"]
+
+
+# ---- first paths
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_first_paths_in_small_batches(spark, monkeypatch, seed):
+    """Batches of few walks, so that most prefixes wait; dense multigraphs with loops and parallel edges."""
+    monkeypatch.setattr(traverse, "FEW_WALKS", 2)
+    monkeypatch.setattr(traverse, "NEAR_EDGES", -1)
+    monkeypatch.setattr(traverse, "FEW_EDGES", [5000, 5, 5000, -1][seed])
+    rng = random.Random(seed)
+    nodes = [f"n{i}" for i in range(5)]
+    edges = [(rng.choice(nodes), rng.choice(nodes), rng.choice(RELS)) for _ in range(14)]
+    g, directed, cap = as_frames(spark, nodes, edges), bool(seed % 2), [1, 4, 9, 25, 60][seed]
+    got = [(r["nodes"], r["rels"]) for r in traverse.simple_paths(traverse.store_of(g), "n0", "n4", 4, cap, directed).orderBy("rank").collect()]
+    assert got == model_paths(edges, "n0", "n4", 4, directed, cap)
+
+
+def test_layers_expand_little(spark, monkeypatch):
+    """Eight layers of twelve nodes, each joined with all of the next: 12 ** 7 paths, of which ten are wanted."""
+    monkeypatch.setattr(traverse, "NEAR_EDGES", -1)
+    layers = [["s"], *([f"l{i}.{j:02}" for j in range(12)] for i in range(7)), ["t"]]
+    edges = [(a, b, "calls") for here, there in zip(layers, layers[1:], strict=False) for a in here for b in there]
+    g = as_frames(spark, sorted({x for e in edges for x in e[:2]}), edges)
+    finder = traverse.PathFinder(traverse.store_of(g), "s", "t", 8, 10, True)
+    found = sorted((r["key"], r["nodes"]) for r in finder.first(8).collect())[:10]
+    assert len(found) == 10 and [n for _, n in found] == [n for n, _ in model_layers(layers, 10)]
+    assert finder.expanded <= 8 * 12 * 12 * 12
+
+
+def model_layers(layers, most):
+    import itertools
+
+    return [(list(p), None) for p in itertools.islice(itertools.product(*layers), most)]
