@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from skeinwork import model
-from skeinwork.model import Catalog
+from skeinwork.model import Catalog, PropertyGraph
+from skeinwork.operators.catalog_build import build_graph, build_targeted, split_entry
 from skeinwork.sources.system_tables import SystemTables, jdbc_tables
 
 #: SQL type, length, precision and scale of each Spark type.
@@ -39,11 +40,20 @@ def column_rows(schema_name: str, tables: dict[str, tuple[int, DataFrame]]) -> l
     return rows
 
 
-def from_jdbc(spark: SparkSession, url: str, object_ids: list[int] | None = None, **options: str) -> Catalog:
-    """A catalog read from a server's system tables; needs the driver's jar, which this repository doesn't bring.
+def from_jdbc(spark: SparkSession, url: str, object_ids: list[int] | None = None, prefix: str = "sys.", parts: int = 1, **options: str) -> Catalog:
+    """A catalog read from a server's system tables, each in `parts` ranges of ids; needs the driver's jar.
 
     With object_ids the server prunes by them; an empty list reads nothing.
     """
     if object_ids is not None and not object_ids:
         return from_rows(spark)
-    return SystemTables(jdbc_tables(spark, url, **options), object_ids).catalog()
+    return SystemTables(jdbc_tables(spark, url, prefix, parts, **options), object_ids).catalog()
+
+
+def around_object(spark: SparkSession, tables: dict[str, DataFrame], entry: str, entry_type: str, depth: int = 1, include_definitions: bool = False) -> PropertyGraph:
+    """build_targeted over system tables, of which only the rows near the entry are read: its ids are found round by round
+    and pushed into every scan. Neighbourhoods too wide for that are joins over the whole tables."""
+    near = SystemTables(tables).near(*split_entry(entry, entry_type), entry_type, depth)
+    if near is None:
+        return build_targeted(SystemTables(tables).catalog(), entry, entry_type, depth, include_definitions)
+    return build_graph(SystemTables(tables, near).catalog() if near else from_rows(spark), include_definitions)

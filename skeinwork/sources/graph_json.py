@@ -34,10 +34,11 @@ def read_lines(spark: SparkSession, path: str) -> PropertyGraph:
     """The graph of a folder of JSON lines, as write_lines makes it from json_lines; pos orders elements by their text."""
     given = spark.read.text(path)
     nodes, edges = (given.filter(F.col("kind") == kind).select(F.col("value").alias("raw")) for kind in ("node", "edge"))
-    return _graph(nodes.withColumn("pos", F.col("raw")), edges.withColumn("pos", F.col("raw")))
+    return graph_of(nodes.withColumn("pos", F.col("raw")), edges.withColumn("pos", F.col("raw")))
 
 
-def _graph(nodes: DataFrame, edges: DataFrame) -> PropertyGraph:
+def graph_of(nodes: DataFrame, edges: DataFrame) -> PropertyGraph:
+    """The graph of elements (raw, pos)."""
     get = lambda key: F.get_json_object("raw", f"$.{key}")
     return PropertyGraph(
         nodes.select(get("id").alias("id"), get("label").alias("label"), _aliased("raw", "type", "file_type").alias("type"), "pos", F.col("raw").alias("attrs")),
@@ -45,20 +46,24 @@ def _graph(nodes: DataFrame, edges: DataFrame) -> PropertyGraph:
     )
 
 
+def no_graph(spark: SparkSession) -> PropertyGraph:
+    return PropertyGraph(spark.createDataFrame([], "id string, label string, type string, pos int, attrs string"), spark.createDataFrame([], "src string, dst string, rel string, confidence string, pos int, attrs string"))
+
+
 def read_graph(spark: SparkSession, path: str) -> PropertyGraph:
     """The graph of a JSON document {nodes, edges or links}; relation and file_type stand in for relationship and type.
 
     Positions are those of the file. A missing file is an empty graph, with a warning, and so is a broken document; a file
-    that can't be read is an error.
+    that can't be read is an error. The document is one task's; read_large_graph deals it out in ranges.
     """
     if not _exists(spark, path):
         warnings.warn(f"no graph at {path}", stacklevel=2)
-        return PropertyGraph(spark.createDataFrame([], "id string, label string, type string, pos int, attrs string"), spark.createDataFrame([], "src string, dst string, rel string, confidence string, pos int, attrs string"))
+        return no_graph(spark)
     document = spark.read.text(path, wholetext=True)
     parsed = document.select(F.from_json("value", "nodes array<string>, links array<string>, edges array<string>").alias("g"), _present("value", "edges").alias("own"))
     nodes = parsed.select(F.posexplode("g.nodes").alias("pos", "raw"))
     edges = parsed.select(F.posexplode(F.when(F.col("own"), F.col("g.edges")).otherwise(F.col("g.links"))).alias("pos", "raw"))
-    return _graph(nodes, edges)
+    return graph_of(nodes, edges)
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
