@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from skeinwork.functions.predicates import IGNORED_PARTS, SOURCE_SUFFIXES
-from skeinwork.plans.workload import DEPENDENCIES, EXTRACT_IDS, FOREIGN_KEYS, ROUTINES, SCHEMA, TABLES
+from skeinwork.plans.workload import EXTRACT_IDS, TABLE_ID
 
 ENT = """
 e AS (
@@ -33,42 +33,56 @@ def ent(body: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' * recursive}{ENT}{body}"
 
 
-def values(rows) -> str:
-    shown = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
-    return ", ".join(f"({', '.join(map(shown, r))})" for r in rows)
-
+_SYSTEM = """
+schemas AS (SELECT n_nationkey AS schema_id, n_name AS name FROM nation),
+tables AS (SELECT c_custkey AS object_id, c_name AS name, n_name AS schema_name, c_mktsegment AS temporal_type_desc FROM customer JOIN nation ON n_nationkey = c_nationkey),
+own AS (SELECT * FROM tables WHERE object_id % 10 <> 0),
+columns AS (SELECT o_custkey AS object_id, o_orderkey AS column_id, 'c' || o_orderkey AS name, CAST(substr(o_orderpriority, 1, 1) AS INT) AS type_id, o_orderkey % 40 - 1 AS size, o_orderkey % 2 AS nulls, o_orderstatus AS status FROM orders),
+codes AS (SELECT p_partkey, p_name || ' ' || p_partkey AS p_name, p_type, p_brand, n_name AS schema_name, ['P ', 'PC', 'FN', 'IF', 'TF', 'FS', 'FT', 'V ', 'U '][p_size % 9 + 1] AS code FROM part JOIN nation ON n_nationkey = p_partkey % 25),
+routines AS (SELECT * FROM codes WHERE p_partkey % 7 <> 0 AND code NOT IN ('V ', 'U '))
+"""
+_DEPENDENCIES = """
+SELECT DISTINCT p_partkey + 1000000 AS referencing_object_id, r.schema_name AS referencing_schema, p_name AS referencing_name, code AS referencing_type_code, t.object_id AS referenced_id,
+       CASE WHEN l_linenumber % 2 = 0 THEN l_orderkey ELSE 0 END AS referenced_minor_id, CASE WHEN l_linenumber = 2 THEN 'named' ELSE t.schema_name END AS referenced_schema,
+       CASE WHEN l_linenumber = 2 THEN 'entity ' || o_custkey ELSE t.name END AS referenced_table, c.name AS referenced_column
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN routines r ON p_partkey = l_partkey JOIN tables t ON t.object_id = o_custkey
+LEFT JOIN columns c ON c.object_id = t.object_id AND c.column_id = CASE WHEN l_linenumber % 2 = 0 THEN l_orderkey ELSE 0 END
+WHERE l_linenumber <> 3"""
 
-_OIDS = {n: i for n, i, _ in TABLES}
-_KINDS = {n: "Procedure" if c.strip() == "P" else "Function" for n, _, c, _ in ROUTINES}
-CAT = f"""
-t(table_name, object_id, pk) AS (VALUES {values(TABLES)}),
+CAT = f"""{_SYSTEM},
 c AS (
-  SELECT i.table_name, i.column_name, i.ordinal_position::BIGINT AS column_id, t.object_id, i.column_name IS NOT DISTINCT FROM t.pk AS is_pk,
-         CASE i.data_type WHEN 'VARCHAR' THEN 'varchar(max)' WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'float' WHEN 'TIMESTAMP' THEN 'datetime2(6)' ELSE lower(i.data_type) END AS type_display,
-         CASE i.data_type WHEN 'VARCHAR' THEN 'varchar' WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'float' WHEN 'TIMESTAMP' THEN 'datetime2' ELSE lower(i.data_type) END AS data_type
-  FROM information_schema.columns i JOIN t USING (table_name)
-),
-fk(pt, pc, rt, rc) AS (VALUES {values(FOREIGN_KEYS)}),
-r(name, object_id, kind, definition) AS (VALUES {values([(n, i, _KINDS[n], d) for n, i, _, d in ROUTINES])}),
-d(name, rt, rc) AS (VALUES {values(DEPENDENCIES)}),
+  SELECT t.schema_name || '.' || t.name AS owner, t.object_id, c.column_id, c.name AS column_name, t.name AS table_name, ['int', 'nvarchar', 'nchar', 'decimal', 'varchar'][type_id] AS data_type,
+         CASE WHEN type_id IN (2, 3) AND size > 0 THEN size // 2 ELSE size END AS max_length, nulls, t.object_id % 3 > 0 AND c.column_id % 3 = 0 AS is_pk
+  FROM own t JOIN columns c USING (object_id)
+), typed AS (
+  SELECT *, CASE WHEN data_type = 'decimal' THEN 'decimal(10,0)' WHEN data_type = 'int' THEN 'int' WHEN max_length = -1 THEN data_type || '(max)' ELSE data_type || '(' || max_length || ')' END AS type_display FROM c
+), fk AS (
+  SELECT 'fk ' || a.column_id AS name, p.object_id AS po, p.schema_name || '.' || p.name AS pt, a.name AS pc, r.object_id AS ro, r.schema_name || '.' || r.name AS rt, b.name AS rc
+  FROM columns a JOIN columns b ON b.column_id = a.column_id - 1 JOIN own p ON p.object_id = a.object_id JOIN own r ON r.object_id = b.object_id
+), r AS (
+  SELECT schema_name || '.' || p_name AS full_name, p_name AS name, p_partkey + 1000000 AS object_id, CASE WHEN code IN ('P ', 'PC') THEN 'Procedure' ELSE 'Function' END AS kind, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS definition FROM routines
+), d AS ({_DEPENDENCIES}),
 nodes AS (
-  SELECT 'table:{SCHEMA}.' || table_name AS id, 'Table' AS node_type, table_name AS name, '{SCHEMA}.' || table_name AS qualified_name, object_id::BIGINT AS object_id, NULL::BIGINT AS column_id, NULL::VARCHAR AS type_display,
-         false AS is_primary_key, false AS is_foreign_key, false AS is_referenced_key, NULL::VARCHAR AS definition_sha256 FROM t
-  UNION ALL SELECT 'column:{SCHEMA}.' || table_name || '.' || column_name, 'Column', column_name, '{SCHEMA}.' || table_name || '.' || column_name, object_id::BIGINT, column_id, type_display, is_pk,
-         EXISTS (SELECT 1 FROM fk WHERE pt = table_name AND pc = column_name), EXISTS (SELECT 1 FROM fk WHERE rt = table_name AND rc = column_name), NULL FROM c
-  UNION ALL SELECT lower(kind) || ':{SCHEMA}.' || name, kind, name, '{SCHEMA}.' || name, object_id::BIGINT, NULL, NULL, false, false, false, CASE WHEN definition <> '' THEN sha256(definition) END FROM r
+  SELECT 'table:' || schema_name || '.' || name AS id, 'Table' AS node_type, name, schema_name || '.' || name AS qualified_name, object_id, NULL::BIGINT AS column_id, NULL::VARCHAR AS type_display, NULL::VARCHAR AS data_type,
+         false AS is_primary_key, false AS is_foreign_key, false AS is_referenced_key, NULL::VARCHAR AS definition_sha256 FROM own
+  UNION ALL SELECT 'column:' || owner || '.' || column_name, 'Column', column_name, owner || '.' || column_name, object_id, column_id, type_display, data_type, is_pk,
+         (owner, column_name) IN (SELECT (pt, pc) FROM fk), (owner, column_name) IN (SELECT (rt, rc) FROM fk), NULL FROM typed
+  UNION ALL SELECT lower(kind) || ':' || full_name, kind, name, full_name, object_id, NULL, NULL, NULL, false, false, false, CASE WHEN definition <> '' THEN sha256(definition) END FROM r
 ),
 raw_edges AS (
-  SELECT 'table:{SCHEMA}.' || table_name AS source, 'column:{SCHEMA}.' || table_name || '.' || column_name AS target, 'Stores' AS relationship, column_id AS ordinal, NULL::VARCHAR AS foreign_key_name, NULL::VARCHAR AS target_kind, 0 AS kind, '' AS pname, column_id AS number FROM c
-  UNION ALL SELECT 'column:{SCHEMA}.' || pt || '.' || pc, 'column:{SCHEMA}.' || rt || '.' || rc, 'Links', NULL, 'FK_' || pt || '_' || pc, NULL, 1, 'FK_' || pt || '_' || pc, 1 FROM fk
-  UNION ALL SELECT lower(r.kind) || ':{SCHEMA}.' || r.name, CASE WHEN rc = '' THEN 'table:{SCHEMA}.' || rt ELSE 'column:{SCHEMA}.' || rt || '.' || rc END, 'Creates', NULL, NULL, CASE WHEN rc = '' THEN 'Table' ELSE 'Column' END, 2, '{SCHEMA}.' || rt || CASE WHEN rc = '' THEN '' ELSE '.' || rc END, CASE WHEN rc = '' THEN 0 ELSE 1 END FROM d JOIN r USING (name)
+  SELECT 'table:' || owner AS source, 'column:' || owner || '.' || column_name AS target, 'Stores' AS relationship, column_id AS ordinal, NULL::VARCHAR AS foreign_key_name, NULL::VARCHAR AS target_kind, 0 AS kind, '' AS pname, column_id AS number FROM c
+  UNION ALL SELECT 'column:' || pt || '.' || pc, 'column:' || rt || '.' || rc, 'Links', NULL, name, NULL, 1, name, 1 FROM fk
+  UNION ALL SELECT lower(r.kind) || ':' || r.full_name, CASE WHEN referenced_column IS NULL THEN 'table:' ELSE 'column:' END || concat_ws('.', referenced_schema, referenced_table, referenced_column), 'Creates', NULL, NULL,
+         CASE WHEN referenced_column IS NULL THEN 'Table' ELSE 'Column' END, 2, concat_ws('.', referenced_schema, referenced_table, referenced_column), referenced_minor_id FROM d JOIN r ON r.object_id = d.referencing_object_id
 ),
-edges AS (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY kind, pname, number) - 1 AS key FROM raw_edges WHERE source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes))"""
+edges AS (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY kind, pname, number) - 1 AS key FROM raw_edges WHERE source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)),
+spot AS (SELECT schema_name || '.' || name AS t FROM own WHERE object_id = {TABLE_ID}),
+proc AS (SELECT full_name AS p, object_id FROM r WHERE kind = 'Procedure' ORDER BY object_id LIMIT 1)"""
 
-NEAR = f"""
-links AS (SELECT a.object_id AS x, b.object_id AS y FROM fk JOIN t a ON a.table_name = pt JOIN t b ON b.table_name = rt UNION ALL SELECT r.object_id, t.object_id FROM d JOIN r USING (name) JOIN t ON t.table_name = d.rt),
+NEAR = """,
+links AS (SELECT po AS x, ro AS y FROM fk UNION ALL SELECT referencing_object_id, referenced_id FROM d),
 sides AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
-walk AS (SELECT {{seed}} AS x, 0 AS level UNION SELECT sides.y, level + 1 FROM walk JOIN sides ON sides.x = walk.x WHERE level < {{depth}}),
+walk AS (SELECT {seed} AS x, 0 AS level UNION SELECT sides.y, level + 1 FROM walk JOIN sides ON sides.x = walk.x WHERE level < {depth}),
 near AS (SELECT DISTINCT x FROM walk),
 near_nodes AS (SELECT id FROM nodes WHERE object_id IN (SELECT x FROM near))
 SELECT 'node' AS kind, id AS name FROM near_nodes
@@ -100,18 +114,10 @@ SELECT 'node' AS kind, id AS name, node_type AS type, qualified_name, -1::BIGINT
 UNION ALL SELECT 'edge', source || ' ' || target, relationship, NULL, key::BIGINT FROM edges"""
 
 _TABLE_EDGES = """
-SELECT CASE WHEN regexp_replace(source, '^[^:]*:', '') = '{t}' THEN 'outgoing' ELSE 'incoming' END AS direction,
-       CASE WHEN regexp_replace(source, '^[^:]*:', '') = '{t}' THEN regexp_replace(target, '^[^:]*:', '') ELSE regexp_replace(source, '^[^:]*:', '') END AS node, relationship
-FROM edges WHERE regexp_replace(source, '^[^:]*:', '') = '{t}' OR regexp_replace(target, '^[^:]*:', '') = '{t}'"""
+SELECT CASE WHEN regexp_replace(source, '^[^:]*:', '') = t THEN 'outgoing' ELSE 'incoming' END AS direction,
+       CASE WHEN regexp_replace(source, '^[^:]*:', '') = t THEN regexp_replace(target, '^[^:]*:', '') ELSE regexp_replace(source, '^[^:]*:', '') END AS node, relationship
+FROM edges, spot WHERE regexp_replace(source, '^[^:]*:', '') = t OR regexp_replace(target, '^[^:]*:', '') = t"""
 
-_SYSTEM = """
-WITH schemas AS (SELECT n_nationkey AS schema_id, n_name AS name FROM nation),
-tables AS (SELECT c_custkey AS object_id, c_name AS name, n_name AS schema_name, c_mktsegment AS temporal_type_desc FROM customer JOIN nation ON n_nationkey = c_nationkey),
-own AS (SELECT * FROM tables WHERE object_id % 10 <> 0),
-columns AS (SELECT o_custkey AS object_id, o_orderkey AS column_id, 'c' || o_orderkey AS name, CAST(substr(o_orderpriority, 1, 1) AS INT) AS type_id, o_orderkey % 40 - 1 AS size, o_orderkey % 2 AS nulls, o_orderstatus AS status FROM orders),
-codes AS (SELECT p_partkey, p_name, p_type, p_brand, n_name AS schema_name, ['P ', 'PC', 'FN', 'IF', 'TF', 'FS', 'FT', 'V ', 'U '][p_size % 9 + 1] AS code FROM part JOIN nation ON n_nationkey = p_partkey % 25),
-routines AS (SELECT * FROM codes WHERE p_partkey % 7 <> 0 AND code NOT IN ('V ', 'U '))
-"""
 _EXTRACTED = {
     "tables": """SELECT schema_name, name AS table_name, object_id, temporal_type_desc FROM own WHERE {ids:object_id}""",
     "columns": """
@@ -129,20 +135,14 @@ FROM columns a JOIN columns b ON b.column_id = a.column_id - 1 JOIN own p ON p.o
     "routines": """
 SELECT schema_name, p_name AS object_name, p_partkey + 1000000 AS object_id, code AS object_type_code, p_type AS type_desc, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS definition
 FROM routines WHERE {ids:p_partkey + 1000000}""",
-    "dependencies": """
-SELECT DISTINCT p_partkey + 1000000 AS referencing_object_id, r.schema_name AS referencing_schema, p_name AS referencing_name, code AS referencing_type_code, t.object_id AS referenced_id,
-       CASE WHEN l_linenumber % 2 = 0 THEN l_orderkey ELSE 0 END AS referenced_minor_id, CASE WHEN l_linenumber = 2 THEN 'named' ELSE t.schema_name END AS referenced_schema,
-       CASE WHEN l_linenumber = 2 THEN 'entity ' || o_custkey ELSE t.name END AS referenced_table, c.name AS referenced_column
-FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN routines r ON p_partkey = l_partkey JOIN tables t ON t.object_id = o_custkey
-LEFT JOIN columns c ON c.object_id = t.object_id AND c.column_id = CASE WHEN l_linenumber % 2 = 0 THEN l_orderkey ELSE 0 END
-WHERE l_linenumber <> 3 AND ({ids:p_partkey + 1000000} OR {ids:t.object_id})""",
+    "dependencies": _DEPENDENCIES + " AND ({ids:p_partkey + 1000000} OR {ids:t.object_id})",
 }
 
 
 def _extracted() -> dict[str, str]:
     """SQL of the catalog row sets, whole and for the listed objects."""
     chosen = ", ".join(map(str, EXTRACT_IDS))
-    fill = lambda sql, listed: _SYSTEM + re.sub(r"\{ids:([^}]*)\}", rf"(\1) IN ({chosen})" if listed else "TRUE", sql)
+    fill = lambda sql, listed: "WITH " + _SYSTEM + re.sub(r"\{ids:([^}]*)\}", rf"(\1) IN ({chosen})" if listed else "TRUE", sql)
     whole = {f"catalog_extract_{name}": fill(sql, False) for name, sql in _EXTRACTED.items()}
     return whole | {f"catalog_extract_{name}_of_ids": fill(sql, True) for name, sql in _EXTRACTED.items()}
 
@@ -154,6 +154,8 @@ def oracle_sql() -> dict[str, str]:
         "search_nodes_exact": ent(" SELECT * FROM n WHERE id = 'nation:7' OR label = 'nation:7' ORDER BY id LIMIT 50"),
         "search_nodes_fuzzy": ent(" SELECT * FROM n WHERE contains(lower(id), 'supplier:1') OR contains(lower(label), 'supplier:1')"),
         "search_nodes_typed_limit": ent(" SELECT * FROM n WHERE (contains(lower(id), '1') OR contains(lower(label), '1')) AND contains(type, 'customer') ORDER BY id LIMIT 50"),
+        "search_nodes_indexed": ent(" SELECT * FROM n WHERE contains(lower(id), 'supplier:1') OR contains(lower(label), 'supplier:1')"),
+        "search_symbols_indexed": ent(" SELECT * FROM n WHERE (contains(lower(id), '00077') OR contains(lower(label), '00077')) AND type = 'entity/customer'"),
         "get_node": ent(" SELECT * FROM n WHERE id = 'part:3' ORDER BY id LIMIT 1"),
         "neighbors_both": ent(
             " SELECT 'outgoing' AS direction, dst AS node, rel, CASE WHEN rel = 'calls' THEN 'EXTRACTED' ELSE 'INFERRED' END AS confidence FROM e WHERE src = 'nation:7'"
@@ -213,39 +215,43 @@ def oracle_sql() -> dict[str, str]:
                         WHEN contains(rel, 'entry') OR contains(lower(dst), 'entry') THEN 'entry_points' ELSE 'modules_affected' END AS bucket, CASE WHEN dst = id AND contains(rel, 'call') THEN src ELSE dst END AS node
             FROM e, s WHERE (dst = id AND contains(rel, 'call')) OR src = id"""
         ),
-        "catalog_nodes": cat(" SELECT * REPLACE (coalesce(column_id, 0) AS column_id) FROM nodes"),
+        "catalog_nodes": cat(" SELECT * EXCLUDE (data_type) REPLACE (coalesce(column_id, 0) AS column_id) FROM nodes"),
         "catalog_edges": cat(" SELECT source, target, relationship, key::BIGINT AS key, coalesce(ordinal, 0) AS ordinal, foreign_key_name, target_kind FROM edges"),
         "catalog_summary": cat(" SELECT 'node' AS kind, node_type AS name, count(*) AS n FROM nodes GROUP BY node_type UNION ALL SELECT 'edge', relationship, count(*) FROM edges GROUP BY relationship"),
-        "table_lookup": cat(_TABLE_EDGES.format(t="dbo.orders")),
-        "column_lookup": cat(" SELECT id, 'bigint' AS data_type, is_primary_key, is_foreign_key, is_referenced_key FROM nodes WHERE id = 'column:dbo.orders.o_custkey'"),
-        "schema_search": cat(" SELECT id, qualified_name AS label, node_type AS type FROM nodes WHERE (contains(lower(id), 'nation') OR contains(lower(qualified_name), 'nation')) AND node_type = 'Column'"),
-        "table_relationships": cat(_TABLE_EDGES.format(t="dbo.nation")),
-        "table_fk_pairs": cat(" SELECT 'outgoing' AS direction, 'FK_' || pt || '_' || pc AS foreign_key_name, pc AS column, 'dbo.' || rt AS other_table, rc AS other_column FROM fk WHERE pt = 'nation' UNION ALL SELECT 'incoming', 'FK_' || pt || '_' || pc, rc, 'dbo.' || pt, pc FROM fk WHERE rt = 'nation'"),
+        "table_lookup": cat(_TABLE_EDGES),
+        "column_lookup": cat(f" SELECT id, data_type, is_primary_key, is_foreign_key, is_referenced_key FROM nodes WHERE node_type = 'Column' AND object_id = {TABLE_ID} ORDER BY column_id LIMIT 1"),
+        "schema_search": cat(" SELECT id, qualified_name AS label, node_type AS type FROM nodes WHERE (contains(lower(id), 'c77') OR contains(lower(qualified_name), 'c77')) AND node_type = 'Column'"),
+        "table_relationships": cat(_TABLE_EDGES),
+        "table_fk_pairs": cat(f" SELECT 'outgoing' AS direction, name AS foreign_key_name, pc AS column, rt AS other_table, rc AS other_column FROM fk WHERE po = {TABLE_ID} UNION ALL SELECT 'incoming', name, rc, pt, pc FROM fk WHERE ro = {TABLE_ID}"),
         "relationship_paths": cat(
-            """, both_ends AS (SELECT source AS node, target AS other, relationship AS rel, source, kind, pname, number, target, 0 AS side FROM edges UNION ALL SELECT target, source, relationship, source, kind, pname, number, target, 1 FROM edges),
+            f""", goal AS (SELECT 'table:' || rt AS g FROM fk WHERE po = {TABLE_ID} AND ro <> {TABLE_ID} ORDER BY name LIMIT 1),
+            kept AS (SELECT * FROM edges WHERE relationship IN ('Stores', 'Links')),
+            both_ends AS (SELECT source AS node, target AS other, relationship AS rel, source, kind, pname, number, target, 0 AS side FROM kept UNION ALL SELECT target, source, relationship, source, kind, pname, number, target, 1 FROM kept),
             adj AS (SELECT node, other, rel, row_number() OVER (PARTITION BY node ORDER BY source, kind, pname, number, target, side) AS ord FROM both_ends),
-            w AS (SELECT 'table:dbo.orders' AS last, ['table:dbo.orders'] AS nodes, []::VARCHAR[] AS rels, []::BIGINT[] AS key
-                  UNION ALL SELECT other, list_append(nodes, other), list_append(rels, rel), list_append(key, ord) FROM w JOIN adj ON node = last WHERE last <> 'table:dbo.nation' AND len(key) < 9 AND NOT list_contains(nodes, other)),
-            h AS (SELECT *, row_number() OVER (ORDER BY len(key), key) AS rank FROM w WHERE last = 'table:dbo.nation')
-            SELECT rank, array_to_string(list_transform(nodes, lambda x: regexp_replace(x, '^[^:]*:', '')), '>') AS nodes, array_to_string(rels, '>') AS rels FROM h WHERE rank <= 5"""
+            w AS (SELECT 'table:' || t AS last, ['table:' || t] AS nodes, []::VARCHAR[] AS rels, []::BIGINT[] AS key FROM spot
+                  UNION ALL SELECT other, list_append(nodes, other), list_append(rels, rel), list_append(key, ord) FROM w JOIN adj ON node = last, goal WHERE last <> g AND len(key) < 9 AND NOT list_contains(nodes, other)),
+            h AS (SELECT w.*, row_number() OVER (ORDER BY len(key), key) AS rank FROM w, goal WHERE last = g)
+            SELECT rank, array_to_string([regexp_replace(x, '^[^:]*:', '') for x in nodes], '>') AS nodes, array_to_string(rels, '>') AS rels FROM h WHERE rank <= 5"""
         ),
-        "routine_dependencies": cat(" SELECT CASE WHEN starts_with(target, 'column:') THEN 'columns' ELSE 'tables' END AS bucket, regexp_replace(target, '^[^:]*:', '') AS node FROM edges WHERE source = 'procedure:dbo.close_order' AND relationship = 'Creates'"),
-        "targeted_depth0": cat("," + NEAR.format(seed=_OIDS["nation"], depth=0)),
-        "targeted_depth1": cat("," + NEAR.format(seed=_OIDS["nation"], depth=1)),
-        "targeted_depth2": cat("," + NEAR.format(seed=100, depth=2)),
-        "type_display": cat(" SELECT table_name, column_name, type_display FROM c"),
+        "routine_dependencies": cat(" SELECT CASE WHEN starts_with(target, 'column:') THEN 'columns' ELSE 'tables' END AS bucket, regexp_replace(target, '^[^:]*:', '') AS node FROM edges, proc WHERE source = 'procedure:' || p AND relationship = 'Creates'"),
+        "targeted_depth0": cat(NEAR.format(seed=TABLE_ID, depth=0)),
+        "targeted_depth1": cat(NEAR.format(seed=TABLE_ID, depth=1)),
+        "targeted_depth2": cat(NEAR.format(seed="(SELECT object_id FROM proc)", depth=2)),
+        "type_display": cat(" SELECT table_name, column_name, type_display FROM typed"),
         "graph_json_lines": cat(_GRAPH_FACTS),
         "graph_graphml_lines": cat(_GRAPH_FACTS),
+        "edge_ordinals": cat(" SELECT 'edge-' || (row_number() OVER (ORDER BY source, kind, pname, number, target, key) - 1) AS edge_uid, source, target, relationship, key::BIGINT AS key FROM edges"),
         "graph_styles": cat(
             """ SELECT id, CASE node_type WHEN 'Table' THEN '#2f6db5' WHEN 'Column' THEN '#8fb7a6' WHEN 'Procedure' THEN '#c2703d' ELSE '#8c5fb0' END AS color, CASE node_type WHEN 'Table' THEN 28 WHEN 'Column' THEN 12 ELSE 20 END::BIGINT AS size,
             CASE node_type WHEN 'Table' THEN 'box' WHEN 'Column' THEN 'dot' WHEN 'Procedure' THEN 'diamond' ELSE 'triangle' END AS shape, concat_ws(chr(10), node_type, qualified_name, type_display) AS tooltip FROM nodes"""
         ),
         "graph_markdown_tables": cat(
-            f""", cells AS (SELECT table_name, column_id, '| `' || column_name || '` | `' || type_display || '` | Yes | ' || concat_ws(', ', CASE WHEN is_pk THEN 'PK' END,
-                CASE WHEN EXISTS (SELECT 1 FROM fk WHERE pt = table_name AND pc = column_name) THEN 'FK' END, CASE WHEN EXISTS (SELECT 1 FROM fk WHERE rt = table_name AND rc = column_name) THEN 'Referenced key' END) || ' |' AS line FROM c)
-            SELECT '{SCHEMA}.' || table_name AS qualified_name, '| Column | Type | Nullable | Key information |' || chr(10) || '|---|---|---:|---|' || chr(10) || string_agg(line, chr(10) ORDER BY column_id) AS body FROM cells GROUP BY table_name"""
+            """, cells AS (SELECT object_id, column_id, '| `' || name || '` | `' || type_display || '` | ' || CASE WHEN column_id % 2 = 1 THEN 'Yes' ELSE 'No' END || ' | ' || concat_ws(', ', CASE WHEN is_primary_key THEN 'PK' END,
+                CASE WHEN is_foreign_key THEN 'FK' END, CASE WHEN is_referenced_key THEN 'Referenced key' END) || ' |' AS line FROM nodes WHERE node_type = 'Column'),
+            listed AS (SELECT object_id, string_agg(line, chr(10) ORDER BY column_id) AS lines FROM cells GROUP BY object_id)
+            SELECT qualified_name, concat_ws(chr(10), '| Column | Type | Nullable | Key information |', '|---|---|---:|---|', lines) AS body FROM nodes LEFT JOIN listed USING (object_id) WHERE node_type = 'Table'"""
         ),
-        "graph_markdown_links": cat(f" SELECT '- `{SCHEMA}.' || pt || '` via `' || pc || '` → `{SCHEMA}.' || rt || '` via `' || rc || '` (`FK_' || pt || '_' || pc || '`)' AS line FROM fk"),
+        "graph_markdown_links": cat(" SELECT '- `' || pt || '` via `' || pc || '` → `' || rt || '` via `' || rc || '` (`' || name || '`)' AS line FROM fk"),
         "card_page": f"WITH {CARDS} SELECT left(card_id::VARCHAR, 8) AS card_id, project, title, status, priority, left(created_at, 19) AS created_at, left(updated_at, 16) AS updated_at FROM k WHERE status = 'In Progress'",
         "node_attributes": "SELECT 'customer:' || c_custkey AS id, length(c_name)::BIGINT AS size FROM customer WHERE contains('customer:' || c_custkey, '1') OR contains(c_name, '1')",
         "cards_list": f"WITH {CARDS} SELECT * FROM k",

@@ -12,6 +12,7 @@ from skeinwork.functions import predicates as P
 from skeinwork.model import PropertyGraph
 from skeinwork.operators import board, catalog_build, code, freshness, graph, schema
 from skeinwork.operators import cards as card_ops
+from skeinwork.operators.ordinals import with_ordinals
 from skeinwork.plans import workload
 from skeinwork.sources.system_tables import SystemTables
 
@@ -48,6 +49,30 @@ def _built(c) -> PropertyGraph:
     return catalog_build.build_graph(c)
 
 
+def _first(rows: DataFrame, order: str, name: tuple[str, ...]) -> str:
+    """The dotted name in the first row; nothing's name where there is none."""
+    row = rows.orderBy(order).select(F.concat_ws(".", *name)).first()
+    return row[0] if row else "none.none"
+
+
+def _table(c) -> str:
+    return _first(c.tables.filter(F.col("object_id") == workload.TABLE_ID), "object_id", ("schema_name", "table_name"))
+
+
+def _column(c) -> str:
+    return _first(c.columns.filter(F.col("table_object_id") == workload.TABLE_ID), "column_id", ("column_name",))
+
+
+def _referenced(c) -> str:
+    """A table that the table refers to."""
+    keys = c.foreign_keys.filter((F.col("parent_object_id") == workload.TABLE_ID) & (F.col("referenced_object_id") != workload.TABLE_ID))
+    return _first(keys, "foreign_key_name", ("referenced_schema", "referenced_table"))
+
+
+def _procedure(c) -> str:
+    return _first(c.routines.filter(F.rtrim("object_type_code").isin(*catalog_build.PROCEDURES)), "object_id", ("schema_name", "object_name"))
+
+
 def _catalog_nodes(g: PropertyGraph) -> DataFrame:
     return g.nodes.select(
         "id", "node_type", "name", "qualified_name", F.coalesce("object_id", "table_object_id").cast("long").alias("object_id"), F.coalesce("column_id", F.lit(0)).cast("long").alias("column_id"), "type_display",
@@ -99,10 +124,16 @@ def _json_facts(x) -> DataFrame:
 
 def _xml_facts(x) -> DataFrame:
     """What the GraphML lines of a built catalog tell, read back from them."""
-    find = lambda path: F.nullif(F.xpath_string("line", F.lit(path)), F.lit(""))
-    name = F.coalesce(find("node/@id"), F.concat_ws(" ", find("edge/@source"), find("edge/@target")))
-    kind = F.coalesce(find("node/data[@key='n_node_type']"), find("edge/data[@key='e_relationship']"))
-    return sinks.graphml_lines(_built(x)).select("kind", name.alias("name"), kind.alias("type"), find("node/data[@key='n_qualified_name']").alias("qualified_name"), F.coalesce(find("edge/data[@key='e_key']").cast("long"), F.lit(-1)).alias("key"))
+    find = lambda pattern: F.nullif(F.regexp_extract("line", pattern, 1), F.lit(""))
+    name = F.coalesce(find('<node id="([^"]*)"'), F.concat_ws(" ", find('source="([^"]*)"'), find('target="([^"]*)"')))
+    kind = F.coalesce(find('key="n_node_type">([^<]*)<'), find('key="e_relationship">([^<]*)<'))
+    return sinks.graphml_lines(_built(x)).select("kind", name.alias("name"), kind.alias("type"), find('key="n_qualified_name">([^<]*)<').alias("qualified_name"), F.coalesce(find('key="e_key">([^<]*)<').cast("long"), F.lit(-1)).alias("key"))
+
+
+def _numbered_edges(x) -> DataFrame:
+    """Edges with the number that documents give them."""
+    rows = _built(x).edges.select("source", "target", "relationship", "key", F.col("pos.kind").alias("kind"), F.col("pos.name").alias("name"), F.col("pos.number").alias("number"))
+    return with_ordinals(rows, "source", "kind", "name", "number", "target", "key").select(F.concat(F.lit("edge-"), F.col("ordinal").cast("string")).alias("edge_uid"), "source", "target", "relationship", F.col("key").cast("long").alias("key"))
 
 
 def _card_page(x: DataFrame) -> DataFrame:
@@ -142,6 +173,8 @@ def queries() -> dict[str, Query]:
         "search_nodes_exact": _on_graph(lambda g: _nodes(graph.search_nodes(g, "nation:7"))),
         "search_nodes_fuzzy": _on_graph(lambda g: _nodes(graph.search_nodes(g, "SUPPLIER:1", fuzzy=True, limit=1_000_000))),
         "search_nodes_typed_limit": _on_graph(lambda g: _nodes(graph.search_nodes(g, "1", node_type="customer", fuzzy=True, limit=50))),
+        "search_nodes_indexed": lambda spark, sf_dir: _nodes(graph.search_nodes(workload.entity_graph(spark, sf_dir, indexed=True), "SUPPLIER:1", fuzzy=True, limit=1_000_000)),
+        "search_symbols_indexed": lambda spark, sf_dir: _nodes(code.search_symbols(workload.entity_graph(spark, sf_dir, indexed=True), "00077", "entity/customer")),
         "get_node": _on_graph(lambda g: _nodes(graph.get_node(g, "part:3"))),
         "neighbors_both": _on_graph(lambda g: graph.neighbors(g, "nation:7")),
         "neighbors_out_rel": _on_graph(lambda g: graph.neighbors(g, "order:5", "outgoing", "uses")),
@@ -160,16 +193,16 @@ def queries() -> dict[str, Query]:
         "catalog_nodes": c(lambda x: _catalog_nodes(_built(x))),
         "catalog_edges": c(lambda x: _catalog_edges(_built(x))),
         "catalog_summary": c(lambda x: graph.counts(catalog_build.generic(_built(x), unified=True))),
-        "table_lookup": c(lambda x: schema.table_lookup(x, "dbo.orders")[1]),
-        "column_lookup": c(lambda x: schema.column_lookup(x, "dbo.orders", "o_custkey").select("id", "data_type", "is_primary_key", "is_foreign_key", "is_referenced_key")),
-        "schema_search": c(lambda x: schema.schema_search(_built(x), "NATION", "Column")),
-        "table_relationships": c(lambda x: schema.table_relationships(x, "dbo.nation")),
-        "table_fk_pairs": c(lambda x: schema.table_fk_pairs(x, "dbo.nation")),
-        "relationship_paths": c(lambda x: _paths(schema.relationship_paths(_built(x), "dbo.orders", "dbo.nation"))),
-        "routine_dependencies": c(lambda x: schema.routine_dependencies(x, "dbo.close_order")),
-        "targeted_depth0": c(lambda x: _ids(catalog_build.build_targeted(x, "dbo.nation", "table", 0))),
-        "targeted_depth1": c(lambda x: _ids(catalog_build.build_targeted(x, "dbo.nation", "table", 1))),
-        "targeted_depth2": c(lambda x: _ids(catalog_build.build_targeted(x, "dbo.region_report", "procedure", 2))),
+        "table_lookup": c(lambda x: schema.table_lookup(x, _table(x))[1]),
+        "column_lookup": c(lambda x: schema.column_lookup(x, _table(x), _column(x)).select("id", "data_type", "is_primary_key", "is_foreign_key", "is_referenced_key")),
+        "schema_search": c(lambda x: schema.schema_search(_built(x), "C77", "Column")),
+        "table_relationships": c(lambda x: schema.table_relationships(x, _table(x))),
+        "table_fk_pairs": c(lambda x: schema.table_fk_pairs(x, _table(x))),
+        "relationship_paths": c(lambda x: _paths(schema.relationship_paths(_built(x), _table(x), _referenced(x), ["Stores", "Links"]))),
+        "routine_dependencies": c(lambda x: schema.routine_dependencies(x, _procedure(x))),
+        "targeted_depth0": c(lambda x: _ids(catalog_build.build_targeted(x, _table(x), "table", 0))),
+        "targeted_depth1": c(lambda x: _ids(catalog_build.build_targeted(x, _table(x), "table", 1))),
+        "targeted_depth2": c(lambda x: _ids(catalog_build.build_targeted(x, _procedure(x), "procedure", 2))),
         "type_display": c(lambda x: x.columns.select("table_name", "column_name", P.type_display().alias("type_display"))),
         "cards_list": _on_cards(lambda x: _card_columns(card_ops.list_cards(x))),
         "cards_list_filtered": _on_cards(lambda x: _card_columns(card_ops.list_cards(x, "In Progress", "1-URGENT"))),
@@ -182,6 +215,7 @@ def queries() -> dict[str, Query]:
         "relevant_sources": _sources,
         "graph_json_lines": c(_json_facts),
         "graph_graphml_lines": c(_xml_facts),
+        "edge_ordinals": c(_numbered_edges),
         "graph_markdown_tables": c(lambda x: sinks.markdown_tables(_built(x))),
         "graph_markdown_links": c(lambda x: sinks.markdown_links(_built(x))),
         "graph_styles": c(lambda x: sinks.styled(_built(x)).nodes.select("id", "color", F.col("size").cast("long").alias("size"), "shape", "tooltip")),

@@ -8,25 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.model import Catalog, PropertyGraph
-from skeinwork.sources.catalog import column_rows, from_rows
-
-#: Table, object id, primary key.
-TABLES = (("customer", 10, "c_custkey"), ("lineitem", 20, None), ("nation", 30, "n_nationkey"), ("orders", 40, "o_orderkey"), ("part", 50, "p_partkey"), ("region", 60, "r_regionkey"), ("supplier", 70, "s_suppkey"))
-#: Foreign key: parent table and column, referenced table and column.
-FOREIGN_KEYS = (
-    ("customer", "c_nationkey", "nation", "n_nationkey"),
-    ("lineitem", "l_orderkey", "orders", "o_orderkey"),
-    ("lineitem", "l_partkey", "part", "p_partkey"),
-    ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
-    ("nation", "n_regionkey", "region", "r_regionkey"),
-    ("orders", "o_custkey", "customer", "c_custkey"),
-    ("supplier", "s_nationkey", "nation", "n_nationkey"),
-)
-#: Routine, object id, type code, definition.
-ROUTINES = (("close_order", 80, "P ", "UPDATE orders"), ("order_total", 90, "FN", "SELECT sum"), ("region_report", 100, "P ", None))
-#: Routine, referenced table, referenced column (empty: the whole table).
-DEPENDENCIES = (("close_order", "orders", ""), ("close_order", "orders", "o_orderstatus"), ("order_total", "lineitem", "l_extendedprice"), ("order_total", "orders", ""), ("region_report", "region", ""), ("region_report", "nation", "n_name"), ("region_report", "missing", ""))
-SCHEMA = "dbo"
+from skeinwork.operators.adjacency import AdjacencyStore
+from skeinwork.operators.substring_index import SubstringIndex
+from skeinwork.sources.system_tables import SystemTables
+
+#: The tables of which the entity graph has edges.
+ENTITY_TABLES = ("orders", "customer", "nation", "supplier", "lineitem")
+NODE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +25,7 @@ def _id(prefix: str, column: str):
     return F.concat(F.lit(f"{prefix}:"), F.col(column).cast("string"))
 
 
-def entity_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+def entity_graph(spark: SparkSession, sf_dir: str, indexed: bool = False) -> PropertyGraph:
     """Orders call customers call nations call regions; suppliers import nations; orders use parts; parts depend on suppliers."""
     t = lambda name: table(spark, sf_dir, name)
     edge = lambda frame, a, acol, b, bcol, rel: frame.select(_id(a, acol).alias("src"), _id(b, bcol).alias("dst"), F.lit(rel).alias("rel"))
@@ -58,34 +46,16 @@ def entity_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     nodes = node("region", "region", "r_regionkey", "r_name")
     for name, kind, key, label in (("nation", "nation", "n_nationkey", "n_name"), ("customer", "customer", "c_custkey", "c_name"), ("supplier", "supplier", "s_suppkey", "s_name"), ("part", "part", "p_partkey", "p_name"), ("orders", "order", "o_orderkey", "o_orderpriority")):
         nodes = nodes.unionByName(node(name, kind, key, label))
-    return PropertyGraph(nodes.withColumn("pos", F.col("id")), edges)
+    # the store is found again by later queries, as long as the tables stay as they are
+    store = AdjacencyStore.of_files(edges, [os.path.join(sf_dir, f"{name}.parquet") for name in ENTITY_TABLES], "entities")
+    nodes = nodes.withColumn("pos", F.col("id"))
+    files = [os.path.join(sf_dir, f"{name}.parquet") for name in NODE_TABLES]
+    return PropertyGraph(nodes, edges, store, SubstringIndex(nodes, files=files, label="entities") if indexed else None)
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """The star tables' own schemas as a catalog, with keys, routines and dependencies declared above."""
-    ids = {name: object_id for name, object_id, _ in TABLES}
-    routine_ids = {name: (object_id, code) for name, object_id, code, _ in ROUTINES}
-    return from_rows(
-        spark,
-        tables=[{"schema_name": SCHEMA, "table_name": n, "object_id": i, "is_memory_optimized": 0, "temporal_type_desc": "NON_TEMPORAL_TABLE"} for n, i, _ in TABLES],
-        columns=column_rows(SCHEMA, {n: (i, table(spark, sf_dir, n)) for n, i, _ in TABLES}),
-        primary_keys=[{"schema_name": SCHEMA, "table_name": n, "column_name": k, "constraint_name": f"PK_{n}", "key_ordinal": 1} for n, _, k in TABLES if k],
-        foreign_keys=[
-            {
-                "foreign_key_name": f"FK_{a}_{x}", "parent_schema": SCHEMA, "parent_table": a, "parent_column": x, "referenced_schema": SCHEMA, "referenced_table": b, "referenced_column": y, "constraint_column_id": 1,
-                "delete_referential_action_desc": "NO_ACTION", "update_referential_action_desc": "NO_ACTION", "is_disabled": 0, "is_not_trusted": 0, "parent_object_id": ids[a], "referenced_object_id": ids[b],
-            }
-            for a, x, b, y in FOREIGN_KEYS
-        ],
-        routines=[{"schema_name": SCHEMA, "object_name": n, "object_id": i, "object_type_code": c, "type_desc": "SQL_ROUTINE", "definition": d} for n, i, c, d in ROUTINES],
-        dependencies=[
-            {
-                "referencing_object_id": routine_ids[r][0], "referencing_schema": SCHEMA, "referencing_name": r, "referencing_type_code": routine_ids[r][1], "referenced_schema": SCHEMA, "referenced_table": t, "referenced_column": c or None,
-                "referenced_object_id": ids.get(t), "referenced_id": ids.get(t), "referenced_minor_id": 1 if c else 0, "is_schema_bound_reference": 0, "is_ambiguous": 0,
-            }
-            for r, t, c in DEPENDENCIES
-        ],
-    )
+    """The catalog of the system tables below, as large as the star."""
+    return SystemTables(system_tables(spark, sf_dir)).catalog()
 
 
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +86,8 @@ def card_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Type codes given to parts as objects, and data types given to orders as columns.
 OBJECT_TYPES = ("P ", "PC", "FN", "IF", "TF", "FS", "FT", "V ", "U ")
 DATA_TYPES = ("int", "nvarchar", "nchar", "decimal", "varchar")
-#: Objects around which the catalog is extracted: tables, a shipped one, and routines.
+#: The table that lookups are about, and objects around which the catalog is extracted: tables, a shipped one, and routines.
+TABLE_ID = 4
 EXTRACT_IDS = (3, 4, 10, 77, 1_000_005, 1_000_012)
 
 
@@ -143,7 +114,7 @@ def system_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "index_columns": order.select(F.col("o_custkey").alias("object_id"), F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(2).alias("index_id"), F.col("o_orderkey").alias("column_id"), (F.col("o_orderkey") % 4).cast("int").alias("key_ordinal")),
         "foreign_keys": order.select(F.col("o_orderkey").alias("object_id"), text("fk ", "o_orderkey").alias("name"), F.lit("NO_ACTION").alias("delete_referential_action_desc"), F.lit("CASCADE").alias("update_referential_action_desc"), F.lit(0).alias("is_disabled"), F.lit(1).alias("is_not_trusted")),
         "foreign_key_columns": linked.select(F.col("o_orderkey").alias("constraint_object_id"), F.lit(1).alias("constraint_column_id"), F.col("o_custkey").alias("parent_object_id"), F.col("o_orderkey").alias("parent_column_id"), F.col("y").alias("referenced_object_id"), F.col("x").alias("referenced_column_id")),
-        "objects": t("part").select((F.col("p_partkey") + 1_000_000).alias("object_id"), (F.col("p_partkey") % 25).cast("int").alias("schema_id"), F.col("p_name").alias("name"), kind.alias("type"), F.col("p_type").alias("type_desc"), none.alias("create_date"), none.alias("modify_date"), (F.col("p_partkey") % 7 == 0).alias("is_ms_shipped")),
+        "objects": t("part").select((F.col("p_partkey") + 1_000_000).alias("object_id"), (F.col("p_partkey") % 25).cast("int").alias("schema_id"), F.concat_ws(" ", "p_name", "p_partkey").alias("name"), kind.alias("type"), F.col("p_type").alias("type_desc"), none.alias("create_date"), none.alias("modify_date"), (F.col("p_partkey") % 7 == 0).alias("is_ms_shipped")),
         "sql_modules": t("part").filter("p_partkey % 3 <> 0").select((F.col("p_partkey") + 1_000_000).alias("object_id"), F.col("p_brand").alias("definition"), F.lit(0).alias("is_schema_bound"), F.lit(1).alias("uses_ansi_nulls"), F.lit(1).alias("uses_quoted_identifier")),
         "sql_expression_dependencies": t("lineitem").join(order, F.col("l_orderkey") == F.col("o_orderkey")).select(
             (F.col("l_partkey") + 1_000_000).alias("referencing_id"), F.when(F.col("l_linenumber") != 3, F.col("o_custkey")).alias("referenced_id"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_orderkey")).otherwise(0).alias("referenced_minor_id"),

@@ -1,6 +1,7 @@
 """Built graphs as JSON, Markdown, GraphML and style columns.
 
-Lines are made on the executors; write_lines stores them as text files. Only summaries of whole documents are assembled on the driver.
+Lines are made on the executors; write_lines stores them as text files, write_document as one ordered file. Only the
+Markdown summary, for schemas that people read, is assembled on the driver.
 """
 
 from __future__ import annotations
@@ -8,21 +9,24 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 from collections.abc import Mapping
 from typing import Any
 from xml.sax.saxutils import escape, quoteattr
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.model import PropertyGraph
+from skeinwork.operators.ordinals import with_ordinals
+from skeinwork.storage import discard, join_files
 
 
-def _elements(frame: DataFrame, kind: str) -> DataFrame:
+def _elements(frame: DataFrame, kind: str, order: list[str] | None = None) -> DataFrame:
     """Each row as a JSON object without its nulls; a graph that was read gives its elements as they came."""
     body = F.col("attrs") if "attrs" in frame.columns else F.to_json(F.struct(*(c for c in frame.columns if c != "pos")))
-    place = F.col("pos") if "pos" in frame.columns else F.monotonically_increasing_id()
-    return frame.select(F.lit(kind).alias("kind"), body.alias("line"), place.alias("pos"))
+    at = F.struct(*order) if order else F.lit(0)
+    return frame.select(F.lit(kind).alias("kind"), body.alias("line"), at.alias("pos"))
 
 
 def json_lines(graph: PropertyGraph) -> DataFrame:
@@ -30,12 +34,27 @@ def json_lines(graph: PropertyGraph) -> DataFrame:
     return _elements(graph.nodes, "node").drop("pos").unionByName(_elements(graph.edges, "edge").drop("pos"))
 
 
-def json_document(graph: PropertyGraph, metadata: Mapping[str, Any] | None = None) -> str:
-    """A whole node-link document, for graphs that people read (read_graph reads it back); larger ones are written as lines."""
-    listed = lambda frame, kind: [r[0] for r in _elements(frame, kind).orderBy("pos").select("line").collect()]
+def _sections(spark: SparkSession, *sections: str | DataFrame) -> DataFrame:
+    """(section, ordinal, text): texts and frames of (ordinal, text) one after another."""
+    schema = "section int, ordinal long, text string"
+    parts = [spark.createDataFrame([(i, 0, x)], schema) if isinstance(x, str) else x.select(F.lit(i).alias("section"), F.col("ordinal").cast("long").alias("ordinal"), "text") for i, x in enumerate(sections)]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every
+
+
+def json_document(graph: PropertyGraph, metadata: Mapping[str, Any] | None = None) -> DataFrame:
+    """(section, ordinal, text): the lines of a node-link document in order, which read_graph reads back; see write_document."""
+    place = lambda frame: ["pos"] if "attrs" in frame.columns else [c for c in ("id", "source", "pos", "target", "key") if c in frame.columns]
+
+    def listed(frame: DataFrame, kind: str) -> DataFrame:
+        rows = with_ordinals(_elements(frame, kind, place(frame)), "pos", "line")
+        return rows.select("ordinal", F.concat(F.when(F.col("ordinal") > 0, ",").otherwise(""), "line").alias("text"))
+
     head = json.dumps({k: v for k, v in (metadata or {}).items() if v is not None}, ensure_ascii=False)
-    body = lambda frame, kind: "[\n" + ",\n".join(listed(frame, kind)) + "\n]"
-    return f'{{"metadata": {head},\n"directed": true,\n"multigraph": true,\n"nodes": {body(graph.nodes, "node")},\n"edges": {body(graph.edges, "edge")}}}\n'
+    start = f'{{"metadata": {head},\n"directed": true,\n"multigraph": true,\n"nodes": ['
+    return _sections(graph.nodes.sparkSession, start, listed(graph.nodes, "node"), '],\n"edges": [', listed(graph.edges, "edge"), "]}")
 
 
 def _xml(column):
@@ -45,6 +64,13 @@ def _xml(column):
     return text
 
 
+#: Text attributes of each node type, which are empty in GraphML where they are null.
+NODE_TEXTS = {
+    "Table": ("name", "qualified_name", "schema", "created_at", "modified_at", "temporal_type"),
+    "Column": ("name", "qualified_name", "schema", "table", "data_type", "type_display", "default_definition", "computed_definition", "collation", "primary_key_name"),
+    "Procedure": ("name", "qualified_name", "schema", "sql_object_type", "sql_object_type_desc", "created_at", "modified_at", "definition_sha256"),
+    "Function": ("name", "qualified_name", "schema", "sql_object_type", "sql_object_type_desc", "created_at", "modified_at", "definition_sha256"),
+}
 #: GraphML's names of Spark's types; others are written as text.
 XML_TYPES = {"boolean": "boolean", "int": "int", "bigint": "long", "double": "double"}
 
@@ -53,33 +79,50 @@ def _attributes(frame: DataFrame, ends: tuple[str, ...]) -> list[tuple[str, str]
     return [(c, XML_TYPES.get(t, "string")) for c, t in frame.dtypes if c not in ("pos", *ends)]
 
 
-def graphml_lines(graph: PropertyGraph) -> DataFrame:
-    """(kind, line): each node and edge as a GraphML element without its nulls; an edge keeps its key.
+def graphml_elements(graph: PropertyGraph) -> tuple[DataFrame, DataFrame]:
+    """(ordinal, line) of the nodes, by id, and of the edges, by source, position, target and key: edge <n> is `edge-<n>`.
 
-    An edge's id is made of its ends and key, which are unique, so no global numbering is needed.
+    An attribute of a node's own type that is null is an empty text (numbers and flags are left out, as no text is one);
+    an edge has its attributes that are not null, its number and its key.
     """
-    data = lambda prefix, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f'<data key="{prefix}_{c}">'), _xml(F.col(c)), F.lit("</data>"))).otherwise("")
-    nodes = graph.nodes.select(F.lit("node").alias("kind"), F.concat(F.lit('<node id="'), _xml(F.col("id")), F.lit('">'), *(data("n", c) for c, _ in _attributes(graph.nodes, ("id",))), F.lit("</node>")).alias("line"))
-    name = F.concat_ws("|", "source", "target", F.col("key").cast("string"))
+
+    def data(prefix: str, c: str, empty=None):
+        held = F.concat(F.lit(f'<data key="{prefix}_{c}">'), _xml(F.col(c)), F.lit("</data>"))
+        told = F.when(F.col(c).isNotNull(), held)
+        return (told if empty is None else told.when(empty, F.lit(f'<data key="{prefix}_{c}"></data>'))).otherwise("")
+
+    kinds = dict(graph.nodes.dtypes)
+    own = lambda c: F.col("node_type").isin([t for t, columns in NODE_TEXTS.items() if c in columns]) if kinds[c] == "string" and "node_type" in kinds else None
+    nodes = with_ordinals(graph.nodes, *(c for c in ("id", "object_id") if c in kinds))
+    nodes = nodes.select("ordinal", F.concat(F.lit('<node id="'), _xml(F.col("id")), F.lit('">'), *(data("n", c, own(c)) for c, _ in _attributes(graph.nodes, ("id",))), F.lit("</node>")).alias("line"))
+    edges = with_ordinals(graph.edges, *(c for c in ("source", "pos", "target", "key") if c in graph.edges.columns))
+    uid = F.concat(F.lit("edge-"), F.col("ordinal").cast("string"))
     rest = [data("e", c) for c, _ in _attributes(graph.edges, ("source", "target"))]
-    edges = graph.edges.select(F.lit("edge").alias("kind"), F.concat(F.lit('<edge id="edge-'), _xml(name), F.lit('" source="'), _xml(F.col("source")), F.lit('" target="'), _xml(F.col("target")), F.lit('">'), *rest, F.lit("</edge>")).alias("line"))
-    return nodes.unionByName(edges)
+    line = F.concat(F.lit('<edge id="'), uid, F.lit('" source="'), _xml(F.col("source")), F.lit('" target="'), _xml(F.col("target")), F.lit('">'), *rest, F.lit('<data key="e_edge_uid">'), uid, F.lit("</data></edge>"))
+    return nodes, edges.select("ordinal", line.alias("line"))
+
+
+def graphml_lines(graph: PropertyGraph) -> DataFrame:
+    """(kind, line): each node and edge as a GraphML element."""
+    nodes, edges = graphml_elements(graph)
+    return nodes.select(F.lit("node").alias("kind"), "line").unionByName(edges.select(F.lit("edge").alias("kind"), "line"))
 
 
 def graphml_frame(graph: PropertyGraph, metadata: Mapping[str, Any] | None = None) -> tuple[str, str]:
     """What stands before and after the lines of a GraphML document: its declarations, of every attribute, and its end."""
     facts = {k: str(v) for k, v in (metadata or {}).items() if v is not None}
-    keys = [("n", "node", c, t) for c, t in _attributes(graph.nodes, ("id",))] + [("e", "edge", c, t) for c, t in _attributes(graph.edges, ("source", "target"))] + [("g", "graph", c, "string") for c in facts]
+    keys = [("n", "node", c, t) for c, t in _attributes(graph.nodes, ("id",))] + [("e", "edge", c, t) for c, t in [*_attributes(graph.edges, ("source", "target")), ("edge_uid", "string")]] + [("g", "graph", c, "string") for c in facts]
     declared = "".join(f'<key id={quoteattr(f"{p}_{c}")} for="{whole}" attr.name={quoteattr(c)} attr.type="{t}"/>\n' for p, whole, c, t in keys)
     told = "".join(f"<data key={quoteattr(f'g_{c}')}>{escape(v)}</data>\n" for c, v in facts.items())
     head = f'<?xml version="1.0" encoding="utf-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n{declared}<graph edgedefault="directed">\n{told}'
     return head, "</graph>\n</graphml>\n"
 
 
-def graphml_document(graph: PropertyGraph, metadata: Mapping[str, Any] | None = None) -> str:
-    """A whole GraphML document, for graphs that people read; larger ones are written as lines, nodes first, in the same frame."""
-    head, tail = graphml_frame(graph, metadata)
-    return head + "".join(r["line"] + "\n" for r in graphml_lines(graph).orderBy(F.desc("kind"), "line").collect()) + tail
+def graphml_document(graph: PropertyGraph, metadata: Mapping[str, Any] | None = None) -> DataFrame:
+    """(section, ordinal, text): the lines of a GraphML document in order, nodes first; see write_document."""
+    head, tail = (x.rstrip("\n") for x in graphml_frame(graph, metadata))
+    listed = (rows.withColumnRenamed("line", "text") for rows in graphml_elements(graph))
+    return _sections(graph.nodes.sparkSession, head, *listed, tail)
 
 
 def markdown_tables(graph: PropertyGraph) -> DataFrame:
@@ -149,11 +192,26 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.write.partitionBy("kind").text(path)
 
 
+def write_document(document: DataFrame, path: str) -> None:
+    """A document of (section, ordinal, text) as one file, whole or not at all.
+
+    Executors write its lines as ordered parts beside it, which the file system then joins in order; no element passes
+    through the driver's memory, which only asks for copies of bounded buffers.
+    """
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    ordered = document.repartitionByRange("section", "ordinal").sortWithinPartitions("section", "ordinal").select("text")
+    try:
+        ordered.write.text(parts)
+        join_files(document.sparkSession, parts, path)
+    finally:
+        discard(document.sparkSession, parts)
+
+
 def write_documents(graph: PropertyGraph, folder: str, metadata: Mapping[str, Any] | None = None) -> None:
-    """graph.json, graph.graphml and graph.md of a built graph, each whole or not at all."""
-    os.makedirs(folder, exist_ok=True)
-    for name, text in (("graph.json", json_document(graph, metadata)), ("graph.graphml", graphml_document(graph, metadata)), ("graph.md", markdown(graph, str((metadata or {}).get("generated_at", ""))))):
-        replace_file(os.path.join(folder, name), text)
+    """graph.json, graph.graphml and graph.md of a built graph, each whole or not at all; the summary is for schemas that people read."""
+    write_document(json_document(graph, metadata), os.path.join(folder, "graph.json"))
+    write_document(graphml_document(graph, metadata), os.path.join(folder, "graph.graphml"))
+    replace_file(os.path.join(folder, "graph.md"), markdown(graph, str((metadata or {}).get("generated_at", ""))))
 
 
 def replace_file(path: str, text: str) -> None:

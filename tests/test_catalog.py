@@ -7,6 +7,7 @@ import pytest
 
 from skeinwork import sinks
 from skeinwork.operators import catalog_build, graph, schema
+from skeinwork.operators.ordinals import with_ordinals
 from skeinwork.sources.catalog import from_rows
 from skeinwork.sources.graph_json import read_graph, read_lines
 
@@ -90,7 +91,7 @@ def test_sinks(spark, catalog, tmp_path):
     assert plain(r["attrs"] for r in back.nodes.unionByName(back.edges, allowMissingColumns=True).collect()) == plain(r["line"] for r in sinks.json_lines(g).collect())
     whole = json.loads((tmp_path / "out" / "graph.json").read_text())
     assert whole["metadata"] == {"database": "db <1>", "generated_at": "now"} and whole["directed"] and whole["multigraph"]
-    sinks.replace_file(str(tmp_path / "again.json"), sinks.json_document(back))  # a graph that was read is written as it came
+    sinks.write_document(sinks.json_document(back), str(tmp_path / "again.json"))  # a graph that was read is written as it came
     again = json.loads((tmp_path / "again.json").read_text())
     assert (again["nodes"], again["edges"]) == (whole["nodes"], whole["edges"])
     sinks.write_lines(sinks.json_lines(g), str(tmp_path / "lines"))
@@ -106,3 +107,42 @@ def test_sinks(spark, catalog, tmp_path):
     assert next(d.text for d in root.iter(f"{space}data") if d.get("key") == "g_database") == "db <1>"
     sinks.replace_file(str(tmp_path / "x.md"), text)
     assert (tmp_path / "x.md").read_text() == text
+
+
+def test_documents_are_ordered(spark, catalog, tmp_path):
+    """Edges are numbered from 0 in order, null texts of a node's own type are there and empty, elements stand by id and number."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_documents(catalog_build.build_graph(catalog), str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["graph.graphml", "graph.json", "graph.md"]
+    space = "{http://graphml.graphdrawing.org/xmlns}"
+    root = ElementTree.parse(tmp_path / "graph.graphml").getroot()
+    edges = list(root.iter(f"{space}edge"))
+    assert [e.get("id") for e in edges] == [f"edge-{i}" for i in range(len(edges))] and len(edges) == 8
+    assert [e.get("source") for e in edges] == sorted(e.get("source") for e in edges)
+    data = lambda e: {d.get("key"): d.text for d in e}
+    assert all(data(e)["e_edge_uid"] == e.get("id") and "e_key" in data(e) for e in edges)
+    nodes = {n.get("id"): data(n) for n in root.iter(f"{space}node")}
+    assert list(nodes) == sorted(nodes) and nodes["table:dbo.A"]["n_created_at"] is None and "n_data_type" not in nodes["table:dbo.A"]
+    whole = json.loads((tmp_path / "graph.json").read_text())
+    assert [n["id"] for n in whole["nodes"]] == sorted(nodes) and [e["source"] for e in whole["edges"]] == [e.get("source") for e in edges]
+    empty = catalog_build.build_graph(from_rows(spark))
+    sinks.write_document(sinks.json_document(empty), str(tmp_path / "empty.json"))
+    assert json.loads((tmp_path / "empty.json").read_text())["edges"] == []
+
+
+def test_ordinals(spark):
+    """Places in the order of all rows, over several partitions, without an exchange to one of them."""
+    rows = [((i * 7919) % 501, f"x{i}") for i in range(501)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "k long, ordinal string").repartition(7)
+        found = with_ordinals(df, "k")
+        assert sorted((r["k"], r["ordinal"]) for r in found.collect()) == [(k, k) for k in range(501)]
+        plans = found._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plans and "Window" not in plans
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert with_ordinals(df.limit(0), "k", name="n").columns == ["k", "ordinal", "n"]
