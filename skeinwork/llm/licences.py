@@ -15,13 +15,17 @@ from __future__ import annotations
 import os
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
+from functools import cache
 from itertools import groupby
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinwork.llm.common import stored
+
 #: Notices of each licence family, which train the classifier and are its templates.
 TEMPLATES = {
     "agpl": [
@@ -187,12 +191,14 @@ def features_of(words: list[str], markers: set[str]) -> set[str]:
     return {w for w in words if w in markers} | {f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if a in markers or b in markers}
 
 
+@cache
 def named_words() -> list[str]:
     """The words of notices that may be features."""
     listed = [*(n for found in TEMPLATES.values() for n in found), *OTHER_NOTICES]  # not those of the calibration
     return sorted({w for n in listed for w in word_list(n) if len(w) > 1 and not w[0].isdigit()})
 
 
+@cache
 def silent_templates() -> list[list[str]]:
     """The words, numbers left out, of each template that has no licence word."""
     named = set(named_words())
@@ -243,7 +249,8 @@ def sample_paragraphs(docs: DataFrame) -> list[str]:
 
 def word_shares(docs: DataFrame) -> dict[str, float]:
     """Of the words of notices, the share of all ordinary lines of docs that hold them; a few hundred rows at most."""
-    hits = docs.select(F.explode(F.split("text", "\n")).alias("line")).filter("trim(line) <> ''").select(F.array_distinct(named(F.col("line"), named_words())).alias("held"))
+    # inline keeps the optimiser from repeating the expression wherever its words are named
+    hits = docs.select(F.explode(F.split("text", "\n")).alias("line")).filter("trim(line) <> ''").select(F.inline(F.array(F.struct(F.array_distinct(named(F.col("line"), named_words())).alias("held")))))
     notice = F.arrays_overlap("held", F.array(*map(F.lit, sorted(LICENCE_WORDS))))
     for t in silent_templates():
         notice = notice | (F.size(F.array_intersect("held", F.array(*map(F.lit, t)))) >= RESEMBLANCE * len(t))
@@ -263,6 +270,29 @@ def _variants(notice: str, noise: list[str], rng: random.Random) -> list[list[st
     return made
 
 
+class SparseRows:
+    """Rows of zeros and ones as lists of their ones, each with one more column that is always one (for the intercept)."""
+
+    def __init__(self, rows: list[tuple[int, ...]], columns: int):
+        lengths = np.array([len(r) + 1 for r in rows])
+        self.columns = np.array([c for r in rows for c in (*r, columns)])
+        self.starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        order = np.argsort(self.columns, kind="stable")
+        self.by_column = np.repeat(np.arange(len(rows)), lengths)[order]
+        self.held, self.column_starts = np.unique(self.columns[order], return_index=True)
+        self.width = columns + 1
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """The rows times w."""
+        return np.add.reduceat(w[self.columns], self.starts, axis=0)
+
+    def back(self, values: np.ndarray) -> np.ndarray:
+        """The transposed rows times a row of values for each."""
+        out = np.zeros((self.width, values.shape[1]), dtype=values.dtype)
+        out[self.held] = np.add.reduceat(values[self.by_column], self.column_starts, axis=0)
+        return out
+
+
 def train(paragraphs: list[str], shares: dict[str, float] | None = None, seed: int = 7, steps: int = 250, rate: float = 0.3, decay: float = 1e-4) -> LicenceModel:
     """The classifier for a corpus of which `paragraphs` are a sample (it may be empty); the same sample gives the same model.
 
@@ -284,27 +314,27 @@ def train(paragraphs: list[str], shares: dict[str, float] | None = None, seed: i
     classes = [NONE, UNKNOWN, *TEMPLATES]
     known = sorted({f for _, words, held in rows if not held for f in features_of(words, markers) if set(f.split()) <= of_notices})
     at = {f: i for i, f in enumerate(known)}
-    x = np.zeros((len(rows), len(known)), dtype=np.float32)
-    for i, (_, words, _) in enumerate(rows):
-        x[i, [at[f] for f in features_of(words, markers) if f in at]] = 1
-    y = np.array([classes.index(family) for family, *_ in rows])
-    held = np.array([h for *_, h in rows])
-    w, b, one_hot = np.zeros((len(known), len(classes)), dtype=np.float32), np.zeros(len(classes), dtype=np.float32), np.eye(len(classes), dtype=np.float32)[y]
-    speed_w, speed_b = np.zeros_like(w), np.zeros_like(b)
-    share = np.where(y == 0, len(classes) / max(1, int((y == 0).sum())), 1 / VARIANTS / 5).astype(np.float32)[:, None]  # no class outweighs others
-    fitted, targets, shares = x[~held], one_hot[~held], share[~held]
+    every = [(tuple(sorted(at[f] for f in features_of(words, markers) if f in at)), classes.index(family), held) for family, words, held in rows]
+    fitted = Counter((found, c) for found, c, held in every if not held)  # equal rows count as one of more weight
+    x = SparseRows([found for found, _ in fitted], len(known))
+    y = np.array([c for _, c in fitted])
+    ordinary = max(1, sum(c == 0 for _, c, _ in every))
+    share = np.array([n * (len(classes) / ordinary if c == 0 else 1 / VARIANTS / 5) for (_, c), n in fitted.items()], dtype=np.float32)[:, None]  # no class outweighs others
+    w, targets = np.zeros((len(known) + 1, len(classes)), dtype=np.float32), np.eye(len(classes), dtype=np.float32)[y]
+    speed, shrink = np.zeros_like(w), np.full((len(w), 1), decay, dtype=np.float32)
+    shrink[-1] = 0
     for _ in range(steps):
-        miss = (_softmax(fitted @ w + b) - targets) * shares
-        speed_w = 0.9 * speed_w - rate * (fitted.T @ miss + decay * w)
-        speed_b = 0.9 * speed_b - rate * miss.sum(axis=0)
-        w, b = w + speed_w, b + speed_b
-    scores = x[held] @ w + b
-    temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=lambda t: -np.log(_softmax(scores / t)[np.arange(len(scores)), y[held]] + 1e-12).sum())
+        speed = 0.9 * speed - rate * x.back((_softmax(x.times(w)) - targets) * share) - rate * shrink * w
+        w = w + speed
+    others = [(found, c) for found, c, held in every if held]
+    y = np.array([c for _, c in others])
+    scores = SparseRows([found for found, _ in others], len(known)).times(w)
+    temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=lambda t: -np.log(_softmax(scores / t)[np.arange(len(scores)), y] + 1e-12).sum())
     best = _softmax(scores / temperature)[:, 2:].max(axis=1)
-    is_known = y[held] >= 2
+    is_known = y >= 2
     low = float(np.quantile(best[~is_known], 0.995)) if (~is_known).any() else 0.0
     level = min(0.9, max(0.5, (low + float(np.quantile(best[is_known], 0.02))) / 2))
-    return LicenceModel(classes, sorted(markers), {f: w[i].tolist() for f, i in at.items()}, b.tolist(), temperature, level)
+    return LicenceModel(classes, sorted(markers), {f: w[i].tolist() for f, i in at.items()}, w[-1].tolist(), temperature, level)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -330,23 +360,25 @@ def flagged_paragraphs(docs: DataFrame, model: LicenceModel) -> DataFrame:
     """(doc_id, line_no, paragraph, families, probability, resemblance) of the paragraphs that are notices; families are the
     known ones it tells of, in order, or "unknown". line_no is that of its first line."""
     spark = docs.sparkSession
-    paragraphs = marked_paragraphs(docs, model.markers)
+    paragraphs = stored(marked_paragraphs(docs, model.markers), "paragraphs")  # two plans read them by row
     worded = paragraphs.withColumn("words", F.transform("lines", words_of))
     units = F.concat(F.array(F.struct(F.lit(-1).alias("part"), F.flatten("words").alias("words"))), F.when(F.size("lines") > 1, F.transform("words", lambda w, i: F.struct(i.alias("part"), w.alias("words")))).otherwise(F.array().cast("array<struct<part:int,words:array<string>>>")))
+    unit = ["row", "line_no", "part"]
     parted = worded.select("row", "doc_id", "line_no", F.array_join("lines", "\n").alias("paragraph"), F.explode(units).alias("u")).select("row", "doc_id", "line_no", F.when(F.col("u.part") < 0, F.col("paragraph")).alias("paragraph"), "u.part", "u.words")
     pairs = F.when(F.size("words") > 1, F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1)))).otherwise(F.array().cast("array<string>"))
     # the vocabulary is bounded by the notices: some thousand rows whatever the corpus
     vocabulary = F.broadcast(spark.createDataFrame(list(model.weights.items()), "feature string, w array<double>"))
-    features = parted.withColumn("feature", F.explode(F.array_union(F.array_distinct("words"), pairs)))
-    summed = features.join(vocabulary, "feature").groupBy("row", "doc_id", "line_no", "part").agg(F.first("paragraph").alias("paragraph"), F.first("words").alias("words"), *(F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(len(model.classes))))
+    features = parted.select(*unit, F.explode(F.array_union(F.array_distinct("words"), pairs)).alias("feature"))  # without the words, as a long line has many features
+    summed = features.join(vocabulary, "feature").groupBy(*unit).agg(*(F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(len(model.classes))))
     raw = [F.exp((F.col(f"s{i}") + model.bias[i]) / model.temperature) for i in range(len(model.classes))]
     total = sum(raw[1:], raw[0])
     best = F.array_max(F.array(*(F.struct((raw[i] / total).alias("p"), F.lit(c).alias("family")) for i, c in enumerate(model.classes) if i > 1)))
-    scored = summed.select("row", "doc_id", "line_no", "part", "paragraph", F.array_distinct("words").alias("words"), (raw[0] / total).alias("p_none"), best.alias("best"))
+    likely = summed.select(*unit, (raw[0] / total).alias("p_none"), best.alias("best")).filter("p_none < 0.5")
+    scored = likely.join(parted, unit).select("row", "doc_id", "line_no", "part", "paragraph", F.array_distinct("words").alias("words"), "best")
     templates = F.create_map(*(x for family, listed in TEMPLATES.items() for x in (F.lit(family), F.array(*(F.array(*(F.array(*map(F.lit, part)) for part in template_words(n))) for n in listed)))))
     held = lambda part: F.size(F.array_intersect(F.col("words"), part)) / F.size(part)
     likeness = lambda listed: F.array_max(F.transform(listed, lambda parts: F.array_min(F.transform(parts, held))))
-    judged = scored.filter("p_none < 0.5").withColumn("resemblance", likeness(F.element_at(templates, F.col("best.family")))).withColumn("most", likeness(F.flatten(F.map_values(templates))))
+    judged = scored.withColumn("resemblance", likeness(F.element_at(templates, F.col("best.family")))).withColumn("most", likeness(F.flatten(F.map_values(templates))))
     sure = (F.col("best.p") >= model.level) & (F.col("resemblance") >= RESEMBLANCE) & (F.col("resemblance") >= F.col("most"))
     speaks = F.arrays_overlap("words", F.array(*map(F.lit, sorted(LICENCE_WORDS))))
     named_by = judged.select("row", "doc_id", "line_no", "part", "paragraph", "best", "resemblance", speaks.alias("speaks"), F.when(sure, F.col("best.family")).alias("family"))

@@ -360,3 +360,34 @@ def test_pipeline_against_plain_python(spark):
     assert sum(r["length"] for r in packed) == sum(r["doc_tokens"] for r in packed if r["start"] == 0)
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_licence_expressions_stand_once(spark):
+    """The words of a line are found by one expression, and the features of a line travel without its words."""
+    docs = spark.createDataFrame([(1, "licensed under the apache license version 2.0\nplain words"), (2, None)], "doc_id long, text string")
+    plans, select = [], type(docs).groupBy
+
+    def watch(self, *columns):
+        if columns == ("word",):
+            plans.append(self._jdf.queryExecution().optimizedPlan().toString())
+        return select(self, *columns)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(docs), "groupBy", watch)
+        licences.word_shares(docs)
+    assert len(plans) == 1 and plans[0].count("regexp_extract_all") == 1
+
+
+def test_licence_in_one_long_line(spark):
+    model = licences.train([])
+    text = "licensed under the apache license version 2.0 " + " ".join(f"w{i}" for i in range(100_000))
+    found = licences.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert (found["n_notices"], found["licences"]) == (1, "apache")
+
+
+def test_sparse_rows():
+    rows = [(0, 2), (), (1,), (0, 1, 2)]
+    dense = np.array([[i in r for i in range(3)] + [True] for r in rows], dtype=np.float32)
+    w, v = np.arange(8, dtype=np.float32).reshape(4, 2), np.arange(8, dtype=np.float32).reshape(4, 2) - 3
+    sparse = licences.SparseRows(rows, 3)
+    assert (sparse.times(w) == dense @ w).all() and (sparse.back(v) == dense.T @ v).all()
