@@ -6,7 +6,9 @@ import hashlib
 import tempfile
 import time
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,14 +28,39 @@ def shared_dir(spark: SparkSession) -> str:
     return fresh
 
 
+#: Paths of tables for each scratch() that is open, innermost last.
+_SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that were stored within it, but for kept ones, which belong to the scratch() around it.
+
+    So whatever is made within and still read afterwards has to read kept tables alone.
+    """
+    token = _SCRATCH.set((*_SCRATCH.get(), []))
+    try:
+        yield
+    finally:
+        made = _SCRATCH.get()[-1]
+        _SCRATCH.reset(token)
+        for path in made:
+            discard(spark, path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, cut from its lineage by a table in the shared folder, which is computed once (a checkpoint computes it twice)."""
     return stored(df, "step")
 
 
-def stored(df: DataFrame, label: str, partition_by: Iterable[str] = ()) -> DataFrame:
-    """df as a Parquet table in the shared folder; it survives lost executors and costs less disk than a checkpoint."""
+def stored(df: DataFrame, label: str, partition_by: Iterable[str] = (), keep: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder; it survives lost executors and costs less disk than a checkpoint.
+
+    Within scratch() it is deleted at the end, unless it is to be kept.
+    """
     path = f"{shared_dir(df.sparkSession)}/skeinwork-{label}-{uuid.uuid4().hex}"
+    if owners := _SCRATCH.get()[: -1 if keep else None]:
+        owners[-1].append(path)
     writer = df.write.option("compression", "zstd")
     names = list(partition_by)
     (writer.partitionBy(*names) if names else writer).parquet(path)
