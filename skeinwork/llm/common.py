@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skeinwork.storage import checkpointed, discard, shared_dir, stored
+from skeinwork.storage import checkpointed, discard, scratch, shared_dir, stored
 
-__all__ = ["BLANKS", "arrow_schema", "as_bytes", "checkpointed", "discard", "give_back", "map_rows", "read_table", "released", "shared_dir", "stored", "widened"]
+__all__ = ["BLANKS", "arrow_schema", "as_bytes", "checkpointed", "discard", "give_back", "map_rows", "read_table", "released", "scratch", "shared_dir", "stored", "widened"]
 
 #: ASCII white space, the separators of words: space and tab to carriage return.
 BLANKS = " \t\n\x0b\f\r"

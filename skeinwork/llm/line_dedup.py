@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import BLANKS, discard, released, shared_dir, stored, widened
+from skeinwork.llm.common import BLANKS, discard, released, scratch, shared_dir, stored, widened
 
 #: Settled keys up to this number are broadcast (16 bytes each); more are joined.
 BROADCAST_KEYS = 500_000
@@ -143,14 +143,15 @@ class LineRuns:
 
 def frequent_lines(docs: DataFrame, min_docs: int, batches: int = BATCHES, fanout: int = FANOUT, text_col: str = "text") -> DataFrame:
     """(h1, h2) of the line keys found in at least min_docs documents, each once, through the levelled runs."""
-    counted = stored(count_lines(in_batches(docs, batches, text_col)), "line-counts", ["batch"])
-    runs = LineRuns(docs.sparkSession, min_docs, fanout, max(8, counted.count() // BUCKET_KEYS))
-    try:
-        for batch in range(batches):
-            runs.add(counted.filter(F.col("batch") == batch).drop("batch"))
-        return stored(runs.finish(), "line-keys")
-    finally:
-        runs.drop()
+    with scratch(docs.sparkSession):
+        counted = stored(count_lines(in_batches(docs, batches, text_col)), "line-counts", ["batch"])
+        runs = LineRuns(docs.sparkSession, min_docs, fanout, max(8, counted.count() // BUCKET_KEYS))
+        try:
+            for batch in range(batches):
+                runs.add(counted.filter(F.col("batch") == batch).drop("batch"))
+            return stored(runs.finish(), "line-keys", keep=True)
+        finally:
+            runs.drop()
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, text_col: str = "text", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import checkpointed, released, stored
+from skeinwork.llm.common import checkpointed, released, scratch, stored
 from skeinwork.llm.components import connected_components
 from skeinwork.llm.simhash import fingerprint_of, link_fingerprints, shingle_hashes
 
@@ -262,12 +262,13 @@ def drop_near_copies(docs: DataFrame, words: int, budget: int, similarity: tuple
     """
     docs = keyed(docs)
     columns = [c for c in docs.columns if c != "key of row"]
-    rows, parts = near_copies(docs, words, budget, similarity)
-    named = rows.select("key of row", "cls", "doc_id").join(parts, "cls", "left")
-    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key of row")).alias("best")
-    kept = named.groupBy(F.coalesce("component", "cls").alias("component")).agg(best).select(F.col("best.key of row").alias("key of row"))
-    counted = rows.groupBy("key of row").agg(F.count(F.lit(1)).alias("n")).join(kept.withColumn("kept", F.lit(True)), "key of row", "left")
-    other = stored(counted.filter("kept IS NULL OR n > 1"), "near-copies")
+    with scratch(docs.sparkSession):  # the result reads only the table of the rows that go
+        rows, parts = near_copies(docs, words, budget, similarity)
+        named = rows.select("key of row", "cls", "doc_id").join(parts, "cls", "left")
+        best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key of row")).alias("best")
+        kept = named.groupBy(F.coalesce("component", "cls").alias("component")).agg(best).select(F.col("best.key of row").alias("key of row"))
+        counted = rows.groupBy("key of row").agg(F.count(F.lit(1)).alias("n")).join(kept.withColumn("kept", F.lit(True)), "key of row", "left")
+        other = stored(counted.filter("kept IS NULL OR n > 1"), "near-copies", keep=True)
     again = other.filter("kept").select("key of row")
     out = matched(docs, other.select("key of row"), "key of row", "left_anti")
     if not again.isEmpty():

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.llm.bwt import repeated_intervals
-from skeinwork.llm.common import as_bytes, give_back, released, stored
+from skeinwork.llm.common import as_bytes, give_back, released, scratch, stored
 
 SPAN, GRAM, BESIDE = 50, 16, 17
 WINDOW = SPAN - GRAM + 1
@@ -562,7 +562,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63))).alias("doc_id"), raw.alias("raw"))
     total = texts.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     parts = max(16, total // part_bytes)
-    found = to_parts(stored(verdicts(to_parts(candidates(texts, parts, fan), parts, fan), parts, fan), "repeat-verdicts"), parts, fan)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -570,7 +569,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(_doc_parts(batch.column(0).to_numpy(), checks, parts)), *batch.columns], names=["part", "doc_id", "raw"])
 
     placed = texts.mapInArrow(place, "part int, doc_id long, raw binary")
-    state = stored(apply_verdicts(placed, found, _GIVES[give]), "repeat-state", ["kind"])
+    with scratch(docs.sparkSession):
+        found = to_parts(stored(verdicts(to_parts(candidates(texts, parts, fan), parts, fan), parts, fan), "repeat-verdicts"), parts, fan)
+        state = stored(apply_verdicts(placed, found, _GIVES[give]), "repeat-state", ["kind"], keep=True)
     strings = repeated_strings(state.filter(F.col("kind") == _SEGMENT))
     done = state.filter(F.col("kind") == _DONE).unionByName(finish(state.filter(F.col("kind") == _TEXT).drop("kind"), strings, _GIVES[give]))
     id_back = F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")).alias("doc_id")

@@ -6,6 +6,7 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 
 from skeinwork.llm import chat, licences, quality
