@@ -2,12 +2,14 @@
 
 import base64
 import hashlib
+import os
 import random
 import struct
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -117,3 +119,18 @@ def test_sharding(spark):
     for s in range(8):
         assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
     assert sharding.shard_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_sharding_query_row_by_row(spark):
+    """Size, checksum and law of every document, slots without gaps, and shards within one text of the mean."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    want = {r["doc_id"]: (len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode()), "bytes", None) for r in rows}
+    out = sharding.query(spark, "/root/testdata/sf0.001").collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) for r in out} == want and len(out) == len(rows)
+    held = {s: [r for r in out if r["shard"] == s] for s in range(8)}
+    assert sum(map(len, held.values())) == len(out)
+    mean, largest = sum(size for size, *_ in want.values()) / 8, max(size for size, *_ in want.values())
+    for s, found in held.items():
+        assert sorted(r["slot"] for r in found) == list(range(len(found)))
+        assert abs(sum(r["size"] for r in found) - mean) <= largest, s
