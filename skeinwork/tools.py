@@ -19,6 +19,8 @@ from skeinwork.operators import catalog_build, code, schema
 from skeinwork.operators import graph as graphs
 from skeinwork.operators.cards import CardStore, card_with_comments, list_cards
 from skeinwork.operators.freshness import DEFAULT_TTL, GraphCache, materialised
+from skeinwork.operators.snapshots import SharedGraph
+from skeinwork.sources.card_stores import board_of_all
 
 
 def _rows(df: DataFrame) -> list[dict]:
@@ -53,12 +55,14 @@ class Tools:
     """Tools over a code graph, a catalog and a card store.
 
     load_code and load_catalog are called when a tool needs them; the whole database graph is kept for `ttl` seconds and
-    served stale, with a warning, while it can't be rebuilt.
+    served stale, with a warning, while it can't be rebuilt. shared is a path at which several processes share it. load_registry
+    gives the registered projects (slug, root), whose stores make the board of all.
     """
 
-    def __init__(self, load_code: Callable[[], PropertyGraph], load_catalog: Callable[[], Catalog], cards: CardStore, ttl: float = DEFAULT_TTL, code_path: str | None = None):
-        self.load_code, self.load_catalog, self.store, self.code_path = load_code, load_catalog, cards, code_path
-        self.database = GraphCache(lambda: materialised(catalog_build.build_graph(load_catalog())), ttl)
+    def __init__(self, load_code: Callable[[], PropertyGraph], load_catalog: Callable[[], Catalog], cards: CardStore, ttl: float = DEFAULT_TTL, code_path: str | None = None, shared: str | None = None, load_registry: Callable[[], DataFrame] | None = None):
+        self.load_code, self.load_catalog, self.store, self.code_path, self.load_registry = load_code, load_catalog, cards, code_path, load_registry
+        build = lambda: catalog_build.build_graph(load_catalog())
+        self.database = SharedGraph(cards.spark, shared, build, ttl) if shared else GraphCache(lambda: materialised(build()), ttl)
 
     def _graph(self, name: str) -> tuple[PropertyGraph, list[str]]:
         if name == "code":
@@ -199,6 +203,19 @@ class Tools:
         self.store.complete_card(card_id, summary)
         return self._card(card_id), []
 
+    @_answer("cards")
+    def board_of_projects(self):
+        """Every registered project with its counts, or its store's error, and the newest cards of its columns."""
+        if self.load_registry is None:
+            return {"projects": []}, ["no registry of projects"]
+        counts, newest = board_of_all(self.store.spark, self.load_registry())
+        shown = newest.orderBy("project", "bucket", "place").select("project", "bucket", "card_id", "title", "priority")
+        columns: dict[str, dict[str, list]] = {}
+        for r in _rows(shown):
+            columns.setdefault(r["project"], {}).setdefault(r["bucket"], []).append({k: r[k] for k in ("card_id", "title", "priority")})
+        projects = [r | {"columns": columns.get(r["project"], {})} for r in _rows(counts.orderBy("place"))]
+        return {"projects": projects}, [f"{r['project']}: {r['error']}" for r in projects if r["error"]]
+
     def _card(self, card_id: str) -> dict:
         rows = _rows(card_with_comments(self.store.cards(), self.store.comments().limit(0), card_id).limit(1))
         if not rows:

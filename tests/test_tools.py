@@ -28,3 +28,21 @@ def test_tools(spark, tmp_path):
     assert tools.update_card(card).warnings == ["no fields to update"] and "not found" in tools.get_card("nothing").warnings[0]
     tools.add_comment(card, "me", "text")
     assert tools.get_card(card).results["comments"][0]["comment"] == "text" and tools.list_cards().results["total"] == 1
+
+
+def test_shared_database_and_board(spark, tmp_path):
+    """Two sets of tools share one built database; the board has every registered project."""
+    catalog, loads = from_rows(spark, **rows()), []
+
+    def load():
+        loads.append(1)
+        return catalog
+
+    registry = spark.createDataFrame([("none", str(tmp_path / "none"))], "slug string, root string")
+    one, two = (Tools(lambda: None, load, CardStore(spark, str(tmp_path / name)), ttl=1e6, shared=str(tmp_path / "graph"), load_registry=lambda: registry) for name in ("a", "b"))
+    for tools in (one, two):
+        assert tools.db_search_schema("dbo.A", "Table").results[0]["id"] == "table:dbo.A"
+        assert len(tools.db_find_relationship_path("dbo.A", "dbo.B").results["paths"]) == 1
+    assert len(loads) == 1
+    board = one.board_of_projects()
+    assert [(p["project"], p["total"], p["columns"]) for p in board.results["projects"]] == [("none", 0, {})] and not board.warnings
