@@ -76,7 +76,7 @@ def model_callers(edges, start, depth, cap):
     return out
 
 
-@pytest.mark.parametrize(("seed", "few"), [(0, 5000), (1, 5000), (2, 5), (3, -1)])
+@pytest.mark.parametrize(("seed", "few"), [(1, 5000), (2, 5), (3, -1)])
 def test_random_graphs(spark, monkeypatch, seed, few):
     """Walked at hand, by tables from the first step on, and in between."""
     monkeypatch.setattr(traverse, "FEW_EDGES", few)
@@ -145,8 +145,7 @@ def plain_ordinals(edges, direction):
     return sorted((n, i, x, r) for n, found in seen.items() for i, (x, r) in enumerate(found, 1))
 
 
-@pytest.mark.parametrize("limit", [50_000, 0])
-@pytest.mark.parametrize("direction", ["out", "in", "both"])
+@pytest.mark.parametrize(("direction", "limit"), [("out", 50_000), ("in", 0), ("both", 0), ("both", 50_000)])
 def test_ordinals_of_two_levels(spark, monkeypatch, direction, limit):
     """Blocks of three edges over five parts: places in all earlier blocks of a node add up, by either kind of join."""
     monkeypatch.setattr(adjacency, "BROADCAST_ROWS", limit)
@@ -209,7 +208,7 @@ def test_store_is_found_again(spark, tmp_path, monkeypatch):
 # ---- first paths
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 3])
 def test_first_paths_in_small_batches(spark, monkeypatch, seed):
     """Batches of few walks, so that most prefixes wait; dense multigraphs with loops and parallel edges."""
     monkeypatch.setattr(traverse, "FEW_WALKS", 2)
