@@ -4,7 +4,8 @@ Distinct fingerprints go to tables in which some blocks of bits must agree (fing
 least one table). Within a bucket of a table the fingerprints are a binary trie, held as a sorted array whose nodes are
 ranges. The trie is joined with itself: node pairs go down together, differing bits add up, and a pair is dropped once
 they exceed the budget. Pairs of subtrees already known to be linked throughout are dropped as well, and each bucket gives
-a spanning forest of its links, so a dense group never turns into all of its pairs.
+a spanning forest of its links, so a dense group never turns into all of its pairs. A bucket of very many fingerprints is
+dealt in chunks, and each two chunks of it are a trie of their own, in a task of their own.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ WORDS, BUDGET = 4, 4
 #: Tables are chosen so that a bucket holds about so many fingerprints at most, were they spread evenly: joining a
 #: fingerprint with half of 128 others in each of 5 tables costs about what sorting it into 10 more tables does.
 BUCKET_MEAN = 128
-#: Rows that are joined at once (whole buckets, so a larger bucket is taken alone).
-CHUNK = 1 << 16
+#: Rows that are joined at once (whole buckets), and the most of a bucket that one task joins; larger ones are dealt by pairs of chunks.
+CHUNK, BUCKET_MOST = 1 << 16, 1 << 14
 
 
 def shingle_hashes(raw: bytes, words: int = WORDS) -> np.ndarray:
@@ -150,14 +151,29 @@ def trie_links(fp: np.ndarray, bucket: np.ndarray, budget: int) -> np.ndarray:
     return label
 
 
-def link_fingerprints(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
+def split_buckets(rows: DataFrame, most: int) -> DataFrame:
+    """(id, fp, bucket) with no bucket of much more than `most` rows: the rows of a larger one are dealt by hash in chunks of
+    half as many, and each goes to the buckets of its chunk with every other chunk, so that any two rows still meet."""
+    chunks = F.ceil(F.count(F.lit(1)) / F.lit(max(1, most // 2))).cast("int").alias("chunks")
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), chunks).filter((F.col("size") > most) & (F.col("chunks") > 2))
+    dealt = rows.join(stored(sizes.select("bucket", "chunks"), "wide-buckets"), "bucket", "left")
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "fp"), F.col("chunks")).cast("int"))
+    others = F.when(F.col("chunks").isNull(), F.array(F.lit(-1))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("chunks") - 1), F.col("chunk")))
+    dealt = dealt.withColumn("other", F.explode(others))
+    pair = F.xxhash64("bucket", F.least("chunk", "other"), F.greatest("chunk", "other"))
+    return dealt.select("id", "fp", F.when(F.col("chunks").isNull(), F.col("bucket")).otherwise(pair).alias("bucket"))
+
+
+def link_fingerprints(distinct: DataFrame, budget: int = BUDGET, bucket_most: int = BUCKET_MOST) -> DataFrame:
     """Links (a, b) that connect all ids whose fingerprints are within the budget, directly or by others.
 
     distinct holds (id, fp), each fingerprint once. A bucket gives fewer links than it has rows.
     """
+    distinct = stored(distinct.select("id", "fp"), "distinct-fingerprints")
     masks = table_masks(distinct.count(), budget)
     tables = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for i, m in enumerate(masks)))
     rows = distinct.select("id", "fp", F.explode(tables).alias("x")).select("id", "fp", F.xxhash64("x.t", "x.key").alias("bucket"))
+    rows = split_buckets(rows, bucket_most)
     flipped = F.col("fp").bitwiseXOR(F.lit(-(1 << 63)))  # the order of unsigned numbers
     parted = rows.repartition("bucket").sortWithinPartitions("bucket", flipped)
 

@@ -60,6 +60,28 @@ def test_trie_links(spark, budget, seed):
     assert [got.get(i, i) for i in range(len(fps))] == want
 
 
+@pytest.mark.parametrize("most", [6, 40, 500])
+def test_split_buckets(spark, most):
+    rng = random.Random(most)
+    base = rng.getrandbits(63)
+    fps = {base ^ sum(1 << b for b in rng.sample(range(24), rng.randint(0, 6))) for _ in range(400)} | {rng.getrandbits(63) for _ in range(100)}
+    fps = sorted(fps)
+    rows = spark.createDataFrame([(i, f, 7 if i % 5 else i) for i, f in enumerate(fps)], "id long, fp long, bucket long")
+    dealt = [tuple(r) for r in simhash.split_buckets(rows, most).collect()]
+    held = {}
+    for i, f, bucket in dealt:
+        assert fps[i] == f
+        held.setdefault(bucket, set()).add(i)
+    hot = {i for i in range(len(fps)) if i % 5}
+    met = {(i, j) for members in held.values() for i in members for j in members}
+    assert {(i, j) for i in hot for j in hot} <= met and all((i, j) not in met for i in hot for j in range(0, len(fps), 5) if len(hot) > most)
+    assert max(map(len, held.values())) <= 2 * most + 10 and sum(map(len, held.values())) == len(dealt)
+    links = simhash.link_fingerprints(rows.select("id", "fp"), 3, bucket_most=most)
+    got = {r["node"]: r["component"] for r in connected_components(links).collect()}
+    want = groups(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
+    assert [got.get(i, i) for i in range(len(fps))] == want
+
+
 def test_dense_bucket():
     fp = np.array(sorted({sum(1 << b for b in random.Random(i).sample(range(12), 3)) for i in range(2000)}), dtype=np.uint64)
     label = simhash.trie_links(fp, np.zeros(len(fp), dtype=np.int64), 4)
