@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 
 from skeinwork.model import PropertyGraph
 from skeinwork.operators.freshness import DEFAULT_TTL
-from skeinwork.storage import claim, discard, folders, put_in_place, read_small, write_small
+from skeinwork.storage import claim, discard, folders, put_in_place, read_small, stored_bytes, write_small
 
 #: Seconds after which a builder that has not finished counts as dead, and for which replaced versions stay.
 BUILD_LIMIT, GRACE = 600.0, 600.0
@@ -37,6 +37,14 @@ class SharedGraph:
         text = read_small(self.spark, f"{self.path}/current.json")
         return json.loads(text) if text else None
 
+    def facts(self) -> dict | None:
+        """path, size in bytes and built_at (seconds) of the version that serves now, nothing being built; None before the first build."""
+        pointer = self.current()
+        if pointer is None:
+            return None
+        path = f"{self.path}/{pointer['version']}"
+        return {"path": path, "size": stored_bytes(self.spark, path), "built_at": pointer["built_at"]}
+
     def _read(self, version: str) -> PropertyGraph:
         read = self.spark.read.parquet
         return PropertyGraph(read(f"{self.path}/{version}/nodes"), read(f"{self.path}/{version}/edges"))

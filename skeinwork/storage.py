@@ -164,6 +164,12 @@ def folders(spark: SparkSession, pattern: str) -> list[tuple[str, float]]:
     return [(status.getPath().getName(), status.getModificationTime() / 1000) for status in fs.globStatus(where) or []]
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a folder, or of a file."""
+    fs, where = _fs(spark, path)
+    return fs.getContentSummary(where).getLength()
+
+
 def claim(spark: SparkSession, path: str, limit: float, clock: Callable[[], float] = time.time) -> Callable[[], None] | None:
     """An exclusive file, and what releases it; None while another one holds it that is younger than limit seconds."""
     fs, where = _fs(spark, path)

@@ -103,11 +103,19 @@ class Tools:
 
     @_answer("any")
     def graph_status(self, graph: str = "code"):
-        path = self.code_path if graph == "code" else None
-        known = bool(path and os.path.exists(path))
-        stat = os.stat(path) if known else None
+        """Counts, and the path, size and time of what holds the graph: the code graph's file, or the version of the database
+        graph that processes share. A graph kept by this process alone has none."""
         found, warnings = self._graph(graph)
-        facts = {"path": path, "exists": known or graph == "database", "size": stat.st_size if stat else None, "modified": datetime.fromtimestamp(stat.st_mtime, UTC).isoformat() if stat else None}
+        path = size = changed = None
+        if graph == "code" and self.code_path and os.path.exists(self.code_path):
+            stat = os.stat(self.code_path)
+            path, size, changed = self.code_path, stat.st_size, stat.st_mtime
+        elif graph == "code":
+            path = self.code_path
+        elif isinstance(self.database, SharedGraph) and (stored := self.database.facts()):
+            path, size, changed = stored["path"], stored["size"], stored["built_at"]
+        modified = None if changed is None else datetime.fromtimestamp(changed, UTC).isoformat()
+        facts = {"path": path, "exists": graph == "database" or size is not None, "size": size, "modified": modified}
         return facts | {"node_count": found.nodes.count(), "edge_count": found.edges.count()}, warnings
 
     @_answer("any")

@@ -1,3 +1,5 @@
+import os
+
 from skeinwork.operators.cards import CardStore
 from skeinwork.sources.catalog import from_rows
 from skeinwork.tools import Tools
@@ -15,7 +17,8 @@ def test_tools(spark, tmp_path):
     assert tools.graph_get_node("table:dbo.A", graph="database").results["label"] is None
     assert "graph must be" in tools.graph_get_node("x", graph="other").warnings[0]
     assert [r["node"] for r in tools.graph_get_neighbors("lib.helper").results["outgoing"]] == []
-    assert tools.graph_status().results["edge_count"] == 3
+    assert tools.graph_status().results["edge_count"] == 3 and not tools.graph_status().results["exists"]
+    assert tools.graph_status(graph="database").results["path"] is None
     assert {r["caller"] for r in tools.code_find_callers("helper").results["callers"]} == {"app.run", "tests.t"}
     assert tools.code_find_callers("nothing").warnings == ["Symbol nothing not found"]
     assert tools.code_get_symbol("app.run").results["callees"][0]["node"] == "lib.helper"
@@ -44,5 +47,9 @@ def test_shared_database_and_board(spark, tmp_path):
         assert tools.db_search_schema("dbo.A", "Table").results[0]["id"] == "table:dbo.A"
         assert len(tools.db_find_relationship_path("dbo.A", "dbo.B").results["paths"]) == 1
     assert len(loads) == 1
+    one_status, two_status = (t.graph_status(graph="database").results for t in (one, two))
+    assert one_status == two_status and one_status["exists"] and one_status["node_count"] > 0 and one_status["modified"]
+    files = [os.path.join(d, f) for d, _, names in os.walk(one_status["path"]) for f in names if not f.startswith((".", "_"))]
+    assert one_status["path"].startswith(str(tmp_path / "graph")) and one_status["size"] >= sum(map(os.path.getsize, files)) > 0
     board = one.board_of_projects()
     assert [(p["project"], p["total"], p["columns"]) for p in board.results["projects"]] == [("none", 0, {})] and not board.warnings
