@@ -3,6 +3,7 @@
 Two multinomials over hashed byte trigrams: the trusted target (documents labelled good) and the raw corpus (every
 document). A document's score is its log-likelihood ratio over its number of trigrams. The threshold lies a fixed margin
 below the score that all but a fixed share of held-out trusted documents reach, so the same tables give the same verdicts.
+Every trusted document counts: one half by hash fits the target, the other one is held out and calibrates.
 """
 
 from __future__ import annotations
@@ -17,12 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm.common import as_bytes, map_rows, released
+from skeinwork.llm.common import as_bytes, map_rows, released, scratch, stored
 
 #: Buckets of the hashed trigrams; the model is two vectors of this length whatever the corpus.
 BUCKETS = 1 << 16
-#: At most so many trusted documents, those of least hash, fit and calibrate the target; all documents count in the raw corpus.
-TRUSTED_SAMPLE = 20_000
 #: The share of held-out trusted documents that may score under the level, and how far the threshold lies under it.
 TRUSTED_LOSS, MARGIN = 0.001, 0.02
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -82,57 +81,80 @@ class RatioModel:
         return float(self.log_ratio[buckets].mean()) if len(buckets) else 0.0
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED_SAMPLE) -> list[tuple[int, bool]]:
-    """(doc_id, whether it fits or calibrates) of at most `most` documents of which no label says they are bad."""
-    good = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q")).filter("q = 1")
-    order = F.xxhash64(F.lit("trusted"), F.col("doc_id"))
-    return [(r[0], r[1] % 2 == 0) for r in good.select("doc_id", order.alias("h")).orderBy("h", "doc_id").limit(most).collect()]
+def trusted(labels: DataFrame) -> DataFrame:
+    """(doc_id, fits) of every document of which no label says it is bad: whether it fits the target or calibrates."""
+    good = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q")).filter("q = 1")
+    return good.select("doc_id", (F.xxhash64(F.lit("trusted"), F.col("doc_id")).bitwiseAND(F.lit(1)) == 0).alias("fits"))
 
 
-def corpus_counts(docs: DataFrame, fitting: set[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram counts by bucket over all documents and over the fitting ones; at most BUCKETS rows reach the driver."""
-    shared = docs.sparkSession.sparkContext.broadcast(fitting)
+def trusted_ids(labels: DataFrame) -> list[tuple[int, bool]]:
+    """The rows of trusted() at hand, to look at small tables; fit does not use it."""
+    return [tuple(r) for r in trusted(labels).collect()]
+
+
+def trigram_counts(texts: DataFrame) -> np.ndarray:
+    """Trigram counts by bucket over every row of texts (text); at most BUCKETS rows reach the driver."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
+        counts = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
             held, weight = [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text in batch.column(0).to_pylist():
                 buckets = trigram_buckets(text)
-                if doc in shared.value:
-                    target += np.bincount(buckets, minlength=BUCKETS)
                 held.append(buckets)
                 weight += len(buckets)
                 if weight > 1 << 20:
-                    raw += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                    counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
                     held, weight = [], 0
             if held:
-                raw += np.bincount(np.concatenate(held), minlength=BUCKETS)
-        at = np.nonzero(raw)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
+                counts += np.bincount(np.concatenate(held), minlength=BUCKETS)
+        at = np.nonzero(counts)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bucket", "n"])
+
+    counted = texts.select(as_bytes(texts["text"])).mapInArrow(released(task), "bucket long, n long")
+    counts = np.zeros(BUCKETS)
+    for bucket, n in counted.groupBy("bucket").agg(F.sum("n")).collect():
+        counts[bucket] = n
+    return counts
+
 
-    counted = docs.select(docs["doc_id"].cast("long"), as_bytes(docs["text"])).mapInArrow(released(task), "bucket long, raw long, target long")
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for bucket, n, m in counted.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect():
-        raw[bucket], target[bucket] = n, m
-    return raw, target
+def lower_level(scores: DataFrame, share: float) -> float | None:
+    """The score under which a share of all scores (score) lies, between the two nearest ones; None where there is none.
+
+    Only the scores up to there are gathered, which are that share of them.
+    """
+    rows = scores.count()
+    if not rows:
+        return None
+    place = share * (rows - 1)
+    low = int(place)
+    ends = sorted(r[0] for r in scores.orderBy("score").limit(min(low + 2, rows)).orderBy(F.desc("score")).limit(min(2, rows)).collect())
+    return ends[0] + (place - low) * (ends[-1] - ends[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = TRUSTED_SAMPLE) -> RatioModel:
-    """The model of a corpus; without a trusted document the ratio is 0 everywhere and every document passes."""
+def fit(docs: DataFrame, labels: DataFrame) -> RatioModel:
+    """The model of a corpus; without a trusted document the ratio is 0 everywhere and every document passes.
+
+    The texts of trusted documents are found by a shuffled join, so neither their ids nor their texts need fit anywhere.
+    """
     spark = docs.sparkSession
-    chosen = trusted_ids(labels, most)
-    raw, target = corpus_counts(docs, {doc for doc, fits in chosen if fits})
-    if not target.sum():
-        return RatioModel(np.zeros(BUCKETS), None)
-    log_ratio = np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
-    held_out = [(doc,) for doc, fits in chosen if not fits]
-    if not held_out:
-        return RatioModel(log_ratio, None)
-    wanted = spark.createDataFrame(held_out, "doc_id long")
-    scores = score_documents(docs.join(F.broadcast(wanted), "doc_id", "left_semi"), RatioModel(log_ratio, None))
-    level = scores.agg(F.percentile("score", F.lit(TRUSTED_LOSS))).first()[0]
-    return RatioModel(log_ratio, None if level is None else float(level) - MARGIN)
+    with scratch(spark):
+        texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+        known = stored(texts.join(trusted(labels).hint("shuffle_hash"), "doc_id").select("text", "fits"), "trusted")
+        target = trigram_counts(known.filter("fits"))
+        if not target.sum():
+            return RatioModel(np.zeros(BUCKETS), None)
+        raw = trigram_counts(docs)
+        model = RatioModel(np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS)), None)
+        shared = spark.sparkContext.broadcast(model)
+
+        def start():
+            ratio = shared.value
+            return lambda values: [(ratio.score(values[0]),)]
+
+        scores = map_rows(known.filter("NOT fits").select(as_bytes("text")), start, {"score": ("double", pa.float64())})
+        level = lower_level(stored(scores, "trusted-scores"), TRUSTED_LOSS)
+    return RatioModel(model.log_ratio, None if level is None else level - MARGIN)
 
 
 def score_documents(docs: DataFrame, model: RatioModel) -> DataFrame:

@@ -270,6 +270,25 @@ def test_ratio_against_plain_python(spark):
     assert all(r["score"] == pytest.approx(score(dict(rows)[r["doc_id"]])) for r in got if r["doc_id"] != 3)
 
 
+def test_every_trusted_document_counts(spark):
+    """More trusted documents than any sample of the model once took."""
+    from pyspark.sql import functions as F
+
+    n = 20_600
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, "xyz").otherwise("abc").alias("text")).repartition(3)
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    chosen = dict(quality.trusted_ids(labels))
+    assert len(chosen) == n
+    counts = {text: [sum(1 for d in range(n) if (d % 100 == 0) == rare and (chosen[d] or not fits)) for fits in (True, False)] for text, rare in (("xyz", True), ("abc", False))}
+    fitting = sum(chosen.values())
+    model = quality.fit(docs, labels)
+    ratio = {t: math.log((f + 1) / (fitting + quality.BUCKETS)) - math.log((r + 1) / (n + quality.BUCKETS)) for t, (f, r) in counts.items()}
+    for text, want in ratio.items():
+        assert model.log_ratio[quality.trigram_buckets(text.encode())[0]] == pytest.approx(want)
+    assert model.threshold == pytest.approx(min(ratio.values()) - quality.MARGIN)
+    assert quality.lower_level(spark.createDataFrame([(float(x),) for x in range(3001)], "score double"), 0.001) == pytest.approx(3.0)
+
+
 def test_random_reply_trees(spark):
     rng = random.Random(21)
     rows = []
