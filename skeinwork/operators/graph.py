@@ -46,7 +46,8 @@ def find_paths(graph: PropertyGraph, source: str, target: str, max_depth: int =
 def subgraph(graph: PropertyGraph, seeds: list[str], depth: int = 1) -> PropertyGraph:
     """The known nodes within `depth` undirected steps of the seeds, and the edges between visited ids, in file order of pos."""
     start = graph.nodes.sparkSession.createDataFrame([(s,) for s in seeds], "node string")
-    visited = traverse.distances(traverse.Around(traverse.store_of(graph), "both"), start, depth).select("node")
+    found, rows = traverse.distances(traverse.Around(traverse.store_of(graph), "both"), start, depth)
+    visited = traverse.sized(found.select("node"), rows)
     nodes = graph.nodes.join(visited, graph.nodes["id"] == visited["node"], "left_semi")
     edges = graph.edges.join(visited.withColumnRenamed("node", "src"), "src", "left_semi").join(visited.withColumnRenamed("node", "dst"), "dst", "left_semi")
     return PropertyGraph(nodes, edges.select(*graph.edges.columns))

@@ -45,14 +45,30 @@ class Around:
         found = self.store.touched(frontier, rows, self.direction)
         return found if self.wanted is None else found.filter(self.wanted)
 
+    def neighbours(self, frontier: DataFrame, rows: int) -> DataFrame:
+        """As touched, without ordinals."""
+        return self.store.neighbours(frontier, rows, self.direction, self.wanted)
+
+    @property
+    def back(self) -> Around:
+        """The same edges from their other ends."""
+        return Around(self.store, {"out": "in", "in": "out"}.get(self.direction, self.direction), self.wanted)
+
     def few(self, ids: list[str]) -> list[Row] | None:
         """(node, other, ord) of the edges of a few nodes, or None where there are more than FEW_EDGES."""
         found = self.store.of_ids(ids, self.direction)
         rows = (found if self.wanted is None else found.filter(self.wanted)).select("node", "other", "ord").limit(FEW_EDGES + 1).collect()
         return rows if len(rows) <= FEW_EDGES else None
 
+    def few_ends(self, ids: list[str]) -> set[str] | None:
+        """The other ends of the edges of a few nodes, or None where there are more than FEW_EDGES edges."""
+        start = self.store.spark.createDataFrame([(i,) for i in ids], "node string")
+        rows = self.neighbours(start, len(ids)).select("other").limit(FEW_EDGES + 1).collect()
+        return {r["other"] for r in rows} - {None} if len(rows) <= FEW_EDGES else None
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast where its rows are few."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
@@ -91,7 +107,7 @@ def levels(around: Around, start: DataFrame, depth: int) -> DataFrame:
     for step in range(level, depth + 1):
         touched = around.touched(frame.select("node", "key"), rows)
         reached = touched.filter("other IS NOT NULL").groupBy("other").agg(F.min(F.concat("key", F.array("ord"))).alias("key"))
-        new = reached.select(F.col("other").alias("node"), F.lit(step).alias("level"), "key").join(_sized(visited.select("node"), total), "node", "left_anti")
+        new = reached.select(F.col("other").alias("node"), F.lit(step).alias("level"), "key").join(sized(visited.select("node"), total), "node", "left_anti")
         frame, rows = _settled(new)
         if not rows:
             break
@@ -130,12 +146,20 @@ class Search:
         """(node, level)"""
         return self.tables if self.at_hand is None else self._as_frame()
 
+    @property
+    def count(self) -> int:
+        """How many nodes are visited."""
+        return self.total if self.at_hand is None else len(self.at_hand)
+
     def step(self, other: Search | None = None, within: int = 0) -> None:
         """Adds the next level; only nodes that another search has reached within so many steps, if one is given."""
         if self.at_hand is not None:
-            edges = self.around.few(self.last) if len(self.last) <= PUSHED_ROWS else None
-            if edges is not None:
-                new = {r["other"] for r in edges} - self.at_hand.keys() - {None}
+            if not self.last:
+                self.level += 1
+                return
+            ends = self.around.few_ends(self.last) if len(self.last) <= PUSHED_ROWS else None
+            if ends is not None:
+                new = ends - self.at_hand.keys()
                 if other is not None and other.at_hand is not None:
                     new = {n for n in new if other.at_hand.get(n, within + 1) <= within}
                 elif other is not None and new:
@@ -149,20 +173,27 @@ class Search:
         self.level += 1
         if not self.rows:
             return
-        reached = self.around.touched(self.frontier.select("node"), self.rows).filter("other IS NOT NULL").select(F.col("other").alias("node")).distinct()
-        if other is not None:
+        if other is not None and other.at_hand is not None:
+            # the other search's nodes are fewer than the frontier's edges: their own edges that end in the frontier
+            theirs = [(n,) for n, level in other.at_hand.items() if level <= within]
+            ends = self.around.back.neighbours(self.spark.createDataFrame(theirs, "node string"), len(theirs))
+            frontier = self.frontier.select(F.col("node").alias("other"))
+            reached = ends.join(sized(frontier, self.rows), "other", "left_semi").select("node").distinct()
+        else:
+            reached = self.around.neighbours(self.frontier.select("node"), self.rows).filter("other IS NOT NULL").select(F.col("other").alias("node")).distinct()
+        if other is not None and other.at_hand is None:
             reached = reached.join(other.visited.filter(F.col("level") <= within).select("node"), "node", "left_semi")
-        self.frontier, self.rows = _settled(reached.join(_sized(self.tables.select("node"), self.total), "node", "left_anti").withColumn("level", F.lit(self.level)))
+        self.frontier, self.rows = _settled(reached.join(sized(self.tables.select("node"), self.total), "node", "left_anti").withColumn("level", F.lit(self.level)))
         if self.rows:
             self.tables, self.total = self.tables.unionByName(self.frontier), self.total + self.rows
 
 
-def distances(around: Around, start: DataFrame, depth: int) -> DataFrame:
-    """(node, level) as levels has them, without keys."""
+def distances(around: Around, start: DataFrame, depth: int) -> tuple[DataFrame, int]:
+    """(node, level) as levels has them, without keys, and how many there are."""
     search = Search(around, start)
     for _ in range(depth):
         search.step()
-    return search.visited
+    return search.visited, search.count
 
 
 def _between(store: AdjacencyStore, source: str, target: str, most: int, directed: bool, wanted: Column | None = None) -> tuple[DataFrame, int]:
@@ -203,7 +234,7 @@ class PathFinder:
         self.edges, self.edge_rows, self.ways, self.expanded = None, 0, [], 0
         if edges is None:
             return
-        edges = edges.filter(F.col("other") != source).join(_sized(ends, rows), "other").filter(F.col("ahead") + 1 + F.col("left") <= most)
+        edges = edges.filter(F.col("other") != source).join(sized(ends, rows), "other").filter(F.col("ahead") + 1 + F.col("left") <= most)
         self.edges = checkpointed(edges.select("node", "other", "rel", "ord"))
         self.edge_rows = self.edges.count()
         if self.edge_rows <= NEAR_EDGES:
@@ -217,7 +248,7 @@ class PathFinder:
 
     def _step(self, walks: DataFrame, left: int, rows: int) -> DataFrame:
         """walks, one edge further, with the number of ways to go on from there in `left` - 1 steps."""
-        onward = _sized(walks.withColumnRenamed("last", "node").drop("n"), rows).join(_sized(self.edges, self.edge_rows), "node").filter(~F.array_contains("nodes", F.col("other")))
+        onward = sized(walks.withColumnRenamed("last", "node").drop("n"), rows).join(sized(self.edges, self.edge_rows), "node").filter(~F.array_contains("nodes", F.col("other")))
         onward = onward.join(self.ways[left - 1].select(F.col("node").alias("other"), "n"), "other")
         return onward.select(F.col("other").alias("last"), F.array_append("nodes", F.col("other")).alias("nodes"), F.array_append("rels", F.col("rel")).alias("rels"), F.array_append("key", F.col("ord")).alias("key"), "n")
 
@@ -326,17 +357,27 @@ def caller_rows(around: Around, start: DataFrame, transitive: bool, max_depth: i
     Direct rows always come whole. A node at level l of at most max_depth - 1 adds its inbound edges at depth l + 1; with
     a cap, nodes are taken in queue order while the rows before them number fewer than the cap.
     """
-    direct = around.touched(start.select("node"), 1).select(F.col("other").alias("caller"), "rel", F.lit(1).alias("depth"))
+    direct = around.neighbours(start.select("node"), 1).select(F.col("other").alias("caller"), "rel", F.lit(1).alias("depth"))
     if not transitive:
         return direct
-    found = levels(around, start, max(0, max_depth - 1)).filter("level >= 1")
-    kept, rows = found.select("node", "level"), found.count()
-    if cap is not None:
-        counts = around.touched(kept, rows).groupBy("node").count()
+    if cap is None:
+        found, rows = distances(around, start, max(0, max_depth - 1))
+        kept = found.filter("level >= 1").select("node", "level")
+    else:
+        have, found = direct.count(), None
+        for depth in range(1, max_depth):
+            found = checkpointed(levels(around, start, depth).filter("level >= 1"))
+            rows = found.count()
+            counts = checkpointed(around.neighbours(found.select("node"), rows).groupBy("node").count())
+            total = counts.agg(F.sum("count")).first()[0] or 0
+            if have + total >= cap or found.filter(F.col("level") == depth).isEmpty():  # no node further away is taken
+                break
+        if found is None:
+            return direct
         first = found.join(counts, "node").orderBy("level", "key").limit(cap)  # each adds a row at least, so no later one counts
         before = F.sum("count").over(W.orderBy("level", "key").rowsBetween(W.unboundedPreceding, -1))
-        chosen = first.withColumn("before", F.coalesce(before, F.lit(0)) + direct.count()).filter(F.col("before") < cap)
+        chosen = first.withColumn("before", F.coalesce(before, F.lit(0)) + have).filter(F.col("before") < cap)
         kept = checkpointed(chosen.select("node", "level"))
-        rows = cap
-    inbound = around.touched(kept, rows)
+        rows = kept.count()
+    inbound = around.neighbours(kept, rows)
     return direct.unionByName(inbound.select(F.col("other").alias("caller"), "rel", (F.col("level") + 1).alias("depth")))

@@ -47,7 +47,7 @@ def entity_graph(spark: SparkSession, sf_dir: str, indexed: bool = False) -> Pro
     for name, kind, key, label in (("nation", "nation", "n_nationkey", "n_name"), ("customer", "customer", "c_custkey", "c_name"), ("supplier", "supplier", "s_suppkey", "s_name"), ("part", "part", "p_partkey", "p_name"), ("orders", "order", "o_orderkey", "o_orderpriority")):
         nodes = nodes.unionByName(node(name, kind, key, label))
     # the store is found again by later queries, as long as the tables stay as they are
-    store = AdjacencyStore.of_files(edges, [os.path.join(sf_dir, f"{name}.parquet") for name in ENTITY_TABLES], "entities")
+    store = AdjacencyStore.of_files(edges, [os.path.join(sf_dir, f"{name}.parquet") for name in ENTITY_TABLES], "entities", on_demand=True)
     nodes = nodes.withColumn("pos", F.col("id"))
     files = [os.path.join(sf_dir, f"{name}.parquet") for name in NODE_TABLES]
     return PropertyGraph(nodes, edges, store, SubstringIndex(nodes, files=files, label="entities") if indexed else None)

@@ -238,3 +238,48 @@ def model_layers(layers, most):
     import itertools
 
     return [(list(p), None) for p in itertools.islice(itertools.product(*layers), most)]
+
+
+# ---- stores on demand
+
+
+def test_on_demand_is_the_same(spark, monkeypatch):
+    """A store that orders the edges met alone, by windows or as blocks, gives what the models give, and prepares nothing."""
+    monkeypatch.setattr(adjacency.AdjacencyStore, "_prepare", lambda self, direction: pytest.fail("a whole direction was prepared"))
+    rng = random.Random(11)
+    nodes = [f"n{i}" for i in range(7)]
+    edges = [(rng.choice(nodes), rng.choice(nodes), rng.choice(RELS)) for _ in range(24)]
+    plain = as_frames(spark, nodes, edges)
+    store = adjacency.AdjacencyStore(plain.edges, block=3, parts=3)
+    store.on_demand = True
+    g = PropertyGraph(plain.nodes, plain.edges, store)
+    for few in (100_000, 3):
+        monkeypatch.setattr(adjacency, "ORDERED_ROWS", few)
+        for direction in ("in", "both"):
+            assert ordinals(store, direction, [*nodes, "ghost"]) == plain_ordinals(edges, direction)
+    monkeypatch.setattr(traverse, "FEW_EDGES", 4)  # so that searches become tables
+    got = [(r["nodes"], r["rels"]) for r in traverse.simple_paths(store, "n0", "n4", 3, 9, False).orderBy("rank").collect()]
+    assert got == model_paths(edges, "n0", "n4", 3, False, 9)
+    calls = [(a, b, r) for a, b, r in edges if "call" in r]
+    level = {"n1": 0}
+    for step in (1, 2):
+        level |= {a: step for a, b, _ in calls if level.get(b) == step - 1 and a not in level}
+    want = sorted((a, r, level[b] + 1) for a, b, r in calls if b in level)
+    for cap in (None, 1000):
+        rows = traverse.caller_rows(traverse.Around(store, "in", F.col("rel").contains("call")), spark.createDataFrame([("n1",)], "node string"), True, 3, cap)
+        assert sorted((r["caller"], r["rel"], r["depth"]) for r in rows.collect()) == want
+
+
+def test_queries_from_few_nodes_prepare_no_store(spark, monkeypatch):
+    """What they shuffle and write is that of the edges at their nodes."""
+    import os
+
+    from skeinwork.plans import queries as plans
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("needs the test tables")
+    monkeypatch.setattr(adjacency.AdjacencyStore, "_prepare", lambda self, direction: pytest.fail("a whole direction was prepared"))
+    monkeypatch.setattr(adjacency.AdjacencyStore, "path", property(lambda self, made=f"/tmp/none-{random.random()}": made))
+    found = {name: plans.queries()[name](spark, d).count() for name in ("subgraph_edges", "callers_direct", "callers_transitive", "callers_capped")}
+    assert all(found.values())
