@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from skeinwork.functions import predicates as P
 from skeinwork.model import Catalog, PropertyGraph
 from skeinwork.operators import traverse
+from skeinwork.operators.adjacency import AdjacencyStore
 from skeinwork.operators.catalog_build import build_targeted, generic
+from skeinwork.storage import stored
 
 DEPTHS = {"table": 1, "column": 1, "relationships": 1, "routine": 2}
 DEPTH_VARIABLE = "SKEINWORK_SCHEMA_DEPTH"
@@ -70,7 +72,11 @@ def table_fk_pairs(catalog: Catalog, table: str) -> DataFrame:
 def relationship_paths(graph: PropertyGraph, first: str, second: str, relationships: list[str] | None = None, cap: int = 5) -> DataFrame:
     """(rank, nodes, rels): the first paths of at most ten nodes between two tables, over edges of any kind either way."""
     wanted = F.col("rel").isin(*relationships) if relationships else None
-    store = graph.adjacency or traverse.store_of(generic(graph))
+    store = graph.adjacency
+    if store is None:  # edges that are not wanted need not be built, and leave the order of the others as it is
+        edges = generic(graph).edges.select("src", "dst", "rel", "pos")
+        store = AdjacencyStore(stored(edges if wanted is None else edges.filter(wanted), "edges"))
+        store.on_demand = True
     found = traverse.simple_paths(store, f"table:{_bare(first)}", f"table:{_bare(second)}", 9, cap, False, wanted)
     return found.withColumn("nodes", F.transform("nodes", lambda x: F.regexp_replace(x, "^[^:]*:", "")))
 
