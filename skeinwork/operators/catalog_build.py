@@ -13,6 +13,8 @@ from skeinwork.storage import checkpointed
 #: Object type codes of routines.
 PROCEDURES, FUNCTIONS = ("P", "PC"), ("FN", "IF", "TF", "FS", "FT")
 ENTRY_TYPES = ("table", "column", "procedure", "function")
+#: Ids of objects up to this number are conditions, which go below the joins of a catalog; more are joined with its rows.
+FEW_IDS = 10_000
 
 
 def _name(*parts: str):
@@ -59,9 +61,11 @@ def build_graph(catalog: Catalog, include_definitions: bool = False) -> Property
         (text != "").alias("has_definition"), F.when(text != "", F.sha2(text, 256)).alias("definition_sha256"), *([text.alias("definition")] if include_definitions else []),
     )
     nodes = tables.unionByName(columns, allowMissingColumns=True).unionByName(routines, allowMissingColumns=True)
-    known = nodes.select("id")
+    # ids of edges' ends: a link ends in columns, a reference in tables or columns; the marks of columns are not needed here
+    known_columns = catalog.columns.select(F.concat(F.lit("column:"), _name(*key)).alias("id")).distinct()
+    known = known_columns.unionByName(tables.select("id").distinct())
 
-    stores = marked.select(
+    stores = catalog.columns.select(
         F.concat(F.lit("table:"), _name("schema_name", "table_name")).alias("source"), F.concat(F.lit("column:"), _name(*key)).alias("target"), F.lit("Stores").alias("relationship"), F.col("column_id").alias("ordinal"),
         F.struct(F.lit(0).alias("kind"), F.lit("").alias("name"), F.col("column_id").alias("number")).alias("pos"),
     )
@@ -70,7 +74,7 @@ def build_graph(catalog: Catalog, include_definitions: bool = False) -> Property
         "foreign_key_name", "constraint_column_id", F.col("delete_referential_action_desc").alias("delete_action"), F.col("update_referential_action_desc").alias("update_action"), _flag("is_disabled").alias("is_disabled"), _flag("is_not_trusted").alias("is_not_trusted"),
         F.struct(F.lit(1).alias("kind"), F.col("foreign_key_name").alias("name"), F.col("constraint_column_id").alias("number")).alias("pos"),
     )
-    linked = linked.join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi")
+    linked = linked.join(known_columns.withColumnRenamed("id", "source"), "source", "left_semi").join(known_columns.withColumnRenamed("id", "target"), "target", "left_semi")
     by_object = routines.select(F.col("object_id").alias("referencing_object_id"), F.col("id").alias("source"))
     whole = (F.coalesce("referenced_column", F.lit("")) == "")
     depends = catalog.dependencies.filter("coalesce(referenced_schema, '') <> '' AND coalesce(referenced_table, '') <> ''").distinct().join(by_object, "referencing_object_id").select(
@@ -78,8 +82,9 @@ def build_graph(catalog: Catalog, include_definitions: bool = False) -> Property
         F.when(whole, "Table").otherwise("Column").alias("target_kind"), F.lit("sys.sql_expression_dependencies").alias("dependency_source"), _flag("is_schema_bound_reference").alias("is_schema_bound_reference"), _flag("is_ambiguous").alias("is_ambiguous"),
         F.struct(F.lit(2).alias("kind"), F.concat_ws(".", "referenced_schema", "referenced_table", "referenced_column").alias("name"), F.col("referenced_minor_id").alias("number")).alias("pos"),
     ).join(known.withColumnRenamed("id", "target"), "target", "left_semi")
-    edges = stores.unionByName(linked, allowMissingColumns=True).unionByName(depends, allowMissingColumns=True)
-    return PropertyGraph(nodes, edges.withColumn("key", F.row_number().over(W.partitionBy("source", "target").orderBy("pos")) - 1))
+    # sources of the three kinds differ, so each kind is numbered by itself, where its rows lie by target already
+    numbered = [rows.withColumn("key", F.row_number().over(W.partitionBy("source", "target").orderBy("pos")) - 1) for rows in (stores, linked, depends)]
+    return PropertyGraph(nodes, numbered[0].unionByName(numbered[1], allowMissingColumns=True).unionByName(numbered[2], allowMissingColumns=True))
 
 
 def generic(graph: PropertyGraph, unified: bool = False) -> PropertyGraph:
@@ -113,9 +118,12 @@ def nearby_objects(catalog: Catalog, entry: str, entry_type: str, depth: int) ->
     else:
         seed = catalog.routines.filter((F.col("schema_name") == schema) & (F.col("object_name") == name) & F.rtrim("object_type_code").isin(*PROCEDURES, *FUNCTIONS)).select("object_id")
     pairs = catalog.foreign_keys.select(F.col("parent_object_id").alias("a"), F.col("referenced_object_id").alias("b")).unionByName(catalog.dependencies.select(F.col("referencing_object_id").alias("a"), F.col("referenced_object_id").alias("b")))
-    around = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a IS NOT NULL AND b IS NOT NULL").distinct()
+    pairs = pairs.filter("a IS NOT NULL AND b IS NOT NULL")
+    either = lambda rows: rows.unionByName(rows.select(F.col("b").alias("a"), F.col("a").alias("b")))
     frontier = seen = checkpointed(seed.limit(1))
     for _ in range(max(0, depth)):
+        ids = _few_ids(frontier)
+        around = either(pairs.filter(_among(ids, "a", "b"))) if ids is not None else either(pairs)
         reached = around.join(frontier, around["a"] == frontier["object_id"]).select(F.col("b").alias("object_id")).distinct()
         frontier = checkpointed(reached.join(seen, "object_id", "left_anti"))
         if frontier.isEmpty():
@@ -124,11 +132,26 @@ def nearby_objects(catalog: Catalog, entry: str, entry_type: str, depth: int) ->
     return seen
 
 
+def _few_ids(objects: DataFrame) -> list[int] | None:
+    """The ids of objects (object_id), or None where they are more than FEW_IDS."""
+    ids = [r[0] for r in objects.filter("object_id IS NOT NULL").limit(FEW_IDS + 1).collect()]
+    return ids if len(ids) <= FEW_IDS else None
+
+
+def _among(ids: list[int], *names: str):
+    """Whether one of the columns is among the ids; a scan or a join below takes the condition."""
+    listed = ", ".join(str(int(i)) for i in ids)
+    return F.expr(" OR ".join(f"`{n}` IN ({listed})" for n in names)) if ids else F.lit(False)
+
+
 def build_targeted(catalog: Catalog, entry: str, entry_type: str, depth: int = 1, include_definitions: bool = False) -> PropertyGraph:
     """build_graph of the rows that touch the objects near an entry; foreign keys and dependencies need one end among them."""
     near = nearby_objects(catalog, entry, entry_type, depth)
+    ids = _few_ids(near)
 
     def of(rows: DataFrame, *names: str) -> DataFrame:
+        if ids is not None:
+            return rows.filter(_among(ids, *names))
         found = None
         for name in names:
             rows = rows.join(near.select(F.col("object_id").alias(name), F.lit(True).alias(f"in_{name}")), name, "left")

@@ -154,7 +154,10 @@ class SystemTables:
         return self._sorted(found.select(*(F.col(c).alias(n) for n, c in names.items())), "schema_name", "object_name")
 
     def dependencies(self) -> DataFrame:
-        """Distinct references of routines to tables, shipped or not, and to columns; names as referenced, else of the table."""
+        """Distinct references of routines to tables, shipped or not, and to columns; names as referenced, else of the table.
+
+        Both ends' ids are the reference's own columns, so that conditions on either go below the joins.
+        """
         targets = self._of("tables", "t_").join(self._of("schemas", "ts_"), F.col("t_schema_id") == F.col("ts_schema_id"), "left")
         found = (
             self._of("sql_expression_dependencies", "e_").filter(self._listed("e_referencing_id", "e_referenced_id"))
@@ -163,10 +166,10 @@ class SystemTables:
             .join(self._of("columns", "c_"), (F.col("c_object_id") == F.col("e_referenced_id")) & (F.col("c_column_id") == F.col("e_referenced_minor_id")), "left")
         )
         return self._sorted(found.select(
-            F.col("o_object_id").alias("referencing_object_id"), F.col("os_name").alias("referencing_schema"), F.col("o_name").alias("referencing_name"), F.col("o_type").alias("referencing_type_code"),
+            F.col("e_referencing_id").alias("referencing_object_id"), F.col("os_name").alias("referencing_schema"), F.col("o_name").alias("referencing_name"), F.col("o_type").alias("referencing_type_code"),
             F.col("e_referenced_id").alias("referenced_id"), F.col("e_referenced_minor_id").alias("referenced_minor_id"), F.coalesce("e_referenced_schema_name", "ts_name").alias("referenced_schema"),
             F.coalesce("e_referenced_entity_name", "t_name").alias("referenced_table"), F.col("c_name").alias("referenced_column"), F.col("e_is_schema_bound_reference").alias("is_schema_bound_reference"),
-            F.col("e_is_ambiguous").alias("is_ambiguous"), F.col("t_object_id").alias("referenced_object_id"),
+            F.col("e_is_ambiguous").alias("is_ambiguous"), F.col("e_referenced_id").alias("referenced_object_id"),
         ).distinct(), "referencing_schema", "referencing_name", "referenced_schema", "referenced_table", "referenced_column")
 
     def entry(self, schema: str, name: str, kind: str) -> DataFrame:

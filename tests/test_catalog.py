@@ -4,6 +4,7 @@ import json
 from xml.etree import ElementTree
 
 import pytest
+from pyspark.sql import functions as F
 
 from skeinwork import sinks
 from skeinwork.operators import catalog_build, graph, schema
@@ -146,3 +147,27 @@ def test_ordinals(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert with_ordinals(df.limit(0), "k", name="n").columns == ["k", "ordinal", "n"]
+
+
+def test_targeted_ids_reach_the_scans(spark, monkeypatch):
+    """Few ids around an entry are conditions below the joins; as joined rows they give the same graph."""
+    import os
+
+    from skeinwork.operators import catalog_build
+    from skeinwork.plans import workload
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("needs the test tables")
+    catalog = workload.catalog(spark, d)
+    table = catalog.tables.filter(F.col("object_id") == workload.TABLE_ID).select(F.concat_ws(".", "schema_name", "table_name")).first()[0]
+
+    def built(depth):
+        g = catalog_build.build_targeted(catalog, table, "table", depth)
+        return g, sorted(map(tuple, g.edges.select("source", "target", "relationship", "key").collect()))
+
+    alone, _ = built(0)
+    assert f"EqualTo(c_custkey,{workload.TABLE_ID})" in alone.nodes._jdf.queryExecution().executedPlan().toString()
+    _, by_ids = built(1)
+    monkeypatch.setattr(catalog_build, "FEW_IDS", -1)
+    assert built(1)[1] == by_ids and by_ids
