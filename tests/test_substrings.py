@@ -56,3 +56,35 @@ def test_index_is_found_again(spark, tmp_path, monkeypatch):
             index = substring_index.SubstringIndex(spark.read.parquet(path), files=[path])
             assert [r["id"] for r in index.candidates(text[:4]).collect()] == [text]
         assert len(made) == times
+
+
+def _shuffled_rows(spark):
+    """Rows that the session's stages have written to shuffles so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_only_posting_lists_are_shuffled(spark):
+    """The build shuffles a row for each trigram of a run, neither the rows nor what they post."""
+    rows = spark.range(20_000).select(F.concat(F.lit("node:"), F.col("id").cast("string")).alias("id"), F.lit("Common label").alias("label"), F.col("id").alias("pos"))
+    before, index = _shuffled_rows(spark), substring_index.SubstringIndex(rows)
+    postings = index._tables()[1]
+    assert _shuffled_rows(spark) - before <= 6_000 < 20_000
+    assert postings.agg(F.sum("count")).first()[0] > 200_000
+
+
+def test_runs_of_few_characters(spark, tmp_path, monkeypatch):
+    """Runs end at rows, at characters and at files; texts that are empty, short, long or repeat a trigram are found all the same."""
+    monkeypatch.setattr(substring_index, "BLOCK", 40)
+    monkeypatch.setattr(substring_index, "BLOCK_CHARS", 60)
+    rng = random.Random(3)
+    texts = ["", None, "a", "ab", "aaaaaaa", "日本語日本語", "\U0001f600\U0001f601\U0001f602x", "long " * 50 + "end"] + ["".join(rng.choices("abc", k=rng.randrange(20))) for _ in range(300)]
+    spark.createDataFrame([(t, None, i) for i, t in enumerate(texts)], "id string, label string, pos long").repartition(5).write.parquet(str(tmp_path / "nodes"))
+    spark.createDataFrame([("", None, -1)], "id string, label string, pos long").write.mode("append").parquet(str(tmp_path / "nodes"))
+    nodes = spark.read.parquet(str(tmp_path / "nodes"))
+    index = substring_index.SubstringIndex(nodes)
+    assert index._tables()[1].agg(F.max(F.size("offsets"))).first()[0] <= 40
+    for needle in ("aaa", "abcab", "本語日", "\U0001f601\U0001f602X", "g end", "cba", "zzz"):
+        want = sorted(r["pos"] for r in nodes.filter(P.holds(needle, "id", "label")).collect())
+        assert sorted(r["pos"] for r in index.candidates(needle).filter(P.holds(needle, "id", "label")).collect()) == want, needle
