@@ -156,21 +156,26 @@ class SystemTables:
     def dependencies(self) -> DataFrame:
         """Distinct references of routines to tables, shipped or not, and to columns; names as referenced, else of the table.
 
-        Both ends' ids are the reference's own columns, so that conditions on either go below the joins.
+        Both ends' ids are the reference's own columns, so that conditions on either go below the joins. References meet
+        the short names first and routines last, so that rows are narrow while they shuffle, and lie by routine where they
+        are dealt in order.
         """
         targets = self._of("tables", "t_").join(self._of("schemas", "ts_"), F.col("t_schema_id") == F.col("ts_schema_id"), "left")
-        found = (
+        named = (
             self._of("sql_expression_dependencies", "e_").filter(self._listed("e_referencing_id", "e_referenced_id"))
-            .join(self._routines(), F.col("o_object_id") == F.col("e_referencing_id"))
-            .join(targets, F.col("t_object_id") == F.col("e_referenced_id"))  # a reference that finds no table is no row
             .join(self._of("columns", "c_"), (F.col("c_object_id") == F.col("e_referenced_id")) & (F.col("c_column_id") == F.col("e_referenced_minor_id")), "left")
+            .join(targets, F.col("t_object_id") == F.col("e_referenced_id"))  # a reference that finds no table is no row
+        ).select(
+            "e_referencing_id", "e_referenced_id", "e_referenced_minor_id", F.coalesce("e_referenced_schema_name", "ts_name").alias("referenced_schema"), F.coalesce("e_referenced_entity_name", "t_name").alias("referenced_table"),
+            F.col("c_name").alias("referenced_column"), "e_is_schema_bound_reference", "e_is_ambiguous",
         )
-        return self._sorted(found.select(
+        found = named.join(self._routines(), F.col("o_object_id") == F.col("e_referencing_id"))
+        distinct = found.select(
             F.col("e_referencing_id").alias("referencing_object_id"), F.col("os_name").alias("referencing_schema"), F.col("o_name").alias("referencing_name"), F.col("o_type").alias("referencing_type_code"),
-            F.col("e_referenced_id").alias("referenced_id"), F.col("e_referenced_minor_id").alias("referenced_minor_id"), F.coalesce("e_referenced_schema_name", "ts_name").alias("referenced_schema"),
-            F.coalesce("e_referenced_entity_name", "t_name").alias("referenced_table"), F.col("c_name").alias("referenced_column"), F.col("e_is_schema_bound_reference").alias("is_schema_bound_reference"),
-            F.col("e_is_ambiguous").alias("is_ambiguous"), F.col("e_referenced_id").alias("referenced_object_id"),
-        ).distinct(), "referencing_schema", "referencing_name", "referenced_schema", "referenced_table", "referenced_column")
+            F.col("e_referenced_id").alias("referenced_id"), F.col("e_referenced_minor_id").alias("referenced_minor_id"), "referenced_schema", "referenced_table", "referenced_column",
+            F.col("e_is_schema_bound_reference").alias("is_schema_bound_reference"), F.col("e_is_ambiguous").alias("is_ambiguous"),
+        ).distinct()
+        return self._sorted(distinct.withColumn("referenced_object_id", F.col("referenced_id")), "referencing_schema", "referencing_name", "referenced_schema", "referenced_table", "referenced_column")
 
     def entry(self, schema: str, name: str, kind: str) -> DataFrame:
         """(object_id) of a table (for a table or a column) or a routine by its name; the name is looked up first."""

@@ -11,6 +11,7 @@ from skeinwork.operators import catalog_build, graph, schema
 from skeinwork.operators.ordinals import with_ordinals
 from skeinwork.sources.catalog import from_rows
 from skeinwork.sources.graph_json import read_graph, read_lines
+from skeinwork.sources.system_tables import SystemTables
 
 
 def rows(**common):
@@ -171,3 +172,41 @@ def test_targeted_ids_reach_the_scans(spark, monkeypatch):
     _, by_ids = built(1)
     monkeypatch.setattr(catalog_build, "FEW_IDS", -1)
     assert built(1)[1] == by_ids and by_ids
+
+
+def test_names_of_routines_shuffle_once(spark):
+    """Only the last join and the order move the names of routines, and references that tell the same come once."""
+    n = 600
+    name = F.concat(*(F.sha2(F.concat_ws(" ", F.lit(i), "id"), 512) for i in range(3)))
+    column = lambda value, kind, alias: F.lit(value).cast(kind).alias(alias)
+    table_id = (F.col("id") % 40).alias("object_id")
+    frames = {
+        "schemas": spark.createDataFrame([(1, "dbo")], "schema_id int, name string"),
+        "tables": spark.range(40).select(F.col("id").alias("object_id"), column(1, "int", "schema_id"), F.concat(F.lit("T"), "id").alias("name"), *(column(None, "string", c) for c in "create_date modify_date is_memory_optimized temporal_type_desc".split()), column(0, "int", "is_ms_shipped")),
+        "columns": spark.range(40).select(F.col("id").alias("object_id"), column(1, "long", "column_id"), F.lit("Id").alias("name"), *(column(None, "int", c) for c in "user_type_id max_length precision scale is_nullable is_identity is_computed collation_name".split())),
+        "objects": spark.range(n).select((F.col("id") + 1000).alias("object_id"), column(1, "int", "schema_id"), name.alias("name"), F.lit("P ").alias("type"), *(column(None, "string", c) for c in "type_desc create_date modify_date".split()), column(0, "int", "is_ms_shipped")),
+        # four references of each routine, the last like the first: its schema is named, as the table's is
+        "sql_expression_dependencies": spark.range(4 * n).select(
+            (F.floor(F.col("id") / 4) + 1000).alias("referencing_id"), F.when(F.col("id") % 4 == 3, F.col("id") - 3).otherwise(F.col("id")).alias("id"), F.when(F.col("id") % 4 == 3, "dbo").alias("referenced_schema_name")
+        ).select("referencing_id", table_id.alias("referenced_id"), (F.col("id") % 4).alias("referenced_minor_id"), "referenced_schema_name", column(None, "string", "referenced_entity_name"), column(0, "int", "is_schema_bound_reference"), column(0, "int", "is_ambiguous")),
+    }
+    stored = {k: v.localCheckpoint() for k, v in frames.items()}
+    sc = spark.sparkContext
+    store = sc._jsc.sc().statusStore()
+
+    def shuffled():
+        stages = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        found = SystemTables(stored).dependencies().collect()
+        moved = shuffled() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert len(found) == 3 * n and all(r["referenced_schema"] == "dbo" and r["referenced_table"] == f"T{r['referenced_id']}" for r in found)
+    assert {(r["referenced_minor_id"], r["referenced_column"]) for r in found} == {(0, None), (1, "Id"), (2, None)}
+    assert [r["referencing_name"] for r in found] == sorted(r["referencing_name"] for r in found)
+    assert moved < 6 * n * 384  # once with the routines and once with each of three references in order; 2.2 MB where joins move them too
