@@ -47,16 +47,16 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
     def start():
         encoder, _, lengths = _codec(ranks_path)
 
-        def one(values):
-            raw = values[1]
-            ids = encoder.ids(raw.decode("utf-8", "replace"))
-            first, last = character_offsets(ids, raw, lengths) if len(ids) else (ids, ids)
-            yield values[0], ids.astype(np.int32), first.astype(np.int32), last.astype(np.int32)
+        def many(rows):
+            found = encoder.ids_of([raw.decode("utf-8", "replace") for _, raw in rows])
+            for (doc, raw), ids in zip(rows, found, strict=True):
+                first, last = character_offsets(ids, raw, lengths) if len(ids) else (ids, ids)
+                yield doc, ids.astype(np.int32), first.astype(np.int32), last.astype(np.int32)
 
-        return one
+        return many
 
     ints = ("array<int>", pa.list_(pa.int32()))
-    return map_rows(docs.select(docs[id_col].cast("long"), as_bytes(docs[text_col])), start, {id_col: ("long", pa.int64()), "ids": ints, "starts": ints, "ends": ints}, flush_rows=256)
+    return map_rows(docs.select(docs[id_col].cast("long"), as_bytes(docs[text_col])), start, {id_col: ("long", pa.int64()), "ids": ints, "starts": ints, "ends": ints}, flush_rows=256, group_bytes=GROUP_BYTES)
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

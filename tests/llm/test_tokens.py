@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import struct
+import sys
 import zlib
 
 import numpy as np
@@ -69,6 +70,26 @@ def test_encoder_is_the_untouched_library(spark):
     assert as_text.ids("<|endoftext|>").tolist() == [27, 91, 437, 1659, 5239, 91, 29] and encoder.ids("<|endoftext|>").tolist() == [50256]
 
 
+def test_new_words_cost_no_python_calls_each():
+    """Unknown words are split, encoded and looked up many at a time, and the tables stay bounded."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghijé", k=9)) + rng.choice(["", ",", ".%%%"]) for _ in range(20_000)]
+    sample = [" ".join(words[at : at + 500]) + "\nx" for at in range(0, len(words), 500)]
+    path = public_tokenizers.path(packing.VOCABULARY)
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(sample, add_special_tokens=False)]
+    for most in (1_000, 15_000, 300_000):
+        encoder, calls = UnitEncoder(tokenizer_of_file(path), public_tokenizers.PATTERN, most, most), []
+        sys.setprofile(lambda _, event, __, calls=calls: calls.append(event) if event in ("call", "c_call") else None)
+        try:
+            first = encoder.ids_of(sample)
+        finally:
+            sys.setprofile(None)
+        assert len(calls) < 5_000
+        assert [x.tolist() for x in first] == want and [x.tolist() for x in encoder.ids_of(sample[::-1])] == want[::-1]
+        assert max(len(x) for table in (encoder.units, encoder.matches) for x in (table.young, table.old)) <= most // 2
+    assert encoder.ids(sample[3]).tolist() == want[3]
+
+
 def test_binary_pieces():
     for n in (0, 1, 1023, 1024, 1025, 5000):
         pieces = packing.binary_pieces(n)
