@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skeinwork.functions.predicates import type_display
 from skeinwork.model import Catalog, PropertyGraph
-from skeinwork.storage import checkpointed
+from skeinwork.storage import checkpointed, stored
 
 #: Object type codes of routines.
 PROCEDURES, FUNCTIONS = ("P", "PC"), ("FN", "IF", "TF", "FS", "FT")
@@ -36,6 +38,16 @@ def build_graph(catalog: Catalog, include_definitions: bool = False) -> Property
     relationship, key (their ordinal among the edges of the same ends) and theirs. An edge whose ends are not both
     built is left out, yet the flags of key columns come from all foreign keys given. Of several primary keys of a
     column the last by name and ordinal counts. Type codes may be padded.
+
+    Columns and foreign keys, which nodes and edges read several times, are stored first: a plan that held their joins
+    each time would be too large for the driver.
+    """
+    return _graph_of(replace(catalog, columns=stored(catalog.columns, "columns"), foreign_keys=stored(catalog.foreign_keys, "foreign-keys")), include_definitions)
+
+
+def _graph_of(catalog: Catalog, include_definitions: bool) -> PropertyGraph:
+    """build_graph of row sets that are cheap to read again. Sides as large as the columns are shuffled: files are far smaller
+    than the rows they hold, so by their sizes Spark would send such sides through the driver's memory.
     """
     tables = catalog.tables.select(
         F.concat(F.lit("table:"), _name("schema_name", "table_name")).alias("id"), F.lit("Table").alias("node_type"), F.col("table_name").alias("name"), _name("schema_name", "table_name").alias("qualified_name"),
@@ -45,7 +57,7 @@ def build_graph(catalog: Catalog, include_definitions: bool = False) -> Property
     last = W.partitionBy(*key).orderBy(F.desc("constraint_name"), F.desc("key_ordinal"))
     primary = catalog.primary_keys.withColumn("n", F.row_number().over(last)).filter("n = 1").select(*key, "constraint_name", "key_ordinal")
     ends = lambda side: catalog.foreign_keys.select(*(F.col(f"{side}_{x}").alias(k) for x, k in zip(("schema", "table", "column"), key, strict=True))).distinct()
-    marked = catalog.columns.join(primary, key, "left").join(ends("parent").withColumn("fk", F.lit(True)), key, "left").join(ends("referenced").withColumn("ref", F.lit(True)), key, "left")
+    marked = catalog.columns.join(primary, key, "left").join(ends("parent").withColumn("fk", F.lit(True)).hint("merge"), key, "left").join(ends("referenced").withColumn("ref", F.lit(True)).hint("merge"), key, "left")
     columns = marked.select(
         F.concat(F.lit("column:"), _name(*key)).alias("id"), F.lit("Column").alias("node_type"), F.col("column_name").alias("name"), _name(*key).alias("qualified_name"), F.col("schema_name").alias("schema"), F.col("table_name").alias("table"),
         "table_object_id", "column_id", "data_type", type_display().alias("type_display"), "max_length", "precision", "scale", _flag("is_nullable").alias("nullable"), _flag("is_identity").alias("identity"), _flag("is_computed").alias("computed"),
@@ -74,14 +86,14 @@ def build_graph(catalog: Catalog, include_definitions: bool = False) -> Property
         "foreign_key_name", "constraint_column_id", F.col("delete_referential_action_desc").alias("delete_action"), F.col("update_referential_action_desc").alias("update_action"), _flag("is_disabled").alias("is_disabled"), _flag("is_not_trusted").alias("is_not_trusted"),
         F.struct(F.lit(1).alias("kind"), F.col("foreign_key_name").alias("name"), F.col("constraint_column_id").alias("number")).alias("pos"),
     )
-    linked = linked.join(known_columns.withColumnRenamed("id", "source"), "source", "left_semi").join(known_columns.withColumnRenamed("id", "target"), "target", "left_semi")
+    linked = linked.join(known_columns.withColumnRenamed("id", "source").hint("merge"), "source", "left_semi").join(known_columns.withColumnRenamed("id", "target").hint("merge"), "target", "left_semi")
     by_object = routines.select(F.col("object_id").alias("referencing_object_id"), F.col("id").alias("source"))
     whole = (F.coalesce("referenced_column", F.lit("")) == "")
     depends = catalog.dependencies.filter("coalesce(referenced_schema, '') <> '' AND coalesce(referenced_table, '') <> ''").distinct().join(by_object, "referencing_object_id").select(
         "source", F.when(whole, F.concat(F.lit("table:"), _name("referenced_schema", "referenced_table"))).otherwise(F.concat(F.lit("column:"), _name("referenced_schema", "referenced_table", "referenced_column"))).alias("target"), F.lit("Creates").alias("relationship"),
         F.when(whole, "Table").otherwise("Column").alias("target_kind"), F.lit("sys.sql_expression_dependencies").alias("dependency_source"), _flag("is_schema_bound_reference").alias("is_schema_bound_reference"), _flag("is_ambiguous").alias("is_ambiguous"),
         F.struct(F.lit(2).alias("kind"), F.concat_ws(".", "referenced_schema", "referenced_table", "referenced_column").alias("name"), F.col("referenced_minor_id").alias("number")).alias("pos"),
-    ).join(known.withColumnRenamed("id", "target"), "target", "left_semi")
+    ).join(known.withColumnRenamed("id", "target").hint("merge"), "target", "left_semi")
     # sources of the three kinds differ, so each kind is numbered by itself, where its rows lie by target already
     numbered = [rows.withColumn("key", F.row_number().over(W.partitionBy("source", "target").orderBy("pos")) - 1) for rows in (stores, linked, depends)]
     return PropertyGraph(nodes, numbered[0].unionByName(numbered[1], allowMissingColumns=True).unionByName(numbered[2], allowMissingColumns=True))
@@ -160,7 +172,7 @@ def build_targeted(catalog: Catalog, entry: str, entry_type: str, depth: int = 1
 
     tables = of(catalog.tables, "object_id")
     keyed = catalog.primary_keys.join(tables.select("schema_name", "table_name"), ["schema_name", "table_name"], "left_semi")
-    return build_graph(
+    return _graph_of(
         Catalog(tables, of(catalog.columns, "table_object_id"), keyed, of(catalog.foreign_keys, "parent_object_id", "referenced_object_id"), of(catalog.routines, "object_id"), of(catalog.dependencies, "referencing_object_id", "referenced_object_id")),
         include_definitions,
     )

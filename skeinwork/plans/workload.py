@@ -98,7 +98,7 @@ def system_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     order = t("orders")
     kind = F.element_at(F.array(*map(F.lit, OBJECT_TYPES)), (F.col("p_size") % len(OBJECT_TYPES) + 1).cast("int"))
     other = order.select(F.col("o_orderkey").alias("x"), F.col("o_custkey").alias("y"))
-    linked = order.join(other, F.col("x") == F.col("o_orderkey") - 1)
+    linked = order.join(other.hint("merge"), F.col("x") == F.col("o_orderkey") - 1)  # as large as the star, whatever the files' sizes say
     text = lambda prefix, column: F.concat(F.lit(prefix), F.col(column).cast("string"))
     return {
         "schemas": t("nation").select(F.col("n_nationkey").alias("schema_id"), F.col("n_name").alias("name")),
@@ -116,7 +116,7 @@ def system_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "foreign_key_columns": linked.select(F.col("o_orderkey").alias("constraint_object_id"), F.lit(1).alias("constraint_column_id"), F.col("o_custkey").alias("parent_object_id"), F.col("o_orderkey").alias("parent_column_id"), F.col("y").alias("referenced_object_id"), F.col("x").alias("referenced_column_id")),
         "objects": t("part").select((F.col("p_partkey") + 1_000_000).alias("object_id"), (F.col("p_partkey") % 25).cast("int").alias("schema_id"), F.concat_ws(" ", "p_name", "p_partkey").alias("name"), kind.alias("type"), F.col("p_type").alias("type_desc"), none.alias("create_date"), none.alias("modify_date"), (F.col("p_partkey") % 7 == 0).alias("is_ms_shipped")),
         "sql_modules": t("part").filter("p_partkey % 3 <> 0").select((F.col("p_partkey") + 1_000_000).alias("object_id"), F.col("p_brand").alias("definition"), F.lit(0).alias("is_schema_bound"), F.lit(1).alias("uses_ansi_nulls"), F.lit(1).alias("uses_quoted_identifier")),
-        "sql_expression_dependencies": t("lineitem").join(order, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "sql_expression_dependencies": t("lineitem").join(order.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).select(
             (F.col("l_partkey") + 1_000_000).alias("referencing_id"), F.when(F.col("l_linenumber") != 3, F.col("o_custkey")).alias("referenced_id"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_orderkey")).otherwise(0).alias("referenced_minor_id"),
             F.when(F.col("l_linenumber") == 2, F.lit("named")).alias("referenced_schema_name"), F.when(F.col("l_linenumber") == 2, text("entity ", "o_custkey")).alias("referenced_entity_name"), F.lit(0).alias("is_schema_bound_reference"), F.lit(0).alias("is_ambiguous"),
         ),

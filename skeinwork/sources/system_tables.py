@@ -82,6 +82,13 @@ class SystemTables:
             found = found.filter(F.col(f"{prefix}{OBJECT_COLUMNS[name]}").isin(self.within))
         return found
 
+    def _side(self, name: str, prefix: str) -> DataFrame:
+        """A table as large as the catalog, as a side of a join: whole ones are shuffled, as files are far smaller than the rows
+        they hold, so by their sizes Spark would send such tables through the driver's memory, many at a time.
+        """
+        found = self._of(name, prefix)
+        return found.hint("merge") if self.ids is None else found
+
     def _sorted(self, found: DataFrame, *columns: str) -> DataFrame:
         return found.orderBy(*columns) if self.ordered else found
 
@@ -105,10 +112,10 @@ class SystemTables:
         key = lambda a, b: (F.col("c_object_id") == F.col(a)) & (F.col("c_column_id") == F.col(b))
         found = (
             self._tables("t_").filter(self._listed("t_object_id"))
-            .join(self._of("columns", "c_"), F.col("c_object_id") == F.col("t_object_id"))
+            .join(self._side("columns", "c_"), F.col("c_object_id") == F.col("t_object_id"))
             .join(self._of("types", "ty_"), F.col("ty_user_type_id") == F.col("c_user_type_id"))
-            .join(self._of("default_constraints", "d_"), key("d_parent_object_id", "d_parent_column_id"), "left")
-            .join(self._of("computed_columns", "x_"), key("x_object_id", "x_column_id"), "left")
+            .join(self._side("default_constraints", "d_"), key("d_parent_object_id", "d_parent_column_id"), "left")
+            .join(self._side("computed_columns", "x_"), key("x_object_id", "x_column_id"), "left")
         )
         length = F.when(F.col("ty_name").isin(*TWO_BYTE_TYPES) & (F.col("c_max_length") > 0), F.floor(F.col("c_max_length") / 2)).otherwise(F.col("c_max_length"))
         plain = [F.col(f"c_{c}").alias(c) for c in ("precision", "scale", "is_nullable", "is_identity", "is_computed")]
@@ -119,20 +126,20 @@ class SystemTables:
 
     def primary_keys(self) -> DataFrame:
         found = (
-            self._of("key_constraints", "k_").filter(F.rtrim("k_type") == "PK")
+            self._side("key_constraints", "k_").filter(F.rtrim("k_type") == "PK")
             .join(self._tables("t_").filter(self._listed("t_object_id")), F.col("t_object_id") == F.col("k_parent_object_id"))
-            .join(self._of("index_columns", "i_"), (F.col("i_object_id") == F.col("t_object_id")) & (F.col("i_index_id") == F.col("k_unique_index_id")))
-            .join(self._of("columns", "c_"), (F.col("c_object_id") == F.col("i_object_id")) & (F.col("c_column_id") == F.col("i_column_id")))
+            .join(self._side("index_columns", "i_"), (F.col("i_object_id") == F.col("t_object_id")) & (F.col("i_index_id") == F.col("k_unique_index_id")))
+            .join(self._side("columns", "c_"), (F.col("c_object_id") == F.col("i_object_id")) & (F.col("c_column_id") == F.col("i_column_id")))
         )
         names = {"schema_name": "t_s_name", "table_name": "t_name", "column_name": "c_name", "constraint_name": "k_name", "key_ordinal": "i_key_ordinal"}
         return self._sorted(found.select(*(F.col(c).alias(n) for n, c in names.items())), "schema_name", "table_name", "key_ordinal")
 
     def foreign_keys(self) -> DataFrame:
-        end = lambda p: self._of("columns", f"{p}c_").join(self._tables(f"{p}t_"), F.col(f"{p}c_object_id") == F.col(f"{p}t_object_id"))
+        end = lambda p: self._side("columns", f"{p}c_").join(self._tables(f"{p}t_"), F.col(f"{p}c_object_id") == F.col(f"{p}t_object_id"))
         meets = lambda side, p: (F.col(f"l_{side}_object_id") == F.col(f"{p}c_object_id")) & (F.col(f"l_{side}_column_id") == F.col(f"{p}c_column_id"))
         found = (
             self._of("foreign_key_columns", "l_").filter(self._listed("l_parent_object_id", "l_referenced_object_id"))
-            .join(self._of("foreign_keys", "f_"), F.col("f_object_id") == F.col("l_constraint_object_id"))
+            .join(self._side("foreign_keys", "f_"), F.col("f_object_id") == F.col("l_constraint_object_id"))
             .join(end("p"), meets("parent", "p"))
             .join(end("r"), meets("referenced", "r"))
         )
@@ -148,7 +155,7 @@ class SystemTables:
         return own.join(self._of("schemas", "os_"), F.col("o_schema_id") == F.col("os_schema_id"))
 
     def routines(self) -> DataFrame:
-        found = self._routines().filter(self._listed("o_object_id")).join(self._of("sql_modules", "m_"), F.col("m_object_id") == F.col("o_object_id"), "left")
+        found = self._routines().filter(self._listed("o_object_id")).join(self._side("sql_modules", "m_"), F.col("m_object_id") == F.col("o_object_id"), "left")
         names = {"schema_name": "os_name", "object_name": "o_name", "object_id": "o_object_id", "object_type_code": "o_type", "type_desc": "o_type_desc", "create_date": "o_create_date", "modify_date": "o_modify_date"}
         names |= {c: f"m_{c}" for c in ("definition", "is_schema_bound", "uses_ansi_nulls", "uses_quoted_identifier")}
         return self._sorted(found.select(*(F.col(c).alias(n) for n, c in names.items())), "schema_name", "object_name")
@@ -163,7 +170,7 @@ class SystemTables:
         targets = self._of("tables", "t_").join(self._of("schemas", "ts_"), F.col("t_schema_id") == F.col("ts_schema_id"), "left")
         named = (
             self._of("sql_expression_dependencies", "e_").filter(self._listed("e_referencing_id", "e_referenced_id"))
-            .join(self._of("columns", "c_"), (F.col("c_object_id") == F.col("e_referenced_id")) & (F.col("c_column_id") == F.col("e_referenced_minor_id")), "left")
+            .join(self._side("columns", "c_"), (F.col("c_object_id") == F.col("e_referenced_id")) & (F.col("c_column_id") == F.col("e_referenced_minor_id")), "left")
             .join(targets, F.col("t_object_id") == F.col("e_referenced_id"))  # a reference that finds no table is no row
         ).select(
             "e_referencing_id", "e_referenced_id", "e_referenced_minor_id", F.coalesce("e_referenced_schema_name", "ts_name").alias("referenced_schema"), F.coalesce("e_referenced_entity_name", "t_name").alias("referenced_table"),

@@ -210,3 +210,30 @@ def test_names_of_routines_shuffle_once(spark):
     assert {(r["referenced_minor_id"], r["referenced_column"]) for r in found} == {(0, None), (1, "Id"), (2, None)}
     assert [r["referencing_name"] for r in found] == sorted(r["referencing_name"] for r in found)
     assert moved < 6 * n * 384  # once with the routines and once with each of three references in order; 2.2 MB where joins move them too
+
+
+def test_large_sides_stay_off_the_driver(spark):
+    """Whatever the files' sizes say, no table as large as the star is broadcast, and a built graph reads few of them again."""
+    import os
+
+    from skeinwork.plans import workload
+
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("needs the test tables")
+
+    def below(plan):
+        children = plan.children()
+        return [plan, *(x for i in range(children.size()) for x in below(children.apply(i)))]
+
+    def read(plan):
+        return [x.relation().location().rootPaths().mkString().split("/")[-1] for x in below(plan) if x.nodeName().startswith("Scan parquet")]
+
+    systems = SystemTables(workload.system_tables(spark, d), ordered=False)
+    lines = sinks.json_lines(catalog_build.build_graph(systems.catalog()))
+    for found in (lines, systems.tables(), systems.columns(), systems.primary_keys(), systems.foreign_keys(), systems.routines(), systems.dependencies()):
+        for x in below(found._jdf.queryExecution().sparkPlan()):
+            if x.nodeName().startswith("Broadcast"):
+                assert set(read(x.left() if x.buildSide().toString() == "BuildLeft" else x.right())) <= {"nation.parquet"}
+    again = read(lines._jdf.queryExecution().sparkPlan())
+    assert again.count("orders.parquet") <= 4 and len(again) <= 30  # 28 and 68 where columns and foreign keys are joined each time
